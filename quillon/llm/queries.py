@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, exact, mixing
+from quillon.llm import decontam, exact, minhash, mixing
 
 
 def queries() -> dict:
     return {
+        "op2_minhash_neardup": minhash.op2_minhash_neardup,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op9_exact_dedup": exact.op9_exact_dedup,
         "op10_winnow_decontam": decontam.op10_winnow_decontam,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": mixing.SQL, "op9_exact_dedup": exact.SQL, "op10_winnow_decontam": decontam.SQL}
+    return {"op2_minhash_neardup": minhash.SQL, "op7_pareto_mix": mixing.SQL, "op9_exact_dedup": exact.SQL, "op10_winnow_decontam": decontam.SQL}
