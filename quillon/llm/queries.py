@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, exact, minhash, mixing
+from quillon.llm import decontam, exact, langid, minhash, mixing
 
 
 def queries() -> dict:
     return {
         "op2_minhash_neardup": minhash.op2_minhash_neardup,
+        "op6_segmentation_langid": langid.op6_segmentation_langid,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op9_exact_dedup": exact.op9_exact_dedup,
         "op10_winnow_decontam": decontam.op10_winnow_decontam,
