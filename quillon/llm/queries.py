@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, exact, langid, minhash, mixing
+from quillon.llm import decontam, exact, langid, minhash, mixing, suffix
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_minhash_neardup": minhash.op2_minhash_neardup,
         "op6_segmentation_langid": langid.op6_segmentation_langid,
         "op7_pareto_mix": mixing.op7_pareto_mix,
+        "op8_suffix_dedup": suffix.op8_suffix_dedup,
         "op9_exact_dedup": exact.op9_exact_dedup,
         "op10_winnow_decontam": decontam.op10_winnow_decontam,
     }
