@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontam, exact, fixity, langid, minhash, mixing, suffix
+from quillon.llm import chat, decontam, exact, fixity, langid, minhash, mixing, suffix
 
 
 def queries() -> dict:
     return {
         "op1_merkle_fixity": fixity.op1_merkle_fixity,
         "op2_minhash_neardup": minhash.op2_minhash_neardup,
+        "op3_prefix_tree_chat": chat.op3_prefix_tree_chat,
         "op6_segmentation_langid": langid.op6_segmentation_langid,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op8_suffix_dedup": suffix.op8_suffix_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": fixity.SQL, "op2_minhash_neardup": minhash.SQL, "op7_pareto_mix": mixing.SQL, "op9_exact_dedup": exact.SQL, "op10_winnow_decontam": decontam.SQL}
+    return {"op3_prefix_tree_chat": chat.SQL, "op1_merkle_fixity": fixity.SQL, "op2_minhash_neardup": minhash.SQL, "op7_pareto_mix": mixing.SQL, "op9_exact_dedup": exact.SQL, "op10_winnow_decontam": decontam.SQL}
