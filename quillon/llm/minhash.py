@@ -6,10 +6,11 @@ bins (optimal densification).  BANDS bands of ROWS bins each give the bucket key
 similarity 0.8 share no bucket with a probability of about 5e-8.
 
 Equal sets are merged before bucketing.  Within a bucket, candidates are the edges of a star around its hub, the member
-that shares most with others over all buckets; they are confirmed on the full shingle sets.  A bucket whose members do
-not all end up in one component needs more: a small one has its remaining cross-component pairs confirmed, a large one
-gets another star around another member (the previous centre has met everyone and leaves).  Rounds go on until no bucket
-has an open pair, so that no link inside a bucket is lost, while the number of pairs stays near the number of members.
+that shares most with others over all buckets; the distance of each edge is found on the full shingle sets.  Members that
+end up outside the hub's component are stragglers; they may still be linked to other members.  Jaccard distance is a
+metric, so a straggler x and a member y can only be linked if their distances to the hub differ by 0.2 at most; these
+pairs, few as copies lie near their hub and stragglers far from it, are confirmed too.  A bucket with more than
+MANY_STRAGGLERS gets up to PIVOTS stars, whose bounds all apply.  So every linked pair that shares a bucket is found.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from quillon.llm.durable import materialise
 BINS = 128
 BANDS = 32
 ROWS = BINS // BANDS
-SMALL_BUCKET = 16
+#: Stars of a bucket: further ones only while it has many stragglers.
+PIVOTS = 3
+MANY_STRAGGLERS = 64
 #: Up to so many candidate nodes, their ids are broadcast to pick their texts; beyond that the texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -106,21 +109,19 @@ def _scan(k: int):
     return run
 
 
-def _confirm(k: int, percent: int):
-    """Pairs of texts whose similarity, on full sets, is at least ``percent``."""
+def _compare(k: int):
+    """Sizes of intersection and union of the full sets of two texts."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k))):
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < percent * large:
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (small + large - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+            both, either = [], []
+            for x, y in zip(shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k)):
+                m = len(np.intersect1d(x, y, assume_unique=True))
+                both.append(m)
+                either.append(len(x) + len(y) - m)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"]
+            )
 
     return run
 
@@ -131,7 +132,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    small_bucket: int = SMALL_BUCKET,
+    many_stragglers: int = MANY_STRAGGLERS,
     broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
@@ -169,52 +170,58 @@ def near_duplicates(
         texts = materialise(texts.mapInArrow(_same_set(shingle), "node long, text string").dropDuplicates(["node"]), "minhash-texts-own")
     texts = texts.select("node", "text")
 
-    live = members.join(nodes.select("node", "weight"), "node")
-    star = F.max(F.struct("weight", -F.col("node"))).alias("hub")
-    hubs = live.groupBy("key").agg(star).select("key", (-F.col("hub")["col2"]).alias("hub"))
-    live = members.join(hubs, "key")
-    links = tested = labels = None
-    step = 0
-    while True:
-        step += 1
-        pairs = live.where("n > 0 and node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        if step > 1:
-            few = live.where(F.col("n") <= small_bucket)
-            other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-            crossing = few.join(other, "key").where("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
-            pairs = live.where((F.col("n") > small_bucket) & (F.col("component") != F.col("hub_component"))).select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-            ).union(crossing)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"minhash-pairs-{step}")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = (
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        told = (
             pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_confirm(shingle, percent), "a long, b long")
+            .mapInArrow(_compare(shingle), "a long, b long, both long, either long")
+        )
+        return materialise(told.withColumn("far", 1 - F.col("both") / F.col("either")), name)
+
+    def linked(tested: DataFrame) -> DataFrame:
+        return tested.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    # Buckets with their members; ``open`` are those that get (another) star.
+    live = members.join(nodes.select("node", "weight"), "node").withColumn("open", F.lit(True)).withColumn("away", F.lit(True))
+    tested = labels = None
+    for p in range(PIVOTS):
+        hub = F.max(F.when(F.col("away"), F.struct(F.col("weight"), (-F.col("node")).alias("low")))).alias("top")
+        hubs = live.where("open").groupBy("key").agg(hub).select("key", (-F.col("top.low")).alias("hub"))
+        live = live.drop("hub").join(hubs, "key", "left")
+        pairs = live.where("node <> hub").select(*pair).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        new = measured(pairs, f"minhash-star-{p}")
+        tested = new if tested is None else tested.unionByName(new)
+        labels = connected_components(linked(tested), f"minhash-components-{p}")
+        far = tested.select("a", "b", "far")
+        live = live.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(far, ["a", "b"], "left")
+        live = live.withColumn("far", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far"))).drop("a", "b", "component", "home")
+        live = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # A bucket's home is the component of its latest hub; stragglers are in none of the components of its hubs.
+        homes = live.where("node = hub").select("key", F.col("component").alias("home"))
+        live = live.join(homes, "key", "left").withColumn("away", F.col("away") & (F.col("home").isNull() | (F.col("component") != F.col("home"))))
+        state = live.groupBy("key").agg(
+            F.count_if("away").alias("stragglers"), F.min("component").alias("low"), F.max("component").alias("high")
         )
-        found = materialise(found, f"minhash-links-{step}")
-        if step == 1 or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = connected_components(links, f"minhash-components-{step}")
-        # Buckets with members in several components stay, without the centre that has met all the others.
-        if step == 1:
-            rest = members.join(hubs, "key").where("node <> hub").select("key", "node")
-        else:
-            rest = live.where((F.col("n") > small_bucket) & (F.col("node") != F.col("hub"))).select("key", "node")
-        rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        state = rest.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64(F.lit(step), F.col("node")).alias("h"), F.col("node"), F.col("component"))).alias("pick"),
-        ).where("low < high")
-        state = state.select("key", "n", F.col("pick.node").alias("hub"), F.col("pick.component").alias("hub_component"))
-        live = materialise(rest.join(state, "key"), f"minhash-live-{step}")
-        if live.isEmpty():
+        state = state.where("low < high").select("key", "stragglers")
+        live = live.drop("open", "stragglers").join(state, "key").withColumnRenamed("far", f"far{p}")
+        live = materialise(live.withColumn("open", F.col("stragglers") > many_stragglers), f"minhash-live-{p}")
+        if live.where("open").isEmpty():
             break
+    tests = [f"far{i}" for i in range(p + 1)]
+    other = live.select("key", F.col("node").alias("other"), F.col("component").alias("there"), *[F.col(t).alias(f"{t}_there") for t in tests])
+    # Of a pair across components at least one side is outside the component of the bucket's first hub.
+    first = live.where("far0 = 0").groupBy("key").agg(F.min("component").alias("main"))
+    crossing = live.join(first, "key").where("component <> main").join(other, "key").where("node <> other and component <> there")
+    for t in tests:
+        crossing = crossing.where(F.coalesce(F.abs(F.col(t) - F.col(f"{t}_there")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+    crossing = crossing.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    more = measured(crossing.join(tested, ["a", "b"], "left_anti"), "minhash-crossing")
+    extra = linked(more)
+    if not extra.isEmpty():
+        labels = connected_components(linked(tested).union(extra), "minhash-components")
     names = labels.join(sets.select("node", "set_doc"), "node").groupBy("component").agg(F.min("set_doc").alias("component_id"))
     named = labels.join(names, "component").select("node", "component_id")
     sets = sets.join(named, "node", "left").select("set_id", F.coalesce("component_id", "set_doc").alias("component_id"))
