@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, decontam, exact, fixity, langid, minhash, mixing, pii, suffix
+from quillon.llm import chat, decontam, exact, fixity, langid, minhash, mixing, mlm, pii, suffix
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_minhash_neardup": minhash.op2_minhash_neardup,
         "op3_prefix_tree_chat": chat.op3_prefix_tree_chat,
         "op4_weak_pii": pii.op4_weak_pii,
+        "op5_masked_likelihood": mlm.op5_masked_likelihood,
         "op6_segmentation_langid": langid.op6_segmentation_langid,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op8_suffix_dedup": suffix.op8_suffix_dedup,
