@@ -6,11 +6,16 @@ bins (optimal densification).  BANDS bands of ROWS bins each give the bucket key
 similarity 0.8 share no bucket with a probability of about 5e-8.
 
 Equal sets are merged before bucketing.  Within a bucket, candidates are the edges of a star around its hub, the member
-that shares most with others over all buckets; the distance of each edge is found on the full shingle sets.  Members that
-end up outside the hub's component are stragglers; they may still be linked to other members.  Jaccard distance is a
-metric, so a straggler x and a member y can only be linked if their distances to the hub differ by 0.2 at most; these
-pairs, few as copies lie near their hub and stragglers far from it, are confirmed too.  A bucket with more than
-MANY_STRAGGLERS gets up to PIVOTS stars, whose bounds all apply.  So every linked pair that shares a bucket is found.
+that shares most with others over all buckets; each edge is measured on the full shingle sets.  Members that end up
+outside the hub's component are stragglers, which may still be linked to other members:
+
+* In a bucket of up to SMALL_BUCKET members, pairs across components are measured too, but for those that the triangle
+  inequality of the Jaccard distance rules out (their distances to the hub differ by more than a link's).
+* Larger buckets that share members form a family.  A family's stragglers are compared with all its members in blocks of
+  BLOCK by BLOCK texts, each block pair one small matrix product over the shared shingles; only links come out of it.
+
+So every linked pair that shares a bucket is found, and rows are at most some multiple of the bucket members plus
+stragglers x members / BLOCK.
 """
 
 from __future__ import annotations
@@ -29,9 +34,8 @@ from quillon.llm.durable import materialise
 BINS = 128
 BANDS = 32
 ROWS = BINS // BANDS
-#: Stars of a bucket: further ones only while it has many stragglers.
-PIVOTS = 3
-MANY_STRAGGLERS = 64
+SMALL_BUCKET = 16
+BLOCK = 256
 #: Up to so many candidate nodes, their ids are broadcast to pick their texts; beyond that the texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -126,13 +130,75 @@ def _compare(k: int):
     return run
 
 
+def _links_of(k: int, percent: int, sides: list[list]) -> list[tuple[int, int]]:
+    """Linked pairs of different components between two lists of (node, component, text), by exact intersections."""
+    (left, right) = (list(shingle_sets(pa.array([r[2] for r in side], pa.string()), k)) for side in sides)
+    if not left or not right:
+        return []
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, len(shared), 8192):
+        part = shared[lo : lo + 8192]
+        m = []
+        for one in (left, right):
+            x = np.zeros((len(one), len(part)), dtype=np.float32)
+            for i, h in enumerate(one):
+                at = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                x[i, at[part[at] == h]] = 1
+            m.append(x)
+        both += m[0] @ m[1].T
+    size = np.add.outer([len(h) for h in left], [len(h) for h in right])
+    ok = 100 * both >= percent * (size - both)
+    ok &= np.not_equal.outer([r[1] for r in sides[0]], [r[1] for r in sides[1]])
+    return [tuple(sorted((sides[0][i][0], sides[1][j][0]))) for i, j in zip(*np.nonzero(ok))]
+
+
+def _compare_blocks(k: int, percent: int):
+    """Links between the two sides of each (family, i, j); rows come sorted by these and the side."""
+
+    def run(batches):
+        def table(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        here, sides = None, [[], []]
+        for batch in batches:
+            links = []
+            for family, i, j, side, node, component, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (family, i, j) != here:
+                    links += _links_of(k, percent, sides)
+                    here, sides = (family, i, j), [[], []]
+                sides[side].append((node, component, text))
+            yield table(links)
+        yield table(_links_of(k, percent, sides))
+
+    return run
+
+
+def _block_rows(big: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(family, i, j, side, node, component): stragglers on side 0, all members of the family on side 1."""
+    family = connected_components(big.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), "minhash-families")
+    m = family.withColumnRenamed("component", "family").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = m.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where(F.col("top.n") < F.col("n"))
+    parts = parts.select(
+        "family", F.col("top.component").alias("main"), F.ceil(F.col("n") / block).alias("right"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("left")
+    )
+    m = materialise(m.join(parts, "family"), "minhash-family-members")
+    of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = m.where("component <> main").select("family", of(1, "left").alias("i"), every("right").alias("j"), F.lit(0).alias("side"), "node", "component")
+    right = m.select("family", every("left").alias("i"), of(2, "right").alias("j"), F.lit(1).alias("side"), "node", "component")
+    return left.union(right)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    many_stragglers: int = MANY_STRAGGLERS,
+    small_bucket: int = SMALL_BUCKET,
+    block: int = BLOCK,
     broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
@@ -181,47 +247,34 @@ def near_duplicates(
     def linked(tested: DataFrame) -> DataFrame:
         return tested.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
-    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
-    # Buckets with their members; ``open`` are those that get (another) star.
-    live = members.join(nodes.select("node", "weight"), "node").withColumn("open", F.lit(True)).withColumn("away", F.lit(True))
-    tested = labels = None
-    for p in range(PIVOTS):
-        hub = F.max(F.when(F.col("away"), F.struct(F.col("weight"), (-F.col("node")).alias("low")))).alias("top")
-        hubs = live.where("open").groupBy("key").agg(hub).select("key", (-F.col("top.low")).alias("hub"))
-        live = live.drop("hub").join(hubs, "key", "left")
-        pairs = live.where("node <> hub").select(*pair).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = measured(pairs, f"minhash-star-{p}")
-        tested = new if tested is None else tested.unionByName(new)
-        labels = connected_components(linked(tested), f"minhash-components-{p}")
-        far = tested.select("a", "b", "far")
-        live = live.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")).join(far, ["a", "b"], "left")
-        live = live.withColumn("far", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far"))).drop("a", "b", "component", "home")
-        live = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # A bucket's home is the component of its latest hub; stragglers are in none of the components of its hubs.
-        homes = live.where("node = hub").select("key", F.col("component").alias("home"))
-        live = live.join(homes, "key", "left").withColumn("away", F.col("away") & (F.col("home").isNull() | (F.col("component") != F.col("home"))))
-        state = live.groupBy("key").agg(
-            F.count_if("away").alias("stragglers"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        state = state.where("low < high").select("key", "stragglers")
-        live = live.drop("open", "stragglers").join(state, "key").withColumnRenamed("far", f"far{p}")
-        live = materialise(live.withColumn("open", F.col("stragglers") > many_stragglers), f"minhash-live-{p}")
-        if live.where("open").isEmpty():
-            break
-    tests = [f"far{i}" for i in range(p + 1)]
-    other = live.select("key", F.col("node").alias("other"), F.col("component").alias("there"), *[F.col(t).alias(f"{t}_there") for t in tests])
-    # Of a pair across components at least one side is outside the component of the bucket's first hub.
-    first = live.where("far0 = 0").groupBy("key").agg(F.min("component").alias("main"))
-    crossing = live.join(first, "key").where("component <> main").join(other, "key").where("node <> other and component <> there")
-    for t in tests:
-        crossing = crossing.where(F.coalesce(F.abs(F.col(t) - F.col(f"{t}_there")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+    weight = members.join(nodes.select("node", "weight"), "node")
+    hubs = weight.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("hub"))
+    stars = materialise(members.join(hubs, "key"), "minhash-stars")
+    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    tested = measured(stars.where("node <> hub").select(*ends).distinct(), "minhash-measured")
+    labels = connected_components(linked(tested), "minhash-components-1")
+
+    live = stars.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    live = materialise(live.join(state, "key"), "minhash-live")
+    small = live.where(F.col("n") <= small_bucket).select("*", *ends).join(tested.select("a", "b", "far"), ["a", "b"], "left").drop("a", "b")
+    small = small.withColumn("far", F.coalesce("far", F.lit(0.0)))  # the hub itself
+    home = small.where("node = hub").select("key", F.col("component").alias("home"))
+    other = small.select("key", F.col("node").alias("other"), F.col("component").alias("there"), F.col("far").alias("far_there"))
+    crossing = small.join(home, "key").where("component <> home").join(other, "key").where(
+        (F.col("node") != F.col("other")) & (F.col("component") != F.col("there")) & (F.abs(F.col("far") - F.col("far_there")) <= 1 - percent / 100 + 1e-9)
+    )
     crossing = crossing.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    more = measured(crossing.join(tested, ["a", "b"], "left_anti"), "minhash-crossing")
-    extra = linked(more)
+    extra = linked(measured(crossing.join(tested, ["a", "b"], "left_anti"), "minhash-crossing"))
+
+    big = live.where(F.col("n") > small_bucket)
+    if not big.isEmpty():
+        blocks = _block_rows(big, labels, block).join(texts, "node")
+        blocks = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
+        blocks = blocks.select("family", "i", "j", "side", "node", "component", "text")
+        extra = extra.union(materialise(blocks.mapInArrow(_compare_blocks(shingle, percent), "a long, b long"), "minhash-blocks"))
     if not extra.isEmpty():
-        labels = connected_components(linked(tested).union(extra), "minhash-components")
+        labels = connected_components(linked(tested).union(extra), "minhash-components-2")
     names = labels.join(sets.select("node", "set_doc"), "node").groupBy("component").agg(F.min("set_doc").alias("component_id"))
     named = labels.join(names, "component").select("node", "component_id")
     sets = sets.join(named, "node", "left").select("set_id", F.coalesce("component_id", "set_doc").alias("component_id"))
