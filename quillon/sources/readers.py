@@ -51,7 +51,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def parse_textgrid(text: str, tier: int = 1) -> list[tuple[str, float, float]]:
     """(label, start, end) of the intervals of one tier (from 0) of a long-format TextGrid, empty labels kept."""
-    tiers = _TIER.split(text)[2:]  # the first "item" line opens the list
+    tiers = _TIER.split(text)[1:]
     if len(tiers) <= tier:
         return []
     body = tiers[tier]
@@ -85,7 +85,7 @@ def name_parts(df: DataFrame, col: str) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str, key: str = "word_reps", ids: str | None = None) -> DataFrame:
-    """Vectors of NPZ files as (token_id, v); ragged rows and NaN are kept, row numbers stand for missing ids.
+    """Vectors of NPZ files as (token_id, v); ragged rows are kept, NaN becomes null, row numbers stand for missing ids.
 
     Files are read where Spark reads them; each file is one task's work."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
