@@ -183,7 +183,8 @@ def _match_contexts(parts: int):
             order = order[twice[:-1] | twice[1:]]  # anchors that occur again
             order = order[np.lexsort((start[order], key[order], ctx[order], anchor[order]))]
             a, x = anchor[order], ctx[order]
-            again = np.concatenate(([False], (a[1:] == a[:-1]) & (x[1:] == x[:-1])))
+            again = np.zeros(len(order), bool)
+            again[1:] = (a[1:] == a[:-1]) & (x[1:] == x[:-1])
             later = order[again]
             out.append(_covered(key[later], start[later], side["size"][later], parts))
             first = order[~again]
