@@ -256,7 +256,7 @@ def suffix_array(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     key = np.zeros(n, np.uint64)
     for j in range(8):
         byte = np.zeros(n, np.uint64)
-        byte[: n - j] = data[j:]
+        byte[: max(n - j, 0)] = data[j:]
         if j:
             byte[at + j >= end] = 0
         key = (key << np.uint64(8)) | byte
