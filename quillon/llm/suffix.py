@@ -346,6 +346,10 @@ def _earliest(number: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[n
 
 def cover_shards(anchor: np.ndarray, key: np.ndarray, start: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES):
     """Strings (key, start) that also start earlier, among contexts with their anchors, keys, starts and bytes."""
+    some = sizes >= length
+    if not some.all():  # shorter texts hold no string
+        data = data[np.repeat(some, sizes)]
+        anchor, key, start, sizes = anchor[some], key[some], start[some], sizes[some]
     order = np.argsort(anchor, kind="stable")
     ends = np.cumsum(sizes)
     data = data[_ranges((ends - sizes)[order], sizes[order])]
