@@ -57,6 +57,11 @@ def _fold(place: str, hash_: str) -> Column:
     return F.sha2(F.concat_ws("|", F.transform(ordered, lambda x: F.concat_ws(":", x[place].cast("string"), x[hash_]))), 256)
 
 
+def _group(fanout: int) -> Column:
+    """The group of a place: division towards zero, so that places below zero (null or negative ids) reach group 0 too."""
+    return F.expr(f"place div {int(fanout)}")
+
+
 def merkle_levels(leaves: DataFrame, name: str, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels 1 to the root, each ``archive, place, hash``; an empty table has no levels."""
     ranges = leaves.groupBy("archive", F.floor(F.col("offset") / range_bytes).cast("bigint").alias("place")).agg(
@@ -66,7 +71,7 @@ def merkle_levels(leaves: DataFrame, name: str, range_bytes: int = RANGE_BYTES,
     archives = levels[0].groupBy("archive").agg(_fold("place", "hash").alias("hash"))
     levels.append(materialise(archives.select("archive", F.col("archive").alias("place"), "hash"), f"merkle-{name}-2"))
     while levels[-1].limit(2).count() > 1:
-        up = levels[-1].withColumn("group", F.floor(F.col("place") / fanout).cast("bigint"))
+        up = levels[-1].withColumn("group", _group(fanout))
         up = up.groupBy("group").agg(_fold("place", "hash").alias("hash"))
         levels.append(materialise(up.select(F.col("group").alias("archive"), F.col("group").alias("place"), "hash"), f"merkle-{name}-{len(levels) + 1}"))
     return levels
@@ -94,7 +99,7 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE_BYTES, fanout: in
     for i in range(top - 1, -1, -1):
         open_ = materialise(open_, f"merkle-open-{i + 1}")
         # Children of level i + 1: groups and archives by their group's number, ranges by their archive.
-        parent = F.floor(F.col("place") / fanout).cast("bigint") if i > 0 else F.col("archive")
+        parent = _group(fanout) if i > 0 else F.col("archive")
         wanted = open_.select(F.col("place").alias("parent"))
         inside = [level(up, i).withColumn("parent", parent).join(wanted, "parent", "left_semi").drop("parent") for up in (up_a, up_b)]
         open_ = _differing(*inside, ["archive", "place"]).select("archive", "place")
