@@ -2,11 +2,14 @@
 
 Tokens are word numbers: the FREQUENT most frequent words of the corpus by rank, all others by hash.  The network adds
 one embedding for each of the SIDES * 2 neighbours, squashes the sum, and predicts the middle token in two steps, its
-group and its place in the group.  Summed conditional log probabilities score a document.
+group and its place in the group.  Which word of its hash bucket a rarer word is comes third, by the word's share of the
+bucket's count: P(word | neighbours) = P(number | neighbours) * count(word) / count(bucket).  Summed conditional log
+probabilities of the words score a document.
 
 Training is data parallel in numpy: from common parameters each partition takes Adagrad steps over all its documents,
 and the partitions' parameters are averaged, weighted by tokens, through a shuffle.  The word counts cover the whole
-corpus too.
+corpus too: they are a written table with one row for each word (its 64-bit hash), which grows with the corpus.  Scoring
+sends only the KNOWN most frequent words of it to the tasks; a document's other words meet the table in a join.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as T
+from quillon.llm.durable import materialise
 
 FREQUENT = 768
 HASHED = 256
 SIZE = FREQUENT + HASHED
+KNOWN = 65_536
 GROUP = 32
 GROUPS = SIZE // GROUP
 SIDES = 2
@@ -131,13 +136,13 @@ class Steps:
 
 
 def _tokens(batch, top: np.ndarray, rank: np.ndarray):
-    """Row range, neighbours, tokens and row offsets of each chunk of a batch."""
+    """Row range, neighbours, tokens, row offsets and word hashes of each chunk of a batch."""
     data, offsets = T.utf8(batch.column("text"))
     for lo, hi in T.chunks(offsets):
         with np.errstate(over="ignore"):
             w = T.words(T.LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], T.NOT_SPACE)
         token = numbers(w.hash, top, rank)
-        yield lo, hi, neighbours(token, w.row), token, w.row
+        yield lo, hi, neighbours(token, w.row), token, w.row, w.hash
 
 
 def numbers(h: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -178,7 +183,7 @@ def _train(flat: np.ndarray, top: np.ndarray, rank: np.ndarray):
     def run(batches):
         steps = Steps(flat)
         for batch in batches:
-            for _, _, around, token, _ in _tokens(batch, top, rank):
+            for _, _, around, token, _, _ in _tokens(batch, top, rank):
                 steps.take(around, token)
         if steps.tokens:
             parts = np.array_split(steps.net.flat, CHUNKS)
@@ -204,12 +209,22 @@ def _average(table: pa.Table) -> pa.Table:
     })
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of frequent words, their ranks, flat parameters), learned from all texts."""
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n``: how often each word, by its hash, stands in all texts; written once."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialise(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "mlm-words")
+
+
+def fit(
+    docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int = 11, counts: DataFrame | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of frequent words, their ranks, flat parameters), learned from all texts.
+
+    ``counts`` is the table of ``count_words``; it is made here if it isn't given."""
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    counts = count_words(docs, text_col) if counts is None else counts
     best = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    buckets = counts.groupBy(F.pmod("word", F.lit(HASHED)).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    buckets = _bucket_counts(counts).collect()
     size = np.zeros(SIZE)
     for i, r in enumerate(best):
         size[i] = r["n"]
@@ -228,34 +243,92 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: int
     return top, rank, flat
 
 
-def _score(flat: np.ndarray, top: np.ndarray, rank: np.ndarray):
+def _bucket_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(F.pmod("word", F.lit(HASHED)).alias("bucket")).agg(F.sum("n").alias("n"))
+
+
+def _shares(counts: DataFrame, top: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the ``known`` most frequent words, logs of their counts, logs of the buckets' counts by number).
+
+    Words at ``top`` have numbers of their own and are in no bucket."""
+    got = counts.orderBy(F.desc("n"), "word").limit(known).toArrow()
+    word, n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(word)
+    word, n = word[order], n[order]
+    total = np.zeros(SIZE)
+    for r in _bucket_counts(counts.where(~F.col("word").isin(top.view(np.int64).tolist()))).collect():
+        total[FREQUENT + r["bucket"]] = r["n"]
+    return word, np.log(n), np.log(np.maximum(total, 1))
+
+
+def _pairs(h: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List offsets by row, words and times of the distinct (owner, word hash) pairs."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(h)))
+    return np.searchsorted(owner[first], np.arange(rows + 1)), h[first], times
+
+
+_SCORED = "n_tokens long, score double, words array<long>, times array<long>"
+
+
+def _score(flat: np.ndarray, top: np.ndarray, rank: np.ndarray, word: np.ndarray, log_n: np.ndarray, log_total: np.ndarray):
     def run(batches):
         net = Window(flat)
         for batch in batches:
             n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lo, hi, around, token, row in _tokens(batch, top, rank):
+            rare, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for lo, hi, around, token, row, h in _tokens(batch, top, rank):
                 sums = np.zeros(len(token) + 1)
                 for a in range(0, len(token), BATCH):
                     sums[a + 1 : a + 1 + BATCH] = net.log_probs(around[a : a + BATCH], token[a : a + BATCH])
+                hashed = np.flatnonzero(token >= FREQUENT)
+                sums[hashed + 1] -= log_total[token[hashed]]
+                if len(word):
+                    at = np.minimum(np.searchsorted(word, h[hashed]), len(word) - 1)
+                    hit = word[at] == h[hashed]
+                    sums[hashed[hit] + 1] += log_n[at[hit]]
+                    hashed = hashed[~hit]
+                rare.append(h[hashed])
+                owner.append(lo + np.searchsorted(row, hashed, side="right") - 1)
                 sums = np.cumsum(sums)
                 n[lo:hi], s[lo:hi] = np.diff(row), sums[row[1:]] - sums[row[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s)], ["doc_id", "n_tokens", "score"])
+            cut, h, times = _pairs(np.concatenate(rare), np.concatenate(owner), batch.num_rows)
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (h.view(np.int64), times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(s), *lists], ["row", "doc_id", "n_tokens", "score", "words", "times"]
+            )
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, score``, the sum of log P(token | two tokens on either side).
+def score(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
+    counts: DataFrame | None = None, known: int = KNOWN,
+) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, score``, the sum of log P(word | two tokens on either side).
 
-    Null, empty and blank texts have no tokens and score 0.  Rows that repeat a text score alike.  Further columns are
-    ignored; an empty table gives an empty result.
+    ``counts`` is the table of ``count_words`` that the model was fitted with, by default that of ``docs``.  A word that it
+    lacks counts as seen once.  Null, empty and blank texts have no tokens and score 0.  Rows that repeat a text score
+    alike.  Further columns are ignored; an empty table gives an empty result.
     """
     top, rank, flat = model
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(flat, top, rank), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, score double")
+    counts = count_words(docs, text_col) if counts is None else counts
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    schema = f"row long, doc_id {dict(rows.dtypes)['doc_id']}, {_SCORED}"
+    # Written, because numbers of rows must not change between the two uses.
+    scored = materialise(rows.mapInArrow(_score(flat, top, rank, *_shares(counts, top, known)), schema), "mlm-scored")
+    pairs = scored.where(F.size("words") > 0).select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
+    # log 1 = 0: words seen once add nothing here.  Sums of whole billionths don't depend on the order of rows.
+    nano = F.round(F.log(F.col("n").cast("double")) * 1e9).cast("long") * F.col("times")
+    more = pairs.join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(nano).alias("nano"))
+    out = scored.select("row", "doc_id", "n_tokens", "score").join(more, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("score") + F.coalesce("nano", F.lit(0)) / 1e9).alias("score"))
 
 
 def op5_masked_likelihood(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, fit(docs))
+    counts = count_words(docs)
+    out = score(docs, fit(docs, counts=counts), counts=counts)
     return out.withColumn("mean_score", F.try_divide("score", "n_tokens"))

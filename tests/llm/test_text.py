@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -324,3 +326,42 @@ def test_training_beats_the_unigram_start(spark):
     docs = frame(spark, rows, extra=False)
     mean = lambda m: mlm.score(docs, m).agg(F.sum("score") / F.sum("n_tokens")).first()[0]
     assert mean(mlm.fit(docs)) > mean(mlm.fit(docs, rounds=0)) + 0.3
+
+
+def test_rare_words_are_told_apart(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(2 * mlm.FREQUENT)]
+    rows = [(i, " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(len(vocab))], k=150))) for i in range(80)]
+    rows += [(None, "w1500 w1 w1500"), (None, "w1501"), (3, ""), (4, None)]
+    docs = frame(spark, rows)
+    top, rank, flat = mlm.fit(docs)
+    n = Counter(w for _, t in rows for w in (t or "").split())
+    number = {w: int(mlm.numbers(h, top, rank)[0]) for w in n for h in [word_hash(w)]}
+    total = Counter()
+    for w in n:
+        total[number[w]] += n[w]
+    assert any(number[w] >= mlm.FREQUENT and n[w] < total[number[w]] for w in n)
+    net = mlm.Window(flat)
+    want = []
+    for i, t in rows:
+        words = (t or "").split()
+        token = np.array([number[w] for w in words], dtype=np.int64)
+        s = net.log_probs(mlm.neighbours(token, np.array([0, len(token)])), token).sum() if words else 0
+        want.append((str(i), len(words), s + sum(math.log(n[w] / total[number[w]]) for w in words)))
+    for known in (mlm.KNOWN, 0):  # the second joins all words that have no number of their own
+        got = [(str(r.doc_id), r.n_tokens, r.score) for r in mlm.score(docs, (top, rank, flat), known=known).collect()]
+        for a, b in zip(sorted(got), sorted(want), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4, abs=1e-4)
+    # A word the corpus lacks scores below a common word of the same bucket.
+    common = max((w for w in n if number[w] >= mlm.FREQUENT), key=lambda w: n[w])
+    typo = next(f"x{i}" for i in range(100_000) if int(mlm.numbers(word_hash(f"x{i}"), top, rank)[0]) == number[common])
+    got = {r.doc_id: r.score for r in mlm.score(frame(spark, [(1, common), (2, typo)]), (top, rank, flat), counts=mlm.count_words(docs)).collect()}
+    assert got[1] - got[2] == pytest.approx(math.log(n[common]), abs=1e-4)
+
+
+def word_hash(w):
+    from quillon.llm import text as T
+
+    data = np.frombuffer(w.encode(), np.uint8)
+    with np.errstate(over="ignore"):
+        return T.words(data, np.array([0, len(data)]), T.NOT_SPACE).hash
