@@ -7,10 +7,12 @@ So strings are dealt to shards by anchor, equal strings meet in one shard, and o
 1. One pass cuts each text into *contexts*: an anchor with all the strings it is the anchor of, LENGTH to LENGTH + 84
    bytes.  Only hashes travel, packed.  Of equal contexts all but the first are covered whole.  Contexts that share an
    anchor and half of what a common string must hold beside it are asked for.
-2. The texts of the asked contexts (first occurrences only) are cut out and dealt to shards by anchor.
+2. The texts of the asked contexts (first occurrences only) are cut out and dealt to shards by anchor; an anchor with
+   more bytes than a shard may hold is dealt to several, each a group of its own.
 3. Each shard builds a suffix array over its contexts by Larsson-Sadakane refinement and the common prefixes by Kasai's
    method, in numpy; suffixes that agree on LENGTH bytes form a group, and all but its earliest are covered.  A shard
-   has a bounded size; where one anchor fills several, their sorted strings are merged by binary search.
+   has a bounded size; where one anchor fills several, their distinct strings meet once more, dealt by the string's hash
+   and compared byte by byte, and again all but the earliest are covered.
 4. The covered ranges of a document meet its text again and are cut out.
 """
 
@@ -30,9 +32,10 @@ LENGTH = 100
 GRAM = 16
 SHARD_BYTES = 2 << 20
 BROADCAST_IDS = 500_000
+STRING_GROUPS = 64
 
 _PACKED = "kind int, dest long, a binary, b binary, c binary, d binary, e binary"
-_ANCHORS, _COVERED, _ASKED = 0, 1, 2
+_ANCHORS, _COVERED, _ASKED, _STRINGS = 0, 1, 2, 3
 
 
 # --- anchors and contexts ---------------------------------------------------------------------------------------------
@@ -162,7 +165,25 @@ def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _match_contexts(parts: int):
+def _shards(anchor: np.ndarray, size: np.ndarray, parts: int, shard_bytes: int) -> np.ndarray:
+    """The shard of each context, given contexts in the order of their anchors.
+
+    Below ``parts`` a shard holds whole anchors; an anchor of more than ``shard_bytes`` gets shards of its own, numbered
+    from ``parts`` on, each full after that many bytes."""
+    dest = (anchor % np.uint64(parts)).astype(np.int64)
+    if len(anchor):
+        head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        count = np.diff(np.append(head, len(anchor)))
+        before = np.cumsum(size) - size
+        within = before - np.repeat(before[head], count)
+        hot = np.repeat(np.add.reduceat(size, head) > shard_bytes, count)
+        with np.errstate(over="ignore"):
+            own = T.mix(anchor[hot] + (within[hot] // shard_bytes + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        dest[hot] = parts + (own >> np.uint64(2)).astype(np.int64)
+    return dest
+
+
+def _match_contexts(parts: int, shard_bytes: int):
     """Per partition of anchors: cover repeated contexts, ask for those that may share strings, pass covers through."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -189,7 +210,8 @@ def _match_contexts(parts: int):
             out.append(_covered(key[later], start[later], side["size"][later], parts))
             first = order[~again]
             ask = first[_shared(anchor[first], side["left"][first]) | _shared(anchor[first], side["right"][first])]
-            out.append(_pack(_ASKED, _bucket(key[ask], parts), [key[ask], start[ask], side["size"][ask].astype(np.int32), anchor[ask]]))
+            shard = _shards(anchor[ask], side["size"][ask].astype(np.int64), parts, shard_bytes)
+            out.append(_pack(_ASKED, _bucket(key[ask], parts), [key[ask], start[ask], side["size"][ask].astype(np.int32), anchor[ask], shard]))
         return pa.concat_tables([t if isinstance(t, pa.Table) else pa.Table.from_batches([t]) for t in out if t is not None])
 
     return run
@@ -214,20 +236,19 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def _cut_contexts(parts: int):
-    """Per bucket of documents: the bytes of the asked contexts, dealt to shards by anchor."""
+def _cut_contexts():
+    """Per bucket of documents: the bytes of the asked contexts, dealt to their shards."""
 
     def run(asked: pa.Table, docs: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows and docs.num_rows:
-            key, start, size, anchor = (
-                _unpack(asked, c, t) for c, t in (("a", np.int64), ("b", np.int64), ("c", np.int32), ("d", np.uint64))
+            key, start, size, anchor, dest = (
+                _unpack(asked, c, t) for c, t in (("a", np.int64), ("b", np.int64), ("c", np.int32), ("d", np.uint64), ("e", np.int64))
             )
             data, offsets, row = _rows_of(docs, key)
-            order = np.argsort(anchor % np.uint64(parts), kind="stable")
-            key, start, size, anchor, row = key[order], start[order], size[order].astype(np.int64), anchor[order], row[order]
+            order = np.argsort(dest, kind="stable")
+            key, start, size, anchor, row, dest = key[order], start[order], size[order].astype(np.int64), anchor[order], row[order], dest[order]
             raw = data[_ranges(offsets[row] + start, size)].tobytes()
-            dest = (anchor % np.uint64(parts)).astype(np.int64)
             out = _pack(0, dest, [anchor, key, start, size.astype(np.int32)])
             ends = np.concatenate(([0], np.cumsum(size)))
             cut = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1], [True])))
@@ -401,18 +422,60 @@ def cover_shards(anchor: np.ndarray, key: np.ndarray, start: np.ndarray, sizes:
     return np.concatenate(out_key or [np.zeros(0, np.int64)]), np.concatenate(out_start or [np.zeros(0, np.int64)])
 
 
+def _cover_strings(key: np.ndarray, start: np.ndarray, length: int, parts: int) -> pa.RecordBatch | None:
+    """Covers of strings at (key, start); runs of neighbouring starts become one range."""
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
+    head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)))) if len(key) else np.zeros(0, int)
+    last = np.concatenate((head[1:], [len(key)])) - 1 if len(head) else head
+    return _covered(key[head], start[head], start[last] - start[head] + length, parts)
+
+
+def _distinct(number: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members that repeat an earlier one of their group, and the earliest of each group."""
+    by, lead = _earliest(number, key, start)
+    rest, top = by[~lead], by[lead][np.cumsum(lead)[~lead] - 1]
+    return rest[(key[rest] != key[top]) | (start[rest] != start[top])], by[lead]
+
+
+def _search_part(key, start, sizes, data, length: int, parts: int) -> list[pa.RecordBatch | None]:
+    """Covers inside one shard of a divided anchor, and its distinct strings with their earliest places, by their hash."""
+    ends = np.cumsum(sizes)
+    number, at = repeated_strings(data, sizes, length)
+    owner = np.searchsorted(ends, at, side="right")
+    k, s = key[owner], start[owner] + at - (ends - sizes)[owner]
+    again, lead = _distinct(number, k, s)
+    text = np.lib.stride_tricks.sliding_window_view(data, length)
+    with np.errstate(over="ignore"):
+        h = T.span_hash(T.prefix_hash(data), at[lead], at[lead] + length)
+    dest = (h % np.uint64(STRING_GROUPS * parts)).astype(np.int64)
+    strings = np.ascontiguousarray(text[at[lead]]).view(f"S{length}")[:, 0]
+    return [_cover_strings(k[again], s[again], length, parts), _pack(_STRINGS, dest, [k[lead], s[lead], strings])]
+
+
 def _search_shard(parts: int, length: int, shard_bytes: int):
     def run(table: pa.Table) -> pa.Table:
         anchor, key, start, sizes, data = (
             _unpack(table, c, t) for c, t in zip("abcde", (np.uint64, np.int64, np.int64, np.int32, np.uint8))
         )
-        key, start = cover_shards(anchor, key, start, sizes.astype(np.int64), data, length, shard_bytes)
-        order = np.lexsort((start, key))
-        key, start = key[order], start[order]
-        # Runs of neighbouring starts become one range.
-        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)))) if len(key) else np.zeros(0, int)
-        last = np.concatenate((head[1:], [len(key)])) - 1 if len(head) else head
-        out = _covered(key[head], start[head], start[last] - start[head] + length, parts)
+        sizes = sizes.astype(np.int64)
+        if table.column("dest")[0].as_py() < parts:
+            out = [_cover_strings(*cover_shards(anchor, key, start, sizes, data, length, shard_bytes), length, parts)]
+        else:
+            out = _search_part(key, start, sizes, data, length, parts)
+        out = [x for x in out if x is not None]
+        return pa.Table.from_batches(out) if out else table.slice(0, 0)
+
+    return run
+
+
+def _merge_strings(parts: int, length: int):
+    """Per hash of strings from the shards of divided anchors: cover all but the earliest of equal strings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, start, strings = (_unpack(table, c, t) for c, t in (("a", np.int64), ("b", np.int64), ("c", f"S{length}")))
+        again, _ = _distinct(np.unique(strings, return_inverse=True)[1], key, start)
+        out = _cover_strings(key[again], start[again], length, parts)
         return pa.Table.from_batches([out]) if out is not None else table.slice(0, 0)
 
     return run
@@ -471,7 +534,7 @@ def remove_repeats(
         rows = _number(rows)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.select("key", "text").mapInArrow(_emit_contexts(parts, length, gram), _PACKED)
-    matched = materialise(packed.groupBy("dest").applyInArrow(_match_contexts(parts), _PACKED), "suffix-matched")
+    matched = materialise(packed.groupBy("dest").applyInArrow(_match_contexts(parts, shard_bytes), _PACKED), "suffix-matched")
     asked = matched.where(F.col("kind") == _ASKED)
     keyed = rows.withColumn("dest", _bucket_sql("key", parts))
 
@@ -479,9 +542,10 @@ def remove_repeats(
     some = keyed
     if ids.limit(broadcast_ids + 1).count() <= broadcast_ids:
         some = keyed.join(F.broadcast(ids), "key", "left_semi")
-    cut = asked.groupBy("dest").cogroup(some.select("dest", "key", "text").groupBy("dest")).applyInArrow(_cut_contexts(parts), _PACKED)
-    searched = cut.groupBy("dest").applyInArrow(_search_shard(parts, length, shard_bytes), _PACKED)
-    covers = matched.where(F.col("kind") == _COVERED).unionByName(materialise(searched, "suffix-searched"))
+    cut = asked.groupBy("dest").cogroup(some.select("dest", "key", "text").groupBy("dest")).applyInArrow(_cut_contexts(), _PACKED)
+    searched = materialise(cut.groupBy("dest").applyInArrow(_search_shard(parts, length, shard_bytes), _PACKED), "suffix-searched")
+    merged = searched.where(F.col("kind") == _STRINGS).groupBy("dest").applyInArrow(_merge_strings(parts, length), _PACKED)
+    covers = matched.unionByName(searched).where(F.col("kind") == _COVERED).unionByName(merged)
     return covers.groupBy("dest").cogroup(keyed.groupBy("dest")).applyInArrow(
         _remove(keep_text), "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,24 @@ def test_suffix_equals_brute_force(spark, shard_bytes):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got.collect()} == without_repeats(rows, 100)
 
 
+def test_suffix_hot_anchor_is_dealt_to_bounded_groups(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = word(150)
+    rows = [(i, word(60) + passage + word(60)) for i in range(60)]
+    got = suffix.remove_repeats(frame(spark, rows), keep_text=True, shard_bytes=1500)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got.collect()} == without_repeats(rows, 100)
+    docs = pa.table({"key": [i for i, _ in rows], "text": [t for _, t in rows]})
+    packed = pa.Table.from_batches(suffix._emit_contexts(1, 100, 16)(docs.to_batches()))
+    matched = suffix._match_contexts(1, 1500)(packed)
+    cut = suffix._cut_contexts()(matched.filter(pa.array(matched.column("kind").to_numpy() == suffix._ASKED)), docs)
+    anchor = {d: set(np.frombuffer(a, np.uint64)) for d, a in zip(cut.column("dest").to_pylist(), cut.column("a").to_pylist())}
+    size = {d: len(e) for d, e in zip(cut.column("dest").to_pylist(), cut.column("e").to_pylist())}
+    own = [d for d in anchor if d >= 1]  # groups of divided anchors
+    assert len(own) > 2 and all(len(anchor[d]) == 1 and size[d] <= 1500 + 184 for d in own)
+    assert len(set().union(*(anchor[d] for d in own))) < len(own)
+
+
 def test_suffix_edges(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
     rows = [(1, "q" * 250), (1, "q" * 250), (None, "q" * 250), (0, None)]
