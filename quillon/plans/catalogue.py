@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import schema
+from quillon.config import Config
 from quillon.functions import vectors as V
 from quillon.operators import classify as C
 from quillon.operators import cluster as K
@@ -364,7 +365,7 @@ def delta0(spark, d):
 
 # --- resampling -------------------------------------------------------------------------------------------------------
 
-N_PERM, N_BOOT = 99, 100
+N_PERM, N_BOOT = Config().n_perm, Config().n_boot
 
 _RANKS = """
 ra as (select *, r - avg(r) over (partition by m) as c from (select m, phoneme_i, phoneme_j, rank() over (partition by m order by d) + (count(*) over (partition by m, d) - 1) / 2.0 as r
@@ -435,8 +436,6 @@ select model, pair, spk, case when vx.phoneme = split_part(pair, '-', 1) then 1
 from vx join (select unnest(['e-ɛ', 'o-ø', 'y-u']) as pair) p on vx.phoneme in (split_part(pair, '-', 1), split_part(pair, '-', 2))""", "model, pair"))
 def bootstrap_pair_ci(spark, d):
     r = vowel_reps(spark, d)
-    from quillon.config import Config
-
     out = None
     for a, b in Config().pair_list():
         one = B.bootstrap_centroid_distance(r, "phoneme", a, b, within=["model"], n_boot=N_BOOT, units=r).withColumn("pair", F.lit(f"{a}-{b}"))

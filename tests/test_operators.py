@@ -1,3 +1,4 @@
+import hashlib
 import io
 import itertools
 import math
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.config import Config
 from quillon.functions import nulls
 from quillon.functions import vectors as V
 from quillon.operators import classify as C
@@ -19,6 +21,7 @@ from quillon.operators import ingest as I
 from quillon.operators import reduce as R
 from quillon.operators import resampling as B
 from quillon.operators import rope as P
+from quillon.plans import catalogue
 from quillon.sources import readers
 
 
@@ -230,3 +233,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hourly_out").exceptAll(W.hourly(events)).count() == 0
+
+
+def test_registered_replicates_are_the_reference_s_and_equal_brute_force(spark):
+    assert (catalogue.N_PERM, catalogue.N_BOOT) == (Config().n_perm, Config().n_boot) == (999, 2000)
+    rng = np.random.default_rng(4)
+    rows = [(i, "fr" if i < 5 else "ru", (rng.standard_normal(3) + (i < 5)).tolist()) for i in range(11)]
+    x = {i: np.array(v) for i, _, v in rows}
+    total = sum(x.values())
+
+    def far(ids):
+        a = sum(x[i] for i in ids)
+        b = total - a
+        return 1 - a @ b / math.sqrt((a @ a) * (b @ b))
+
+    order = [sorted(x, key=lambda i: (hashlib.md5(f"42-{b}-{i}".encode()).hexdigest(), i))[:5] for b in range(catalogue.N_PERM)]
+    p = (sum(far(o) >= far(range(5)) - 1e-12 for o in order) + 1) / 1000
+    df = spark.createDataFrame(rows, "token_id long, L1 string, v array<double>")
+    got = B.permutation_centroid_distance(df.selectExpr("*", "1 as g"), "L1", "fr", "ru", within=["g"], n_perm=catalogue.N_PERM).first()
+    assert got.p_raw == pytest.approx(p, abs=1e-12)
