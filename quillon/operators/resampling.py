@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 
+#: Replicates whose sums travel as one row.
+BLOCK = 250
+
 
 def hash_key(seed: int, b: Column, item: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), b.cast("string"), F.lit("-"), item.cast("string")))
@@ -23,19 +26,42 @@ def draw(seed: int, b: Column, slot: Column, n: Column) -> Column:
 
 
 def unit_draws(df: DataFrame, unit: str, n_boot: int, seed: int) -> DataFrame:
-    """(b, unit, times): how often each replicate draws each unit, with replacement, as many draws as units.
+    """(unit, picks): the replicates that draw each unit, once for every time; as many draws as units, with replacement.
 
     Units are numbered in their order; the tables here hold units and draws, not tokens."""
     units = df.where(F.col(unit).isNotNull()).select(unit).distinct()
     numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(unit)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     reps = df.sparkSession.range(n_boot).withColumnRenamed("id", "b")
     drawn = reps.crossJoin(numbered.select("slot", "n")).withColumn("pick", draw(seed, F.col("b"), F.col("slot"), F.col("n")))
-    times = drawn.groupBy("b", "pick").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(numbered.select(F.col("slot").alias("pick"), unit), "pick").select("b", unit, "times")
+    picks = drawn.groupBy("pick").agg(F.collect_list("b").alias("picks"))
+    return picks.join(numbered.select(F.col("slot").alias("pick"), unit), "pick").select(unit, "picks")
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row; NaN for the cosine of a zero vector."""
+    if metric == "euclidean":
+        return np.sqrt(((a - b) ** 2).sum(axis=1))
+    size = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    return 1 - (a * b).sum(axis=1) / np.where(size == 0, np.nan, size)
+
+
+def _block_sums(rows: DataFrame, keys: list[str], weights) -> DataFrame:
+    """(keys, block, t): for BLOCK replicates at a time, the sums of the vectors ``x``, weighted by replicate, flattened.
 
+    ``weights`` makes the matrix (rows x replicates) of a group.  Each batch of rows is one matrix product; partial sums
+    are added by Spark."""
+    kinds = dict(rows.dtypes)
 
-def _distance(a: Column, b: Column, metric: str) -> Column:
-    return V.euclidean(a, b) if metric == "euclidean" else V.cosine_distance(a, b, "null")
+    def run(batches):
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+                if len(g):
+                    t = weights(g).T @ np.stack(g["x"].to_numpy()).astype(float)
+                    parts = [t[lo : lo + BLOCK].ravel() for lo in range(0, len(t), BLOCK)]
+                    yield pd.DataFrame({**dict(zip(keys, key)), "block": np.arange(len(parts)), "t": parts})
+
+    sums = rows.mapInPandas(run, "".join(f"`{c}` {kinds[c]}, " for c in keys) + "block long, t array<double>")
+    return sums.groupBy(*keys, "block").agg(V.vector_sum("t").alias("t"))
 
 
 def bootstrap_centroid_distance(
@@ -48,24 +74,48 @@ def bootstrap_centroid_distance(
     left out.  ``units`` says whom to draw from (default: the units of ``df``).  Columns: within, n_first, n_second,
     obs_sample (on all tokens), obs_boot_mean, ci_lo, ci_hi."""
     within = within or []
+    kinds = dict(df.dtypes)
     ok = df.where(V.is_valid(v) & F.col(side).isin(first, second))
     sums = ok.groupBy(*within, unit, side).agg(F.count(F.lit(1)).alias("n"), V.vector_sum(v).alias("s"))
     draws = unit_draws(units if units is not None else df, unit, n_boot, seed)
-    drawn = draws.join(sums, unit).withColumn("ws", F.transform("s", lambda x: x * F.col("times")))
-    both = lambda g, n, s: g.agg(*[
-        e for i, name in ((1, first), (2, second)) for e in (
-            F.sum(F.when(F.col(side) == name, n)).alias(f"n{i}"), V.vector_sum(F.when(F.col(side) == name, s).otherwise(V.zero(s))).alias(f"s{i}"))
-    ])
-    far = _distance(V.scaled(F.col("s1"), F.col("n1")), V.scaled(F.col("s2"), F.col("n2")), metric)
-    replicate = both(drawn.groupBy(*within, "b"), F.col("n") * F.col("times"), F.col("ws")).where("n1 > 0 and n2 > 0").withColumn("d", far)
+    counted = F.concat(F.array(F.col("n").cast("double")), "s").alias("x")
+    drawn = _block_sums(
+        sums.join(draws, unit).select(*within, side, counted, "picks"), [*within, side],
+        lambda g: np.stack([np.bincount(p, minlength=n_boot) for p in g["picks"]]).astype(float),
+    )
+    of = lambda name, t: F.first(F.when(F.col(side) == name, F.col(t)), ignorenulls=True)
+    both = drawn.groupBy(*within, "block").agg(of(first, "t").alias("t1"), of(second, "t").alias("t2")).where("t1 is not null and t2 is not null")
+
+    def replicates(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n = min(BLOCK, n_boot - row["block"] * BLOCK)
+                a, b = np.asarray(row["t1"]).reshape(n, -1), np.asarray(row["t2"]).reshape(n, -1)
+                a, b = (x[(a[:, 0] > 0) & (b[:, 0] > 0)] for x in (a, b))
+                d = _distances(a[:, 1:] / a[:, :1], b[:, 1:] / b[:, :1], metric)
+                yield pd.DataFrame({**{c: row[c] for c in within}, "d": d[~np.isnan(d)]})
+
+    replicate = both.mapInPandas(replicates, "".join(f"`{c}` {kinds[c]}, " for c in within) + "d double")
     summary = replicate.groupBy(*within).agg(
         F.avg("d").alias("obs_boot_mean"), F.percentile("d", F.lit(alpha / 2)).alias("ci_lo"), F.percentile("d", F.lit(1 - alpha / 2)).alias("ci_hi")
     )
-    sample = both(sums.groupBy(*within), F.col("n"), F.col("s")).where((F.col("n1") >= min_n) & (F.col("n2") >= min_n)).withColumn("obs_sample", far)
-    sample = sample.select(*within, F.col("n1").cast("bigint").alias("n_first"), F.col("n2").cast("bigint").alias("n_second"), "obs_sample")
+    sides = sums.groupBy(*within, side).agg(F.sum("n").alias("n"), V.vector_sum("s").alias("s"))
+    sample = sides.groupBy(*within).agg(*[of(x, c).alias(f"{c}{i}") for i, x in ((1, first), (2, second)) for c in ("n", "s")])
+    sample = sample.where((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
+    a, b = V.scaled(F.col("s1"), F.col("n1")), V.scaled(F.col("s2"), F.col("n2"))
+    far = V.euclidean(a, b) if metric == "euclidean" else V.cosine_distance(a, b, "null")
+    sample = sample.select(*within, F.col("n1").cast("bigint").alias("n_first"), F.col("n2").cast("bigint").alias("n_second"), far.alias("obs_sample"))
     return sample.join(summary, within, "left") if within else sample.crossJoin(summary)
 
 
+def _cell_digits(n: int) -> int:
+    """Leading hex digits of a hash that cut n items into cells of a few thousand."""
+    digits = 0
+    while n > 4096 << (4 * digits):
+        digits += 1
+    return digits
+
+
 def permutation_centroid_distance(
     df: DataFrame, side: str, first: str, second: str, id_col: str = "token_id", v: str = "v", within: list[str] | None = None,
     n_perm: int = 999, seed: int = 42, min_n: int = 2,
@@ -73,8 +123,11 @@ def permutation_centroid_distance(
     """One-sided permutation test of the cosine distance of two centroids: within, n1, n2, obs, p_raw.
 
     A replicate orders tokens by hash and gives the first n1 to the first side; the other side's sum is the total less
-    that.  Each (group, replicate) is a partition of its own."""
+    that.  Vectors are not multiplied: the n1-th hash of a (group, replicate) comes from counts by leading digits, then
+    from the one cell in which it falls; a second pass compares every token's hashes with these limits and adds up its
+    vector for the replicates it belongs to, by one small matrix product per batch and group."""
     within = within or []
+    spark = df.sparkSession
     ok = df.where(V.is_valid(v) & F.col(side).isin(first, second)).select(*within, id_col, side, V.as_double(v).alias("x"))
     whole = ok.groupBy(*within).agg(
         F.count_if(F.col(side) == first).alias("n1"), F.count_if(F.col(side) == second).alias("n2"),
@@ -82,44 +135,83 @@ def permutation_centroid_distance(
     ).where((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
     far = lambda one: V.cosine_distance(V.scaled(one, F.col("n1")), V.scaled(V.minus(F.col("s"), one), F.col("n2")), "null")
     whole = whole.withColumn("obs", far(F.col("s1")))
-    reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "b")
-    shuffled = ok.crossJoin(F.broadcast(reps)).withColumn("h", hash_key(seed, F.col("b"), F.col(id_col)))
-    place = F.row_number().over(Window.partitionBy(*within, "b").orderBy("h", id_col))
-    shuffled = shuffled.withColumn("place", place).join(whole.select(*within, "n1"), within).where("place <= n1")
-    null = shuffled.groupBy(*within, "b").agg(V.vector_sum("x").alias("t")).join(whole, within).withColumn("null", far(F.col("t")))
-    p = null.groupBy(*within).agg(((F.count_if(F.col("null") >= F.col("obs") - 1e-12) + 1) / (F.lit(n_perm) + 1)).alias("p_raw"))
-    return whole.join(p, within, "left").select(*within, "n1", "n2", "obs", F.when(F.col("obs").isNotNull(), F.col("p_raw")).alias("p_raw"))
+    largest = whole.agg(F.max(F.col("n1") + F.col("n2"))).first()[0] or 0
+    reps = spark.range(n_perm).withColumnRenamed("id", "b")
+    # Ids alone are dealt anew: each row becomes n_perm hashes, which a few large input splits should not do alone.
+    hashes = ok.select(*within, id_col).repartition(id_col).crossJoin(F.broadcast(reps)).withColumn("h", hash_key(seed, F.col("b"), F.col(id_col)))
+    hashes = hashes.withColumn("cell", F.substring("h", 1, _cell_digits(largest)))
+    count = hashes.groupBy(*within, "b", "cell").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy(*within, "b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    sizes = whole.select(*within, "n1")
+    last = count.join(sizes, within) if within else count.crossJoin(sizes)
+    last = last.where("before < n1 and before + n >= n1").select(*within, "b", "cell", (F.col("n1") - F.col("before")).cast("int").alias("place"))
+    inside = hashes.join(last, [*within, "b", "cell"]).groupBy(*within, "b").agg(
+        F.element_at(F.array_sort(F.collect_list(F.struct("h", F.col(id_col).alias("id")))), F.first("place")).alias("limit")
+    )
+    limits = inside.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("b", "limit"))).alias("limits"))
+    member = lambda m: F.struct(hash_key(seed, m["b"], F.col(id_col)).alias("h"), F.col(id_col).alias("id")) <= m["limit"]
+    told = ok.join(limits, within) if within else ok.crossJoin(limits)
+    told = told.select(*within, "x", F.transform("limits", lambda m: member(m).cast("float")).alias("first"))
+    sums = _block_sums(told, within, lambda g: np.stack(g["first"].to_numpy()).astype(float))
+    kinds = dict(ok.dtypes)
+
+    def reached(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n = min(BLOCK, n_perm - row["block"] * BLOCK)
+                one = np.asarray(row["t"]).reshape(n, -1)
+                d = _distances(one / row["n1"], (np.asarray(row["s"]) - one) / row["n2"], "cosine")
+                yield pd.DataFrame([{**{c: row[c] for c in within}, "k": int((d >= row["obs"] - 1e-12).sum())}])
 
+    null = (sums.join(whole, within) if within else sums.crossJoin(whole)).where("obs is not null")
+    null = null.mapInPandas(reached, "".join(f"`{c}` {kinds[c]}, " for c in within) + "k long")
+    p = null.groupBy(*within).agg(((F.sum("k") + 1) / (F.lit(n_perm) + 1)).alias("p_raw"))
+    out = whole.join(p, within, "left") if within else whole.crossJoin(p)
+    return out.select(*within, "n1", "n2", "obs", F.when(F.col("obs").isNotNull(), F.col("p_raw")).alias("p_raw"))
 
-def upper_ranks(matrix: DataFrame, key: str, d: str, out: str) -> DataFrame:
-    """Average ranks of the upper triangle of a long matrix, centred and of unit length."""
+
+def upper_ranks(matrix: DataFrame, by: str, key: str, d: str) -> DataFrame:
+    """Average ranks of the upper triangle of each long matrix, centred and of unit length, as ``c``."""
     i, j = f"{key}_i", f"{key}_j"
-    up = matrix.where(F.col(i) < F.col(j)).select(i, j, F.col(d).alias("x"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy("x"))
-    rank = F.rank().over(Window.orderBy("x")) + (ties - 1) / 2
-    r = up.withColumn("r", rank).withColumn("c", F.col("r") - F.avg("r").over(Window.partitionBy()))
-    return r.select(i, j, F.try_divide("c", F.sqrt(F.sum(F.col("c") ** 2).over(Window.partitionBy()))).alias(out))
+    up = matrix.where(F.col(i) < F.col(j)).select(by, i, j, F.col(d).alias("x"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(by, "x"))
+    rank = F.rank().over(Window.partitionBy(by).orderBy("x")) + (ties - 1) / 2
+    every = Window.partitionBy(by)
+    r = up.withColumn("r", rank).withColumn("c", F.col("r") - F.avg("r").over(every))
+    return r.select(by, i, j, F.try_divide("c", F.sqrt(F.sum(F.col("c") ** 2).over(every))).alias("c"))
 
 
-def mantel(a: DataFrame, b: DataFrame, key: str = "phoneme", d: str = "d", n_perm: int = 999, seed: int = 42) -> DataFrame:
-    """Spearman correlation of two label-by-label matrices and its two-sided permutation p: mantel_r, p_value, n_perm.
+def mantel(
+    matrices: DataFrame, pairs: list[tuple[str, str]], by: str = "m", key: str = "phoneme", d: str = "d", n_perm: int = 999, seed: int = 42
+) -> DataFrame:
+    """Spearman correlation of pairs of label-by-label matrices and its two-sided permutation p.
 
-    Permuting labels only rearranges the ranks, which are found once.  A matrix without spread gives null for both."""
+    ``matrices`` is long, with the matrix' name in ``by``.  Columns D1, D2, mantel_r, p_value, n_perm.  Permuting labels
+    only rearranges the ranks, which are found once for all pairs.  A matrix without spread gives null for both."""
+    spark = matrices.sparkSession
     i, j = f"{key}_i", f"{key}_j"
-    ra, rb = upper_ranks(a, key, d, "ra"), upper_ranks(b, key, d, "rb")
-    r = ra.join(rb, [i, j]).agg(F.sum(F.col("ra") * F.col("rb")).alias("mantel_r"))
-    labels = a.select(F.col(i).alias("l")).union(a.select(F.col(j).alias("l"))).distinct()
+    ranks = upper_ranks(matrices, by, key, d)
+    which = F.broadcast(spark.createDataFrame(pairs, "D1 string, D2 string"))
+    left = which.join(ranks.select(F.col(by).alias("D1"), i, j, F.col("c").alias("ca")), "D1")
+    r = left.join(ranks.select(F.col(by).alias("D2"), i, j, F.col("c").alias("cb")), ["D2", i, j]).groupBy("D1", "D2").agg(
+        F.sum(F.col("ca") * F.col("cb")).alias("mantel_r")
+    )
+    labels = matrices.select(F.col(i).alias("l")).union(matrices.select(F.col(j).alias("l"))).distinct()
     numbered = labels.withColumn("place", F.row_number().over(Window.orderBy("l")))
-    reps = a.sparkSession.range(n_perm).withColumnRenamed("id", "b")
+    reps = spark.range(n_perm).withColumnRenamed("id", "b")
     moved = reps.crossJoin(labels).withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(hash_key(seed, F.col("b"), F.col("l")), "l")))
     moved = moved.join(numbered.withColumnRenamed("l", "to"), "place").select("b", "l", "to")
-    full = rb.unionByName(rb.select(F.col(j).alias(i), F.col(i).alias(j), "rb"))
-    x = ra.join(moved.select("b", F.col("l").alias(i), F.col("to").alias("ti")), i).join(moved.select("b", F.col("l").alias(j), F.col("to").alias("tj")), ["b", j])
-    null = x.join(full.select(F.col(i).alias("ti"), F.col(j).alias("tj"), "rb"), ["ti", "tj"]).groupBy("b").agg(F.sum(F.col("ra") * F.col("rb")).alias("s"))
-    p = null.crossJoin(F.broadcast(r)).agg(
+    full = ranks.select(F.col(by).alias("D2"), F.col(i).alias("ti"), F.col(j).alias("tj"), F.col("c").alias("cb"))
+    full = full.unionByName(full.select("D2", F.col("tj").alias("ti"), F.col("ti").alias("tj"), "cb"))
+    x = left.join(moved.select("b", F.col("l").alias(i), F.col("to").alias("ti")), i).join(
+        moved.select("b", F.col("l").alias(j), F.col("to").alias("tj")), ["b", j]
+    )
+    null = x.join(full, ["D2", "ti", "tj"]).groupBy("D1", "D2", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("s"))
+    p = null.join(r, ["D1", "D2"]).groupBy("D1", "D2").agg(
         F.max("mantel_r").alias("mantel_r"), ((F.count_if(F.abs("s") >= F.abs("mantel_r") - 1e-12) + 1) / (F.lit(n_perm) + 1)).alias("p")
     )
-    return p.select("mantel_r", F.when(F.col("mantel_r").isNotNull(), F.col("p")).alias("p_value"), F.lit(n_perm).alias("n_perm"))
+    return p.select("D1", "D2", "mantel_r", F.when(F.col("mantel_r").isNotNull(), F.col("p")).alias("p_value"), F.lit(n_perm).alias("n_perm"))
 
 
 def token_sample(df: DataFrame, id_col: str, max_tokens: int, seed: int) -> DataFrame:

@@ -387,13 +387,8 @@ select m1 as D1, m2 as D2, round(o.r, 6) as mantel_r, round((count(*) filter (ab
 from obs o join null_ n using (m1, m2) group by m1, m2, o.r
 """)
 def mantel_perm_p(spark, d):
-    far = _neural_matrix(spark, d)
-    m = {"euclid": _acoustic_matrix(spark, d), **{k: far.where(F.col("model") == k).drop("model") for k in ("whisper", "xlsr")}}
-    out = None
-    for a, b in (("euclid", "whisper"), ("euclid", "xlsr"), ("whisper", "xlsr")):
-        row = B.mantel(m[a], m[b], n_perm=N_PERM).select(F.lit(a).alias("D1"), F.lit(b).alias("D2"), "mantel_r", "p_value", "n_perm")
-        out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    m = _neural_matrix(spark, d).withColumnRenamed("model", "m").unionByName(_acoustic_matrix(spark, d).withColumn("m", F.lit("euclid")))
+    return rounded(B.mantel(m, [("euclid", "whisper"), ("euclid", "xlsr"), ("whisper", "xlsr")], n_perm=N_PERM))
 
 
 @query()

@@ -156,8 +156,9 @@ def test_mantel_by_refitting_ranks(spark):
     rng = np.random.default_rng(2)
     m = [np.abs(rng.standard_normal((6, 6))) for _ in range(2)]
     m = [x + x.T for x in m]
-    as_df = lambda x: spark.createDataFrame([(f"p{i}", f"p{j}", float(x[i, j])) for i in range(6) for j in range(6)], "phoneme_i string, phoneme_j string, d double")
-    r = B.mantel(as_df(m[0]), as_df(m[1]), n_perm=19).first()
+    rows = [(k, f"p{i}", f"p{j}", float(m[k][i, j])) for k in (0, 1) for i in range(6) for j in range(6)]
+    long = spark.createDataFrame(rows, "m int, phoneme_i string, phoneme_j string, d double")
+    r = B.mantel(long, [("0", "1")], n_perm=19).first()
     up = np.triu_indices(6, 1)
     want = np.corrcoef(*[pd.Series(x[up]).rank() for x in m])[0, 1]
     assert r.mantel_r == pytest.approx(want) and 1 / 20 <= r.p_value <= 1
@@ -174,10 +175,10 @@ def test_bootstrap_on_sums_equals_concatenating_tokens(spark):
     p = vectors(60, seed=6)
     df = spark.createDataFrame(p)
     r = B.bootstrap_centroid_distance(df, "phoneme", "a", "e", n_boot=20).first()
-    draws = B.unit_draws(df, "spk", 20, 42).toPandas()
+    draws = B.unit_draws(df, "spk", 20, 42).select("spk", F.explode("picks").alias("b")).toPandas()
     x, far = np.stack(p["v"]), []
     for b in range(20):
-        idx = list(itertools.chain.from_iterable(np.flatnonzero(p["spk"] == t.spk).tolist() * t.times for t in draws[draws.b == b].itertuples()))
+        idx = list(itertools.chain.from_iterable(np.flatnonzero(p["spk"] == t.spk).tolist() for t in draws[draws.b == b].itertuples()))
         one, two = (x[[i for i in idx if p["phoneme"][i] == k]].mean(0) for k in "ae")
         far.append(1 - one @ two / np.linalg.norm(one) / np.linalg.norm(two))
     assert r.obs_boot_mean == pytest.approx(np.mean(far)) and r.ci_lo == pytest.approx(np.quantile(far, 0.025))
