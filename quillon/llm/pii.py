@@ -8,7 +8,11 @@ decides on the looser candidates.  Strict matches that fail their checks vote an
 as spans.
 
 A span's place comes from splitting the text at the pattern: the pieces between matches and the matches themselves add
-up to it.  Running sums over the matches of one document give all places; no text is scanned twice for that.
+up to it.  Pieces and matches are found once for each text and pattern and bound to a name before they are walked, and
+running sums over the matches of one document give all places, so the time is linear in the matches of a text.
+
+Besides the four kinds with base spans there is ``secret``: keys, tokens and passwords.  It has no strict pattern, so the
+classifier decides on all of its spans.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.durable import materialise
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 ROUNDS = 8
 
 # Strict patterns.  Look-behinds start a match only where a run starts, which leaves the leftmost matches as they are
@@ -34,7 +39,13 @@ STRICT = {
 }
 LOOSE = {
     "email": rf"{_USER}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[(\[](?:\.|dot)[)\]]\x20?[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])|(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret": (
+        r"(?<=(?:key|ecret|oken|assword|passwd|auth)[\"']?\x20?[=:]\x20?[\"']?)[A-Za-z0-9/+_-]{16,}+"
+        r"|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}+|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+    ),
 }
 
 # Words that speak for or against a kind when they stand shortly before a span, endings and prefixes.
@@ -43,15 +54,18 @@ FOR = {
     "ip": "ip|host|server|address|login|client|gateway",
     "card": "card|visa|credit|payment|pay|iban|account",
     "phone": "phone|call|tel|mobile|fax|contact|dial",
+    "secret": "key|secret|token|password|passwd|auth|bearer",
 }
 AGAINST = {
     "email": "regex|pattern|placeholder",
     "ip": "version|release|section|chapter|v",
     "card": "isbn|serial|order|hash|token|key|tracking",
     "phone": "isbn|serial|order|version|id",
+    "secret": "sha|digest|checksum|commit|etag|uuid",
 }
 DOMAINS = "com|org|net|edu|gov|de|fr|es|uk|io|info|eu"
 CARD_PREFIX = "4|5[1-5]|2[2-7]|3[47]|6"
+SECRET_FORM = "^(?:AKIA|ghp_|sk-|xox[bp]-)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 
 LABELERS = ("strict", "structure", "gazetteer", "context", "border")
 FEATURES = ("length", "separators", "digits", "before", "after")
@@ -78,14 +92,19 @@ def _only_digits(span: Column) -> Column:
     return F.regexp_replace(span, "[^0-9]", "")
 
 
+def _small_parts(span: Column) -> Column:
+    """Whether all numbers of an address are at most 255."""
+    parts = F.filter(F.split(span, "[^0-9]+"), lambda p: p != "")
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
+    return F.forall(parts, lambda p: (F.length(p) <= 3) & (F.try_to_number(F.lpad(p, 3, "0"), F.lit("000")) <= 255))
+
+
 def _passes(kind: Column, span: Column) -> Column:
     """The checks a strict match must pass to be a base span."""
     digits = _only_digits(span)
-    parts = F.transform(F.split(span, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
-    small = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.try_to_number(F.lpad(p, 3, "0"), F.lit("000")) <= 255))
     return (
         F.when(kind == "email", True)
-        .when(kind == "ip", small)
+        .when(kind == "ip", _small_parts(span))
         .when(kind == "card", F.length(digits).between(16, 19) & _luhn(digits))
         .otherwise(F.length(digits).between(8, 15))
     )
@@ -93,16 +112,21 @@ def _passes(kind: Column, span: Column) -> Column:
 
 def _matches(text: Column, kind: str, pattern: str, strict: bool, needed: Column) -> Column:
     """Array of (kind, strict, i, gap, span, before, after): matches with the length and borders of the gaps around them."""
-    gaps, spans = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    each = F.transform(
-        spans,
-        lambda span, i: F.struct(
-            F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"),
-            span.alias("span"), F.right(F.get(gaps, i), F.lit(40)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
-        ),
-    )
+
+    def each(found):
+        return F.transform(
+            found["spans"],
+            lambda span, i: F.struct(
+                F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(F.get(found["gaps"], i)).alias("gap"),
+                span.alias("span"), F.right(F.get(found["gaps"], i), F.lit(40)).alias("before"),
+                F.left(F.get(found["gaps"], i + 1), F.lit(1)).alias("after"),
+            ),
+        )
+
+    # Bound as the one element of an array: inside the inner function both are values, not expressions to be run again.
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("spans"), F.split(text, pattern, -1).alias("gaps"))
     none = F.array().cast("array<struct<kind:string,strict:boolean,i:int,gap:int,span:string,before:string,after:string>>")
-    return F.when(needed & text.rlike(pattern), each).otherwise(none)
+    return F.when(needed & text.rlike(pattern), F.get(F.transform(F.array(found), each), F.lit(0))).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,8 +137,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     needed = {
         "email": F.contains("text", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("text", F.lit("+")) & digit,
     }
-    loose = {"email": F.col("text").rlike(r"[(\[]at[)\]]"), "phone": digit}
-    arrays = [_matches(F.col("text"), k, STRICT[k], True, needed[k]) for k in KINDS]
+    bracket = F.col("text").rlike(r"[(\[](?:at|dot|\.)[)\]]")
+    loose = {"email": bracket, "ip": bracket & digit, "card": digit, "phone": digit, "secret": F.lit(True)}
+    arrays = [_matches(F.col("text"), k, STRICT[k], True, needed[k]) for k in BASE_KINDS]
     arrays += [_matches(F.col("text"), k, LOOSE[k], False, loose[k]) for k in LOOSE]
     return materialise(d.select("row", "doc_id", F.concat(*arrays).alias("found")), "pii-scan")
 
@@ -128,10 +153,11 @@ def candidates(scanned: DataFrame) -> DataFrame:
     done = F.coalesce(F.sum(F.col("gap") + F.length("span")).over(run), F.lit(0))
     one = one.withColumn("start", (done + F.col("gap")).cast("bigint")).withColumn("end", F.col("start") + F.length("span"))
     one = one.withColumn("base", F.col("strict") & _passes(F.col("kind"), F.col("span")))
-    left = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("row").orderBy("start", "end").rowsBetween(1, Window.unboundedFollowing)
-    reach = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(left), F.lit(0))
-    next_ = F.min(F.when(F.col("base"), F.col("start"))).over(right)
+    # Running values from both ends; a frame that ends at the last row would be summed up anew for every row.
+    order = ["start", "end", "kind", "strict", "i"]
+    run = Window.partitionBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(run.orderBy(*order)), F.lit(0))
+    next_ = F.min(F.when(F.col("base"), F.col("start"))).over(run.orderBy(*[F.desc(c) for c in order]))
     clear = (reach <= F.col("start")) & (next_.isNull() | (next_ >= F.col("end")))
     one = one.withColumn("clear", clear).where("base or clear")
     return one.select("row", "kind", "strict", "start", "end", "span", "before", "after", "base")
@@ -153,10 +179,18 @@ def votes(found: DataFrame) -> DataFrame:
         F.when(kind == "email", ending)
         .when(kind == "ip", ~span.rlike(r"^(?:0|255)\."))
         .when(kind == "card", digits.rlike(f"^(?:{CARD_PREFIX})"))
+        .when(kind == "secret", span.rlike(SECRET_FORM))
         .otherwise(span.rlike(r"^\+[1-9]") | span.rlike(r"^\("))
     )
-    structure = F.when(F.col("strict"), _passes(kind, span)).otherwise(F.when(kind == "email", ending).otherwise(~span.rlike(r"^\(?[01]")))
-    word = r"(?:^|[^a-z])(?:{})[^a-z]{{0,3}}(?:[a-z]+[^a-z]{{1,3}}){{0,2}}$"
+    loose = (
+        F.when(kind == "email", ending)
+        .when(kind == "ip", _small_parts(span))
+        .when(kind == "card", F.length(digits).between(15, 19) & _luhn(digits))
+        .when(kind == "secret", span.rlike("[0-9]") & span.rlike("[A-Za-z]"))
+        .otherwise(~span.rlike(r"^\(?[01]"))
+    )
+    structure = F.when(F.col("strict"), _passes(kind, span)).otherwise(loose)
+    word = r"(?:^|[^a-z])(?:{})[^a-z]{{0,5}}(?:[a-z]+[^a-z]{{1,3}}){{0,2}}$"
     open_border = F.col("before").rlike(r"[A-Za-z0-9]$") | F.col("after").rlike("^[A-Za-z0-9]")
     length = F.length(span)
     return found.withColumns({
@@ -180,7 +214,7 @@ def _shape(c: Column) -> Column:
 def reliabilities(voted: DataFrame, rounds: int = ROUNDS) -> dict:
     """{(kind, None): prior, (kind, labeler): {vote: (P(vote | true), P(vote | false))}} by expectation-maximisation.
 
-    Works on the counts of vote patterns, at most 4 x 3**5 rows whatever the input, written once.  The start trusts each
+    Works on the counts of vote patterns, at most 5 x 3**5 rows whatever the input, written once.  The start trusts each
     vote a little.  Counts are smoothed, so labelers that never vote stay neutral.
     """
     names = [f"{x}_vote" for x in LABELERS]
@@ -222,7 +256,7 @@ def posterior(params: dict) -> Column:
 def classifier(labelled: DataFrame) -> Column:
     """Log odds of a naive Bayes classifier over the features, trained on the soft labels ``p`` of all candidates.
 
-    Its tables hold at most 4 kinds x 5 features x 13 values."""
+    Its tables hold at most 5 kinds x 5 features x 13 values."""
     long = labelled.select(
         "kind", "p", F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"{x}_feature").alias("value")) for x in FEATURES])).alias("f")
     )
@@ -273,5 +307,8 @@ def _is_kind(kind: str, s: Column) -> Column:
 def op4_weak_pii(spark, sf_dir: str) -> DataFrame:
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, partial(_is_kind, k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter(base, partial(_is_kind, k))).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", partial(_is_kind, "secret"))).cast("bigint").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans"),
+    )

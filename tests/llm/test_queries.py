@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def test_one_row_per_document(spark, name):
     assert Q.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_pii_columns(spark):
+    from test_text import base_spans
+
+    joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = Q.queries()["op4_weak_pii"](spark, SF).collect()
+    assert len(got) == len(text)
+    for r in got:
+        base = base_spans(text[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert set(joined(base).split(",")) - {""} <= set(spans) and len(spans) == r.n_spans
+        order = ["email", "ip", "card", "phone", "secret"]
+        key = [(order.index(x.split(":")[0]), int(x.split(":")[1])) for x in spans]
+        assert key == sorted(key)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as P
     from quillon.llm import decontam, exact, langid, minhash

@@ -202,6 +202,17 @@ def test_base_spans_equal_the_patterns(spark):
     assert [len(r.spans) for r in twice] == [1, 1, 1]
 
 
+def test_many_matches_in_one_text_and_added_kinds(spark):
+    many = " ".join(f"user{i}@host{i % 97}.com" for i in range(20_000))  # quadratic time would not end
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [many, *[f'api token = "{key[i:]}{key[:i]}" goes here' for i in range(12)], "checksum deadbeef"]
+    got = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, list(enumerate(texts)))).collect()}
+    assert len(got[0]) == 20_000 and all(s.base for s in got[0]) and got[0][-1].end == len(many)
+    for i in range(1, 13):
+        assert [(s.kind, texts[i][s.start : s.end], s.base) for s in got[i]] == [("secret", key[i - 1 :] + key[: i - 1], False)]
+    assert got[13] == []
+
+
 def test_reliabilities_rise_with_agreement(spark):
     rows = [("email", 1, 1, 1, 1, 1)] * 40 + [("email", -1, -1, -1, 0, 1)] * 40
     names = [f"{x}_vote" for x in pii.LABELERS]
