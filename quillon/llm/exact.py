@@ -4,7 +4,9 @@ Copies are first combined inside each map task, then per (digest, salt), then ov
 digest *and* the full content, so a digest collision never merges different texts.  One hot text of any size shrinks to
 at most one row per map task before the first shuffle and to ``salts`` rows before the last.
 
-The way back from a group to its documents needs only the digest, unless a digest belongs to several contents; those
+The way back from a group to its documents is a join by digest in which large groups are salted: those with more than
+1/HOT_SHARE of all rows, of which there are fewer than HOT_SHARE, so their digests are broadcast.  It needs only the
+digest, unless a digest belongs to several contents; those
 rows (none for SHA-256, many for the weak digests of the tests) are joined on the content as well.
 """
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.durable import materialise
 
+HOT_SHARE = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -50,11 +53,17 @@ def exact_groups(
     # was proven by the comparison of full contents above.
     clashing = groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents")).where("_contents > 1").select("_digest")
     members = keyed.select("_id", "_digest", F.lit(None).cast("string").alias("_check"))
+    on = ["_digest", "_salt"]
     if clashing.isEmpty():
-        out = members.drop("_check").join(groups.drop("_check"), "_digest")
+        members, groups = members.drop("_check"), groups.drop("_check")
     else:
-        members = keyed.select("_id", "_digest", F.sha2("_content", 512).alias("_check"))
-        out = members.join(groups, ["_digest", "_check"])
+        members, on = keyed.select("_id", "_digest", F.sha2("_content", 512).alias("_check")), [*on, "_check"]
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = F.col("group_size") * HOT_SHARE > total
+    hot = F.broadcast(groups.where(large).select("_digest", F.lit(salts).alias("_salts")).distinct())
+    members = members.join(hot, "_digest", "left").withColumn("_salt", F.coalesce(F.spark_partition_id() % F.col("_salts"), F.lit(0))).drop("_salts")
+    spread = F.explode(F.when(large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    out = members.join(groups.withColumn("_salt", spread), on)
     return out.select(
         F.col("_id").alias("id"),
         "keep_id",
@@ -72,10 +81,23 @@ def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose normalised text a row with a smaller id has; of rows that repeat a kept id and
-    text, one stays.  Columns as in ``docs``; rows with a null id stay."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """``docs`` with exactly one row for each normalised text: that of the smallest id, null ids last.
+
+    Of rows that repeat this id and text one stays, and of rows without an id one, where no row with the text has an id;
+    which of them is open.  Columns as in ``docs``; an empty table stays empty."""
+    content = F.sha2(normalised(F.col(text_col)), 256)
+    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    kept = materialise(kept.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), "times"), "exact-kept")
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (content == kept["_kept_digest"])
+    out = docs.join(kept, same, "left_semi")
+    if kept.where("times > 1").isEmpty():
+        return out
+    # Only rows of repeated (id, text) meet again, pre-combined in each map task.
+    repeated = kept.where("times > 1")
+    once = docs.join(kept.where("times = 1"), same, "left_semi")
+    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated["_kept_id"]) & (content == repeated["_kept_digest"]), "left_semi")
+    again = again.groupBy(F.col(id_col).alias("_kept_id"), content.alias("_kept_digest")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    return once.unionByName(again.select("_row.*"))
 
 
 SQL = r"""

@@ -36,7 +36,16 @@ def test_exact_edges(spark):
     rows = [(None, "a"), (None, "a"), (3, "b"), (3, "b"), (4, None), (5, "")]
     got = sorted((str(r.id), str(r.keep_id), r.group_size, r.kept) for r in exact.exact_groups(frame(spark, rows)).collect())
     assert got == [("3", "3", 2, True), ("3", "3", 2, True), ("4", "4", 2, True), ("5", "4", 2, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+
+
+def test_drop_copies_keeps_one_row_of_each_text(spark):
+    rows = [(1, "x"), (1, "x"), (2, "y"), (None, "x"), (1, "z"), (0, "z"), (None, "n"), (None, "n"), (3, None), (4, ""), (5, "x ")]
+    docs = frame(spark, rows)
+    out = exact.drop_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), normal(r.text)) for r in out.collect()) == [("0", "z"), ("1", "x"), ("2", "y"), ("3", ""), ("5", "x "), ("None", "n")]
     assert exact.drop_copies(frame(spark, [(1, "a"), (2, "a"), (3, "c")])).count() == 2
+    assert exact.drop_copies(empty(spark)).count() == 0
 
 
 # --- near duplicates --------------------------------------------------------------------------------------------------

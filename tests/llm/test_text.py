@@ -94,7 +94,22 @@ def test_mix_meets_its_targets(spark):
         taken[r.source] += r.taken
     for s, n in taken.items():
         assert abs(n - want[s]) <= 60
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7), broadcast_rows=0).collect()))
+
+
+def test_mix_takes_documents_at_unequal_rates(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([1, 3, 9, 30, 100]))), "ab"[i % 2]) for i in range(4000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, s in got.groupby("source"):
+        assert s["expected"].nunique() > 2  # longer documents are taken more often
+        by_size = s.groupby("size")
+        assert by_size["expected"].first().is_monotonic_increasing
+        assert (s["expected"] * s["size"]).sum() == pytest.approx(s["target"].iloc[0])
+        for _, c in by_size:
+            part = c["expected"] % 1
+            assert ((c["copies"] - c["expected"]).abs() < 1 + 1e-9).all()  # whole copies are certain
+            assert abs(c["copies"].sum() - c["expected"].sum()) <= 4 * (part * (1 - part)).sum() ** 0.5 + 2
 
 
 def test_mix_edges(spark):
@@ -288,19 +303,19 @@ def test_packing_with_a_public_vocabulary(spark):
 def test_audit_finds_exactly_the_damage(spark):
     rows = [(i, f"http://h/{i % 5}", "x" * (i * 37 % 900)) for i in range(600)] + [(None, None, None), (None, "u", "v"), (3, "again", "row")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("offset", F.lit("clash"))
-    from quillon.llm.durable import materialise
-
-    records = materialise(fixity.lay_out(pages, per_archive=16), "records")
-    a = materialise(fixity.record_hashes(records), "a")
-    hurt = F.when(F.col("record_id") == 77, F.lit("broken")).otherwise(F.col("record"))
-    b = materialise(fixity.record_hashes(records.where("record_id is null or record_id not in (5, 400)").withColumn("record", hurt)), "b")
-    at = {(r.archive, r.offset): r.record_id for r in a.collect()}
-    found = {(at[r.archive, r.offset], r.status) for r in fixity.audit(a, b, range_bytes=1024, fanout=2).collect()}
-    assert found == {(5, "missing"), (400, "missing"), (77, "changed")}
-    assert {r.status for r in fixity.audit(b, a, range_bytes=1024, fanout=2).collect()} == {"extra", "changed"}
+    def copy(i, record):
+        return F.when(i == 77, F.lit("broken")).when(i.isNull() | ~i.isin(5, 400), record)
+
+    records = fixity.lay_out(pages, per_archive=16, copy=copy)
+    a, b = fixity.replica(records, "a"), fixity.replica(records, "b")
+    found = fixity.audit(a, b, range_bytes=1024, fanout=2).collect()
+    assert {(r.record_id, r.status) for r in found} == {(5, "missing"), (400, "missing"), (77, "changed")}
+    assert {(r.record_id, r.status) for r in fixity.audit(b, a, range_bytes=1024, fanout=2).collect()} == {(5, "extra"), (400, "extra"), (77, "changed")}
     assert fixity.audit(a, a).count() == 0
     assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
-    assert fixity.audit(a, a.limit(0), range_bytes=1024, fanout=2).count() == a.count()
+    # Trees that need different heights: one archive with a high number against many.
+    one = a.where("archive = 37")
+    assert fixity.audit(a, one, range_bytes=1024, fanout=2).where("status = 'missing'").count() == a.where("archive <> 37").count()
 
 
 # --- masked language model --------------------------------------------------------------------------------------------
