@@ -12,9 +12,10 @@ outside the hub's component are stragglers, which may still be linked to other m
 * In a bucket of up to SMALL_BUCKET members, pairs across components are measured too, but for those that the triangle
   inequality of the Jaccard distance rules out (their distances to the hub differ by more than a link's).
 * Larger buckets that share members form a family.  A family's stragglers are compared with all its members in blocks of
-  BLOCK by BLOCK texts, each block pair one small matrix product over the shared shingles; only links come out of it.
+  BLOCK by BLOCK texts, each block pair one small matrix product over the shared shingles; only a spanning forest of its
+  links comes out of it.
 
-So every linked pair that shares a bucket is found, and rows are at most some multiple of the bucket members plus
+So whatever is connected by linked pairs that share a bucket is found connected, and rows are at most some multiple of the bucket members plus
 stragglers x members / BLOCK.
 """
 
@@ -131,7 +132,8 @@ def _compare(k: int):
 
 
 def _links_of(k: int, percent: int, sides: list[list]) -> list[tuple[int, int]]:
-    """Linked pairs of different components between two lists of (node, component, text), by exact intersections."""
+    """Links of different components between two lists of (node, component, text), by exact intersections; of all such
+    links a spanning forest, which connects the same nodes."""
     (left, right) = (list(shingle_sets(pa.array([r[2] for r in side], pa.string()), k)) for side in sides)
     if not left or not right:
         return []
@@ -150,7 +152,27 @@ def _links_of(k: int, percent: int, sides: list[list]) -> list[tuple[int, int]]:
     size = np.add.outer([len(h) for h in left], [len(h) for h in right])
     ok = 100 * both >= percent * (size - both)
     ok &= np.not_equal.outer([r[1] for r in sides[0]], [r[1] for r in sides[1]])
-    return [tuple(sorted((sides[0][i][0], sides[1][j][0]))) for i, j in zip(*np.nonzero(ok))]
+    return [tuple(sorted((sides[0][i][0], sides[1][j][0]))) for i, j in _forest(ok)]
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a two-sided graph: fewer links than nodes, and the same components."""
+    out = []
+    left_seen, right_seen = (np.zeros(n, bool) for n in linked.shape)
+    for root in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [] if left_seen[root] else [root]
+        left_seen[root] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(linked[i] & ~right_seen)
+            right_seen[new] = True
+            for j in new.tolist():
+                out.append((i, j))
+                more = np.flatnonzero(linked[:, j] & ~left_seen)
+                left_seen[more] = True
+                out += [(k, j) for k in more.tolist()]
+                todo += more.tolist()
+    return out
 
 
 def _compare_blocks(k: int, percent: int):
@@ -174,7 +196,7 @@ def _compare_blocks(k: int, percent: int):
     return run
 
 
-def _block_rows(big: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+def _block_rows(big: DataFrame, labels: DataFrame, block: int, broadcast_nodes: int) -> DataFrame:
     """(family, i, j, side, node, component): stragglers on side 0, all members of the family on side 1."""
     family = connected_components(big.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), "minhash-families")
     m = family.withColumnRenamed("component", "family").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -183,6 +205,9 @@ def _block_rows(big: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     parts = parts.select(
         "family", F.col("top.component").alias("main"), F.ceil(F.col("n") / block).alias("right"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("left")
     )
+    parts = materialise(parts, "minhash-families-split")
+    if parts.limit(broadcast_nodes + 1).count() <= broadcast_nodes:  # one row for each family, so a large one is not gathered
+        parts = F.broadcast(parts)
     m = materialise(m.join(parts, "family"), "minhash-family-members")
     of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -269,7 +294,7 @@ def near_duplicates(
 
     big = live.where(F.col("n") > small_bucket)
     if not big.isEmpty():
-        blocks = _block_rows(big, labels, block).join(texts, "node")
+        blocks = _block_rows(big, labels, block, broadcast_nodes).join(texts, "node")
         blocks = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
         blocks = blocks.select("family", "i", "j", "side", "node", "component", "text")
         extra = extra.union(materialise(blocks.mapInArrow(_compare_blocks(shingle, percent), "a long, b long"), "minhash-blocks"))

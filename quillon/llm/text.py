@@ -16,8 +16,11 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans are hashed by two polynomials modulo this prime.  (Modulo a power of two some unequal strings, such as the
+#: Thue-Morse word and its complement, would hash alike under every base.)
+_PRIME = (1 << 31) - 1
+_BASES = (0x3C6EF372, 0x5BE0CD19)
+_ODD = 0x9E3779B97F4A7C15
 
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -38,20 +41,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the two bases and of their inverses modulo the prime, grown on demand."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _INVERSE)):
-                    steps = np.full(size, base, dtype=np.uint64)
-                    steps[0] = 1
-                    setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+        self.tables = [np.ones(1, dtype=np.uint64) for _ in range(4)]
+
+    def get(self, n: int) -> list[np.ndarray]:
+        """Four arrays of n powers: base and inverse of the first, then of the second polynomial."""
+        have = len(self.tables[0])
+        if have < n:
+            size = max(n, 2 * have, 1 << 16)
+            factors = [f for b in _BASES for f in (b, pow(b, -1, _PRIME))]
+            self.tables = [_powers(f, size) for f in factors]
+        return [t[:n] for t in self.tables]
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """factor**0 .. factor**(n - 1) modulo the prime, each pass doubling what is known."""
+    out = np.ones(n, dtype=np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(factor, have, _PRIME)) % np.uint64(_PRIME)
+        have += more
+    return out
 
 
 POWERS = Powers()
@@ -82,21 +95,21 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums: entry i covers data[:i]; see ``span_hash``."""
-    up, _ = POWERS.get(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    """Two rows of polynomial prefix sums: column i covers data[:i]; see ``span_hash``."""
+    powers = POWERS.get(len(data) + 1)
+    out = np.zeros((2, len(data) + 1), dtype=np.uint64)
     terms = data.astype(np.uint64)
     terms += np.uint64(1)
-    terms *= up[: len(data)]
-    np.cumsum(terms, out=out[1:])
+    for row in (0, 1):
+        np.cumsum(terms * powers[2 * row][: len(data)] % np.uint64(_PRIME), out=out[row, 1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for arrays of spans; equal bytes hash alike wherever they stand."""
-    _, down = POWERS.get(len(prefix))
-    h = prefix[end] - prefix[start]
-    h *= down[start]
+    powers, p = POWERS.get(prefix.shape[1]), np.uint64(_PRIME)
+    one, two = ((prefix[row][end] - prefix[row][start]) % p * powers[2 * row + 1][start] % p for row in (0, 1))
+    h = (one << np.uint64(31)) | two
     h ^= (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
     return mix(h)
 
@@ -131,8 +144,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, _ = POWERS.get(k + 1)
     out = np.zeros(m, dtype=np.uint64)
-    for j in range(k):
-        out += h[j : j + m] * up[j + 1]
-    return mix(out)
+    for j in range(k):  # each step is a bijection of what came before, combined with the next word
+        out = mix(out * np.uint64(_ODD) + h[j : j + m])
+    return out
