@@ -5,15 +5,20 @@ Every such string has an *anchor*, its smallest GRAM-byte hash (the first of equ
 So strings are dealt to shards by anchor, equal strings meet in one shard, and only there are suffixes sorted:
 
 1. One pass cuts each text into *contexts*: an anchor with all the strings it is the anchor of, LENGTH to LENGTH + 84
-   bytes.  Only hashes travel, packed.  Of equal contexts all but the first are covered whole.  Contexts that share an
-   anchor and half of what a common string must hold beside it are asked for.
-2. The texts of the asked contexts (first occurrences only) are cut out and dealt to shards by anchor; an anchor with
-   more bytes than a shard may hold is dealt to several, each a group of its own.
-3. Each shard builds a suffix array over its contexts by Larsson-Sadakane refinement and the common prefixes by Kasai's
-   method, in numpy; suffixes that agree on LENGTH bytes form a group, and all but its earliest are covered.  A shard
-   has a bounded size; where one anchor fills several, their distinct strings meet once more, dealt by the string's hash
-   and compared byte by byte, and again all but the earliest are covered.
+   bytes.  Equal contexts of one batch are combined there, byte by byte; of the others only hashes travel, packed.  Asked
+   for are contexts whose hash occurs again, and contexts that share an anchor and half of what a common string must hold
+   beside it.  Hashes only say which contexts to look at: nothing is removed before its bytes were compared.
+2. The texts of the asked contexts are cut out and dealt to shards by anchor; an anchor with more bytes than a shard may
+   hold is dealt to several, each a group of its own.
+3. Each shard combines contexts with equal bytes, covering all but the earliest, and builds a suffix array over the rest
+   by Larsson-Sadakane refinement and the common prefixes by Kasai's method, in numpy; suffixes that agree on LENGTH
+   bytes form a group, and all but its earliest are covered.  A shard has a bounded size; where one anchor fills several,
+   their distinct strings meet once more, dealt by the string's hash and compared byte by byte, and again all but the
+   earliest are covered.
 4. The covered ranges of a document meet its text again and are cut out.
+
+Anchors are chosen by the upper bits of the hash and then by place, the same number of bits for every text, so equal
+strings choose equal anchors wherever they stand.
 """
 
 from __future__ import annotations
@@ -33,6 +38,12 @@ GRAM = 16
 SHARD_BYTES = 2 << 20
 BROADCAST_IDS = 500_000
 STRING_GROUPS = 64
+#: Low bits of a hash that give way to the place; a longer text is cut into overlapping pieces.
+PLACE_BITS = 24
+#: Bytes of text that one group of documents should hold.
+GROUP_BYTES = 32 << 20
+#: Marks a context's size if it may share strings with another context.
+_SEARCHED = 1 << 16
 
 _PACKED = "kind int, dest long, a binary, b binary, c binary, d binary, e binary"
 _ANCHORS, _COVERED, _ASKED, _STRINGS = 0, 1, 2, 3
@@ -61,7 +72,7 @@ def contexts(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     prefix = T.prefix_hash(data)
     at = np.arange(n - gram + 1)
     g = T.span_hash(prefix, at, at + gram)
-    place = np.uint64((1 << max(20, n.bit_length())) - 1)
+    place = np.uint64((1 << PLACE_BITS) - 1)
     low = _sliding_min((g & ~place) | at.astype(np.uint64), length - gram + 1)
     anchor = (low & place).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -113,6 +124,52 @@ def _covered(key, start, size, parts):
     return _pack(_COVERED, _bucket(key, parts), [key.astype(np.int64), start.astype(np.int64), size.astype(np.int32)])
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of all ranges, one after another."""
+    total = np.cumsum(size)
+    step = np.ones(int(total[-1]) if len(total) else 0, np.int64)
+    if len(step):
+        step[0] = start[0]
+        step[total[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
+    return np.cumsum(step)
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` (at least one) bytes at ``a`` equal those at ``b``, for arrays of places."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        base = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + T.CHUNK_BYTES, side="right")))
+        differ = data[_ranges(a[lo:hi], size[lo:hi])] != data[_ranges(b[lo:hi], size[lo:hi])]
+        out[lo:hi] = ~np.logical_or.reduceat(differ, ends[lo:hi] - size[lo:hi] - base)
+        lo = hi
+    return out
+
+
+def _repeats(data: np.ndarray, label: np.ndarray, place: np.ndarray, size: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that repeat the bytes of the first range with their label, and those that share a label without that.
+
+    First is first by ``order``, given from the last key to the first as for lexsort."""
+    by = np.lexsort((*order, label))
+    lead = np.concatenate(([True], label[by][1:] != label[by][:-1])) if len(by) else np.zeros(0, bool)
+    rest, top = by[~lead], by[lead][np.cumsum(lead)[~lead] - 1]
+    same = size[rest] == size[top]
+    same[same] = _same_bytes(data, place[rest][same], place[top][same], size[rest][same])
+    return rest[same], rest[~same]
+
+
+def _pieces(offsets: np.ndarray, length: int):
+    """(first row, last row + 1, from byte, to byte): chunks of rows; a very long text in overlapping pieces."""
+    for lo, hi in T.chunks(offsets):
+        a, end = int(offsets[lo]), int(offsets[hi])
+        while end - a > 1 << PLACE_BITS:
+            yield lo, hi, a, a + (1 << PLACE_BITS)
+            a += (1 << PLACE_BITS) - length + 1
+        yield lo, hi, a, end
+
+
 _SIDE = np.dtype([("size", "<u4"), ("left", "<u2"), ("right", "<u2")])
 
 
@@ -124,20 +181,18 @@ def _emit_contexts(parts: int, length: int, gram: int):
             key = batch.column("key").to_numpy()
             data, offsets = T.utf8(batch.column("text"))
             found = []
-            for lo, hi in T.chunks(offsets):
+            for lo, hi, a, b in _pieces(offsets, length):
                 with np.errstate(over="ignore"):
-                    row, start, end, *hashes = contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
-                begin = (offsets[lo:hi] - offsets[lo])[row]
-                found.append((key[lo:hi][row], start - begin, end - start, *hashes))
+                    row, start, end, *hashes = contexts(data[a:b], np.clip(offsets[lo : hi + 1], a, b) - a, length, gram)
+                found.append((key[lo:hi][row], start + a - offsets[lo:hi][row], start + a, end - start, *hashes))
             if not found:
                 continue
-            keys, start, size, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*found))
+            keys, start, place, size, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*found))
             # Combine here first: of equal contexts in this batch only the first one travels on.
             with np.errstate(over="ignore"):
                 both = T.mix(anchor + ctx * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(both, kind="stable")
             again = np.zeros(len(both), bool)
-            again[order[1:]] = both[order[1:]] == both[order[:-1]]
+            again[_repeats(data, both, place, size, np.arange(len(both)))[0]] = True
             out = _covered(keys[again], start[again], size[again], parts)
             if out is not None:
                 yield out
@@ -184,7 +239,7 @@ def _shards(anchor: np.ndarray, size: np.ndarray, parts: int, shard_bytes: int)
 
 
 def _match_contexts(parts: int, shard_bytes: int):
-    """Per partition of anchors: cover repeated contexts, ask for those that may share strings, pass covers through."""
+    """Per partition of anchors: ask for contexts that may be equal or share strings, pass covers through."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
@@ -206,12 +261,15 @@ def _match_contexts(parts: int, shard_bytes: int):
             a, x = anchor[order], ctx[order]
             again = np.zeros(len(order), bool)
             again[1:] = (a[1:] == a[:-1]) & (x[1:] == x[:-1])
-            later = order[again]
-            out.append(_covered(key[later], start[later], side["size"][later], parts))
-            first = order[~again]
-            ask = first[_shared(anchor[first], side["left"][first]) | _shared(anchor[first], side["right"][first])]
-            shard = _shards(anchor[ask], side["size"][ask].astype(np.int64), parts, shard_bytes)
-            out.append(_pack(_ASKED, _bucket(key[ask], parts), [key[ask], start[ask], side["size"][ask].astype(np.int32), anchor[ask], shard]))
+            again[:-1] |= again[1:]  # all members of a group
+            lead = np.concatenate(([True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]))) if len(a) else again
+            first = order[lead]
+            searched = np.zeros(len(order), bool)
+            searched[lead] = _shared(anchor[first], side["left"][first]) | _shared(anchor[first], side["right"][first])
+            ask, searched = order[again | searched], searched[again | searched]
+            size = side["size"][ask].astype(np.int32)
+            shard = _shards(anchor[ask], size.astype(np.int64), parts, shard_bytes)
+            out.append(_pack(_ASKED, _bucket(key[ask], parts), [key[ask], start[ask], size + searched * np.int32(_SEARCHED), anchor[ask], shard]))
         return pa.concat_tables([t if isinstance(t, pa.Table) else pa.Table.from_batches([t]) for t in out if t is not None])
 
     return run
@@ -226,16 +284,6 @@ def _rows_of(docs: pa.Table, asked_key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data, offsets, order[at]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices start, start + 1, ... of all ranges, one after another."""
-    total = np.cumsum(size)
-    step = np.ones(int(total[-1]) if len(total) else 0, np.int64)
-    if len(step):
-        step[0] = start[0]
-        step[total[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
-    return np.cumsum(step)
-
-
 def _cut_contexts():
     """Per bucket of documents: the bytes of the asked contexts, dealt to their shards."""
 
@@ -247,9 +295,10 @@ def _cut_contexts():
             )
             data, offsets, row = _rows_of(docs, key)
             order = np.argsort(dest, kind="stable")
-            key, start, size, anchor, row, dest = key[order], start[order], size[order].astype(np.int64), anchor[order], row[order], dest[order]
+            key, start, mark, anchor, row, dest = key[order], start[order], size[order], anchor[order], row[order], dest[order]
+            size = mark.astype(np.int64) % _SEARCHED
             raw = data[_ranges(offsets[row] + start, size)].tobytes()
-            out = _pack(0, dest, [anchor, key, start, size.astype(np.int32)])
+            out = _pack(0, dest, [anchor, key, start, mark])
             ends = np.concatenate(([0], np.cumsum(size)))
             cut = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1], [True])))
             blobs = pa.array([raw[ends[x] : ends[y]] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())
@@ -458,11 +507,26 @@ def _search_shard(parts: int, length: int, shard_bytes: int):
         anchor, key, start, sizes, data = (
             _unpack(table, c, t) for c, t in zip("abcde", (np.uint64, np.int64, np.int64, np.int32, np.uint8))
         )
-        sizes = sizes.astype(np.int64)
-        if table.column("dest")[0].as_py() < parts:
-            out = [_cover_strings(*cover_shards(anchor, key, start, sizes, data, length, shard_bytes), length, parts)]
+        searched, sizes = sizes >= _SEARCHED, sizes.astype(np.int64) % _SEARCHED
+        place = np.cumsum(sizes) - sizes
+        with np.errstate(over="ignore"):
+            label = T.span_hash(T.prefix_hash(data), place, place + sizes)
+        again, odd = _repeats(data, label, place, sizes, start, key)
+        out = [_covered(key[again], start[again], sizes[again], parts)]
+        divided = table.column("dest")[0].as_py() >= parts
+        stay = np.ones(len(sizes), bool) if divided else searched
+        stay[odd] = True
+        stay[again] = False
+        if not divided:  # a context alone with its anchor has no strings in common with others
+            _, group, count = np.unique(anchor[stay], return_inverse=True, return_counts=True)
+            stay[stay] = count[group] > 1
+        anchor, key, start, data, sizes = anchor[stay], key[stay], start[stay], data[_ranges(place[stay], sizes[stay])], sizes[stay]
+        if not len(sizes):
+            pass
+        elif divided:
+            out += _search_part(key, start, sizes, data, length, parts)
         else:
-            out = _search_part(key, start, sizes, data, length, parts)
+            out.append(_cover_strings(*cover_shards(anchor, key, start, sizes, data, length, shard_bytes), length, parts))
         out = [x for x in out if x is not None]
         return pa.Table.from_batches(out) if out else table.slice(0, 0)
 
@@ -528,11 +592,13 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+    each = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    known = each.agg(F.sum("bytes").alias("bytes"), F.count_if(F.expr("n > 1 or doc_id is null")).alias("unclear")).first()
+    if not known["unclear"]:
         rows = rows.withColumn("key", F.col("doc_id"))
     else:
         rows = _number(rows)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (known["bytes"] or 0) // GROUP_BYTES)
     packed = rows.select("key", "text").mapInArrow(_emit_contexts(parts, length, gram), _PACKED)
     matched = materialise(packed.groupBy("dest").applyInArrow(_match_contexts(parts, shard_bytes), _PACKED), "suffix-matched")
     asked = matched.where(F.col("kind") == _ASKED)
