@@ -2,18 +2,20 @@
 
 Words are runs of letters, digits and non-ASCII characters in lower-cased text.  Of every ``window - GRAM + 1``
 consecutive GRAM-word hashes the smallest is kept as a fingerprint, on both sides; any shared span of ``window`` words
-therefore shares a fingerprint at the same place.  Fingerprints of documents meet those of the benchmark in a join; every
-meeting names an item and a diagonal (document position minus item position), along which real words are compared, and
-runs of at least ``window`` equal words are hits.  Items shorter than the window have one fingerprint, their whole text,
-and are looked up at every word.
+therefore shares a fingerprint.  Distinct fingerprints of documents meet those of the benchmark in a join that names the
+items a document may contain.  For these the hits are extended to all their windows: a window of the document counts if
+the item has the same words, found by the window's hash and compared word by word, so the time is linear in both texts.
+Items shorter than the window have one fingerprint, their whole text, and are looked up at every word.
 
 Documents are read once.  If the benchmark has at most BROADCAST_FINGERPRINTS fingerprints (counted first), these are
-broadcast and drop document fingerprints that cannot join before the shuffle; beyond that all are shuffled.
+broadcast, drop document fingerprints that cannot join, and join without a shuffle, so a common fingerprint gathers
+nothing; beyond that all are shuffled.  Item texts are broadcast if they are at most BROADCAST_BYTES, measured first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from quillon.llm.durable import materialise
 WINDOW = 10
 GRAM = 5
 BROADCAST_FINGERPRINTS = 4_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _selected(g: np.ndarray, w: int) -> np.ndarray:
@@ -82,7 +85,7 @@ def _item_fingerprints(window: int):
         for batch in batches:
             data, offsets = T.utf8(batch.column("text"))
             ids = batch.column("item_key").to_numpy(zero_copy_only=False)
-            keys, spots, sizes, hashes = [], [], [], []
+            keys, sizes, hashes = [], [], []
             for lo, hi in T.chunks(offsets):
                 with np.errstate(over="ignore"):
                     w = T.words(_lower(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo], T.ALNUM)
@@ -91,13 +94,12 @@ def _item_fingerprints(window: int):
                         item = np.searchsorted(w.row, at, side="right") - 1
                         fit = count[item] >= window if not size else count[item] == size
                         keys.append(ids[lo:hi][item[fit]])
-                        spots.append((at - w.row[item])[fit])
                         sizes.append(np.full(int(fit.sum()), size))
                         hashes.append(fp[fit])
             if keys:
-                cols = [np.concatenate(x).astype(np.int64) for x in (keys, spots, sizes)]
+                cols = [np.concatenate(x).astype(np.int64) for x in (keys, sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), *map(pa.array, cols)], ["fp", "item_key", "item_pos", "size"]
+                    [pa.array(np.concatenate(hashes).view(np.int64)), *map(pa.array, cols)], ["fp", "item_key", "size"]
                 )
 
     return run
@@ -107,7 +109,7 @@ def _scan(window: int, short: list[int], known):
     """Per document: the number of words, its matching fingerprints, and its text if it has any."""
     kinds = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()),
-        ("fp", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())),
+        ("fp", pa.list_(pa.int64())),
     ])
 
     def run(batches):
@@ -117,14 +119,12 @@ def _scan(window: int, short: list[int], known):
             for lo, hi in T.chunks(offsets):
                 with np.errstate(over="ignore"):
                     w = T.words(_lower(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo], T.ALNUM)
-                    docs, spots, hashes = [], [], []
+                    docs, hashes = [], []
                     for _, at, fp in _fingerprints(w.hash, w.row, window, short):
                         if look is not None:
                             hit = look.where(fp)
                             at, fp = at[hit], fp[hit]
-                        doc = np.searchsorted(w.row, at, side="right") - 1
-                        docs.append(doc)
-                        spots.append(at - w.row[doc])
+                        docs.append(np.searchsorted(w.row, at, side="right") - 1)
                         hashes.append(fp)
                 doc = np.concatenate(docs)
                 order = np.argsort(doc, kind="stable")
@@ -135,45 +135,58 @@ def _scan(window: int, short: list[int], known):
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), part.column("doc_id"), pa.array(np.diff(w.row).astype(np.int64)), texts,
                     pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(hashes)[order].view(np.int64))),
-                    pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spots)[order].astype(np.int32))),
                 ], schema=kinds)
 
     return run
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words of one text, as bytes."""
+def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """Words of one text, as bytes, and their hashes."""
     data, offsets = T.utf8(pa.array([text or ""]))
     low = _lower(data)
-    w = T.words(low, offsets, T.ALNUM)
+    with np.errstate(over="ignore"):
+        w = T.words(low, offsets, T.ALNUM)
     raw = low.tobytes()
-    return [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
+    return [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())], w.hash
+
+
+@lru_cache(maxsize=4096)
+def _windows(item: str, window: int) -> tuple[list[bytes], int, dict[int, list[int]]]:
+    """Words of an item, the length of its windows, and their places by hash; of windows with equal words the first."""
+    words, h = split_words(item)
+    n = min(window, len(words))
+    places: dict[int, list[int]] = {}
+    with np.errstate(over="ignore"):
+        for j, g in enumerate(T.grams(h, n).tolist() if n else []):
+            same = places.setdefault(g, [])
+            if not any(words[i : i + n] == words[j : j + n] for i in same):
+                same.append(j)
+    return words, n, places
 
 
 def _extend(window: int):
-    """Per document with candidates: words covered by real runs of equal words along the named diagonals."""
+    """Per document with candidates: words covered by windows that an item also has."""
 
     def run(batches):
         for batch in batches:
             rows, hits, items, spans = [], [], [], []
             for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "found"))):
-                doc = split_words(text)
-                covered, ids = np.zeros(len(doc) + 1, dtype=np.int32), set()
+                doc, h = split_words(text)
+                covered, ids, grams = np.zeros(len(doc) + 1, dtype=np.int32), set(), {}
                 for f in found:
-                    item = split_words(f["item_text"])
-                    need = min(window, len(item))
-                    for diagonal in f["diagonals"]:
-                        lo, hi, run_from = max(0, diagonal), min(len(doc), diagonal + len(item)), None
-                        for i in range(lo, hi + 1):
-                            if i < hi and doc[i] == item[i - diagonal]:
-                                run_from = i if run_from is None else run_from
-                            elif run_from is not None:
-                                if i - run_from >= need:
-                                    covered[run_from] += 1
-                                    covered[i] -= 1
-                                    if f["item_id"] is not None:
-                                        ids.add(str(f["item_id"]))
-                                run_from = None
+                    item, n, places = _windows(f["item_text"], window)
+                    if not n or n > len(doc):
+                        continue
+                    if n not in grams:
+                        with np.errstate(over="ignore"):
+                            grams[n] = T.grams(h, n)
+                    at = np.flatnonzero(np.isin(grams[n], np.fromiter(places, np.uint64, len(places))))
+                    at = [i for i, g in zip(at.tolist(), grams[n][at].tolist()) if any(doc[i : i + n] == item[j : j + n] for j in places[g])]
+                    if at:
+                        np.add.at(covered, at, 1)
+                        np.add.at(covered, np.array(at) + n, -1)
+                        if f["item_id"] is not None:
+                            ids.add(str(f["item_id"]))
                 inside = np.cumsum(covered)[:-1] > 0
                 if not inside.any():
                     continue
@@ -212,7 +225,7 @@ def contamination(
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
     items = materialise(items.withColumn("item_key", F.monotonically_increasing_id()), "decontam-items")
     prints = materialise(
-        items.select("item_key", "text").mapInArrow(_item_fingerprints(window), "fp long, item_key long, item_pos long, size long"),
+        items.select("item_key", "text").mapInArrow(_item_fingerprints(window), "fp long, item_key long, size long"),
         "decontam-prints",
     )
     short = sorted(r["size"] for r in prints.where("size > 0").select("size").distinct().collect())
@@ -226,19 +239,17 @@ def contamination(
     scan = materialise(
         rows.mapInArrow(
             _scan(window, short, known),
-            "row long, doc_id long, n_words long, text string, fp array<long>, pos array<int>",
+            "row long, doc_id long, n_words long, text string, fp array<long>",
         ),
         "decontam-scan",
     )
-    hits = scan.where("size(fp) > 0").select("row", F.explode(F.arrays_zip("fp", "pos")).alias("h")).select("row", "h.fp", "h.pos")
-    found = (
-        hits.join(prints, "fp")
-        .groupBy("row", "item_key")
-        .agg(F.collect_set((F.col("pos") - F.col("item_pos")).cast("int")).alias("diagonals"))
-        .join(items.withColumnRenamed("text", "item_text"), "item_key")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("found"))
-    )
+    hits = scan.where("size(fp) > 0").select("row", F.explode(F.array_distinct("fp")).alias("fp"))
+    pairs = prints.select("fp", "item_key").distinct()
+    texts = items.select("item_key", "item_id", F.coalesce("text", F.lit("")).alias("item_text"))
+    size = texts.agg(F.sum(F.octet_length("item_text") + 64)).first()[0] or 0
+    found = hits.join(pairs if known is None else F.broadcast(pairs), "fp").select("row", "item_key").distinct()
+    found = found.join(texts if size > BROADCAST_BYTES else F.broadcast(texts), "item_key")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_text")).alias("found"))
     marked = scan.where("size(fp) > 0").select("row", "text").join(found, "row").mapInArrow(
         _extend(window), "row long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     )

@@ -104,6 +104,64 @@ def test_densified_buckets_find_small_sets():
     assert misses == 0
 
 
+def test_words_that_defeat_a_linear_hash():
+    from quillon.llm import text as T
+
+    word = "a"
+    while len(word) < 1024:  # Thue-Morse
+        word += word.translate(str.maketrans("ab", "ba"))
+    sets = list(minhash.shingle_sets(pa.array([word, word.translate(str.maketrans("ab", "ba"))]), 4))
+    assert sets[0] != sets[1]
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    at = rng.integers(0, 3900, 20000)
+    size = rng.integers(1, 40, 20000)
+    h = T.span_hash(T.prefix_hash(data), at, at + size)
+    seen = {}
+    for a, n, x in zip(at.tolist(), size.tolist(), h.tolist()):
+        assert seen.setdefault(x, data[a : a + n].tobytes()) == data[a : a + n].tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(2)
+    for density in (0.02, 0.1, 0.9):
+        linked = rng.random((40, 60)) < density
+        forest = minhash._forest(linked)
+        assert len(forest) < 100 and all(linked[i, j] for i, j in forest)
+
+        def groups(pairs):
+            parent = list(range(100))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i, j in pairs:
+                parent[find(i)] = find(40 + j)
+            return [[find(x) == find(y) for y in range(100)] for x in range(100)]
+
+        assert groups(forest) == groups(zip(*np.nonzero(linked)))
+
+
+def test_planted_pairs_near_the_threshold_are_found(spark):
+    """Recall on pairs of similarity 0.80 to 0.85, the hardest ones."""
+    rng = np.random.default_rng(3)
+    rows, planted = [], 0
+    while planted < 150:
+        w = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        v = list(w)
+        for at in rng.choice(120, 3, replace=False):
+            v[at] = "changed"
+        a, b = (shingles(" ".join(x), 4) for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(2 * planted, " ".join(w)), (2 * planted + 1, " ".join(v))]
+            planted += 1
+    found = minhash.near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert sum(r.component_id % 2 == 0 and r.component_id < r.doc_id for r in found) == planted
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (2, 1)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
