@@ -5,9 +5,14 @@ hash; nodes are laid out depth first in one packed token stream, each once, with
 of the conversation and with the stream intervals of its ancestors, all that its tokens may attend to besides
 themselves.
 
-Depth-first order is the order of paths of chain hashes, so a range sort of the node table and running sums over its
-partitions give every node its place in the stream; no tree is gathered anywhere, however many conversations share a
-first turn.
+Depth-first order comes from the order of the conversations' paths (eight bytes of chain hash a turn, one path for each
+conversation): conversations with a common beginning stand together, a node belongs to the first of them, and nodes
+follow each other by (rank of their conversation, turn).  A range sort and running sums over its partitions give every
+node its place in the stream; no tree is gathered anywhere, and large sets of conversations that share a turn are salted.
+
+A conversation is read back as a consumer of the packed stream would read it: the stream is cut into blocks, the
+intervals of a conversation's last node (its ancestors' and its own) pick stretches of blocks, and position ids put their
+tokens in order.
 
 Template of a turn: ``### role: text</turn>\\n``.  Inside role and text, backslash, ``###``, ``</turn>`` (and ``:`` in a
 role) are written with a backslash before them, so no text can open or close a turn, and reading back is exact.
@@ -28,6 +33,10 @@ from pyspark.sql import functions as F
 from quillon.llm.durable import materialise
 
 ASSISTANT = "assistant"
+HOT_SHARE = 1000
+SALTS = 32
+#: Tokens of the packed stream that are read as one row.
+BLOCK = 512
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): (.*?)(?<!\\)((?:\\\\)*)</turn>\n", re.S)
 
 
@@ -69,28 +78,30 @@ def _encoder(path: str | None, pattern: str):
 
 
 def _chain(batches):
-    """Chain hashes and paths along each conversation; rows come sorted, conversations whole or over several batches."""
-    conv, chain, path, idx = object(), b"", b"", 0
+    """Chain hashes along each conversation, and its whole path beside its last turn; rows come sorted, conversations whole
+    or over several batches."""
+    conv, chain, path, idx, held = object(), b"", [], 0, None
+
+    def table(rows):
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+        names = ["conv_id", "idx", "role", "text", "node", "path"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
     for batch in batches:
-        c, role, text = (batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))
-        ids, nodes, parents, paths = [], [], [], []
-        for i in range(len(c)):
-            if c[i] != conv:
-                conv, chain, path, idx = c[i], b"", b"", 0
-            parent = chain
-            r, t = role[i].encode(), text[i].encode()
-            chain = hashlib.blake2b(b"%s%d:%s%s" % (parent, len(r), r, t), digest_size=16).digest()
-            path += chain[:8]
-            ids.append(idx)
-            nodes.append(chain)
-            parents.append(parent)
-            paths.append(path)
+        out = []
+        for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
+            if held is not None:
+                out.append((*held, b"".join(path) if c != conv else None))
+            if held is None or c != conv:
+                conv, chain, path, idx = c, b"", [], 0
+            r, t = role.encode(), text.encode()
+            chain = hashlib.blake2b(b"%s%d:%s%s" % (chain, len(r), r, t), digest_size=16).digest()
+            path.append(chain[:8])
+            held = (c, idx, role, text, chain)
             idx += 1
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), pa.array(ids, pa.int64()), batch.column("role"), batch.column("text"),
-             pa.array(nodes, pa.binary()), pa.array(parents, pa.binary()), pa.array(paths, pa.binary())],
-            ["conv_id", "idx", "role", "text", "node", "parent", "path"],
-        )
+        yield table(out)
+    if held is not None:
+        yield table([(*held, b"".join(path))])
 
 
 def _tokens(vocab_path: str | None, pattern: str):
@@ -112,32 +123,35 @@ def _tokens(vocab_path: str | None, pattern: str):
                 loss.append([len(a), len(a) + len(b)] if role == ASSISTANT else [0, 0])
                 offset += len(a) + len(b) + len(c)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("pid", "node", "owner")), pa.array(start, pa.int64()), pa.array(tokens, pa.list_(pa.int32())),
+                [*(batch.column(x) for x in ("pid", "node", "owner", "idx")), pa.array(start, pa.int64()), pa.array(tokens, pa.list_(pa.int32())),
                  pa.array([x[0] for x in loss], pa.int64()), pa.array([x[1] for x in loss], pa.int64())],
-                ["pid", "node", "owner", "local", "tokens", "loss_from", "loss_to"],
+                ["pid", "node", "owner", "idx", "local", "tokens", "loss_from", "loss_to"],
             )
 
     return run
 
 
 def _attend(batches):
-    """First position and ancestor intervals of nodes, from the conversation that owns them."""
-    conv, position, spans = object(), 0, []
+    """First position and ancestor intervals of nodes, from the conversation that owns them.
+
+    Stretches that touch are one interval, so a conversation has one more for each turn at which another one's branch
+    lies in between, and the list is only copied for the nodes that are written."""
+    rank, position, spans = object(), 0, []
     for batch in batches:
         out_node, out_position, out_spans = [], [], []
-        rows = zip(*(batch.column(x).to_pylist() for x in ("conv_id", "owner", "node", "start", "n_tokens")))
-        for c, owner, node, start, n in rows:
-            if c != conv:
-                conv, position, spans = c, 0, []
-            if owner == c:
+        rows = zip(*(batch.column(x).to_pylist() for x in ("rank", "owner", "node", "start", "n_tokens")))
+        for r, owner, node, start, n in rows:
+            if r != rank:
+                rank, position, spans = r, 0, []
+            if owner == r:
                 out_node.append(node)
                 out_position.append(position)
                 out_spans.append([{"start": a, "end": b} for a, b in spans])
             position += n
             if spans and spans[-1][1] == start:
-                spans = [*spans[:-1], (spans[-1][0], start + n)]
+                spans[-1] = (spans[-1][0], start + n)
             else:
-                spans = [*spans, (start, start + n)]
+                spans.append((start, start + n))
         yield pa.RecordBatch.from_arrays(
             [pa.array(out_node, pa.binary()), pa.array(out_position, pa.int64()),
              pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
@@ -145,6 +159,18 @@ def _attend(batches):
         )
 
 
+def _join_shared(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with one row for each key, where single keys may hold a large part of the rows.
+
+    Keys with more than 1/HOT_SHARE of the rows (fewer than HOT_SHARE, so they are broadcast) are dealt over SALTS."""
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = many.count()
+    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE > total).select(key, F.lit(SALTS).alias("_salts")))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0))).drop("_salts")
+    spread = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(spread.withColumn("_salt", F.col("_salt").cast("bigint")), [key, "_salt"]).drop("_salt")
+
+
 def _in_order(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
@@ -170,44 +196,58 @@ def prefix_tree(
     )
     turns = materialise(
         _in_order(rows, "turn", "role", "text").drop("turn").mapInArrow(
-            _chain, "conv_id long, idx long, role string, text string, node binary, parent binary, path binary"
+            _chain, "conv_id long, idx long, role string, text string, node binary, path binary"
         ),
         "chat-turns",
     )
-    # Whether null or an id: the owner is the conversation that writes the node's row; null ids own by a stand-in.
-    stand_in = F.coalesce("conv_id", F.lit(-(1 << 63)))
-    owners = turns.groupBy("node").agg(F.min(stand_in).alias("owner"), F.min("path").alias("path"), F.min("role").alias("role"), F.min("text").alias("text"))
-    nodes = materialise(owners, "chat-nodes")
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path").withColumn("pid", F.spark_partition_id())
+    # Ranks grow in the order of the partitions of a range sort, and inside them.
+    ends = turns.where("path is not null").select("conv_id", "path")
+    ranks = ends.repartitionByRange("path").sortWithinPartitions("path").select("conv_id", F.monotonically_increasing_id().alias("rank"))
+    ranks = materialise(ranks, "chat-ranks")
+    same = turns["conv_id"].eqNullSafe(ranks["conv_id"])
+    walk = materialise(turns.join(ranks, same).select(turns["conv_id"], "rank", "idx", "node", "role", "text"), "chat-walk")
+    # The owner is the first conversation through a node; it writes the node's row.
+    nodes = walk.groupBy("node").agg(F.min("rank").alias("owner"), F.min("idx").alias("idx"), F.min("role").alias("role"), F.min("text").alias("text"))
+    ordered = nodes.repartitionByRange("owner", "idx").sortWithinPartitions("owner", "idx").withColumn("pid", F.spark_partition_id())
     packed = materialise(
-        ordered.select("pid", "node", "owner", "role", "text").mapInArrow(
+        ordered.select("pid", "node", "owner", "idx", "role", "text").mapInArrow(
             _tokens(vocab_path, pattern),
-            "pid int, node binary, owner long, local long, tokens array<int>, loss_from long, loss_to long",
+            "pid int, node binary, owner long, idx long, local long, tokens array<int>, loss_from long, loss_to long",
         ),
         "chat-tokens",
     )
     totals = packed.groupBy("pid").agg(F.sum(F.size("tokens")).alias("n"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    packed = packed.join(totals, "pid").withColumn("start", F.col("base") + F.col("local"))
+    packed = packed.join(F.broadcast(totals), "pid").withColumn("start", F.col("base") + F.col("local"))
     places = packed.select("node", "owner", "start", F.size("tokens").alias("n_tokens"))
-    walk = turns.select(stand_in.alias("conv_id"), "idx", "node").join(places, "node")
-    seen = _in_order(walk, "idx").mapInArrow(_attend, "node binary, position long, attend array<struct<start:long,end:long>>")
+    seen = _join_shared(walk.select("rank", "idx", "node"), places, "node")
+    seen = seen.repartition("rank").sortWithinPartitions("rank", "idx")
+    seen = seen.mapInArrow(_attend, "node binary, position long, attend array<struct<start:long,end:long>>")
     packed = packed.join(seen, "node").select("node", "start", "tokens", "position", "attend", "loss_from", "loss_to")
-    return packed, turns.select("conv_id", "idx", "node")
+    return packed, walk.select("conv_id", "idx", "node")
 
 
 def _read_back(vocab_path: str | None, pattern: str):
-    """Per conversation: what its packed tokens say, parsed and unescaped."""
+    """Per conversation: what its tokens say, parsed and unescaped; rows come sorted, a conversation's by position."""
 
     def run(batches):
         _, decode = _encoder(vocab_path, pattern)
-        conv, none = None, True
-        turns = loss = None
-        n = chars = loss_chars = 0
+        conv, none, tokens, loss = None, True, [], []
 
         def row():
-            return [conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars]
+            formatted = decode(tokens)
+            turns, n = hashlib.sha256(), 0
+            for role, text, _, _ in parse_turns(formatted):
+                turns.update(f"{role}\n{text}\n".encode())
+                n += 1
+            masked, chars = hashlib.sha256(), 0
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], np.array(loss, np.int8), [0])))).tolist()
+            for a, b in zip(edge[::2], edge[1::2]):
+                text = unescape(decode(tokens[a:b]))
+                masked.update(text.encode())
+                chars += len(text)
+            return [conv, n, turns.hexdigest(), chars, masked.hexdigest(), len(formatted)]
 
         def table(out):
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -218,19 +258,13 @@ def _read_back(vocab_path: str | None, pattern: str):
 
         for batch in batches:
             out = []
-            for c, tokens, a, b in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "tokens", "loss_from", "loss_to"))):
+            for c, part, mask in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "tokens", "loss"))):
                 if none or c != conv:
                     if not none:
                         out.append(row())
-                    conv, none, n, chars, loss_chars, turns, loss = c, False, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                formatted = decode(tokens)
-                for role, text, _, _ in parse_turns(formatted):
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                masked = unescape(decode(tokens[a:b]))
-                loss.update(masked.encode())
-                loss_chars += len(masked)
-                chars += len(formatted)
+                    conv, none, tokens, loss = c, False, [], []
+                tokens += part
+                loss += mask
             yield table(out)
         if not none:
             yield table([row()])
@@ -238,10 +272,36 @@ def _read_back(vocab_path: str | None, pattern: str):
     return run
 
 
+def stream_blocks(packed: DataFrame) -> DataFrame:
+    """The packed stream in blocks of BLOCK tokens: ``block, tokens, position, loss``, the last two one value a token."""
+    n = F.size("tokens").cast("bigint")
+    cut = packed.where("size(tokens) > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + n - 1) / BLOCK))))
+    lo = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
+    hi = F.least((F.col("block") + 1) * BLOCK - F.col("start"), n)
+    cut = cut.withColumn("lo", lo).withColumn("size", (hi - lo).cast("int"))
+    at = F.sequence(F.col("lo"), F.col("lo") + F.col("size") - 1)
+    part = F.struct(
+        "start", F.slice("tokens", (F.col("lo") + 1).cast("int"), F.col("size")).alias("tokens"), F.transform(at, lambda i: i + F.col("position")).alias("position"),
+        F.transform(at, lambda i: ((i >= F.col("loss_from")) & (i < F.col("loss_to"))).cast("tinyint")).alias("loss"),
+    )
+    whole = cut.select("block", part.alias("p")).groupBy("block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select("block", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in ("tokens", "position", "loss")])
+
+
 def read_back(packed: DataFrame, turns: DataFrame, vocab_path: str | None = None, pattern: str = "") -> DataFrame:
-    """One row per conversation, from the packed tokens alone: turns, digests and sizes."""
-    told = turns.join(packed.select("node", "tokens", "loss_from", "loss_to"), "node")
-    return _in_order(told, "idx").select("conv_id", "tokens", "loss_from", "loss_to").mapInArrow(
+    """One row per conversation, read from the packed stream through the intervals of its last node: turns, digests, sizes."""
+    stream = materialise(stream_blocks(packed), "chat-stream")
+    last = turns.groupBy("conv_id").agg(F.max_by("node", "idx").alias("node"))
+    own = F.struct(F.col("start"), (F.col("start") + F.size("tokens")).alias("end"))
+    leaves = _join_shared(last, packed.select("node", F.concat("attend", F.array(own)).alias("spans")), "node")
+    spans = leaves.select("conv_id", F.explode("spans").alias("s")).where("s.end > s.start").select("conv_id", "s.start", "s.end")
+    wanted = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
+    got = _join_shared(materialise(wanted, "chat-wanted"), stream, "block")
+    lo = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
+    size = (F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK)) - lo).cast("int")
+    pick = [F.slice(c, (lo + 1).cast("int"), size).alias(c) for c in ("tokens", "position", "loss")]
+    got = got.select("conv_id", *pick).withColumn("at", F.get("position", F.lit(0)))
+    return _in_order(got, "at").select("conv_id", "tokens", "loss").mapInArrow(
         _read_back(vocab_path, pattern),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

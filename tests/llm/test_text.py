@@ -283,6 +283,9 @@ def test_prefix_tree(spark):
         assert r.n_turns == len(v) and r.loss_chars == len(said) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in v).encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat.format_turn(*t)) for t in v)
+    # What is read depends on the intervals: without those of the ancestors only last turns are left.
+    alone = chat.read_back(packed.withColumn("attend", F.slice("attend", 1, 0)), turns).collect()
+    assert len(alone) == len(want) and {r.n_turns for r in alone} == {1}
     packed, turns = chat.prefix_tree(df.limit(0))
     assert packed.count() == turns.count() == chat.read_back(packed, turns).count() == 0
 
