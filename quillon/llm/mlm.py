@@ -22,16 +22,17 @@ from pyspark.sql import functions as F
 from quillon.llm import text as T
 from quillon.llm.durable import materialise
 
-FREQUENT = 768
-HASHED = 256
+FREQUENT = 1920
+HASHED = 128
 SIZE = FREQUENT + HASHED
 KNOWN = 65_536
 GROUP = 32
 GROUPS = SIZE // GROUP
 SIDES = 2
-WIDTH = 16
-BATCH = 8192
-RATE = 0.05
+WIDTH = 24
+BATCH = 2048
+SCORE_BATCH = 8192
+RATE = 0.1
 ROUNDS = 1
 CHUNKS = 32
 OFFSETS = [*range(-SIDES, 0), *range(1, SIDES + 1)]
@@ -71,37 +72,44 @@ class Window:
 
     def log_probs(self, around: np.ndarray, token: np.ndarray, grad: bool = False):
         """log P(token | neighbours), or with ``grad`` that and the gradient of its mean."""
+        # In the order of the groups, so that each one's rows are a slice.
+        order = np.argsort(token, kind="stable")
+        around, token = around[order], token[order]
         h = self.hidden(around)
         n, group, place = len(token), token // GROUP, token % GROUP
+        each = np.arange(n)
         logits = h @ self.U.T + self.u
         logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
+        own = logits[each, group]
+        p = np.exp(logits, out=logits)
         total = p.sum(axis=1)
-        out = logits[np.arange(n), group] - np.log(total)
+        out = own - np.log(total)
         if grad:
             p /= -total[:, None] * n
-            p[np.arange(n), group] += 1 / n
+            p[each, group] += 1 / n
             d = {"U": p.T @ h, "u": p.sum(axis=0), "W": np.zeros_like(self.W), "w": np.zeros_like(self.w)}
             dh = p @ self.U
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        cut = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         for g in range(GROUPS):
-            rows = order[cut[g] : cut[g + 1]]
-            if not len(rows):
+            lo, hi = cut[g], cut[g + 1]
+            if lo == hi:
                 continue
-            hg = h[rows]
+            hg, of, row = h[lo:hi], place[lo:hi], each[: hi - lo]
             inner = hg @ self.W[g].T + self.w[g]
             inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
+            own = inner[row, of]
+            q = np.exp(inner, out=inner)
             total = q.sum(axis=1)
-            out[rows] += inner[np.arange(len(rows)), place[rows]] - np.log(total)
+            out[lo:hi] += own - np.log(total)
             if grad:
                 q /= -total[:, None] * n
-                q[np.arange(len(rows)), place[rows]] += 1 / n
+                q[row, of] += 1 / n
                 d["W"][g], d["w"][g] = q.T @ hg, q.sum(axis=0)
-                dh[rows] += q @ self.W[g]
+                dh[lo:hi] += q @ self.W[g]
         if not grad:
-            return out
+            back = np.empty_like(out)
+            back[order] = out
+            return back
         dz = dh * (1 - h * h)
         d["E"] = []
         for p_ in range(len(OFFSETS)):
@@ -281,8 +289,8 @@ def _score(flat: np.ndarray, top: np.ndarray, rank: np.ndarray, word: np.ndarray
             rare, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi, around, token, row, h in _tokens(batch, top, rank):
                 sums = np.zeros(len(token) + 1)
-                for a in range(0, len(token), BATCH):
-                    sums[a + 1 : a + 1 + BATCH] = net.log_probs(around[a : a + BATCH], token[a : a + BATCH])
+                for a in range(0, len(token), SCORE_BATCH):
+                    sums[a + 1 : a + 1 + SCORE_BATCH] = net.log_probs(around[a : a + SCORE_BATCH], token[a : a + SCORE_BATCH])
                 hashed = np.flatnonzero(token >= FREQUENT)
                 sums[hashed + 1] -= log_total[token[hashed]]
                 if len(word):
