@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.durable import materialise
@@ -124,8 +124,8 @@ def _tokens(vocab_path: str | None, pattern: str):
                 offset += len(a) + len(b) + len(c)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in ("pid", "node", "owner", "idx")), pa.array(start, pa.int64()), pa.array(tokens, pa.list_(pa.int32())),
-                 pa.array([x[0] for x in loss], pa.int64()), pa.array([x[1] for x in loss], pa.int64())],
-                ["pid", "node", "owner", "idx", "local", "tokens", "loss_from", "loss_to"],
+                 pa.array([len(x) for x in tokens], pa.int64()), pa.array([x[0] for x in loss], pa.int64()), pa.array([x[1] for x in loss], pa.int64())],
+                ["pid", "node", "owner", "idx", "local", "tokens", "n_tokens", "loss_from", "loss_to"],
             )
 
     return run
@@ -178,13 +178,13 @@ def _in_order(df: DataFrame, *order: str) -> DataFrame:
 def prefix_tree(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     vocab_path: str | None = None, pattern: str = "",
-) -> tuple[DataFrame, DataFrame]:
-    """The packed tree and the turns that lead through it.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of the tree, their tokens, and the turns that lead through it.
 
-    Packed: one row per node, ``node, start, tokens, position, attend, loss_from, loss_to``.  ``start`` is its place in
-    the packed stream, ``position`` the position id of its first token (the next ones count up), ``attend`` the stream
-    intervals of its ancestors, merged where they touch, and loss_from to loss_to its tokens under the loss mask (the
-    text of assistant turns).  Turns: ``conv_id, idx, node``, one row per input row.
+    Nodes: ``node, start, n_tokens, position, attend, loss_from, loss_to``.  ``start`` is a node's place in the packed
+    stream, ``position`` the position id of its first token (the next ones count up), ``attend`` the stream intervals of
+    its ancestors, merged where they touch, and loss_from to loss_to its tokens under the loss mask (the text of assistant
+    turns).  Tokens: ``start, tokens``, one row per node.  Turns: ``conv_id, idx, node``, one row per input row.
 
     Rows of a conversation are ordered by turn (null first), then role and text; null role or text is empty.  Rows with
     a null conversation id form one conversation.  Repeated conversations share all nodes.  Ids are integers.  An
@@ -205,27 +205,28 @@ def prefix_tree(
     ranks = ends.repartitionByRange("path").sortWithinPartitions("path").select("conv_id", F.monotonically_increasing_id().alias("rank"))
     ranks = materialise(ranks, "chat-ranks")
     same = turns["conv_id"].eqNullSafe(ranks["conv_id"])
-    walk = materialise(turns.join(ranks, same).select(turns["conv_id"], "rank", "idx", "node", "role", "text"), "chat-walk")
-    # The owner is the first conversation through a node; it writes the node's row.
-    nodes = walk.groupBy("node").agg(F.min("rank").alias("owner"), F.min("idx").alias("idx"), F.min("role").alias("role"), F.min("text").alias("text"))
-    ordered = nodes.repartitionByRange("owner", "idx").sortWithinPartitions("owner", "idx").withColumn("pid", F.spark_partition_id())
+    walk = materialise(turns.join(ranks, same).select(turns["conv_id"], "rank", "idx", "node"), "chat-walk")
+    # The owner is the first conversation through a node; its turn is the node's row.
+    owners = walk.groupBy("node").agg(F.min(F.struct("rank", "conv_id")).alias("o"), F.min("idx").alias("at"))
+    owners = owners.select(F.col("node").alias("own"), F.col("o.rank").alias("owner"), F.col("o.conv_id").alias("by"), "at")
+    mine = (turns["node"] == owners["own"]) & (turns["idx"] == owners["at"]) & turns["conv_id"].eqNullSafe(owners["by"])
+    ordered = turns.drop("path").join(owners, mine).repartitionByRange("owner", "idx").sortWithinPartitions("owner", "idx")
     packed = materialise(
-        ordered.select("pid", "node", "owner", "idx", "role", "text").mapInArrow(
+        ordered.select(F.spark_partition_id().alias("pid"), "node", "owner", "idx", "role", "text").mapInArrow(
             _tokens(vocab_path, pattern),
-            "pid int, node binary, owner long, idx long, local long, tokens array<int>, loss_from long, loss_to long",
+            "pid int, node binary, owner long, idx long, local long, tokens array<int>, n_tokens long, loss_from long, loss_to long",
         ),
         "chat-tokens",
     )
-    totals = packed.groupBy("pid").agg(F.sum(F.size("tokens")).alias("n"))
+    totals = packed.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     packed = packed.join(F.broadcast(totals), "pid").withColumn("start", F.col("base") + F.col("local"))
-    places = packed.select("node", "owner", "start", F.size("tokens").alias("n_tokens"))
-    seen = _join_shared(walk.select("rank", "idx", "node"), places, "node")
+    seen = _join_shared(walk.select("rank", "idx", "node"), packed.select("node", "owner", "start", "n_tokens"), "node")
     seen = seen.repartition("rank").sortWithinPartitions("rank", "idx")
     seen = seen.mapInArrow(_attend, "node binary, position long, attend array<struct<start:long,end:long>>")
-    packed = packed.join(seen, "node").select("node", "start", "tokens", "position", "attend", "loss_from", "loss_to")
-    return packed, walk.select("conv_id", "idx", "node")
+    nodes = materialise(packed.select("node", "start", "n_tokens", "loss_from", "loss_to").join(seen, "node"), "chat-nodes")
+    return nodes, packed.select("start", "tokens"), walk.select("conv_id", "idx", "node")
 
 
 def _read_back(vocab_path: str | None, pattern: str):
@@ -258,13 +259,16 @@ def _read_back(vocab_path: str | None, pattern: str):
 
         for batch in batches:
             out = []
-            for c, part, mask in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "tokens", "loss"))):
+            for c, begin, part, runs in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "begin", "tokens", "runs"))):
                 if none or c != conv:
                     if not none:
                         out.append(row())
                     conv, none, tokens, loss = c, False, [], []
                 tokens += part
-                loss += mask
+                mask = np.zeros(len(part), np.int8)
+                for r in runs:
+                    mask[max(r["start"] + r["loss_from"] - begin, 0) : max(r["start"] + r["loss_to"] - begin, 0)] = 1
+                loss += mask.tolist()
             yield table(out)
         if not none:
             yield table([row()])
@@ -272,36 +276,38 @@ def _read_back(vocab_path: str | None, pattern: str):
     return run
 
 
-def stream_blocks(packed: DataFrame) -> DataFrame:
-    """The packed stream in blocks of BLOCK tokens: ``block, tokens, position, loss``, the last two one value a token."""
-    n = F.size("tokens").cast("bigint")
-    cut = packed.where("size(tokens) > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + n - 1) / BLOCK))))
+def _blocks(start: Column, size: Column) -> Column:
+    """The blocks that ``size`` (at least one) tokens from ``start`` on touch."""
+    return F.explode(F.sequence(F.floor(start / BLOCK), F.floor((start + size - 1) / BLOCK)))
+
+
+def stream_blocks(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The packed stream: ``block, tokens, runs``: BLOCK tokens, and the nodes they are of with position and loss mask."""
+    cut = tokens.where("size(tokens) > 0").withColumn("block", _blocks(F.col("start"), F.size("tokens")))
     lo = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * BLOCK - F.col("start"), n)
-    cut = cut.withColumn("lo", lo).withColumn("size", (hi - lo).cast("int"))
-    at = F.sequence(F.col("lo"), F.col("lo") + F.col("size") - 1)
-    part = F.struct(
-        "start", F.slice("tokens", (F.col("lo") + 1).cast("int"), F.col("size")).alias("tokens"), F.transform(at, lambda i: i + F.col("position")).alias("position"),
-        F.transform(at, lambda i: ((i >= F.col("loss_from")) & (i < F.col("loss_to"))).cast("tinyint")).alias("loss"),
-    )
-    whole = cut.select("block", part.alias("p")).groupBy("block").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return whole.select("block", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in ("tokens", "position", "loss")])
+    size = F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.size("tokens")) - lo
+    cut = cut.select("block", F.struct("start", F.slice("tokens", (lo + 1).cast("int"), size.cast("int")).alias("tokens")).alias("p"))
+    cut = cut.groupBy("block").agg(F.array_sort(F.collect_list("p")).alias("p")).select("block", F.flatten("p.tokens").alias("tokens"))
+    runs = nodes.where("n_tokens > 0").withColumn("block", _blocks(F.col("start"), F.col("n_tokens")))
+    runs = runs.groupBy("block").agg(F.collect_list(F.struct("start", "n_tokens", "position", "loss_from", "loss_to")).alias("runs"))
+    return cut.join(runs, "block")
 
 
-def read_back(packed: DataFrame, turns: DataFrame, vocab_path: str | None = None, pattern: str = "") -> DataFrame:
+def read_back(nodes: DataFrame, tokens: DataFrame, turns: DataFrame, vocab_path: str | None = None, pattern: str = "") -> DataFrame:
     """One row per conversation, read from the packed stream through the intervals of its last node: turns, digests, sizes."""
-    stream = materialise(stream_blocks(packed), "chat-stream")
+    stream = materialise(stream_blocks(nodes, tokens), "chat-stream")
     last = turns.groupBy("conv_id").agg(F.max_by("node", "idx").alias("node"))
-    own = F.struct(F.col("start"), (F.col("start") + F.size("tokens")).alias("end"))
-    leaves = _join_shared(last, packed.select("node", F.concat("attend", F.array(own)).alias("spans")), "node")
+    own = F.struct(F.col("start"), (F.col("start") + F.col("n_tokens")).alias("end"))
+    leaves = _join_shared(last, nodes.select("node", F.concat("attend", F.array(own)).alias("spans")), "node")
     spans = leaves.select("conv_id", F.explode("spans").alias("s")).where("s.end > s.start").select("conv_id", "s.start", "s.end")
-    wanted = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
-    got = _join_shared(materialise(wanted, "chat-wanted"), stream, "block")
-    lo = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
-    size = (F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK)) - lo).cast("int")
-    pick = [F.slice(c, (lo + 1).cast("int"), size).alias(c) for c in ("tokens", "position", "loss")]
-    got = got.select("conv_id", *pick).withColumn("at", F.get("position", F.lit(0)))
-    return _in_order(got, "at").select("conv_id", "tokens", "loss").mapInArrow(
+    wanted = materialise(spans.withColumn("block", _blocks(F.col("start"), F.col("end") - F.col("start"))), "chat-wanted")
+    got = _join_shared(wanted, stream, "block").withColumn("begin", F.greatest(F.col("start"), F.col("block") * BLOCK))
+    lo = F.col("begin") - F.col("block") * BLOCK
+    part = F.slice("tokens", (lo + 1).cast("int"), (F.least("end", (F.col("block") + 1) * BLOCK) - F.col("begin")).cast("int"))
+    runs = F.filter("runs", lambda r: (r["start"] < F.col("end")) & (r["start"] + r["n_tokens"] > F.col("begin")))
+    first = F.get(F.filter("runs", lambda r: (r["start"] <= F.col("begin")) & (r["start"] + r["n_tokens"] > F.col("begin"))), F.lit(0))
+    got = got.select("conv_id", "begin", part.alias("tokens"), runs.alias("runs"), (first["position"] + F.col("begin") - first["start"]).alias("at"))
+    return _in_order(got, "at").select("conv_id", "begin", "tokens", "runs").mapInArrow(
         _read_back(vocab_path, pattern),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
@@ -314,8 +320,8 @@ def op3_prefix_tree_chat(spark, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], chats.schema)
     path, pattern = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
-    packed, turns = prefix_tree(chats.unionByName(extra), vocab_path=path, pattern=pattern)
-    return read_back(materialise(packed, "chat-packed"), turns, path, pattern)
+    nodes, tokens, turns = prefix_tree(chats.unionByName(extra), vocab_path=path, pattern=pattern)
+    return read_back(nodes, tokens, turns, path, pattern)
 
 
 SQL = r"""

@@ -256,8 +256,8 @@ def test_prefix_tree(spark):
             rows.append((c, t, ["user", "assistant", None][(t + (c == 3)) % 2 if c != 5 else 2], rng.choice(["hi", "ok", None, "\\### Assistant: </turn> ok", "long " * 30])))
     rows += [(None, 0, "user", "nobody"), (40, None, "user", "no turn")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1))
-    packed, turns = chat.prefix_tree(df.repartition(3))
-    nodes = {bytes(r.node): r for r in packed.collect()}
+    tree, tokens, turns = chat.prefix_tree(df.repartition(3))
+    nodes = {bytes(r.node): r for r in tree.join(tokens, "start").collect()}
     walk = {}
     for r in turns.collect():
         walk.setdefault(r.conv_id, []).append((r.idx, bytes(r.node)))
@@ -276,7 +276,7 @@ def test_prefix_tree(spark):
             assert [x for s in nodes[n].attend for x in range(s.start, s.end)] == before
             if i:
                 assert nodes[n].start >= nodes[steps[i - 1]].start + len(nodes[steps[i - 1]].tokens)  # depth first
-    got = {r.conv_id: r for r in chat.read_back(packed, turns).collect()}
+    got = {r.conv_id: r for r in chat.read_back(tree, tokens, turns).collect()}
     for c, v in want.items():
         r = got[c]
         said = "".join(t for role, t in v if role == "assistant")
@@ -284,10 +284,10 @@ def test_prefix_tree(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in v).encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat.format_turn(*t)) for t in v)
     # What is read depends on the intervals: without those of the ancestors only last turns are left.
-    alone = chat.read_back(packed.withColumn("attend", F.slice("attend", 1, 0)), turns).collect()
+    alone = chat.read_back(tree.withColumn("attend", F.slice("attend", 1, 0)), tokens, turns).collect()
     assert len(alone) == len(want) and {r.n_turns for r in alone} == {1}
-    packed, turns = chat.prefix_tree(df.limit(0))
-    assert packed.count() == turns.count() == chat.read_back(packed, turns).count() == 0
+    parts = chat.prefix_tree(df.limit(0))
+    assert [p.count() for p in parts] == [0, 0, 0] and chat.read_back(*parts).count() == 0
 
 
 def test_packing_with_a_public_vocabulary(spark):
@@ -295,8 +295,7 @@ def test_packing_with_a_public_vocabulary(spark):
 
     path, pattern = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
     df = spark.createDataFrame([(1, 0, "user", "héllo 😀"), (1, 1, "assistant", "wörld <|endoftext|>")], "conv_id long, turn long, role string, text string")
-    packed, turns = chat.prefix_tree(df, vocab_path=path, pattern=pattern)
-    r = chat.read_back(packed, turns, path, pattern).first()
+    r = chat.read_back(*chat.prefix_tree(df, vocab_path=path, pattern=pattern), path, pattern).first()
     assert r.loss_sha256 == hashlib.sha256("wörld <|endoftext|>".encode()).hexdigest()
 
 
