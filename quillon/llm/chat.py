@@ -202,7 +202,7 @@ def prefix_tree(
     )
     # Ranks grow in the order of the partitions of a range sort, and inside them.
     ends = turns.where("path is not null").select("conv_id", "path")
-    ranks = ends.repartitionByRange("path").sortWithinPartitions("path").select("conv_id", F.monotonically_increasing_id().alias("rank"))
+    ranks = ends.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", F.monotonically_increasing_id().alias("rank"))
     ranks = materialise(ranks, "chat-ranks")
     same = turns["conv_id"].eqNullSafe(ranks["conv_id"])
     walk = materialise(turns.join(ranks, same).select(turns["conv_id"], "rank", "idx", "node"), "chat-walk")
