@@ -29,10 +29,10 @@ KNOWN = 65_536
 GROUP = 32
 GROUPS = SIZE // GROUP
 SIDES = 2
-WIDTH = 24
-BATCH = 2048
+WIDTH = 16
+BATCH = 4096
 SCORE_BATCH = 8192
-RATE = 0.1
+RATE = 0.15
 ROUNDS = 1
 CHUNKS = 32
 OFFSETS = [*range(-SIDES, 0), *range(1, SIDES + 1)]
@@ -73,7 +73,7 @@ class Window:
     def log_probs(self, around: np.ndarray, token: np.ndarray, grad: bool = False):
         """log P(token | neighbours), or with ``grad`` that and the gradient of its mean."""
         # In the order of the groups, so that each one's rows are a slice.
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token.astype(np.int16), kind="stable")  # counting sort for 16 bits
         around, token = around[order], token[order]
         h = self.hidden(around)
         n, group, place = len(token), token // GROUP, token % GROUP
@@ -113,7 +113,7 @@ class Window:
         dz = dh * (1 - h * h)
         d["E"] = []
         for p_ in range(len(OFFSETS)):
-            by = np.argsort(around[:, p_], kind="stable")
+            by = np.argsort(around[:, p_].astype(np.int16), kind="stable")
             ids = around[by, p_]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             d["E"].append((ids[first], np.add.reduceat(dz[by], first, axis=0)))
