@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.ingest import is_vowel
+from quillon.operators.order import quantiles
 from quillon.schema import CV_VOWELS, ELLIPSE_STD
 
 
@@ -28,20 +29,15 @@ def vowels(tokens: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """n-free summary of each column by group, in one pass: cv, iqr, mean, median, std (sample), q1, q3."""
-    stats = []
-    for c in cols:
-        stats += [
-            F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"),
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}_q"),
-        ]
-    g = df.where(" and ".join(f"`{b}` is not null" for b in by)).groupBy(*by).agg(*stats)
+    """n-free summary of each column by group: cv, iqr, mean, median, std (sample), q1, q3."""
+    d = df.where(" and ".join(f"`{b}` is not null" for b in by)).select(*by, *cols)
+    g = d.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     out = []
     for c in cols:
-        q = F.col(f"_{c}_q")
+        g = g.join(quantiles(d, c, by, {f"{c}_q1": 0.25, f"{c}_median": 0.5, f"{c}_q3": 0.75}), by, "left")
         out += [
-            F.try_divide(f"{c}_std", f"{c}_mean").alias(f"{c}_cv"), (q[2] - q[0]).alias(f"{c}_iqr"), f"{c}_mean",
-            q[1].alias(f"{c}_median"), f"{c}_std", q[0].alias(f"{c}_q1"), q[2].alias(f"{c}_q3"),
+            F.try_divide(f"{c}_std", f"{c}_mean").alias(f"{c}_cv"), (F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"{c}_iqr"), f"{c}_mean",
+            f"{c}_median", f"{c}_std", f"{c}_q1", f"{c}_q3",
         ]
     return g.select(*by, *out)
 
@@ -100,8 +96,7 @@ def ellipse(df: DataFrame, x: str, y: str, by: list[str], n_std: float = ELLIPSE
 def box_plot(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles and the farthest values within 1.5 times the quartile range, by group."""
     d = df.where(F.col(value).isNotNull())
-    q = d.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(d, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return d.join(q, by).groupBy(*by).agg(

@@ -8,20 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.special import p_f, p_mann_whitney, p_t, shapiro
+from quillon.operators.order import average_ranks, quantiles
 
 SHAPIRO_LIMIT = 5000
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties at their mean, by group.
-
-    Ranks are running counts over distinct values, so rows that share a value meet as one row in the window."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(n.withColumnRenamed("_n", "tied"), [*by, value])
-
-
 def two_groups(df: DataFrame, value: str, by: list[str], group: str, first: str, second: str) -> DataFrame:
     """n, mean and sample variance of each of two groups."""
     d = df.where(F.col(value).isNotNull())
@@ -52,7 +43,7 @@ def t_tests(df: DataFrame, value: str, by: list[str], group: str, first: str, se
 def levene(df: DataFrame, value: str, by: list[str], group: str, first: str, second: str) -> DataFrame:
     """Brown-Forsythe F of absolute deviations from the group medians, and p."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second))
-    mid = d.groupBy(*by, group).agg(F.percentile(value, 0.5).alias("_mid"))
+    mid = quantiles(d, value, [*by, group], {"_mid": 0.5})
     z = d.join(mid, [*by, group]).withColumn("z", F.abs(F.col(value) - F.col("_mid")))
     k = z.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count(F.lit(1))).alias("inside"))
     g = k.groupBy(*by).agg(

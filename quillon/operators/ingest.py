@@ -130,7 +130,7 @@ def extract_formants(tokens: DataFrame, audio: DataFrame, at: float = 0.5) -> Da
                     seg = np.asarray(x)[int(on * rate) : int(off * rate)]
                     f1, f2 = formants(seg, int(rate), float(top), at=at)
                     bad = np.isnan(f1) or np.isnan(f2)
-                    out.append((None if np.isnan(f1) else f1, None if np.isnan(f2) else f2, "F1 or F2 is NaN (formant tracker failure)" if bad else None))
+                    out.append((None if np.isnan(f1) else f1, None if np.isnan(f2) else f2, "no formant found at the measuring point" if bad else None))
             pdf = pdf.drop(columns=["samples", "rate", "ceiling"])
             yield pdf.assign(**dict(zip(("F1", "F2", "error"), map(list, zip(*out)) if out else ([], [], []))))
 

@@ -40,6 +40,47 @@ def pca(df: DataFrame, k: int, v: str = "v") -> tuple[np.ndarray, np.ndarray, np
     return mean, parts, np.maximum(values[order], 0) / max(values.sum(), 1e-300)
 
 
+def pca_by(df: DataFrame, by: list[str], k: int, v: str = "v") -> DataFrame:
+    """A PCA for each group: by, mean, parts (up to k components), share (of variance); signs as in ``pca``.
+
+    Partitions send a d x d sum of products for each group they hold; a group's eigenproblem is solved in one task, whose
+    input is one row.  A group has at most as many components as rows less one, and groups of one row have none."""
+    kinds = dict(df.dtypes)
+    keys = "".join(f"`{b}` {kinds[b]}, " for b in by)
+
+    def moments(batches):
+        for pdf in batches:
+            for key, g in pdf.groupby(by, sort=False):
+                x = np.stack(g[v].to_numpy()).astype(float)
+                yield pd.DataFrame([{**dict(zip(by, key)), "n": len(x), "s": x.sum(0), "g": (x.T @ x).ravel()}])
+
+    def solve(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                mean = np.asarray(row["s"]) / row["n"]
+                d = len(mean)
+                cov = (np.asarray(row["g"]).reshape(d, d) - row["n"] * np.outer(mean, mean)) / max(row["n"] - 1, 1)
+                values, vectors = np.linalg.eigh(cov)
+                order = np.argsort(values)[::-1][: min(k, d, row["n"] - 1)]
+                parts = vectors[:, order].T
+                parts = parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])[:, None]
+                share = np.maximum(values[order], 0) / max(values.sum(), 1e-300)
+                yield pd.DataFrame([{**{b: row[b] for b in by}, "mean": mean, "parts": list(parts), "share": share}])
+
+    ok = df.where(V.is_valid(v)).select(*by, V.as_double(v).alias(v))
+    sums = ok.mapInPandas(moments, keys + "n long, s array<double>, g array<double>").groupBy(*by).agg(
+        F.sum("n").alias("n"), V.vector_sum("s").alias("s"), V.vector_sum("g").alias("g")
+    )
+    return sums.mapInPandas(solve, keys + "mean array<double>, parts array<array<double>>, share array<double>")
+
+
+def project_by(df: DataFrame, parts: DataFrame, by: list[str], v: str = "v", out: str = "pc") -> DataFrame:
+    """Valid vectors of ``df`` with their scores on the components of their group (``pca_by``: one small row per group)."""
+    x = V.minus(V.as_double(v), F.col("mean"))
+    scored = df.where(V.is_valid(v)).join(parts.select(*by, "mean", "parts"), by).withColumn("_x", x)
+    return scored.withColumn(out, F.transform("parts", lambda p: V.dot(F.col("_x"), p))).drop("_x", "mean", "parts")
+
+
 def project(df: DataFrame, mean: np.ndarray, parts: np.ndarray, v: str = "v", out: str = "pc") -> DataFrame:
     """Adds ``out`` (null for invalid vectors, which stay) and ``keep``; all in expressions."""
     ok = V.is_valid(v)

@@ -21,7 +21,7 @@ def classify(lo: Column, hi: Column, rope_lo: Column, rope_hi: Column) -> Column
 
 def classify_acoustic(ci: DataFrame, lo: float = ROPE_ACOUSTIC[0], hi: float = ROPE_ACOUSTIC[1]) -> DataFrame:
     """Intervals (phoneme, formant, effect, coef, ci_lo, ci_hi, p_value) whose effect is about L1, classified."""
-    note = F.lit(f"±20 Hz ≈ ±{abs(lo):.2f} Lobanov")
+    note = F.lit(f"fixed band of {lo:+.2f} to {hi:+.2f} speaker deviations")
     return ci.where(F.col("effect").rlike("(?i)L1")).select(
         F.concat(F.lit("acoustic_"), "formant").alias("representation"), "phoneme", "effect", F.col("coef").alias("point_est"), "ci_lo", "ci_hi",
         F.lit(lo).alias("rope_lo"), F.lit(hi).alias("rope_hi"), note.alias("rope_note"),
@@ -32,7 +32,7 @@ def classify_acoustic(ci: DataFrame, lo: float = ROPE_ACOUSTIC[0], hi: float = R
 def classify_neural(ci: DataFrame, delta0: DataFrame) -> DataFrame:
     """Intervals (model, phoneme, obs_dist, ci_lo, ci_hi) against [0, delta0] of their model."""
     j = ci.join(delta0, "model", "left")
-    note = F.when(F.col("delta0").isNull(), "δ₀ undefined").otherwise(F.concat(F.lit("[0, δ₀="), F.format_string("%.4f", F.col("delta0")), F.lit("] mean intra-spk cosine dist")))
+    note = F.when(F.col("delta0").isNull(), "no distance inside speakers").otherwise(F.concat(F.lit("up to "), F.format_string("%.4f", F.col("delta0")), F.lit(", the mean distance inside speakers")))
     return j.select(
         F.concat(F.lit("neural_"), "model").alias("representation"), "phoneme", F.lit("L1_vs_L2_centroid_distance").alias("effect"),
         F.col("obs_dist").alias("point_est"), "ci_lo", "ci_hi", F.lit(0.0).alias("rope_lo"), F.col("delta0").alias("rope_hi"), note.alias("rope_note"),

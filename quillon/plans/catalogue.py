@@ -25,6 +25,7 @@ from quillon.operators import reduce as R
 from quillon.operators import resampling as B
 from quillon.operators import rope as P
 from quillon.sources import canonical as S
+from quillon.sources.durable import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -224,7 +225,7 @@ def _describe_sql(c: str) -> str:
 
 @query(f"with {_NORMED} select L1, Gender, phoneme, {_describe_sql('F1_normed')}, {_describe_sql('F2_normed')} from v group by all")
 def descriptive_report(spark, d):
-    out = D.describe(D.vowels(normed(spark, d)), ["L1", "Gender", "phoneme"], ["F1_normed", "F2_normed"])
+    out = D.describe(_l1(spark, d), ["L1", "Gender", "phoneme"], ["F1_normed", "F2_normed"])
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("F1_normed_cv", "F2_normed_cv")}))
 
 
@@ -263,7 +264,7 @@ select phoneme, L1, round(q1, 6) as q1, round(md, 6) as median, round(q3, 6) as
 from v join q using (phoneme, L1) where F1_normed is not null group by all
 """)
 def boxplot_stats(spark, d):
-    return rounded(D.box_plot(D.vowels(normed(spark, d)), "F1_normed", ["phoneme", "L1"]))
+    return rounded(D.box_plot(_l1(spark, d), "F1_normed", ["phoneme", "L1"]))
 
 
 @query(f"with {_NORMED} select spk, phoneme, rep_id, round(F1_normed, 6) as F1_normed from v where rep_id in (1, 2, 3) and F1_normed is not null")
@@ -465,7 +466,8 @@ _GROUPS = f"""with {_NORMED}, g as (select phoneme, F1_normed as x, L1 from v wh
 
 
 def _l1(spark, d):
-    return D.vowels(normed(spark, d))
+    """Normalised vowels by group, computed once for operators that read them more than once."""
+    return materialise(D.vowels(normed(spark, d)).select("spk", "L1", "Gender", "phoneme", "F1_normed", "F2_normed"), "normed-vowels")
 
 
 @query(_GROUPS + """, s as (select phoneme, count(*) filter (L1 = 'fr') as n1, count(*) filter (L1 = 'ru') as n2, avg(x) filter (L1 = 'fr') as m1, avg(x) filter (L1 = 'ru') as m2, var_samp(x) filter (L1 = 'fr') as v1, var_samp(x) filter (L1 = 'ru') as v2 from g group by phoneme)
@@ -492,18 +494,17 @@ def mwu_u(spark, d):
 
 @query()
 def test_acoustic_l1l2(spark, d):
-    t = _l1(spark, d)
-    out = None
-    for f in ("F1", "F2"):
-        one = t.select("phoneme", "L1", F.lit(f).alias("formant"), F.col(f"{f}_normed").alias("x"))
-        out = one if out is None else out.unionByName(one)
-    return rounded(H.compare_groups(out, "x", ["phoneme", "formant"], "L1", "fr", "ru"))
+    t = _l1(spark, d).select("phoneme", "L1", F.explode(F.array(*[F.struct(F.lit(f).alias("formant"), F.col(f"{f}_normed").alias("x")) for f in ("F1", "F2")])).alias("f"))
+    return rounded(H.compare_groups(t.select("phoneme", "L1", "f.formant", "f.x"), "x", ["phoneme", "formant"], "L1", "fr", "ru"))
 
 
 @query()
 def test_gender_residual(spark, d):
-    m = D.unit_means(_l1(spark, d), "F1_normed", ["spk", "Gender", "phoneme"])
-    return rounded(H.compare_groups(m, "F1_normed_mean", ["phoneme"], "Gender", "f", "m", levene_branch=False))
+    v, out = _l1(spark, d), None
+    for f in ("F1", "F2"):
+        m = D.unit_means(v, f"{f}_normed", ["spk", "Gender", "phoneme"]).withColumnRenamed(f"{f}_normed_mean", "x").withColumn("formant", F.lit(f))
+        out = m if out is None else out.unionByName(m)
+    return rounded(H.compare_groups(materialise(out, "speaker-means"), "x", ["phoneme", "formant"], "Gender", "f", "m", levene_branch=False))
 
 
 _P = "p as (select l_suppkey as id, l_returnflag as fam, count(*) as c, ((l_suppkey * 7919) % 1009) / 1009.0 as p from lineitem group by all)"
@@ -556,6 +557,20 @@ def loso_predictions(spark, d):
     return _pred(spark, d).select("model", "token_id", "spk", "y_true", "y_pred")
 
 
+_LOSO_AC = """
+ac as (select token_id, spk, phoneme, F1, F2 from r where F1 is not null and F2 is not null and phoneme in ('a','e','ɛ','i','o','ø','u','y')),
+k as (select spk, phoneme, sum(F1) as a, sum(F2) as b, count(*) as n from ac group by all), al as (select phoneme, sum(a) as a, sum(b) as b, sum(n) as n from k group by all),
+c as (select sp.spk, al.phoneme as class, (al.a - coalesce(k.a, 0)) / (al.n - coalesce(k.n, 0)) as a, (al.b - coalesce(k.b, 0)) / (al.n - coalesce(k.n, 0)) as b
+      from (select distinct spk from ac) sp cross join al left join k on k.spk = sp.spk and k.phoneme = al.phoneme where al.n - coalesce(k.n, 0) > 0),
+pred as (select token_id, spk, phoneme as y_true, class as y_pred from (select ac.*, class, row_number() over (partition by token_id order by (F1 - c.a) ** 2 + (F2 - c.b) ** 2, class) as rn from ac join c using (spk)) where rn = 1)
+"""
+
+
+@query(f"with {_VECTORS}, {_LOSO_AC} select token_id, spk, y_true, y_pred from pred")
+def loso_acoustic(spark, d):
+    return C.loso(acoustic_reps(spark, d), metric="euclidean").select("token_id", "spk", "y_true", "y_pred")
+
+
 def _f1_sql(by: str) -> str:
     return f"""cls as (select {by}, class, sum(s) as support, sum(p) as predicted, sum(t) as tp from (select {by}, y_true as class, 1 as s, 0 as p, (y_true = y_pred)::int as t from pred union all
 select {by}, y_pred, 0, 1, 0 from pred) group by all), f as (select *, coalesce(2.0 * tp / nullif(support + predicted, 0), 0) as f1 from cls)"""
@@ -742,18 +757,35 @@ def vowel_clustering(spark, d):
 def cv_clustering(spark, d):
     r = S.models(S.reps(spark, d).where(F.col("phoneme").isin(*schema.CV_VOWELS, *schema.CONSONANTS)))
     m = X.long_matrix(X.centroids(r, ["model", "phoneme"], nan_policy="propagate"), metric="cosine", within=["model"])
-    return rounded(_clustering(m, "phoneme", ["model"], (2, 3, 4, 5, 6, 7, 8), ("C_vs_V", "manner", "voicing")), 4)
+    f = D.feature_table(S.tokens(spark, d).where(F.col("phoneme").isin(*schema.CV_VOWELS, *schema.CONSONANTS)))
+    f = f.select(F.lit("acoustic").alias("model"), "phoneme", F.array("F1_z", "F2_z", "dur_ms_z").alias("centroid"))
+    m = materialise(m.unionByName(X.long_matrix(f, metric="euclidean", within=["model"])), "cv-distances")
+    return rounded(_clustering(m, "phoneme", ["model"], Config().k_cv, ("C_vs_V", "manner", "voicing")), 4)
 
 
 @query()
 def speaker_clustering(spark, d):
-    z = K.z_scores(K.impute_mean(_units(spark, d), ["phoneme", "dim"]), ["phoneme", "dim"])
-    v = z.groupBy("spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("phoneme", "dim", "z"))), lambda s: s["z"]).alias("centroid"))
-    m = X.long_matrix(v.withColumn("model", F.lit("xlsr")), "spk", metric="euclidean", within=["model"])
-    clusters = K.ward_clusters(m, ["model"], "spk", (2, 3, 4))
-    people = S.reps(spark, d).select("spk", "L1").distinct().withColumn("truth", F.when(F.col("L1") == "fr", 0).otherwise(1))
-    scores = K.adjusted_rand(clusters.join(people, "spk"), ["model", "k"], "truth").withColumnRenamed("ari", "ARI_L1")
-    return rounded(K.silhouette(m, clusters, ["model", "k"], "spk").join(scores, ["model", "k"]), 4)
+    """Acoustic speaker vectors are scaled and compared by distance, neural ones filled in and compared by cosine."""
+    column = ["phoneme", "dim"]
+    normal = D.lobanov(S.reps(spark, d)).where(I.is_vowel("phoneme"))
+    pair = F.when(F.col("F1_normed").isNotNull() & F.col("F2_normed").isNotNull(), F.array("F1_normed", "F2_normed"))
+    neural = vowel_reps(spark, d)
+    out = None
+    for name, r in (("acoustic", normal.withColumn("v", pair)), *((m, neural.where(F.col("model") == m)) for m in ("whisper", "xlsr"))):
+        x = K.impute_mean(K.unit_vectors(r, "spk", "phoneme"), column)
+        x = K.z_scores(x, column).drop("x").withColumnRenamed("z", "x") if name == "acoustic" else x
+        x = x.groupBy("spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("phoneme", "dim", "x"))), lambda s: s["x"]).alias("centroid"))
+        m = X.long_matrix(x.withColumn("model", F.lit(name)), "spk", metric="euclidean" if name == "acoustic" else "cosine", within=["model"])
+        out = m if out is None else out.unionByName(m)
+    out = materialise(out, "speaker-distances")
+    clusters = materialise(K.ward_clusters(out, ["model"], "spk", Config().k_speaker), "speaker-clusters")
+    people = S.reps(spark, d).groupBy("spk").agg(F.min("L1").alias("L1"), F.min("Gender").alias("Gender"))
+    scores = K.silhouette(out, clusters, ["model", "k"], "spk")
+    for c, first in (("L1", "fr"), ("Gender", "f")):
+        truth = people.select("spk", F.when(F.col(c) == first, 0).when(F.col(c).isNotNull(), 1).otherwise(-1).alias("truth"))
+        ari = K.adjusted_rand(clusters.join(truth, "spk"), ["model", "k"], "truth").withColumnRenamed("ari", f"ARI_{c}")
+        scores = scores.join(ari, ["model", "k"], "left")
+    return rounded(scores, 4)
 
 
 # --- mixed models and reduction ---------------------------------------------------------------------------------------
@@ -786,13 +818,61 @@ def lmm_lrt(spark, d):
     return rounded(M.likelihood_ratios(M.ladder(_stats(spark, d), ["phoneme", "formant"]), ["phoneme", "formant"]), 5)
 
 
+def _neural_models(spark, d):
+    """M1 by maximum likelihood for each component of a PCA by model and phone, with the component's share of variance."""
+    by = ["model", "phoneme"]
+    r = vowel_reps(spark, d)
+    parts = materialise(R.pca_by(r, by, Config().n_pc), "pca-by-phone")
+    z = R.project_by(r, parts, by).select(*by, "spk", "L1", "Gender", F.posexplode("pc").alias("pc", "y"))
+    m = M.ladder(M.unit_stats(z, "y", [*by, "pc"]).withColumnRenamed("model", "rep"), ["rep", "phoneme", "pc"], models=("M1",)).where("not reml")
+    share = parts.select(F.col("model").alias("rep"), "phoneme", F.posexplode("share").alias("pc", "share"))
+    return m.join(share, ["rep", "phoneme", "pc"]).withColumn("pct_var_explained", F.col("share") * 100).drop("share")
+
+
 @query()
 def lmm_neural(spark, d):
-    r = vowel_reps(spark, d).where("model = 'whisper'")
-    mean, parts, share = R.pca(r, 5)
-    z = R.project(r, mean, parts).where("keep").select("phoneme", "spk", "L1", "Gender", F.posexplode("pc").alias("pc", "y"))
-    m = M.ladder(M.unit_stats(z, "y", ["phoneme", "pc"]), ["phoneme", "pc"], models=("M1",)).where("reml")
-    return rounded(m.withColumn("pct_var_explained", F.element_at(F.array(*[F.lit(float(s) * 100) for s in share]), F.col("pc") + 1)), 5)
+    return rounded(_neural_models(spark, d), 5)
+
+
+@query()
+def lmm_neural_r2(spark, d):
+    """Marginal R2 over the components of a phone, weighted by their share of variance."""
+    one = _neural_models(spark, d).groupBy("rep", "phoneme", "pc").agg(F.first("r2_marginal").alias("r2"), F.first("pct_var_explained").alias("w"))
+    return rounded(one.groupBy("rep", "phoneme").agg((F.sum(F.col("w") * F.coalesce("r2", F.lit(0.0))) / F.sum("w")).alias("r2_marginal_weighted")), 5)
+
+
+@query()
+def lmm_acoustic_r2(spark, d):
+    one = M.ladder(_stats(spark, d), ["phoneme", "formant"], models=("M1",)).where("reml").groupBy("phoneme", "formant").agg(
+        F.first("r2_marginal").alias("m"), F.first("r2_conditional").alias("c")
+    )
+    return rounded(one.groupBy("formant").agg(F.avg("m").alias("r2_marginal"), F.avg("c").alias("r2_conditional")), 5)
+
+
+@query()
+def variance_components(spark, d):
+    """Total and mean within-speaker variance, and the speaker and residual variance of a random-intercept model."""
+    v = D.vowels(normed(spark, d))
+    parts = D.variance_decomposition(v, "F1_normed").drop("var_pooled")
+    m = M.ladder(_stats(spark, d).where("formant = 'F1'").drop("formant"), ["phoneme"], models=("M0",)).where("reml")
+    m = m.select("phoneme", F.col("var_u").alias("var_inter_speaker"), F.col("var_e").alias("var_residual"))
+    return rounded(parts.join(m, "phoneme", "left"), 5)
+
+
+def _lmm_rope(spark, d):
+    by = ["phoneme", "formant"]
+    return P.classify_acoustic(M.wald_intervals(M.ladder(_stats(spark, d), by, models=("M1", "M2")), by))
+
+
+@query()
+def rope_lmm(spark, d):
+    """The mixed models' Wald intervals of the effects of L1 against the region of practical equivalence."""
+    return rounded(_lmm_rope(spark, d), 5)
+
+
+@query()
+def rope_lmm_summary(spark, d):
+    return P.summary(_lmm_rope(spark, d))
 
 
 _R2 = f"""with {_NORMED}, g as (select phoneme, rep_id, count(*) as w, corr(F1_normed, F2_normed) ** 2 as r2 from v where rep_id <= 3 group by all)"""

@@ -31,6 +31,34 @@ def test_benjamini_hochberg(spark):
     assert [round(got[i], 6) for i in range(5)] == [0.025, 0.05, 0.05, 0.025, 0.2] and got[9] is None
 
 
+def test_quantiles_and_ranks_equal_sorting(spark):
+    from quillon.operators.order import quantiles
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 400), "x": np.round(rng.standard_cauchy(400), 1)})
+    pdf = pd.concat([pdf, pd.DataFrame({"g": ["one", "same", "same"], "x": [5.0, 2.0, 2.0]})], ignore_index=True)
+    df = spark.createDataFrame([*pdf.itertuples(index=False, name=None), ("a", None)], "g string, x double")
+    got = {r.g: r for r in quantiles(df, "x", ["g"], {"lo": 0.025, "mid": 0.5, "hi": 0.975}).collect()}
+    for g, x in pdf.groupby("g")["x"]:
+        assert [got[g].lo, got[g].mid, got[g].hi] == pytest.approx(np.quantile(x, [0.025, 0.5, 0.975]))
+    ranks = sorted((r.g, r.x, r["rank"]) for r in H.average_ranks(df, "x", ["g"]).collect())
+    assert ranks == sorted(zip(pdf["g"], pdf["x"], pdf.groupby("g")["x"].rank()))
+
+
+def test_pca_by_group_equals_one_pca_a_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, (rng.standard_normal(4) * [3, 2, 1, 0.5] + k).tolist()) for k, g in enumerate("ab") for _ in range(40)] + [("c", [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    got = {r.g: r for r in R.pca_by(df, ["g"], 3).collect()}
+    assert got["c"].parts == []
+    for g in "ab":
+        mean, parts, share = R.pca(df.where(F.col("g") == g), 3)
+        assert np.allclose(got[g].mean, mean) and np.allclose(got[g].parts, parts) and np.allclose(got[g].share, share)
+    z = R.project_by(df, R.pca_by(df, ["g"], 3), ["g"]).where("g = 'a'").toPandas()
+    x = np.stack(z["v"])
+    assert np.allclose(np.stack(z["pc"]), (x - got["a"].mean) @ np.array(got["a"].parts).T)
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 5.0)], "x double").withColumn("g", F.lit(1))
     assert sorted(r["rank"] for r in H.average_ranks(df, "x", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
