@@ -52,24 +52,24 @@ def pca_by(df: DataFrame, by: list[str], k: int, v: str = "v") -> DataFrame:
         for pdf in batches:
             for key, g in pdf.groupby(by, sort=False):
                 x = np.stack(g[v].to_numpy()).astype(float)
-                yield pd.DataFrame([{**dict(zip(by, key)), "n": len(x), "s": x.sum(0), "g": (x.T @ x).ravel()}])
+                yield pd.DataFrame([{**dict(zip(by, key)), "_n": len(x), "_s": x.sum(0), "_g": (x.T @ x).ravel()}])
 
     def solve(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                mean = np.asarray(row["s"]) / row["n"]
+                mean = np.asarray(row["_s"]) / row["_n"]
                 d = len(mean)
-                cov = (np.asarray(row["g"]).reshape(d, d) - row["n"] * np.outer(mean, mean)) / max(row["n"] - 1, 1)
+                cov = (np.asarray(row["_g"]).reshape(d, d) - row["_n"] * np.outer(mean, mean)) / max(row["_n"] - 1, 1)
                 values, vectors = np.linalg.eigh(cov)
-                order = np.argsort(values)[::-1][: min(k, d, row["n"] - 1)]
+                order = np.argsort(values)[::-1][: min(k, d, row["_n"] - 1)]
                 parts = vectors[:, order].T
                 parts = parts * np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])[:, None]
                 share = np.maximum(values[order], 0) / max(values.sum(), 1e-300)
                 yield pd.DataFrame([{**{b: row[b] for b in by}, "mean": mean, "parts": list(parts), "share": share}])
 
     ok = df.where(V.is_valid(v)).select(*by, V.as_double(v).alias(v))
-    sums = ok.mapInPandas(moments, keys + "n long, s array<double>, g array<double>").groupBy(*by).agg(
-        F.sum("n").alias("n"), V.vector_sum("s").alias("s"), V.vector_sum("g").alias("g")
+    sums = ok.mapInPandas(moments, keys + "_n long, _s array<double>, _g array<double>").groupBy(*by).agg(
+        F.sum("_n").alias("_n"), V.vector_sum("_s").alias("_s"), V.vector_sum("_g").alias("_g")
     )
     return sums.mapInPandas(solve, keys + "mean array<double>, parts array<array<double>>, share array<double>")
 
