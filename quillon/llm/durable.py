@@ -1,8 +1,8 @@
 """Intermediate results that outlive executors.
 
 A result that several jobs reuse is written as Parquet below the folder named by ``spark.checkpoint.dir``, which every
-executor and the driver share.  Only where the session leaves that setting empty (tests, notebooks) a folder inside the
-warehouse, which is shared too, is taken instead.
+executor and the driver share.  Where the session leaves that setting empty, a folder inside the warehouse is taken on a
+local master (tests, notebooks); elsewhere the setting is required.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, without a trailing slash."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return found.rstrip("/")
 

@@ -74,3 +74,17 @@ def test_pipeline_stage_by_stage(spark):
     mixed = P.mix(spark, out, SF)
     assert mixed.count() == out.count()
     assert [name for name, _ in P.STAGES] == ["language", "exact", "near", "decontaminate", "mix"]
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("doc_id in (1, 2, 5)")
+    odd = spark.createDataFrame([(None, "a text without an id", "en", None, 20)], docs.schema)
+    for name, rows in (("empty", docs.limit(0)), ("odd", some.union(some).union(odd))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert P.run(spark, f"{tmp_path}/empty").count() == 0
+    out = [r.doc_id for r in P.run(spark, f"{tmp_path}/odd").collect()]
+    assert len(out) == len(set(out)) and set(out) <= {1, 2, 5, None} and None in out
