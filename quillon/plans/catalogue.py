@@ -417,7 +417,10 @@ ci as (select {keys}, avg(d) as obs_boot_mean, quantile_cont(d, 0.025) as ci_lo,
 select {keys}, n1::bigint as n_first, n2::bigint as n_second, round(d, 6) as obs_sample, round(obs_boot_mean, 6) as obs_boot_mean, round(ci_lo, 6) as ci_lo, round(ci_hi, 6) as ci_hi from obs left join ci using ({keys})"""
 
 
-@query(f"with {_VECTORS}, {_DRAWS}, " + _boot_sql("L1", "select model, phoneme, spk, case L1 when 'fr' then 1 else 2 end as side, dim, x from vx", "model, phoneme"))
+_L1L2 = _boot_sql("L1", "select model, phoneme, spk, case L1 when 'fr' then 1 else 2 end as side, dim, x from vx", "model, phoneme")
+
+
+@query(f"with {_VECTORS}, {_DRAWS}, " + _L1L2)
 def bootstrap_l1l2_ci(spark, d):
     return rounded(_l1l2_ci(spark, d))
 
@@ -439,22 +442,29 @@ def bootstrap_pair_ci(spark, d):
     return rounded(out)
 
 
-@query(f"""with {_VECTORS},
+_PERMUTED = f"""with {_VECTORS},
 tok as (select distinct model, phoneme, token_id, L1 from vx),
 n as (select model, phoneme, count(*) filter (L1 = 'fr') as n1, count(*) filter (L1 = 'ru') as n2 from tok group by all having count(*) filter (L1 = 'fr') >= 2 and count(*) filter (L1 = 'ru') >= 2),
 whole as (select model, phoneme, dim, sum(x) as s, sum(x) filter (L1 = 'fr') as s1 from vx group by all),
 obs as (select model, phoneme, 1 - sum(s1 / n1 * (s - s1) / n2) / (sqrt(sum((s1 / n1) ** 2)) * sqrt(sum(((s - s1) / n2) ** 2))) as d from whole join n using (model, phoneme) group by all),
 perm as (select model, phoneme, b, token_id, row_number() over (partition by model, phoneme, b order by md5('42-' || b || '-' || token_id), token_id) as place from tok, range({N_PERM}) t(b)),
 half as (select p.model, p.phoneme, b, dim, sum(x) as t from perm p join n on p.model = n.model and p.phoneme = n.phoneme and place <= n1 join vx on vx.model = p.model and vx.token_id = p.token_id group by all),
-null_ as (select h.model, h.phoneme, b, 1 - sum(t / n1 * (s - t) / n2) / (sqrt(sum((t / n1) ** 2)) * sqrt(sum(((s - t) / n2) ** 2))) as d from half h join whole using (model, phoneme, dim) join n using (model, phoneme) group by all)
-select model, phoneme, max(n1)::bigint as n1, max(n2)::bigint as n2, round(max(o.d), 6) as obs, round((count(*) filter (x.d >= o.d - 1e-12) + 1) / {N_PERM + 1}, 6) as p_raw
-from obs o join null_ x using (model, phoneme) join n using (model, phoneme) group by all
-""")
+null_ as (select h.model, h.phoneme, b, 1 - sum(t / n1 * (s - t) / n2) / (sqrt(sum((t / n1) ** 2)) * sqrt(sum(((s - t) / n2) ** 2))) as d from half h join whole using (model, phoneme, dim) join n using (model, phoneme) group by all),
+perm_p as (select model, phoneme, max(n1)::bigint as n1, max(n2)::bigint as n2, round(max(o.d), 6) as obs, round((count(*) filter (x.d >= o.d - 1e-12) + 1) / {N_PERM + 1}, 6) as p_raw
+from obs o join null_ x using (model, phoneme) join n using (model, phoneme) group by all)
+"""
+
+
+@query(_PERMUTED + "select * from perm_p")
 def permutation_cosine(spark, d):
     return rounded(B.permutation_centroid_distance(vowel_reps(spark, d), "L1", "fr", "ru", within=["model", "phoneme"], n_perm=N_PERM))
 
 
-@query()
+@query(_PERMUTED.rstrip() + """,
+placed as (select *, row_number() over (partition by model order by p_raw) as k, count(*) over (partition by model) as m from perm_p),
+adj as (select * exclude (k, m), least(min(p_raw * m / k) over (partition by model order by k desc rows unbounded preceding), 1) as a from placed)
+select * exclude (a), round(a, 6) as "p_adj_BH", a <= 0.05 as "reject_H0_BH" from adj
+""")
 def test_neural_fdr(spark, d):
     p = B.permutation_centroid_distance(vowel_reps(spark, d), "L1", "fr", "ru", within=["model", "phoneme"], n_perm=N_PERM)
     return rounded(H.benjamini_hochberg(p, "p_raw", ["model"], decimals=6))
@@ -647,7 +657,16 @@ def rope_summary(spark, d):
     return P.summary(P.classify_acoustic(_acoustic_ci(spark, d)))
 
 
-@query()
+_L1L2_CI, _L1L2_ROWS = _L1L2.rsplit("\nselect ", 1)
+
+
+@query(f"with {_VECTORS}, {_DRAWS}, {_INTRA}, {_L1L2_CI}, boot as (select {_L1L2_ROWS})" + """
+select 'neural_' || model as representation, phoneme, 'L1_vs_L2_centroid_distance' as effect, obs_sample as point_est, ci_lo, ci_hi, 0.0 as rope_lo, round(delta0, 6) as rope_hi,
+  case when delta0 is null then 'no distance inside speakers' else 'up to ' || printf('%.4f', delta0) || ', the mean distance inside speakers' end as rope_note,
+  case when delta0 is null then 'rope_undefined' when ci_lo is null or ci_hi is null then 'insufficient_data' when ci_lo >= 0 and ci_hi <= delta0 then 'equivalent'
+       when ci_hi < 0 or ci_lo > delta0 then 'non-equivalent' else 'indeterminate' end as classification, null::double as p_value
+from boot left join d0 using (model)
+""")
 def rope_neural(spark, d):
     ci = _l1l2_ci(spark, d).withColumnRenamed("obs_sample", "obs_dist")
     return rounded(P.classify_neural(ci, X.delta0(vowel_reps(spark, d), ["model"])))
