@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 
+#: Merges below this share of the greatest height are drawn in their cluster's colour.
+COLOUR_SHARE = 0.7
+
 
 def ward(d: np.ndarray) -> np.ndarray:
     """Linkage rows (left, right, height, size) by the Lance-Williams update for Ward's criterion on any distances."""
@@ -82,6 +85,12 @@ def linkage(matrix: DataFrame, by: list[str], key: str, d: str = "d") -> DataFra
     return matrix.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", step int, left int, right int, height double, size int")
 
 
+def below_threshold(merges: DataFrame, by: list[str], share: float = COLOUR_SHARE) -> DataFrame:
+    """Adds ``coloured``: whether a merge lies below ``share`` of its dendrogram's greatest height."""
+    top = F.max("height").over(Window.partitionBy(*by))
+    return merges.withColumn("coloured", F.col("height") < share * top)
+
+
 def silhouette(matrix: DataFrame, clusters: DataFrame, by: list[str], key: str, d: str = "d") -> DataFrame:
     """Mean silhouette by group; a singleton counts 0, and a single cluster or as many clusters as items give null."""
     i, j = f"{key}_i", f"{key}_j"

@@ -756,14 +756,37 @@ def _clustering(matrix, key, by, ks, partitions):
     return out
 
 
-@query()
+#: Ward merges as a recursion over the table of pair distances: each step replaces the closest pair by its union.
+_WARD = f"""with recursive {_VECTORS.strip()}, {_CENTROID_DIST.strip()},
+item as (select model, phoneme, row_number() over (partition by model order by phoneme) - 1 as id, count(*) over (partition by model) as n from (select distinct model, phoneme from vx)),
+pairs as (select far.model, 0 as step, a.n as n, a.id as i, b.id as j, d * d as v, [a.phoneme] as mi, [b.phoneme] as mj
+  from far join item a on a.model = far.model and a.phoneme = phoneme_i join item b on b.model = far.model and b.phoneme = phoneme_j where a.id < b.id),
+t as (select * from pairs union all
+  select model, step + 1, n, gi, gj, case when touched then (sum((own + other) * v) - max(other) * max(v0)) / max(merged + other) else max(v) end, max(gmi), max(gmj)
+  from (select model, step, n, touched, v, m.v as v0, len(m.mi) + len(m.mj) as merged, case when i in (m.i, m.j) then len(mi) else len(mj) end as own,
+          case when i in (m.i, m.j) then len(mj) else len(mi) end as other, case when not touched then i when i in (m.i, m.j) then j else i end as gi,
+          case when touched then n + step else j end as gj, case when not touched then mi when i in (m.i, m.j) then mj else mi end as gmi,
+          case when touched then list_sort(list_concat(m.mi, m.mj)) else mj end as gmj
+        from (select *, i in (m.i, m.j) or j in (m.i, m.j) as touched
+              from (select *, first_value({{'i': i, 'j': j, 'v': v, 'mi': mi, 'mj': mj}}) over (partition by model order by v, i, j) as m from t)
+              where not (i = m.i and j = m.j)))
+  group by model, step, n, touched, gi, gj)
+"""
+
+
+@query(_WARD + """, parts as (select distinct model, k, unnest([mi, mj]) as m from t join (select unnest([2, 3, 4, 5, 6]) as k) on step = greatest(n - k, 0)),
+numbered as (select model, k, m, row_number() over (partition by model, k order by m[1]) as cluster from parts)
+select model, k::int as k, unnest(m) as phoneme, cluster::int as cluster from numbered""")
 def ward_cut(spark, d):
     return K.ward_clusters(_neural_matrix(spark, d), ["model"], "phoneme", (2, 3, 4, 5, 6))
 
 
-@query()
+@query(_WARD + """, b as (select *, row_number() over (partition by model, step order by v, i, j) as place from t),
+z as (select model, step::int as step, i::int as "left", j::int as "right", sqrt(v) as h, (len(mi) + len(mj))::int as size from b where place = 1)
+select model, step, "left", "right", round(h, 6) as height, size, h < 0.7 * max(h) over (partition by model) as coloured from z""")
 def dendrogram(spark, d):
-    return rounded(K.linkage(_neural_matrix(spark, d), ["model"], "phoneme"))
+    z = K.linkage(_neural_matrix(spark, d), ["model"], "phoneme")
+    return rounded(K.below_threshold(z, ["model"]))
 
 
 @query()
