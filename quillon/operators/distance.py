@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
+from quillon.operators.ingest import labelled
 
 
 def centroids(df: DataFrame, by: list[str], v: str = "v", nan_policy: str = "drop") -> DataFrame:
@@ -35,9 +36,11 @@ def long_matrix(c: DataFrame, key: str = "phoneme", v: str = "centroid", metric:
 
 
 def between_class_ratio(df: DataFrame, by: str, v: str = "v", within: list[str] | None = None) -> DataFrame:
-    """Between-class over total sum of squares of vectors, from class sums: sum n_k |m_k - m|^2 / sum |x - m|^2."""
+    """Between-class over total sum of squares of vectors, from class sums: sum n_k |m_k - m|^2 / sum |x - m|^2.
+
+    Rows whose label is null or empty take no part."""
     within = within or []
-    ok = df.where(V.is_valid(v) & F.col(by).isNotNull()).withColumn("_q", V.dot(V.as_double(v), V.as_double(v)))
+    ok = labelled(df, by).where(V.is_valid(v)).withColumn("_q", V.dot(V.as_double(v), V.as_double(v)))
     k = ok.groupBy(*within, by).agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"), V.vector_sum(v).alias("s"))
     k = k.withColumn("between", V.dot(F.col("s"), F.col("s")) / F.col("n"))
     g = k.groupBy(*within).agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("between").alias("b"), V.vector_sum("s").alias("s"))
@@ -46,9 +49,11 @@ def between_class_ratio(df: DataFrame, by: str, v: str = "v", within: list[str]
 
 
 def within_between_cosine(df: DataFrame, by: str, v: str = "v", within: list[str] | None = None) -> DataFrame:
-    """Mean cosine similarity of ordered pairs inside and across classes, from sums of unit vectors (no pairs made)."""
+    """Mean cosine similarity of ordered pairs inside and across classes, from sums of unit vectors (no pairs made).
+
+    Rows whose label is null or empty take no part."""
     within = within or []
-    ok = df.where(V.is_valid(v) & F.col(by).isNotNull()).withColumn("_u", V.unit(V.as_double(v), "none"))
+    ok = labelled(df, by).where(V.is_valid(v)).withColumn("_u", V.unit(V.as_double(v), "none"))
     ok = ok.where(F.col("_u")[0].isNotNull()).withColumn("_q", V.dot(F.col("_u"), F.col("_u")))
     k = ok.groupBy(*within, by).agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"), V.vector_sum("_u").alias("s"))
     k = k.withColumn("ss", V.dot(F.col("s"), F.col("s")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.schema import ENCODER_FRAMES_PER_SECOND, ENCODER_SECONDS, FORMANT_CEILING, LOBANOV_VOWELS, SAMPLE_RATE
+from quillon.sources.durable import materialise
 
 
 def is_vowel(phoneme: Column | str, vowels: tuple[str, ...] = LOBANOV_VOWELS) -> Column:
@@ -16,6 +17,33 @@ def is_vowel(phoneme: Column | str, vowels: tuple[str, ...] = LOBANOV_VOWELS) ->
     return F.coalesce(F.lower(F.regexp_replace(p, r"^\s+|\s+$", "")).isin(*vowels), F.lit(False))
 
 
+def labelled(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose label is neither null nor empty."""
+    return df.where(F.length(F.col(col).cast("string")) > 0)
+
+
+def two_labels(df: DataFrame, col: str) -> tuple[str, str]:
+    """The two labels of a column in order; an error if it doesn't hold exactly two."""
+    found = sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(3).collect())
+    if len(found) != 2:
+        raise ValueError(f"{col} must hold two labels, found {found}")
+    return found[0], found[1]
+
+
+def number_rows(df: DataFrame, order: list[str], out: str = "token_id") -> DataFrame:
+    """Adds the place of each row, from 0, in the order of columns; equal rows are numbered arbitrarily.
+
+    Rows are dealt by ranges and sorted inside them; a partition's first number is the count of the rows before it, so no
+    task orders the whole table.  Written once, as numbers must not change between uses."""
+    in_order = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    in_order = materialise(in_order, "numbered").withColumn("_part", F.shiftright("_at", 33))
+    sizes = in_order.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return in_order.join(starts, "_part").withColumn(out, place).drop("_part", "_start", "_at")
+
+
 def attach_speakers(phones: DataFrame, speakers: DataFrame) -> DataFrame:
     """All phones, with speaker data where there is any (a right outer join; the speaker side is small)."""
     return speakers.join(phones, "spk", "right")

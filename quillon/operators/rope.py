@@ -40,6 +40,11 @@ def classify_neural(ci: DataFrame, delta0: DataFrame) -> DataFrame:
     )
 
 
+def significant_equivalent(rows: DataFrame, prefix: str = "acoustic", alpha: float = 0.05) -> DataFrame:
+    """Effects of the representations whose name starts with ``prefix`` that differ from zero and yet are equivalent."""
+    return rows.where(F.startswith("representation", F.lit(prefix)) & (F.col("classification") == "equivalent") & (F.col("p_value") < alpha))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Counts of each class by representation (all classes as columns), total and the share that is not equivalent."""
     g = rows.groupBy("representation").pivot("classification", list(ROPE_CLASSES)).count().fillna(0)

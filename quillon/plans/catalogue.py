@@ -208,6 +208,19 @@ def label_domain(spark, d):
     return t.groupBy(F.col("L1").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("spk").alias("n_speakers"))
 
 
+_TOKEN_ORDER = ["spk", "sent_id", "rep_id", "phoneme", "dur", "F1", "F2"]
+
+
+@query(f"""
+with t as ({S.TOKENS_SQL})
+select spk, sent_id, rep_id, phoneme, round(dur, 6) as dur, round(F1, 6) as F1,
+       row_number() over (order by {', '.join(c + ' nulls first' for c in _TOKEN_ORDER)}) - 1 as token_id from t
+""")
+def token_ids(spark, d):
+    out = I.number_rows(S.tokens(spark, d), _TOKEN_ORDER)
+    return rounded(out.select("spk", "sent_id", "rep_id", "phoneme", "dur", "F1", "token_id"))
+
+
 # --- normalisation and description ------------------------------------------------------------------------------------
 
 
@@ -466,7 +479,8 @@ adj as (select * exclude (k, m), least(min(p_raw * m / k) over (partition by mod
 select * exclude (a), round(a, 6) as "p_adj_BH", a <= 0.05 as "reject_H0_BH" from adj
 """)
 def test_neural_fdr(spark, d):
-    p = B.permutation_centroid_distance(vowel_reps(spark, d), "L1", "fr", "ru", within=["model", "phoneme"], n_perm=N_PERM)
+    r = vowel_reps(spark, d)
+    p = B.permutation_centroid_distance(r, "L1", *I.two_labels(r, "L1"), within=["model", "phoneme"], n_perm=N_PERM)
     return rounded(H.benjamini_hochberg(p, "p_raw", ["model"], decimals=6))
 
 
@@ -912,6 +926,11 @@ def rope_lmm(spark, d):
     return rounded(_lmm_rope(spark, d), 5)
 
 
+@query()
+def rope_lmm_significant(spark, d):
+    return rounded(P.significant_equivalent(_lmm_rope(spark, d)), 5)
+
+
 @query()
 def rope_lmm_summary(spark, d):
     return P.summary(_lmm_rope(spark, d))

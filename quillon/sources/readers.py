@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import pickle
 import re
 import wave
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -84,6 +86,34 @@ def name_parts(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns({"spk": F.upper(F.split_part(stem, F.lit("_"), F.lit(1))), "sent_id": F.when(digits != "", digits.cast("int"))})
 
 
+class _ArraysOnly(pickle.Unpickler):
+    """Builds numpy arrays and numbers, and refuses every other name, so a file can't run code."""
+
+    # The names that pickled object arrays of numbers refer to.
+    NAMES = {
+        ("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"),
+        ("numpy._core.multiarray", "scalar"), ("numpy._core.numeric", "_frombuffer"), ("numpy.core.numeric", "_frombuffer"),
+        ("numpy", "ndarray"), ("numpy", "dtype"), ("_codecs", "encode"),
+    }
+
+    def find_class(self, module, name):
+        if (module, name) not in self.NAMES:
+            raise pickle.UnpicklingError(f"not an array: {module}.{name}")
+        return super().find_class(module, name)
+
+
+def load_array(archive: zipfile.ZipFile, key: str) -> np.ndarray:
+    """One array of an NPZ file; arrays of objects (one vector an element) are read without running their code."""
+    with archive.open(f"{key}.npy") as f:
+        raw = io.BytesIO(f.read())
+    version = np.lib.format.read_magic(raw)
+    shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(raw)
+    if kind.hasobject:
+        return _ArraysOnly(raw).load().reshape(shape)
+    raw.seek(0)
+    return np.lib.format.read_array(raw, allow_pickle=False)
+
+
 def read_npz(spark: SparkSession, path: str, key: str = "word_reps", ids: str | None = None) -> DataFrame:
     """Vectors of NPZ files as (token_id, v); ragged rows are kept, NaN becomes null, row numbers stand for missing ids.
 
@@ -93,10 +123,10 @@ def read_npz(spark: SparkSession, path: str, key: str = "word_reps", ids: str |
     def run(batches):
         for pdf in batches:
             for raw in pdf["content"]:
-                with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
-                    v = z[key]
-                    n = z[ids] if ids else np.arange(len(v))
-                yield pd.DataFrame({"token_id": np.asarray(n, dtype="int64"), "v": [x.astype(float).tolist() for x in v]})
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    v = load_array(z, key)
+                    n = load_array(z, ids) if ids else np.arange(len(v))
+                yield pd.DataFrame({"token_id": np.asarray(n, dtype="int64"), "v": [np.asarray(x, dtype=float).tolist() for x in v]})
 
     return files.mapInPandas(run, "token_id long, v array<double>")
 
@@ -151,6 +181,19 @@ def resample(x: np.ndarray, rate: int, to: int = SAMPLE_RATE) -> np.ndarray:
     return np.fft.irfft(keep, n) * n / len(x)
 
 
+def resample_wavs(spark: SparkSession, folder: str, out: str, rate: int = SAMPLE_RATE) -> DataFrame:
+    """Write all WAV files below ``folder`` at another rate to the table ``out``: (path, rate, data), data a WAV file of
+    one channel.  The originals stay."""
+    files = read_wavs(spark, folder, rate, strict=False)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "rate": pdf["rate"], "data": [encode_wav(np.asarray(x, float), rate) for x in pdf["samples"]]})
+
+    files.mapInPandas(run, "path string, rate int, data binary").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def read_wavs(spark: SparkSession, folder: str, rate: int = SAMPLE_RATE, strict: bool = True) -> DataFrame:
     """(path, rate, samples); a file of another rate is an error if ``strict``, else it is resampled."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)

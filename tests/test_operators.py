@@ -107,6 +107,47 @@ def test_readers(spark, tmp_path):
     assert len(readers.read_wavs(spark, str(tmp_path / "a"), strict=False).first().samples) == 200
 
 
+def test_npz_of_objects_runs_no_code(spark, tmp_path):
+    ragged = np.empty(3, dtype=object)
+    ragged[:] = [np.array([1.0, 2.0], dtype="float32"), np.array([np.nan, 4.0]), [5, 6, 7]]
+    np.savez(tmp_path / "o.npz", word_reps=ragged, token_id=np.array([7, 8, 9]))
+    got = {r.token_id: r.v for r in readers.read_npz(spark, str(tmp_path / "o.npz"), ids="token_id").collect()}
+    assert got == {7: [1.0, 2.0], 8: [None, 4.0], 9: [5.0, 6.0, 7.0]}
+    bad = np.empty(1, dtype=object)
+    bad[0] = math.sqrt
+    np.savez(tmp_path / "bad.npz", word_reps=bad)
+    with pytest.raises(Exception, match="not an array"):
+        readers.read_npz(spark, str(tmp_path / "bad.npz")).collect()
+
+
+def test_resampled_files_are_written_beside_the_originals(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    t = np.arange(800) / 8000
+    raw = readers.encode_wav(0.5 * np.sin(2 * np.pi * 200 * t), 8000)
+    (tmp_path / "in" / "a.wav").write_bytes(raw)
+    r = readers.resample_wavs(spark, str(tmp_path / "in"), str(tmp_path / "out")).first()
+    x, rate = readers.decode_wav(bytes(r.data))
+    assert r.rate == rate == 16000 and len(x) == 1600 and x == pytest.approx(0.5 * np.sin(2 * np.pi * 200 * np.arange(1600) / 16000), abs=1e-3)
+    assert (tmp_path / "in" / "a.wav").read_bytes() == raw
+
+
+def test_labels_and_row_numbers(spark):
+    df = spark.createDataFrame([("b", 1), ("", 2), (None, 3), ("a", 4), ("b", 0)], "l string, i int").repartition(3)
+    assert sorted(r.i for r in I.labelled(df, "l").collect()) == [0, 1, 4] and I.two_labels(I.labelled(df, "l"), "l") == ("a", "b")
+    with pytest.raises(ValueError, match="two labels"):
+        I.two_labels(df, "l")
+    want = sorted(((r.l or "", r.i) for r in df.collect()), key=lambda x: (x[0], x[1]))
+    got = I.number_rows(df.na.fill("", ["l"]), ["l", "i"], "n").orderBy("n").collect()
+    assert [(r.l, r.i) for r in got] == want and [r.n for r in got] == list(range(5))
+    assert I.number_rows(df.limit(0), ["l", "i"]).count() == 0
+
+
+def test_significant_but_equivalent(spark):
+    rows = [("acoustic_F1", "equivalent", 0.01), ("acoustic_F1", "equivalent", 0.2), ("neural_x", "equivalent", 0.01), ("acoustic_F2", "indeterminate", 0.01), ("acoustic_F2", "equivalent", None)]
+    df = spark.createDataFrame(rows, "representation string, classification string, p_value double")
+    assert [tuple(r) for r in P.significant_equivalent(df).collect()] == rows[:1]
+
+
 def test_formant_extraction_reports_errors(spark):
     tokens = spark.createDataFrame(
         [("a", 0.0, 0.5, "f", "w"), ("", 0.0, 0.5, "f", "w"), ("e", 0.0, 0.5, "m", "none")], "phoneme string, onset double, offset double, Gender string, wav_path string"
