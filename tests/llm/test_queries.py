@@ -88,3 +88,39 @@ def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path):
     assert P.run(spark, f"{tmp_path}/empty").count() == 0
     out = [r.doc_id for r in P.run(spark, f"{tmp_path}/odd").collect()]
     assert len(out) == len(set(out)) and set(out) <= {1, 2, 5, None} and None in out
+
+
+def test_suffix_columns(spark):
+    """The registered query against brute force over the whole table."""
+    from test_dedup import without_repeats
+
+    text = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {i: x[:4] for i, x in without_repeats(text, 100).items()}
+    got = Q.queries()["op8_suffix_dedup"](spark, SF).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len(got) == len(want)
+
+
+def test_language_columns_and_held_out_accuracy(spark):
+    """Only held-out documents count; language is learned from the others."""
+    import zlib
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    learned = {r.lang for i, r in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2 and r.lang is not None}
+    hits = []
+    for r in Q.queries()["op6_segmentation_langid"](spark, SF).collect():
+        d = docs[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in d.text or "")) and r.lang_pred in learned | {"und"}
+        if r.held_out and d.lang is not None:
+            hits.append(r.lang_pred == d.lang)
+    print("held-out accuracy", sum(hits), len(hits))
+    assert hits and sum(hits) / len(hits) >= 0.9
+
+
+def test_masked_likelihood_columns(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = Q.queries()["op5_masked_likelihood"](spark, SF).collect()
+    for r in got:
+        n = len([w for w in (text[r.doc_id] or "").encode().split()])
+        assert r.n_tokens == n and (r.score < 0 if n else r.score == 0)
+        assert r.mean_score == (pytest.approx(r.score / n) if n else None)
