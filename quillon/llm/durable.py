@@ -30,3 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``materialise`` returned, or one derived from it alone; the caller has read it
+    for the last time."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.split(":")[-1].rstrip("/") in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -19,7 +19,7 @@ def test_matches_sql(spark, duck, name):
     same(Q.queries()[name](spark, SF), duck.sql(Q.oracle_sql()[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql()) - {"op13_bin_completion_packing"}))
 def test_one_row_per_document(spark, name):
     assert Q.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
