@@ -147,11 +147,11 @@ def ladder(stats: DataFrame, by: list[str], min_units: int = 3, min_tokens: int
     return stats.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", " + _OUT)
 
 
-def likelihood_ratios(models: DataFrame, by: list[str]) -> DataFrame:
-    """M0-M1, M1-M2 and M1-M4 by maximum likelihood: statistic, difference of parameters (at least 1), p."""
+def likelihood_ratios(models: DataFrame, by: list[str], pairs: tuple = (("M0", "M1"), ("M1", "M2"), ("M1", "M4"))) -> DataFrame:
+    """Pairs of nested models by maximum likelihood: statistic, difference of parameters (at least 1), p."""
     one = models.where(~F.col("reml") & F.col("loglik").isNotNull()).groupBy(*by, "model").agg(F.first("loglik").alias("ll"), F.first("n_params").alias("k"))
     out = None
-    for a, b in (("M0", "M1"), ("M1", "M2"), ("M1", "M4")):
+    for a, b in pairs:
         x = one.where(F.col("model") == a).select(*by, F.col("ll").alias("la"), F.col("k").alias("ka"))
         y = one.where(F.col("model") == b).select(*by, F.col("ll").alias("lb"), F.col("k").alias("kb"))
         j = x.join(y, by).select(*by, F.lit(f"{a}_vs_{b}").alias("comparison"), (2 * (F.col("lb") - F.col("la"))).alias("lrt_stat"), F.greatest(F.col("kb") - F.col("ka"), F.lit(1)).alias("df_diff"))
@@ -165,10 +165,10 @@ def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def wald_intervals(models: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
-    """Wald intervals of the main effects (M1) and interactions (M2), from REML fits."""
+    """Wald intervals of the main effects (M1) and interactions (M2), from maximum-likelihood fits."""
     z = NormalDist().inv_cdf(1 - alpha / 2)
     inter = F.contains("term", F.lit(":"))
-    pick = F.col("reml") & (F.col("term") != "Intercept") & (((F.col("model") == "M1") & ~inter) | ((F.col("model") == "M2") & inter))
+    pick = ~F.col("reml") & (F.col("term") != "Intercept") & (((F.col("model") == "M1") & ~inter) | ((F.col("model") == "M2") & inter))
     return models.where(pick).select(
         *by, F.col("term").alias("effect"), "coef", "se", (F.col("coef") - z * F.col("se")).alias("ci_lo"), (F.col("coef") + z * F.col("se")).alias("ci_hi"),
         F.col("pval").alias("p_value"), F.lit("wald").alias("ci_method"),

@@ -21,6 +21,7 @@ from quillon.operators import distance as X
 from quillon.operators import hypothesis as H
 from quillon.operators import ingest as I
 from quillon.operators import mixed as M
+from quillon.operators import moments as MM
 from quillon.operators import reduce as R
 from quillon.operators import resampling as B
 from quillon.operators import rope as P
@@ -874,6 +875,55 @@ def lmm_lrt(spark, d):
     return rounded(M.likelihood_ratios(M.ladder(_stats(spark, d), ["phoneme", "formant"]), ["phoneme", "formant"]), 5)
 
 
+def _pooled(spark, d):
+    """Formants of all vowels in long form, with the height of each vowel."""
+    heights = schema.label_of(schema.VOWEL_HEIGHT)
+    t = D.vowels(normed(spark, d)).withColumn("vowel_height", I.map_label("phoneme", heights, "unknown"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("formant"), F.col(f"{f}_normed").alias("y")) for f in ("F1", "F2")]))
+    return t.select("spk", "L1", "Gender", "vowel_height", "phoneme", each.alias("f")).select("spk", "L1", "Gender", "vowel_height", "phoneme", "f.formant", "f.y")
+
+
+@query()
+def lmm_pooled(spark, d):
+    """The ladder over all vowels at once, up to vowel height and a random slope of L1."""
+    return rounded(MM.mixed_models(_pooled(spark, d), "y", ["formant"]), 5)
+
+
+@query()
+def lmm_pooled_lrt(spark, d):
+    pairs = (("M0", "M1"), ("M1", "M2"), ("M2", "M3"), ("M3", "M4"))
+    return rounded(M.likelihood_ratios(MM.mixed_models(_pooled(spark, d), "y", ["formant"]), ["formant"], pairs), 5)
+
+
+@query()
+def lmm_random_slope(spark, d):
+    """M2 and M4 (random slope of L1 by speaker) for each vowel and formant, and their likelihood ratio."""
+    by = ["phoneme", "formant"]
+    models = {k: MM.POOLED[k] for k in ("M2", "M4")}
+    m = MM.mixed_models(_pooled(spark, d), "y", by, models, ("L1", "Gender"), reml=())
+    ratio = M.likelihood_ratios(m, by, (("M2", "M4"),)).drop("comparison")
+    slope = m.where("model = 'M4' and term = 'Intercept'").select(*by, "var_u", "var_slope", "cov_slope", "var_e", "aic", "status")
+    return rounded(slope.join(ratio, by), 4)
+
+
+@query(f"""
+with {_NORMED}, h as (select *, (phoneme in ('a', 'ɑ'))::int as low, (phoneme in ('e','ø','o','ɛ','œ'))::int as mid, (L1 = 'ru')::int as ru, (Gender = 'm')::int as m from v)
+select formant, spk, count(*) as n, round(sum(y * y), 4) as yy, round(sum(y), 4) as y, round(sum(ru * y), 4) as ru_y, round(sum(m * y), 4) as m_y,
+  round(sum(low * y), 4) as low_y, round(sum(mid * y), 4) as mid_y, sum(low)::double as low, sum(mid)::double as mid, sum(low * ru * m)::double as low_ru_m
+from (select 'F1' as formant, F1_normed as y, * from h union all select 'F2', F2_normed, * from h) where y is not null group by all
+""")
+def lmm_unit_moments(spark, d):
+    """The speakers' moments that the pooled models are fitted from."""
+    t = _pooled(spark, d).dropna()
+    is_ = lambda c, v: (F.col(c) == v).cast("double")
+    low, mid, ru, m = is_("vowel_height", "low"), is_("vowel_height", "mid"), is_("L1", "ru"), is_("Gender", "m")
+    x = [F.lit(1.0), ru, m, low, mid, low * ru * m]
+    u = MM.unit_moments(t, "y", x, ["formant"], "spk")
+    xy, first = (lambda i: F.element_at("xy", i + 1)), (lambda j: F.element_at("xx", j + 1))
+    named = {"y": xy(0), "ru_y": xy(1), "m_y": xy(2), "low_y": xy(3), "mid_y": xy(4), "low": first(3), "mid": first(4), "low_ru_m": first(5)}
+    return rounded(u.select("formant", "spk", "n", "yy", *[c.alias(k) for k, c in named.items()]), 4)
+
+
 def _neural_models(spark, d):
     """M1 by maximum likelihood for each component of a PCA by model and phone, with the component's share of variance."""
     by = ["model", "phoneme"]
@@ -899,7 +949,7 @@ def lmm_neural_r2(spark, d):
 
 @query()
 def lmm_acoustic_r2(spark, d):
-    one = M.ladder(_stats(spark, d), ["phoneme", "formant"], models=("M1",)).where("reml").groupBy("phoneme", "formant").agg(
+    one = M.ladder(_stats(spark, d), ["phoneme", "formant"], models=("M1",)).where("not reml").groupBy("phoneme", "formant").agg(
         F.first("r2_marginal").alias("m"), F.first("r2_conditional").alias("c")
     )
     return rounded(one.groupBy("formant").agg(F.avg("m").alias("r2_marginal"), F.avg("c").alias("r2_conditional")), 5)
