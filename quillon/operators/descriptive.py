@@ -32,9 +32,13 @@ def describe(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """n-free summary of each column by group: cv, iqr, mean, median, std (sample), q1, q3."""
     d = df.where(" and ".join(f"`{b}` is not null" for b in by)).select(*by, *cols)
     g = d.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    # All columns go through one ordering, told apart by their number.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)]))
+    long = quantiles(d.select(*by, each.alias("_e")).select(*by, "_e.*"), "_v", [*by, "_c"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    named = [F.max(F.when(F.col("_c") == i, F.col(q))).alias(f"{c}_{q}") for i, c in enumerate(cols) for q in ("q1", "median", "q3")]
+    g = g.join(long.groupBy(*by).agg(*named), by, "left")
     out = []
     for c in cols:
-        g = g.join(quantiles(d, c, by, {f"{c}_q1": 0.25, f"{c}_median": 0.5, f"{c}_q3": 0.75}), by, "left")
         out += [
             F.try_divide(f"{c}_std", f"{c}_mean").alias(f"{c}_cv"), (F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"{c}_iqr"), f"{c}_mean",
             f"{c}_median", f"{c}_std", f"{c}_q1", f"{c}_q3",

@@ -197,12 +197,14 @@ def mixed_models(
     place = {t: [names.index(n) for n, _ in columns[t]] for t in columns}
     p = len(names)
     units = materialise(unit_moments(d, y, [c for t in columns.values() for _, c in t], by, unit), "unit-moments")
+    kinds = [f"`{b}` {dict(d.dtypes)[b]}" for b in by]
+    schema = ", ".join([*kinds, _OUT])
+    if units.isEmpty():
+        return spark.createDataFrame([], schema)
     # Whether columns vary inside units shows in how a unit's sum of squares compares with its n.
     square = [F.element_at("xx", 1 + i * p - i * (i - 1) // 2) for i in range(p)]
     flat = F.array(*[F.sum(((s != 0) & (s != F.col("n"))).cast("double")) for s in square])
     sums = units.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), V.vector_sum("xx").alias("xx"), flat.alias("inside"))
-    kinds = [f"`{b}` {dict(d.dtypes)[b]}" for b in by]
-    schema = ", ".join([*kinds, _OUT])
     totals, fits = {}, []
     for r in sums.where((F.col("u") >= min_units) & (F.col("n") >= min_tokens)).collect():
         key = tuple(r[b] for b in by)

@@ -1,28 +1,53 @@
-"""Exact ranks and quantiles by group without sorting a group in one task."""
+"""Exact ranks and quantiles by group without sorting a group in one task.
+
+Values are put in order by ranges that sampling finds, as a sort would, so outliers and dense stretches don't crowd a task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells that the range of a group's values is cut into.
-CELLS = 4096
+from quillon.sources.durable import materialise
+
+
+def placed(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """Rows in the order of (by, value), written once, with ``_part``, the stretch of the order that a row is in, and
+    ``_start``, the weight (default: rows) of the row's group in the stretches before.
+
+    Stretches are cut by sampled splitters, so they hold about equally many rows whatever the values are; equal values of
+    a group share a stretch."""
+    d = df.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    d = materialise(d, "in-order")
+    size = d.groupBy(*by, "_part").agg(F.sum(weight if weight else F.lit(1)).alias("_size"))
+    up = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("_start", F.coalesce(F.sum("_size").over(up), F.lit(0))).drop("_size")
+    if not by:
+        return d.join(size, "_part")
+    same = [d[c].eqNullSafe(size[c]) for c in by]
+    on = d["_part"] == size["_part"]
+    for c in same:
+        on = on & c
+    return d.join(size, on).select(d["*"], size["_start"])
 
 
 def positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, value, _n, _before: each distinct value of a group, how often it occurs, and how many smaller ones there are.
 
-    Values fall into CELLS equal stretches of their group's range; counts by cell give what lies before a cell, and only
-    the values of one cell are ordered together.  Null values are left out."""
+    Null values are left out."""
     n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = n.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    n = n.join(span, by).withColumn("_cell", F.floor(F.coalesce(share, F.lit(0.0)) * CELLS)).drop("_lo", "_hi")
-    up = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = n.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(up), F.lit(0)))
-    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.join(cells.drop("_c"), [*by, "_cell"])
-    return n.select(*by, value, "_n", (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"))
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return placed(n, value, by, "_n").select(*by, value, "_n", before.alias("_before"))
+
+
+def row_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
+    """Rows with ranks from 1, ties at their mean, by group, without a join back on the value: for values that are mostly
+    different, as all rows of one value meet in one stretch."""
+    low = Window.partitionBy(*by, "_part").orderBy(value)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "_part", value))
+    rank = F.col("_start") + F.rank().over(low) + (ties - 1) / 2
+    return placed(df, value, by).withColumn(out, rank).drop("_part", "_start")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:

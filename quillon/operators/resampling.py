@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
+from quillon.operators.order import row_ranks
+from quillon.sources.durable import materialise
 
 #: Replicates whose sums travel as one row.
 BLOCK = 250
@@ -219,46 +221,88 @@ def token_sample(df: DataFrame, id_col: str, max_tokens: int, seed: int) -> Data
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string"))), id_col).limit(max_tokens)
 
 
-def token_mantel(sample: DataFrame, first: str, second: str, n_perm: int = 999, seed: int = 42, blocks: int = 16) -> DataFrame:
-    """Mantel test between token similarity matrices: negative Euclidean distance of ``first``, cosine of ``second``.
+def _similarities(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Of all pairs of rows: negative Euclidean distance, or cosine (a zero vector's norm counts as EPS)."""
+    if metric == "euclidean":
+        return -np.sqrt(sum((x[:, k, None] - y[None, :, k]) ** 2 for k in range(x.shape[1])))
+    norm = lambda v: v / np.where((n := np.linalg.norm(v, axis=1)) == 0, V.EPS, n)[:, None]
+    return norm(x) @ norm(y).T
 
-    ``sample`` holds at most the tokens of ``token_sample``; its two matrices are built once and sent to all tasks,
-    which share the permutations.  Columns mantel_r, p_value, n_perm, n_tokens."""
-    spark = sample.sparkSession
-    got = sample.where(V.is_valid(first) & V.is_valid(second)).select(first, second).toPandas()
-    n = len(got)
-    schema = "mantel_r double, p_value double, n_perm int, n_tokens int"
-    if n < 3:
-        return spark.createDataFrame([(None, None, n_perm, n)], schema)
-    x, y = (np.stack([np.asarray(v, float) for v in got[c]]) for c in (first, second))
-    x2 = (x**2).sum(1)
-    a = -np.sqrt(np.maximum(x2[:, None] + x2 - 2 * x @ x.T, 0))
-    size = np.linalg.norm(y, axis=1)
-    u = y / np.where(size == 0, V.EPS, size)[:, None]
-    up = np.triu_indices(n, 1)
-
-    def ranks(m):
-        r = pd.Series(m[up]).rank().to_numpy()
-        r -= r.mean()
-        full = np.zeros((n, n))
-        full[up] = r / np.sqrt(r @ r) if r @ r > 0 else 0.0
-        return full
-
-    one, two = ranks(a), ranks(u @ u.T)
-    two = two + two.T
-    obs = float((one * two).sum())
-    shared = spark.sparkContext.broadcast((one, two))
+
+def similarity_ranks(sample: DataFrame, metrics: dict[str, str], id_col: str = "token_id", block: int = 250) -> DataFrame:
+    """``m, i, j, c``: for each vector column and pair i < j of tokens, the rank of its similarity, centred, of unit length.
+
+    Tokens are numbered from 0 by id and dealt to blocks; each pair of blocks is a task of its own, and ranks come from one
+    range sort of all pairs.  A matrix without spread has c = 0.  The sample bounds the pairs (see ``token_sample``)."""
+    d = sample.select(F.row_number().over(Window.orderBy(id_col)).alias("i"), *metrics).withColumn("i", F.col("i") - 1)
+    d = materialise(d.withColumn("block", F.floor(F.col("i") / block)), "mantel-tokens")
+    rows = d.groupBy("block").agg(F.collect_list(F.struct("i", *metrics)).alias("rows"))
+    pairs = rows.select(F.col("block").alias("a"), F.col("rows").alias("ra")).join(rows.select(F.col("block").alias("b"), F.col("rows").alias("rb")), F.col("a") <= F.col("b"))
 
     def run(batches):
-        p, q = shared.value
         for pdf in batches:
-            null = []
-            for b in pdf["id"]:
-                order = np.random.default_rng([seed, int(b)]).permutation(n)
-                null.append(float((p * q[np.ix_(order, order)]).sum()))
-            yield pd.DataFrame({"s": null})
-
-    null = spark.range(n_perm).repartition(blocks).mapInPandas(run, "s double")
-    return null.agg(F.count_if(F.abs("s") >= abs(obs) - 1e-12).alias("k")).select(
-        F.lit(obs).alias("mantel_r"), ((F.col("k") + 1) / (n_perm + 1)).alias("p_value"), F.lit(n_perm).alias("n_perm"), F.lit(n).alias("n_tokens")
+            for ra, rb in zip(pdf["ra"], pdf["rb"]):
+                i, j = (np.array([r["i"] for r in x]) for x in (ra, rb))
+                at = np.nonzero(i[:, None] < j)
+                for m, metric in metrics.items():
+                    x, y = (np.stack([np.asarray(r[m], float) for r in z]) for z in (ra, rb))
+                    yield pd.DataFrame({"m": m, "i": i[at[0]], "j": j[at[1]], "x": _similarities(x, y, metric)[at]})
+
+    # One row, a pair of blocks, a partition: the work of a row is block x block pairs.
+    long = pairs.repartition("a", "b").mapInPandas(run, "m string, i int, j int, x double")
+    r = row_ranks(long, "x", ["m"], "r")
+    r = materialise(r.select("m", "i", "j", "r"), "mantel-ranks")
+    spread = r.groupBy("m").agg(F.avg("r").alias("mid"), F.var_pop("r").alias("var"), F.count(F.lit(1)).alias("n"))
+    c = (F.col("r") - F.col("mid")) / F.sqrt(F.col("var") * F.col("n"))
+    return r.join(F.broadcast(spread), "m").select("m", "i", "j", F.when(F.col("var") > 0, c).otherwise(0.0).alias("c"))
+
+
+def token_correlation(ranks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``first, second, mantel_r``: Spearman correlations of pairs of similarity matrices, from ``similarity_ranks``."""
+    which = F.broadcast(ranks.sparkSession.createDataFrame(pairs, "first string, second string"))
+    a = which.join(ranks.select(F.col("m").alias("first"), "i", "j", F.col("c").alias("ca")), "first")
+    b = ranks.select(F.col("m").alias("second"), "i", "j", F.col("c").alias("cb"))
+    return a.join(b, ["second", "i", "j"]).groupBy("first", "second").agg(F.sum(F.col("ca") * F.col("cb")).alias("mantel_r"))
+
+
+def token_mantel(
+    sample: DataFrame, metrics: dict[str, str], pairs: list[tuple[str, str]], id_col: str = "token_id", n_perm: int = 999, seed: int = 42, parts: int = 8, block: int = 250, alpha: float = 0.05
+) -> DataFrame:
+    """Mantel tests between token similarity matrices: first, second, mantel_r, p_value, n_perm, n_tokens, significant.
+
+    ``metrics`` gives each vector column "euclidean" or "cosine".  Tokens with an invalid vector in any column are left
+    out.  Each of ``parts`` tasks gets the ranked matrices, 8 n^2 bytes each for at most ``token_sample``'s n, and a share
+    of the permutations; nothing passes through the driver.  Fewer than 3 tokens give null for r and p."""
+    spark = sample.sparkSession
+    ok = sample
+    for m in metrics:
+        ok = ok.where(V.is_valid(m))
+    ok = materialise(ok.select(id_col, *metrics), "mantel-sample")
+    n = ok.count()
+    schema = "first string, second string, mantel_r double, p_value double, n_perm int, n_tokens int, significant boolean"
+    if n < 3:
+        return spark.createDataFrame([(a, b, None, None, n_perm, n, None) for a, b in pairs], schema)
+    ranks = materialise(similarity_ranks(ok, metrics, id_col, block), "mantel-unit-ranks")
+    observed = token_correlation(ranks, pairs)
+    # A matrix' row without its lower half: the ranks of (i, i + 1), (i, i + 2), ...
+    rows = ranks.groupBy("m", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("row"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        full = {m: np.zeros((n, n)) for m in metrics}
+        for m, i, row in zip(pdf["m"], pdf["i"], pdf["row"]):
+            full[m][i, i + 1 :] = row
+        for m in full:
+            full[m] += full[m].T
+        part, out = int(pdf["part"].iloc[0]), []
+        for b in range(part, n_perm, parts):
+            order = np.random.default_rng([seed, b]).permutation(n)
+            moved = {m: full[m][np.ix_(order, order)] for m in {b for _, b in pairs}}
+            out += [(x, y, float((full[x] * moved[y]).sum() / 2)) for x, y in pairs]
+        return pd.DataFrame(out, columns=["first", "second", "s"])
+
+    null = rows.groupBy("part").applyInPandas(run, "first string, second string, s double")
+    p = null.join(F.broadcast(observed), ["first", "second"]).groupBy("first", "second").agg(
+        F.first("mantel_r").alias("mantel_r"), ((F.count_if(F.abs("s") >= F.abs("mantel_r") - 1e-12) + 1) / (n_perm + 1)).alias("p_value")
     )
+    return p.select("first", "second", "mantel_r", "p_value", F.lit(n_perm).alias("n_perm"), F.lit(n).alias("n_tokens"), (F.col("p_value") < alpha).alias("significant"))

@@ -406,11 +406,36 @@ def mantel_perm_p(spark, d):
     return rounded(B.mantel(m, [("euclid", "whisper"), ("euclid", "xlsr"), ("whisper", "xlsr")], n_perm=N_PERM))
 
 
+RSM = {"acoustic": "euclidean", "whisper": "cosine", "xlsr": "cosine"}
+RSM_PAIRS = [("acoustic", "whisper"), ("acoustic", "xlsr"), ("whisper", "xlsr")]
+
+
+def _rsm_tokens(spark, d):
+    """The sample of vowel tokens that are valid in all three representations; its size is the reference's parameter."""
+    r = acoustic_reps(spark, d).select("token_id", F.col("v").alias("acoustic"))
+    v = S.reps(spark, d).select("token_id", F.col("v").alias("whisper"), F.slice("v", 1, 32).alias("xlsr"))
+    r = r.join(v, "token_id").where(V.is_valid("acoustic") & V.is_valid("whisper") & V.is_valid("xlsr"))
+    return B.token_sample(r, "token_id", 2000, 42)
+
+
 @query()
 def rsm_mantel(spark, d):
-    r = acoustic_reps(spark, d).select("token_id", F.col("v").alias("a")).join(S.reps(spark, d).select("token_id", F.col("v").alias("n")), "token_id")
-    r = r.where(V.is_valid("a") & V.is_valid("n"))
-    return rounded(B.token_mantel(B.token_sample(r, "token_id", 2000, 42), "a", "n", n_perm=N_PERM))
+    return rounded(B.token_mantel(_rsm_tokens(spark, d), RSM, RSM_PAIRS, n_perm=N_PERM))
+
+
+@query(f"""
+with r as ({S.REPS_SQL}), s as materialized (select token_id, [F1, F2] as acoustic, embedding::double[] as whisper, embedding[1:32]::double[] as xlsr
+  from r where phoneme in ('a','e','ɛ','i','o','ø','u','y') and F1 is not null and F2 is not null order by md5('42-' || token_id), token_id limit 2000),
+p as materialized (select a.token_id as i, b.token_id as j, -list_distance(a.acoustic, b.acoustic) as acoustic,
+  list_cosine_similarity(a.whisper, b.whisper) as whisper, list_cosine_similarity(a.xlsr, b.xlsr) as xlsr from s a join s b on a.token_id < b.token_id),
+k as (select * replace (rank() over (order by acoustic) + (count(*) over (partition by acoustic) - 1) / 2 as acoustic,
+  rank() over (order by whisper) + (count(*) over (partition by whisper) - 1) / 2 as whisper, rank() over (order by xlsr) + (count(*) over (partition by xlsr) - 1) / 2 as xlsr) from p)
+select 'acoustic' as first, 'whisper' as second, round(corr(acoustic, whisper), 5) as mantel_r from k union all
+select 'acoustic', 'xlsr', round(corr(acoustic, xlsr), 5) from k union all select 'whisper', 'xlsr', round(corr(whisper, xlsr), 5) from k
+""")
+def rsm_correlation(spark, d):
+    """The observed correlations of ``rsm_mantel``."""
+    return rounded(B.token_correlation(materialise(B.similarity_ranks(_rsm_tokens(spark, d), RSM), "rsm-ranks"), RSM_PAIRS), 5)
 
 
 _DRAWS = f"""

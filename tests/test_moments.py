@@ -26,20 +26,18 @@ def frame(spark, rows):
 def dense(rows, columns, z, low, reml=False):
     """Log likelihood with every V written out."""
     x = np.array([[1.0, *[float(f(r)) for f in columns]] for r in rows])
-    y = np.array([r[4] for r in rows])
-    unit = np.array([r[0] for r in rows])
-    v = np.eye(len(rows))
-    for u in set(unit):
+    y, unit = np.array([r[4] for r in rows]), np.array([r[0] for r in rows])
+    blocks, det = [], 0.0
+    for u in sorted(set(unit)):
         i = np.flatnonzero(unit == u)
-        zz = x[np.ix_(i, z)]
-        v[np.ix_(i, i)] += zz @ low @ low.T @ zz.T
-    w = np.linalg.inv(v)
-    xtx = x.T @ w @ x
-    beta = np.linalg.solve(xtx, x.T @ w @ y)
-    r = y - x @ beta
+        v = np.eye(len(i)) + x[np.ix_(i, z)] @ low @ low.T @ x[np.ix_(i, z)].T
+        blocks.append((x[i], y[i], np.linalg.inv(v)))
+        det += np.linalg.slogdet(v)[1]
+    xtx = sum(a.T @ w @ a for a, _, w in blocks)
+    beta = np.linalg.solve(xtx, sum(a.T @ w @ b for a, b, w in blocks))
     free = len(y) - x.shape[1] if reml else len(y)
-    s2 = r @ w @ r / free
-    ll = -0.5 * (free * np.log(2 * np.pi * s2) + np.linalg.slogdet(v)[1] + free)
+    s2 = sum((b - a @ beta) @ w @ (b - a @ beta) for a, b, w in blocks) / free
+    ll = -0.5 * (free * np.log(2 * np.pi * s2) + det + free)
     return (ll - 0.5 * np.linalg.slogdet(xtx)[1] if reml else ll), beta, s2
 
 

@@ -233,11 +233,54 @@ def test_mantel_by_refitting_ranks(spark):
     assert r.mantel_r == pytest.approx(want) and 1 / 20 <= r.p_value <= 1
 
 
-def test_token_mantel(spark):
-    p = vectors(30, seed=5)
-    df = spark.createDataFrame(p.assign(w=p["v"]))
-    r = B.token_mantel(df, "v", "w", n_perm=19, blocks=2).first()
-    assert r.n_tokens == 30 and r.mantel_r > 0.3 and r.p_value == pytest.approx(1 / 20)
+def test_token_mantel_equals_whole_matrices(spark):
+    """300 tokens in blocks of 70 against numpy on whole matrices: correlations and permutation p-values."""
+    p = vectors(300, seed=5)
+    x = np.stack(p["v"])
+    p["w"] = [v[:3].tolist() for v in x]
+    p["u"] = [[float(round(4 * abs(v[0])))] for v in x]  # many ties
+    df = spark.createDataFrame(p)
+    df = df.union(df.limit(1).withColumn("token_id", F.lit(-1).cast("long")).withColumn("w", F.lit(None).cast("array<double>")))
+    metrics, pairs = {"v": "euclidean", "w": "cosine", "u": "euclidean"}, [("v", "w"), ("v", "u"), ("w", "u")]
+    got = {(r.first, r.second): r for r in B.token_mantel(df.select("token_id", "v", "w", "u"), metrics, pairs, n_perm=19, parts=3, block=70).collect()}
+    order = np.argsort(p["token_id"].to_numpy())
+    up = np.triu_indices(300, 1)
+    c = {}
+    for m, metric in metrics.items():
+        y = np.stack(p[m])[order].astype(float)
+        sim = -np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)) if metric == "euclidean" else (y @ y.T) / np.outer(*[np.linalg.norm(y, axis=1)] * 2)
+        r = pd.Series(sim[up]).rank().to_numpy()
+        r -= r.mean()
+        c[m] = np.zeros((300, 300))
+        c[m][up] = r / np.sqrt(r @ r)
+        c[m] += c[m].T
+    for a, b in pairs:
+        obs = (c[a] * c[b]).sum() / 2
+        null = [(c[a] * c[b][np.ix_(q, q)]).sum() / 2 for q in (np.random.default_rng([42, k]).permutation(300) for k in range(19))]
+        assert got[a, b].mantel_r == pytest.approx(obs, abs=1e-6) and got[a, b].n_tokens == 300
+        assert got[a, b].p_value == pytest.approx((sum(abs(s) >= abs(obs) - 1e-12 for s in null) + 1) / 20)
+        assert got[a, b].significant == (got[a, b].p_value < 0.05)
+    few = B.token_mantel(df.limit(2).select("token_id", "v", "w", "u"), metrics, pairs, n_perm=19).collect()
+    assert len(few) == 3 and few[0].mantel_r is None
+
+
+def test_outliers_do_not_crowd_a_stretch(spark, request):
+    from quillon.operators import order
+
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # small stretches would be joined
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+
+    largest = []
+    for extra in (20_000.0, 1e12):
+        values = [float(i) for i in range(20_000)] + [extra]
+        df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+        d = order.placed(df, "v", ["g"])
+        largest.append(d.groupBy("_part").count().agg(F.max("count")).first()[0])
+        r = {x.v: (x.rank, x.tied) for x in order.average_ranks(df.union(df.where("v < 2")), "v", ["g"]).distinct().collect()}
+        assert r[0.0] == (1.5, 2) and r[2.0] == (5.0, 1) and r[extra] == (20_003.0, 1)
+        assert {x.v: x.rank for x in order.row_ranks(df.union(df.where("v < 2")), "v", ["g"]).collect()} == {k: v[0] for k, v in r.items()}
+    assert largest[1] <= 2 * largest[0] and largest[1] < 15_000
 
 
 def test_bootstrap_on_sums_equals_concatenating_tokens(spark):
