@@ -276,9 +276,13 @@ def op10_winnow_decontam(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without rows that have a hit.  Ids must be unique, as after dedup; columns as in ``docs``."""
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad.distinct(), docs[id_col] == F.col("_bad_id"), "left_anti")
+    """``docs`` without rows that have a hit; columns as in ``docs``.
+
+    Rows are known by a 64-bit hash of id and text, so null and repeated ids do no harm."""
+    key = F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+    found = contamination(docs.select(key.alias("_key"), text_col), benchmark, "_key", text_col, **options)
+    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("_bad"))
+    return docs.join(bad.distinct(), key == F.col("_bad"), "left_anti")
 
 
 SQL = r"""

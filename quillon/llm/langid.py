@@ -25,6 +25,9 @@ from quillon.llm.durable import materialise
 LONGEST = 16  # bytes of a piece
 ROUNDS = 3
 SMOOTHING = 0.05
+#: Bytes of a run of letters that are segmented together; longer runs (unspaced scripts) are read as parts, cut between code
+#: points, so that the forward pass goes over many parts at once and takes as many steps as a part has bytes.
+PART = 192
 CACHE_WORDS = 400_000
 BLOCK_WORDS = 40_000
 CHUNK = 4 << 20
@@ -119,7 +122,7 @@ def word_scores(pieces: Pieces, prob: np.ndarray, prefix: np.ndarray, start: np.
     for lo in range(0, len(order), BLOCK_WORDS):
         block = order[lo : lo + BLOCK_WORDS]
         s, size = start[block], length[block]
-        scale = np.zeros(len(block))
+        scale = np.zeros((len(block), prob.shape[1]))
         alpha = {0: np.tile(prob[pieces.bare], (len(block), 1))}
         for i in range(1, int(size[-1]) + 1):
             on = int(np.searchsorted(size, i))
@@ -132,12 +135,12 @@ def word_scores(pieces: Pieces, prob: np.ndarray, prefix: np.ndarray, start: np.
             alpha[i] = acc
             alpha.pop(i - LONGEST, None)
             done = int(np.searchsorted(size, i, side="right"))
-            out[block[on:done]] = np.log(acc[on:done]) + scale[on:done, None]
-            if i % LONGEST == 0:  # keep the numbers in range
-                top = np.max([a.max(axis=1) for a in alpha.values()], axis=0)
+            out[block[on:done]] = np.log(acc[on:done]) + scale[on:done]
+            if i % LONGEST == 0:  # keep the numbers in range, for each word and language
+                top = np.max(list(alpha.values()), axis=0)
                 top[top == 0] = 1
                 for a in alpha.values():
-                    a /= top[:, None]
+                    a /= top
                 scale += np.log(top)
     return out
 
@@ -154,16 +157,16 @@ def expected_counts(pieces: Pieces, prob: np.ndarray, prefix: np.ndarray, start:
             cuts = [None] + [_cuts(pieces, prefix, s, i) for i in range(1, size + 1)]
             alpha = np.zeros((size + 1, len(s)))
             alpha[0] = prob[pieces.bare]
-            grow = np.zeros(size + 1)
+            # Logarithms of each word's scale: words of one length differ too much to share one.
+            grow = np.zeros((size + 1, len(s)))
             for i in range(1, size + 1):
                 for n, at in cuts[i]:
                     alpha[i] += prob[at] * (np.exp(-grow[i - 1]) if n < 0 else alpha[i - n] * np.exp(grow[i - n] - grow[i - 1]))
-                step = max(float(alpha[i].max()), 1e-300)
+                step = np.where(alpha[i] > 0, alpha[i], 1.0)
                 alpha[i] /= step
                 grow[i] = grow[i - 1] + np.log(step)
             beta = np.zeros((size + 1, len(s)))
-            beta[size] = w / alpha[size]
-            back = np.zeros(size + 1)  # beta[i] stands for beta * exp(grow[size] - grow[i]) up to ``back``
+            beta[size] = np.where(alpha[size] > 0, w, 0.0)  # alpha[size] is 1 after scaling
             for i in range(size, 0, -1):
                 for n, at in cuts[i]:
                     if n < 0:
@@ -178,7 +181,21 @@ def expected_counts(pieces: Pieces, prob: np.ndarray, prefix: np.ndarray, start:
 
 def _words_of(batch_text, lo, hi, data, offsets):
     low = data[offsets[lo] : offsets[hi]]
-    return T.words(low, offsets[lo : hi + 1] - offsets[lo], LETTERS), low
+    bounds = offsets[lo : hi + 1] - offsets[lo]
+    w = T.words(low, bounds, LETTERS)
+    far = np.flatnonzero(w.end - w.start > PART)
+    if not len(far):
+        return w, low
+    cuts = []
+    for a, b in zip(w.start[far].tolist(), w.end[far].tolist()):
+        at = a + PART
+        while at < b:
+            while low[at] & 0xC0 == 0x80:  # inside a code point
+                at -= 1
+            cuts.append(at)
+            at += PART
+    start, end = np.sort(np.concatenate((w.start, cuts))).astype(np.int64), np.sort(np.concatenate((w.end, cuts))).astype(np.int64)
+    return T.Words(start, end, T.span_hash(T.prefix_hash(low), start, end), np.searchsorted(start, bounds)), low
 
 
 def _count_words(batches):
@@ -343,8 +360,10 @@ def op6_segmentation_langid(spark, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, path: str, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without rows whose language is "und" or whose score is below ``min_score``; columns as in ``docs``.
 
-    The model is fitted on the rows with a language.  Ids must be unique."""
+    The model is fitted on the rows with a language.  Rows are judged by their text alone, so equal texts share a fate,
+    and null and repeated ids do no harm."""
     languages, prob = fit(docs, path, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = identify(docs, path, languages, prob, id_col, text_col)
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    found = identify(docs.select(key.alias("_key"), text_col), path, languages, prob, "_key", text_col)
     bad = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(bad, docs[id_col] == F.col("_rejected"), "left_anti")
+    return docs.join(bad.distinct(), key == F.col("_rejected"), "left_anti")

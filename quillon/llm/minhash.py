@@ -331,10 +331,14 @@ def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest id; columns as in ``docs``.  Ids must be unique."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    """``docs`` with one row of each component, that of its smallest id; columns as in ``docs``.
+
+    Ids must be whole numbers and unique, but for nulls: a row without id counts under a number from its text that lies
+    above 2^62, so it goes if a row with an id is near."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 61)))
+    found = near_duplicates(docs.select(own.alias("_own"), text_col), "_own", text_col, **options)
     rest = found.where("component_id < doc_id").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(rest, docs[id_col] == F.col("_copy_id"), "left_anti")
+    return docs.join(rest, own == F.col("_copy_id"), "left_anti")
 
 
 SQL = r"""

@@ -90,6 +90,24 @@ def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path):
     assert len(out) == len(set(out)) and set(out) <= {1, 2, 5, None} and None in out
 
 
+def test_pipeline_filters_rows_without_an_id(spark):
+    """Null and repeated ids: each row is judged by its own text."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = max((r.text for r in docs.where("doc_id < 40").collect()), key=len)
+    near = clean.replace(clean.split()[len(clean.split()) // 2], "changed", 1)
+    odd = [(None, "123 456"), (None, None), (1, "789 !!"), (None, f"some words before {item} and some after"), (None, near)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, None, 0) for i, t in odd], docs.schema))
+    good = docs.where("doc_id = 1 and text like '%a%'").count()
+    out = P.language(spark, docs, SF)
+    left = out.collect()
+    assert {r.text for r in left if r.doc_id is None} == {odd[3][1], near} and sum(r.doc_id == 1 for r in left) == good
+    assert near not in {r.text for r in P.near(spark, P.exact(spark, out, SF), SF).where("doc_id is null").collect()}
+    assert odd[3][1] not in {r.text for r in P.decontaminate(spark, out, SF).collect()}
+
+
 def test_suffix_columns(spark):
     """The registered query against brute force over the whole table."""
     from test_dedup import without_repeats

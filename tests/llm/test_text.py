@@ -393,3 +393,21 @@ def word_hash(w):
     data = np.frombuffer(w.encode(), np.uint8)
     with np.errstate(over="ignore"):
         return T.words(data, np.array([0, len(data)]), T.NOT_SPACE).hash
+
+
+def test_languages_with_unlike_long_words_stay_finite(spark):
+    """Two long words of one length, one far less likely than the other, and runs without spaces."""
+    import time
+
+    en, fr = "the cat sat on the mat and looked at the dog", "le chat est sur le tapis et regarde le chien"
+    rows = [(i, en, "en") for i in range(40)] + [(100 + i, fr, "fr") for i in range(40)] + [(200, "the" * 100, "en"), (201, "漢" * 100, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = langid.default_vocabulary()
+    languages, prob = langid.fit(docs, path)
+    assert np.isfinite(prob).all()
+    got = {r.doc_id: r for r in langid.identify(docs, path, languages, prob).collect()}
+    assert all(0 <= r.score <= 1 and r.lang_pred == dict((i, x) for i, _, x in rows)[i] for i, r in got.items())
+    text = "".join(chr(0x4E00 + i * 7919 % 5000) for i in range(60_000))
+    began = time.time()
+    r = langid.identify(spark.createDataFrame([(1, text), (2, text[:5] + "é" * 5000)], "doc_id long, text string"), path, languages, prob).collect()
+    assert all(0 <= x.score <= 1 for x in r) and time.time() - began < 60
