@@ -44,6 +44,21 @@ def number_rows(df: DataFrame, order: list[str], out: str = "token_id") -> DataF
     return in_order.join(starts, "_part").withColumn(out, place).drop("_part", "_start", "_at")
 
 
+def align(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], out: str = "place") -> DataFrame:
+    """The columns of both tables side by side, row by row in their own orders, and the row's place from 0.
+
+    However differently the tables are split, each is numbered by ranges (see ``number_rows``) and the two meet on the
+    number; tables of different lengths are an error, as are columns of one name in both."""
+    clash = set(a.columns) & set(b.columns)
+    if clash:
+        raise ValueError(f"columns in both tables: {sorted(clash)}")
+    x, y = number_rows(a, order_a, out), number_rows(b, order_b, out)
+    n, m = x.count(), y.count()
+    if n != m:
+        raise ValueError(f"tables of {n} and {m} rows can't be aligned")
+    return x.join(y, out)
+
+
 def attach_speakers(phones: DataFrame, speakers: DataFrame) -> DataFrame:
     """All phones, with speaker data where there is any (a right outer join; the speaker side is small)."""
     return speakers.join(phones, "spk", "right")

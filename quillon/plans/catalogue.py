@@ -870,6 +870,39 @@ def speaker_clustering(spark, d):
     return rounded(scores, 4)
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+select vec_id as token_id, len(embedding)::int as dims, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) as total,
+  row_number() over (order by vec_id) - 1 as n_before from embeddings
+""")
+def npz_round_trip(spark, d):
+    """The representations written to .npz files and read back by row ranges."""
+    from quillon.sources import files
+    from quillon.sources.durable import folder
+
+    path = folder(spark, "npz")
+    files.write_npz_files(S.reps(spark, d).select("token_id", "v"), path, rows=1000)
+    r = files.read_npz_rows(spark, path, ids="token_id", rows=300)
+    r = r.select("token_id", F.size("v").alias("dims"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return rounded(I.number_rows(r, ["token_id"], "n_before"), 5)
+
+
+@query("""
+with b0 as (select l_orderkey, sum(l_quantity)::double as quantity from lineitem where l_orderkey in (select o_orderkey from orders) group by all),
+a as (select o_orderkey, row_number() over (order by o_orderkey) as n from orders where o_orderkey in (select l_orderkey from lineitem)),
+b as (select *, row_number() over (order by quantity, l_orderkey) as n from b0)
+select n - 1 as place, o_orderkey, l_orderkey, quantity from a join b using (n)
+""")
+def positional_alignment(spark, d):
+    """Orders by key beside orders by quantity: two tables that only the places of their rows relate."""
+    item, order = S.table(spark, d, "lineitem"), S.table(spark, d, "orders").select("o_orderkey")
+    same = F.col("o_orderkey") == F.col("l_orderkey")
+    sums = item.join(order, same, "left_semi").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    return I.align(order.join(item, same, "left_semi"), sums, ["o_orderkey"], ["quantity", "l_orderkey"])
+
+
 # --- mixed models and reduction ---------------------------------------------------------------------------------------
 
 

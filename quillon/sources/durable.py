@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: computed once, its lineage cut, safe from lost executors.
-
-    Without that setting a folder in the warehouse is taken on a local master; elsewhere the setting is required."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; without that setting in the warehouse, on a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a shared folder and read it back: computed once, its lineage cut, safe from lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

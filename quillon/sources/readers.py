@@ -194,6 +194,21 @@ def resample_wavs(spark: SparkSession, folder: str, out: str, rate: int = SAMPLE
     return spark.read.parquet(out)
 
 
+def write_resampled_wavs(spark: SparkSession, folder: str, out: str, rate: int = SAMPLE_RATE) -> None:
+    """Real WAV files below ``out``, of one channel and of ``rate``, under the names they have below ``folder``."""
+    from pyspark.sql import functions as F
+
+    from quillon.sources.files import write_files
+
+    files = read_wavs(spark, folder, rate, strict=False)
+    root = folder.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    encode = lambda batches: (
+        pd.DataFrame({"path": pdf["path"], "content": [encode_wav(np.asarray(x, float), rate) for x in pdf["samples"]]}) for pdf in batches
+    )
+    d = files.mapInPandas(encode, "path string, content binary")
+    write_files(d.select(F.element_at(F.split("path", root, 2), -1).alias("name"), "content"), out)
+
+
 def read_wavs(spark: SparkSession, folder: str, rate: int = SAMPLE_RATE, strict: bool = True) -> DataFrame:
     """(path, rate, samples); a file of another rate is an error if ``strict``, else it is resampled."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
