@@ -583,22 +583,31 @@ def bh_fdr_by_family(spark, d):
 
 # --- leave one speaker out --------------------------------------------------------------------------------------------
 
-_LOSO = """
+_LOSO_AC = """
+av as (select token_id, spk, L1, phoneme, F1, F2 from r where F1 is not null and F2 is not null and phoneme in ('a','e','ɛ','i','o','ø','u','y')),
+ak as (select spk, phoneme, sum(F1) as a, sum(F2) as b, count(*) as n from av group by all), al as (select phoneme, sum(a) as a, sum(b) as b, sum(n) as n from ak group by all),
+acn as (select sp.spk, al.phoneme as class, (al.a - coalesce(ak.a, 0)) / (al.n - coalesce(ak.n, 0)) as a, (al.b - coalesce(ak.b, 0)) / (al.n - coalesce(ak.n, 0)) as b
+      from (select distinct spk from av) sp cross join al left join ak on ak.spk = sp.spk and ak.phoneme = al.phoneme where al.n - coalesce(ak.n, 0) > 0),
+apred as (select token_id, spk, L1, phoneme as y_true, class as y_pred from (select av.*, class, row_number() over (partition by token_id order by (F1 - acn.a) ** 2 + (F2 - acn.b) ** 2, class) as rn from av join acn using (spk)) where rn = 1)
+"""
+_LOSO = f"""{_LOSO_AC},
 k as (select model, spk, phoneme, dim, sum(x) as s, count(*) as n from vx group by all), a as (select model, phoneme, dim, sum(s) as s, sum(n) as n from k group by all),
 sp as (select distinct model, spk from vx),
 c as (select sp.model, sp.spk, a.phoneme as class, a.dim, (a.s - coalesce(k.s, 0)) / (a.n - coalesce(k.n, 0)) as c from sp join a using (model) left join k on k.model = sp.model and k.spk = sp.spk and k.phoneme = a.phoneme and k.dim = a.dim
       where a.n - coalesce(k.n, 0) > 0),
 far as (select vx.model, token_id, vx.spk, L1, vx.phoneme as y_true, class, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 12) as s from vx join c on c.model = vx.model and c.spk = vx.spk and c.dim = vx.dim group by all),
-pred as (select model, token_id, spk, L1, y_true, class as y_pred from (select *, row_number() over (partition by model, token_id order by s desc, class) as rn from far) where rn = 1)
+pred as (select model, token_id, spk, L1, y_true, class as y_pred from (select *, row_number() over (partition by model, token_id order by s desc, class) as rn from far) where rn = 1
+  union all select 'acoustic', token_id, spk, L1, y_true, y_pred from apred)
 """
 
 
 def _pred(spark, d):
+    """Predictions from the acoustic and both neural representations."""
     r = vowel_reps(spark, d)
-    out = None
+    out = C.loso(acoustic_reps(spark, d).withColumn("model", F.lit("acoustic")), metric="euclidean", carry=("L1", "model"))
     for m in ("whisper", "xlsr"):
         one = C.loso(r.where(F.col("model") == m), metric="cosine", carry=("L1", "model"))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(one)
     return out
 
 
@@ -607,16 +616,7 @@ def loso_predictions(spark, d):
     return _pred(spark, d).select("model", "token_id", "spk", "y_true", "y_pred")
 
 
-_LOSO_AC = """
-ac as (select token_id, spk, phoneme, F1, F2 from r where F1 is not null and F2 is not null and phoneme in ('a','e','ɛ','i','o','ø','u','y')),
-k as (select spk, phoneme, sum(F1) as a, sum(F2) as b, count(*) as n from ac group by all), al as (select phoneme, sum(a) as a, sum(b) as b, sum(n) as n from k group by all),
-c as (select sp.spk, al.phoneme as class, (al.a - coalesce(k.a, 0)) / (al.n - coalesce(k.n, 0)) as a, (al.b - coalesce(k.b, 0)) / (al.n - coalesce(k.n, 0)) as b
-      from (select distinct spk from ac) sp cross join al left join k on k.spk = sp.spk and k.phoneme = al.phoneme where al.n - coalesce(k.n, 0) > 0),
-pred as (select token_id, spk, phoneme as y_true, class as y_pred from (select ac.*, class, row_number() over (partition by token_id order by (F1 - c.a) ** 2 + (F2 - c.b) ** 2, class) as rn from ac join c using (spk)) where rn = 1)
-"""
-
-
-@query(f"with {_VECTORS}, {_LOSO_AC} select token_id, spk, y_true, y_pred from pred")
+@query(f"with {_VECTORS}, {_LOSO_AC} select token_id, spk, y_true, y_pred from apred")
 def loso_acoustic(spark, d):
     return C.loso(acoustic_reps(spark, d), metric="euclidean").select("token_id", "spk", "y_true", "y_pred")
 
@@ -648,22 +648,34 @@ def loso_confusion(spark, d):
     return C.confusion(_pred(spark, d), ["model"])
 
 
-@query(f"with {_VECTORS}, {_LOSO}, {_f1_sql('model')} select class as phoneme, round(max(f1) filter (model = 'whisper'), 6) as whisper, round(max(f1) filter (model = 'xlsr'), 6) as xlsr from f group by class")
+@query(f"with {_VECTORS}, {_LOSO}, {_f1_sql('model')} select class as phoneme, round(max(f1) filter (model = 'acoustic'), 6) as acoustic, round(max(f1) filter (model = 'whisper'), 6) as whisper, round(max(f1) filter (model = 'xlsr'), 6) as xlsr from f group by class")
 def f1_pivot(spark, d):
-    return rounded(C.pivot_f1(C.class_scores(_pred(spark, d), ["model"]), values=["whisper", "xlsr"]))
+    return rounded(C.pivot_f1(C.class_scores(_pred(spark, d), ["model"]), values=["acoustic", "whisper", "xlsr"]))
+
+
+PAIRS = (("acoustic", "whisper"), ("acoustic", "xlsr"), ("whisper", "xlsr"))
+
+
+def _mcnemar(spark, d):
+    pred, out = materialise(_pred(spark, d), "loso-predictions"), None
+    for a, b in PAIRS:
+        one = C.mcnemar(pred, a, b)
+        out = one if out is None else out.union(one)
+    return out
 
 
-@query(f"""with {_VECTORS}, {_LOSO}, ab as (select token_id, bool_or(y_true = y_pred) filter (model = 'whisper') as a, bool_or(y_true = y_pred) filter (model = 'xlsr') as b from pred group by token_id)
-select 'whisper' as model_A, 'xlsr' as model_B, count(*) filter (a and b)::bigint as n11, count(*) filter (a and not b)::bigint as n10, count(*) filter (not a and b)::bigint as n01, count(*) filter (not a and not b)::bigint as n00,
-  count(*) filter (a <> b)::bigint as discordant, count(*) filter (a <> b) < 25 as exact from ab
+@query(f"""with {_VECTORS}, {_LOSO}, ab as (select x.model as model_A, y.model as model_B, x.y_true = x.y_pred as a, y.y_true = y.y_pred as b from pred x join pred y on x.token_id = y.token_id and x.model < y.model)
+select model_A, model_B, count(*) filter (a and b)::bigint as n11, count(*) filter (a and not b)::bigint as n10, count(*) filter (not a and b)::bigint as n01, count(*) filter (not a and not b)::bigint as n00,
+  count(*) filter (a <> b)::bigint as discordant, count(*) filter (a <> b) < 25 as exact from ab group by all
 """)
 def mcnemar_cells(spark, d):
-    return C.mcnemar(_pred(spark, d), "whisper", "xlsr").drop("statistic", "p_value")
+    """All pairs of representations, on the tokens that both classified."""
+    return _mcnemar(spark, d).drop("statistic", "p_value")
 
 
 @query()
 def mcnemar_test(spark, d):
-    return rounded(C.mcnemar(_pred(spark, d), "whisper", "xlsr"))
+    return rounded(_mcnemar(spark, d))
 
 
 # --- equivalence ------------------------------------------------------------------------------------------------------
