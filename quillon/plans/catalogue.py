@@ -859,15 +859,18 @@ def cv_clustering(spark, d):
 
 @query()
 def speaker_clustering(spark, d):
-    """Acoustic speaker vectors are scaled and compared by distance, neural ones filled in and compared by cosine."""
+    """Acoustic speaker vectors are filled in, scaled and compared by distance; neural ones have zeros for a vowel that a
+    speaker lacks and are compared by cosine."""
     column = ["phoneme", "dim"]
     normal = D.lobanov(S.reps(spark, d)).where(I.is_vowel("phoneme"))
     pair = F.when(F.col("F1_normed").isNotNull() & F.col("F2_normed").isNotNull(), F.array("F1_normed", "F2_normed"))
     neural = vowel_reps(spark, d)
     out = None
     for name, r in (("acoustic", normal.withColumn("v", pair)), *((m, neural.where(F.col("model") == m)) for m in ("whisper", "xlsr"))):
-        x = K.impute_mean(K.unit_vectors(r, "spk", "phoneme"), column)
-        x = K.z_scores(x, column).drop("x").withColumnRenamed("z", "x") if name == "acoustic" else x
+        if name == "acoustic":
+            x = K.z_scores(K.impute_mean(K.unit_vectors(r, "spk", "phoneme"), column), column).drop("x").withColumnRenamed("z", "x")
+        else:
+            x = K.unit_vectors(r, "spk", "phoneme", missing=0.0)
         x = x.groupBy("spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("phoneme", "dim", "x"))), lambda s: s["x"]).alias("centroid"))
         m = X.long_matrix(x.withColumn("model", F.lit(name)), "spk", metric="euclidean" if name == "acoustic" else "cosine", within=["model"])
         out = m if out is None else out.unionByName(m)
