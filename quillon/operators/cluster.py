@@ -16,22 +16,48 @@ COLOUR_SHARE = 0.7
 
 
 def ward(d: np.ndarray) -> np.ndarray:
-    """Linkage rows (left, right, height, size) by the Lance-Williams update for Ward's criterion on any distances."""
+    """Linkage rows (left, right, height, size) by the Lance-Williams update for Ward's criterion on any distances.
+
+    A chain of nearest neighbours on the squared distances: n^2 numbers and about 3 n steps over one row each.  Ward's
+    criterion never brings a union nearer than its parts were, so the chain stays valid after a merge, and the merges
+    sorted by height are those of always joining the closest pair.  Equal distances: the smallest number first."""
     n = len(d)
-    d2 = {(i, j): float(d[i, j]) ** 2 for i in range(n) for j in range(i + 1, n)}
-    size = {i: 1 for i in range(n)}
-    out = []
-    for step in range(n - 1):
-        (i, j), v = min(d2.items(), key=lambda kv: (kv[1], kv[0]))
-        new = n + step
-        for k in size:
-            if k not in (i, j):
-                a, b = d2.pop((min(i, k), max(i, k))), d2.pop((min(j, k), max(j, k)))
-                t = size[i] + size[j] + size[k]
-                d2[k, new] = ((size[i] + size[k]) * a + (size[j] + size[k]) * b - size[k] * v) / t
-        d2.pop((i, j))
-        size[new] = size.pop(i) + size.pop(j)
-        out.append((i, j, math.sqrt(max(v, 0.0)), size[new]))
+    d2 = np.square(np.asarray(d, dtype=float))
+    np.fill_diagonal(d2, np.inf)
+    size, top = np.ones(n), np.zeros(n)
+    live = np.ones(n, bool)
+    chain, found, start = [], [], 0
+    for _ in range(n - 1):
+        if not chain:
+            while not live[start]:
+                start += 1
+            chain = [start]
+        while True:
+            i = chain[-1]
+            j = int(d2[i].argmin())
+            if len(chain) > 1 and d2[i, chain[-2]] <= d2[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        i, j = min(i, j), max(i, j)
+        v = d2[i, j]
+        row = ((size[i] + size) * d2[i] + (size[j] + size) * d2[j] - size * v) / (size[i] + size[j] + size)
+        live[i] = False
+        row[~live] = np.inf
+        row[j] = np.inf
+        d2[i], d2[:, i], d2[j], d2[:, j] = np.inf, np.inf, row, row
+        size[j] += size[i]
+        # Rounding must not put a union below its parts.
+        top[j] = max(v, top[i], top[j])
+        found.append((top[j], i, j))
+    # The union took its right part's place: follow places to the number of the cluster that stands there.
+    place, count, out = list(range(n)), [1] * n, []
+    for step, (v, i, j) in enumerate(sorted(found, key=lambda m: m[0])):
+        left, right = sorted((place[i], place[j]))
+        count[j] += count[i]
+        place[j] = n + step
+        out.append((left, right, math.sqrt(max(v, 0.0)), count[j]))
     return np.array(out)
 
 
@@ -55,34 +81,39 @@ def cut(z: np.ndarray, n: int, k: int) -> list[int]:
     return out
 
 
-def ward_clusters(matrix: DataFrame, by: list[str], key: str, ks: tuple[int, ...], d: str = "d") -> DataFrame:
-    """(by, k, item, cluster) by Ward linkage of long distance matrices, one per group.
+def _per_matrix(matrix: DataFrame, by: list[str], key: str, d: str, columns: list[str], schema: str, rows) -> DataFrame:
+    """``rows(items, z)`` for the Ward linkage z of each long distance matrix; none for a matrix of fewer than two items or
+    with a gap.
 
-    A group is a matrix over labels (phones, speakers), whose size is that of the label set, not of the data."""
+    A matrix' row travels as one array in the order of its items, so a task holds n^2 numbers and n names, no pairs of
+    names.  Items are labels or speakers, not tokens."""
     kinds = dict(matrix.dtypes)
-    i, j = f"{key}_i", f"{key}_j"
+    cells = F.array_sort(F.collect_list(F.struct(F.col(f"{key}_j").alias("j"), F.col(d).cast("double").alias("d"))))
+    packed = matrix.groupBy(*by, F.col(f"{key}_i").alias("_item")).agg(cells.alias("_row")).select(*by, "_item", F.transform("_row", lambda c: c["d"]).alias("_row"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index=i, columns=j, values=d).sort_index().sort_index(axis=1)
-        rows = []
-        if len(m) > 1 and not m.isna().any().any():
-            z = ward(m.to_numpy())
-            rows = [(*pdf[by].iloc[0], k, item, c) for k in ks for item, c in zip(m.index, cut(z, len(m), k))]
-        return pd.DataFrame(rows, columns=[*by, "k", key, "cluster"])
+        pdf = pdf.sort_values("_item")
+        n, out = len(pdf), []
+        if n > 1 and all(len(r) == n for r in pdf["_row"]):
+            m = np.array([np.asarray(r, dtype=float) for r in pdf["_row"]])
+            if not np.isnan(m).any():
+                out = [(*pdf[by].iloc[0], *r) for r in rows(list(pdf["_item"]), ward(m))]
+        return pd.DataFrame(out, columns=[*by, *columns])
 
-    return matrix.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + f", k int, `{key}` {kinds[i]}, cluster int")
+    return packed.groupBy(*by).applyInPandas(run, "".join(f"`{b}` {kinds[b]}, " for b in by) + schema)
 
 
-def linkage(matrix: DataFrame, by: list[str], key: str, d: str = "d") -> DataFrame:
-    """Dendrogram rows (by, step, left, right, height, size); items are numbered in order from 0, merges go on from n."""
-    kinds = dict(matrix.dtypes)
+def ward_clusters(matrix: DataFrame, by: list[str], key: str, ks: tuple[int, ...], d: str = "d") -> DataFrame:
+    """(by, k, item, cluster) by Ward linkage of long distance matrices, one per group."""
+    kind = dict(matrix.dtypes)[f"{key}_i"]
+    rows = lambda items, z: [(k, item, c) for k in ks for item, c in zip(items, cut(z, len(items), k))]
+    return _per_matrix(matrix, by, key, d, ["k", key, "cluster"], f"k int, `{key}` {kind}, cluster int", rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index=f"{key}_i", columns=f"{key}_j", values=d).sort_index().sort_index(axis=1)
-        z = ward(m.to_numpy()) if len(m) > 1 and not m.isna().any().any() else np.zeros((0, 4))
-        return pd.DataFrame([(*pdf[by].iloc[0], s, int(r[0]), int(r[1]), r[2], int(r[3])) for s, r in enumerate(z)], columns=[*by, "step", "left", "right", "height", "size"])
 
-    return matrix.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", step int, left int, right int, height double, size int")
+def linkage(matrix: DataFrame, by: list[str], key: str, d: str = "d") -> DataFrame:
+    """Dendrogram rows (by, step, left, right, height, size); items are numbered in order from 0, merges go on from n."""
+    rows = lambda items, z: [(s, int(r[0]), int(r[1]), r[2], int(r[3])) for s, r in enumerate(z)]
+    return _per_matrix(matrix, by, key, d, ["step", "left", "right", "height", "size"], "step int, left int, right int, height double, size int", rows)
 
 
 def below_threshold(merges: DataFrame, by: list[str], share: float = COLOUR_SHARE) -> DataFrame:
@@ -122,15 +153,19 @@ def adjusted_rand(clusters: DataFrame, by: list[str], truth: str, cluster: str =
     return j.select(*by, F.when(F.col("total") >= 2, ari).alias("ari"))
 
 
-def unit_vectors(df: DataFrame, unit: str, label: str, v: str = "v", missing: float | None = None) -> DataFrame:
-    """(unit, dim, x): the units' label centroids one after another; a missing cell is null, or ``missing``."""
-    c = df.where(V.is_valid(v)).groupBy(unit, label).agg(F.count(F.lit(1)).alias("n"), V.vector_sum(v).alias("s"))
-    c = c.select(unit, label, V.scaled(F.col("s"), F.col("n")).alias("c"))
-    labels = c.groupBy(label).agg(F.max(F.size("c")).alias("width"))
-    grid = c.select(unit).distinct().crossJoin(labels)
-    full = grid.join(c, [unit, label], "left")
+def unit_vectors(df: DataFrame, unit: str, label: str, v: str = "v", missing: float | None = None, within: list[str] | None = None) -> DataFrame:
+    """(within, unit, label, dim, x): the units' label centroids one after another; a missing cell is null, or ``missing``.
+
+    ``within`` keeps groups (models) apart, whose vectors may differ in width."""
+    within = within or []
+    c = df.where(V.is_valid(v)).groupBy(*within, unit, label).agg(F.count(F.lit(1)).alias("n"), V.vector_sum(v).alias("s"))
+    c = c.select(*within, unit, label, V.scaled(F.col("s"), F.col("n")).alias("c"))
+    labels = c.groupBy(*within, label).agg(F.max(F.size("c")).alias("width"))
+    units = c.select(*within, unit).distinct()
+    grid = units.join(labels, within) if within else units.crossJoin(labels)
+    full = grid.join(c, [*within, unit, label], "left")
     cell = F.when(F.col("c").isNotNull(), F.col("c")).otherwise(F.array_repeat(F.lit(missing).cast("double"), F.col("width")))
-    return full.select(unit, label, F.posexplode(cell).alias("dim", "x"))
+    return full.select(*within, unit, label, F.posexplode(cell).alias("dim", "x"))
 
 
 def impute_mean(long: DataFrame, by: list[str], x: str = "x") -> DataFrame:

@@ -444,10 +444,13 @@ draws as (select b, u.spk, count(*) as times from (select b, ('0x' || substr(md5
 """
 
 
-def _boot_sql(side: str, groups: str, keys: str) -> str:
-    """Bootstrap of the cosine distance of two centroids: ``groups`` has keys, token_id, spk, side (1 or 2), dim, x."""
+def _boot_sql(side: str, groups: str, keys: str, metric: str = "cosine") -> str:
+    """Bootstrap of the distance of two centroids: ``groups`` has keys, token_id, spk, side (1 or 2), dim, x."""
+    cosine = "1 - sum(s1 / n1 * s2 / n2) / nullif(sqrt(sum((s1 / n1) ** 2)) * sqrt(sum((s2 / n2) ** 2)), 0)"
+    measure = cosine if metric == "cosine" else f"case when max(model) = 'acoustic' then sqrt(sum((s1 / n1 - s2 / n2) ** 2)) else {cosine} end"
+
     def far(src):
-        return f"""select {keys}{', b' if src == 'drawn' else ''}, 1 - sum(s1 / n1 * s2 / n2) / nullif(sqrt(sum((s1 / n1) ** 2)) * sqrt(sum((s2 / n2) ** 2)), 0) as d, max(n1) as n1, max(n2) as n2
+        return f"""select {keys}{', b' if src == 'drawn' else ''}, {measure} as d, max(n1) as n1, max(n2) as n2
         from (select {keys}{', b' if src == 'drawn' else ''}, dim, sum(x * times) filter (side = 1) as s1, sum(times) filter (side = 1) as n1, sum(x * times) filter (side = 2) as s2, sum(times) filter (side = 2) as n2
               from {src} group by all) where n1 > 0 and n2 > 0 group by all"""
     return f"""g as ({groups}), drawn as (select g.*, b, times from g join draws using (spk)), whole as (select *, 1 as times from g),
@@ -469,15 +472,32 @@ def _l1l2_ci(spark, d):
     return B.bootstrap_centroid_distance(r, "L1", "fr", "ru", within=["model", "phoneme"], n_boot=N_BOOT, min_n=2)
 
 
-@query(f"with {_VECTORS}, {_DRAWS}, " + _boot_sql("phoneme", """
-select model, pair, spk, case when vx.phoneme = split_part(pair, '-', 1) then 1 else 2 end as side, dim, x
-from vx join (select unnest(['e-ɛ', 'o-ø', 'y-u']) as pair) p on vx.phoneme in (split_part(pair, '-', 1), split_part(pair, '-', 2))""", "model, pair"))
+#: Normed formants of the representation tokens as vectors of two numbers, beside the models' vectors.
+_NORMED_PAIR = """
+rs as (select spk, avg(F1) as m1, stddev_samp(F1) as s1, avg(F2) as m2, stddev_samp(F2) as s2 from r where phoneme in ('a','e','ɛ','i','o','ø','u','y') group by spk),
+rn2 as (select token_id, spk, phoneme, (F1 - m1) / nullif(s1, 0) as a, (F2 - m2) / nullif(s2, 0) as b from r join rs using (spk) where phoneme in ('a','e','ɛ','i','o','ø','u','y')),
+ax as (select 'acoustic' as model, phoneme, spk, token_id, unnest([0, 1]) as dim, unnest([a, b]) as x from rn2 where a is not null and b is not null)
+"""
+
+
+def _normed_pair(spark, d):
+    """Normed formants of the representation tokens that are vowels, as vectors; null where one is missing."""
+    pair = F.when(F.col("F1_normed").isNotNull() & F.col("F2_normed").isNotNull(), F.array("F1_normed", "F2_normed"))
+    return D.lobanov(S.reps(spark, d)).where(I.is_vowel("phoneme")).withColumn("v", pair).withColumn("model", F.lit("acoustic"))
+
+
+@query(f"with {_VECTORS}, {_NORMED_PAIR}, {_DRAWS}, " + _boot_sql("phoneme", """
+select model, pair, spk, case when every.phoneme = split_part(pair, '-', 1) then 1 else 2 end as side, dim, x
+from (select model, phoneme, spk, token_id, dim, x from vx union all select model, phoneme, spk, token_id, dim, x from ax) every
+join (select unnest(['e-ɛ', 'o-ø', 'y-u']) as pair) p on every.phoneme in (split_part(pair, '-', 1), split_part(pair, '-', 2))""", "model, pair", "by model"))
 def bootstrap_pair_ci(spark, d):
-    r = vowel_reps(spark, d)
+    """Three pairs under the two models (cosine) and over the normed formants (Euclidean)."""
+    r, pair = vowel_reps(spark, d), _normed_pair(spark, d)
     out = None
     for a, b in Config().pair_list():
-        one = B.bootstrap_centroid_distance(r, "phoneme", a, b, within=["model"], n_boot=N_BOOT, units=r).withColumn("pair", F.lit(f"{a}-{b}"))
-        out = one if out is None else out.unionByName(one)
+        for v, metric in ((r, "cosine"), (pair, "euclidean")):
+            one = B.bootstrap_centroid_distance(v, "phoneme", a, b, within=["model"], n_boot=N_BOOT, units=r, metric=metric).withColumn("pair", F.lit(f"{a}-{b}"))
+            out = one if out is None else out.unionByName(one)
     return rounded(out)
 
 
@@ -734,68 +754,132 @@ def forest_data(spark, d):
 # --- clustering -------------------------------------------------------------------------------------------------------
 
 _UNIT = """
-cell as (select spk, phoneme, dim, avg(x) as x from vx where model = 'xlsr' group by all),
-grid as (select spk, phoneme, dim from (select distinct spk from cell), (select distinct phoneme, dim from cell)),
-uv as (select spk, phoneme, dim, x from grid left join cell using (spk, phoneme, dim))
+cell as (select model, spk, phoneme, dim, avg(x) as x from vx group by all),
+grid as (select model, spk, phoneme, dim from (select distinct model, spk from cell) join (select distinct model, phoneme, dim from cell) using (model)),
+uv as (select model, spk, phoneme, dim, x from grid left join cell using (model, spk, phoneme, dim))
 """
+_COLUMN = ["model", "phoneme", "dim"]
 
 
 def _units(spark, d, missing=None):
-    r = vowel_reps(spark, d).where("model = 'xlsr'")
-    return K.unit_vectors(r, "spk", "phoneme", missing=missing)
+    return K.unit_vectors(vowel_reps(spark, d), "spk", "phoneme", missing=missing, within=["model"])
 
 
-@query(f"with {_VECTORS}, {_UNIT} select spk, phoneme, dim::int as dim, round(coalesce(x, 0), 8) + 0.0 as x from uv")
+@query(f"with {_VECTORS}, {_UNIT} select model, spk, phoneme, dim::int as dim, round(coalesce(x, 0), 8) + 0.0 as x from uv")
 def speaker_vectors(spark, d):
     return rounded(_units(spark, d, 0.0), 8)
 
 
-@query(f"with {_VECTORS}, {_UNIT} select spk, phoneme, dim::int as dim, round(coalesce(x, avg(x) over (partition by phoneme, dim)), 8) + 0.0 as x from uv")
+@query(f"with {_VECTORS}, {_UNIT} select model, spk, phoneme, dim::int as dim, round(coalesce(x, avg(x) over (partition by model, phoneme, dim)), 8) + 0.0 as x from uv")
 def impute_colmean(spark, d):
-    return rounded(K.impute_mean(_units(spark, d), ["phoneme", "dim"]), 8)
+    return rounded(K.impute_mean(_units(spark, d), _COLUMN), 8)
 
 
-@query(f"""with {_VECTORS}, {_UNIT}, f as (select spk, phoneme, dim, coalesce(x, avg(x) over (partition by phoneme, dim)) as x from uv)
-select spk, phoneme, dim::int as dim, round((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 5) + 0.0 as z from f window w as (partition by phoneme, dim)""")
+@query(f"""with {_VECTORS}, {_UNIT}, f as (select model, spk, phoneme, dim, coalesce(x, avg(x) over (partition by model, phoneme, dim)) as x from uv)
+select model, spk, phoneme, dim::int as dim, round((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 5) + 0.0 as z from f window w as (partition by model, phoneme, dim)""")
 def scaled_speaker_vectors(spark, d):
-    return rounded(K.z_scores(K.impute_mean(_units(spark, d), ["phoneme", "dim"]), ["phoneme", "dim"]).select("spk", "phoneme", "dim", "z"), 5)
+    return rounded(K.z_scores(K.impute_mean(_units(spark, d), _COLUMN), _COLUMN).select("model", "spk", "phoneme", "dim", "z"), 5)
+
+
+def _ward_sql(distances: str) -> str:
+    """Ward merges as a recursion over ``far`` (model, key_i, key_j, d), which ``distances`` ends in: each step replaces the
+    closest pair by its union.  ``merges`` has the pairs of every step."""
+    return f"""with recursive {distances.strip()},
+item as (select model, key_i as key, row_number() over (partition by model order by key_i) - 1 as id, count(*) over (partition by model) as n from far where key_i = key_j),
+pairs as (select far.model, 0 as step, a.n as n, a.id as i, b.id as j, d * d as v, [a.key] as mi, [b.key] as mj
+  from far join item a on a.model = far.model and a.key = key_i join item b on b.model = far.model and b.key = key_j where a.id < b.id),
+merges as (select * from pairs union all
+  select model, step + 1, n, gi, gj, case when touched then (sum((own + other) * v) - max(other) * max(v0)) / max(merged + other) else max(v) end, max(gmi), max(gmj)
+  from (select model, step, n, touched, v, m.v as v0, len(m.mi) + len(m.mj) as merged, case when i in (m.i, m.j) then len(mi) else len(mj) end as own,
+          case when i in (m.i, m.j) then len(mj) else len(mi) end as other, case when not touched then i when i in (m.i, m.j) then j else i end as gi,
+          case when touched then n + step else j end as gj, case when not touched then mi when i in (m.i, m.j) then mj else mi end as gmi,
+          case when touched then list_sort(list_concat(m.mi, m.mj)) else mj end as gmj
+        from (select *, i in (m.i, m.j) or j in (m.i, m.j) as touched
+              from (select *, first_value({{'i': i, 'j': j, 'v': v, 'mi': mi, 'mj': mj}}) over (partition by model order by v, i, j) as m from merges)
+              where not (i = m.i and j = m.j)))
+  group by model, step, n, touched, gi, gj)
+"""
 
 
-def _fixed_clusters(spark, ks=(2, 3)):
-    labels = sorted(schema.CV_VOWELS)
-    return spark.createDataFrame([(m, k, p, i % k) for m in ("whisper", "xlsr") for k in ks for i, p in enumerate(labels)], "model string, k int, phoneme string, cluster int")
+def _cuts_sql(distances: str, ks: tuple[int, ...]) -> str:
+    """``cl`` (model, k, key, cluster) by Ward's linkage, and ``sil`` (model, k, silhouette)."""
+    return _ward_sql(distances) + f""",
+parts as (select distinct model, k, unnest([mi, mj]) as m from merges join (select unnest({list(ks)}) as k) on step = greatest(n - k, 0)),
+numbered as (select model, k, m, row_number() over (partition by model, k order by m[1]) as cluster from parts),
+cl as (select model, k, unnest(m) as key, cluster from numbered),
+p as (select a.model, a.k, a.key, a.cluster as own, b.cluster as other, sum(d) as s, count(*) as n from far join cl a on a.model = far.model and a.key = key_i join cl b on b.model = a.model and b.k = a.k and b.key = key_j group by all),
+ab as (select model, k, key, max(own) as own, max(s / nullif(n - 1, 0)) filter (own = other) as a, min(s / n) filter (own <> other) as b from p group by all),
+sil as (select model, k, case when count(distinct own) between 2 and count(*) - 1 then avg(case when a is null then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end) end as silhouette from ab group by all)
+"""
 
 
-_FIXED = """
-lab as (select phoneme, row_number() over (order by phoneme) - 1 as i from (select distinct phoneme from vx)),
-cl as (select model, k, phoneme, i % k as cluster from lab, (select unnest(['whisper', 'xlsr']) as model) m, (select unnest([2, 3]) as k) ks)
+def _ari_sql(truth: str) -> str:
+    """``ar`` (model, k, name, ari): adjusted Rand indices of ``cl`` with ``truth`` (name, key, class)."""
+    pairs = "sum(n * (n - 1) / 2) as v"
+    return f""",
+truth as ({truth}), cells as (select model, k, name, class, cluster, count(*) as n from cl join truth using (key) group by all),
+al as (select model, k, name, {pairs}, sum(n) as n from cells group by all),
+ro as (select model, k, name, {pairs} from (select model, k, name, class, sum(n) as n from cells group by all) group by all),
+co as (select model, k, name, {pairs} from (select model, k, name, cluster, sum(n) as n from cells group by all) group by all),
+ex as (select model, k, name, n, al.v as both_, ro.v * co.v / nullif(n * (n - 1) / 2, 0) as e, (ro.v + co.v) / 2 as top from al join ro using (model, k, name) join co using (model, k, name)),
+ar as (select model, k, name, case when n >= 2 then case when top = e then 1.0 else (both_ - e) / nullif(top - e, 0) end end as ari from ex)
 """
 
 
-_SIL = f"""with {_VECTORS}, {_CENTROID_DIST}, {_FIXED},
-p as (select a.model, a.k, a.phoneme, a.cluster as own, b.cluster as other, sum(d) as s, count(*) as n from far join cl a on a.model = far.model and a.phoneme = phoneme_i join cl b on b.model = a.model and b.k = a.k and b.phoneme = phoneme_j group by all),
-ab as (select model, k, phoneme, max(s / nullif(n - 1, 0)) filter (own = other) as a, min(s / n) filter (own <> other) as b from p group by all),
-sil as (select model, k, avg(case when a is null then 0 else (b - a) / greatest(a, b) end) as silhouette from ab group by all)"""
+def _partition_sql(names: tuple[str, ...]) -> str:
+    """The named partitions of phones as rows (name, key, class)."""
+    rows = [f"('{n}', '{p}', '{c}')" for n in names for p, c in schema.label_of(schema.PARTITIONS[n]).items()]
+    return "select * from (values " + ", ".join(rows) + ") x(name, key, class)"
+
+
+def _scores_sql(names: tuple[str, ...]) -> str:
+    """One row a model and k: silhouette and a column of adjusted Rand indices for each name."""
+    columns = ", ".join(f"""round(max(ari) filter (name = '{n}'), 4) as "ARI_{n}\"""" for n in names)
+    return f"select model, k::int as k, round(max(silhouette), 4) as silhouette, {columns} from sil left join ar using (model, k) group by all"
+
+
+def _renamed(key: str, distances: str) -> str:
+    """``distances`` with its table ``far`` in the columns that ``_ward_sql`` reads."""
+    head, tail = distances.rsplit("far as (", 1)
+    return f"{head}far_ as ({tail}, far as (select model, {key}_i as key_i, {key}_j as key_j, d from far_)"
+
 
+_NEURAL_FAR = f"{_VECTORS.strip()}, {_CENTROID_DIST.strip().split(',' + chr(10) + 'ac as')[0]}"
+_VOWEL_FAR = f"""{_VECTORS.strip()}, {_CENTROID_DIST.strip().replace('far as (', 'near_ as (')},
+far as (select model, phoneme_i, phoneme_j, d from near_ union all select 'acoustic', phoneme_i, phoneme_j, d from eu)"""
+_VOWEL_KS = (2, 3, 4, 5, 6)
+_VOWEL_CLASSES = ("front_back", "height", "rounding")
+_WARD = _ward_sql(_renamed("phoneme", _NEURAL_FAR))
+_CUTS = _cuts_sql(_renamed("phoneme", _NEURAL_FAR), _VOWEL_KS)
 
-@query(_SIL + " select model, k::int as k, round(silhouette, 6) as silhouette from sil")
+
+def _vowel_cuts(spark, d):
+    """Distances of vowels under both models, and their Ward clusters."""
+    m = materialise(_neural_matrix(spark, d), "vowel-distances")
+    return m, K.ward_clusters(m, ["model"], "phoneme", _VOWEL_KS)
+
+
+@query(_CUTS + " select model, k::int as k, round(silhouette, 6) as silhouette from sil")
 def silhouette(spark, d):
-    return rounded(K.silhouette(_neural_matrix(spark, d), _fixed_clusters(spark), ["model", "k"], "phoneme"))
+    return rounded(K.silhouette(*_vowel_cuts(spark, d), ["model", "k"], "phoneme"))
 
 
-@query(_SIL + " select model, arg_max(k, silhouette)::int as best_k, round(max(silhouette), 6) as silhouette from sil group by model")
+@query(_CUTS + " select model, arg_max(k, silhouette)::int as best_k, round(max(silhouette), 6) as silhouette from sil group by model")
 def best_k(spark, d):
-    return rounded(K.best_partition(K.silhouette(_neural_matrix(spark, d), _fixed_clusters(spark), ["model", "k"], "phoneme"), "model"))
+    return rounded(K.best_partition(K.silhouette(*_vowel_cuts(spark, d), ["model", "k"], "phoneme"), "model"))
 
 
-@query(f"""with {_VECTORS}, {_FIXED}, g as (select *, case when phoneme in ('y','ø','u','o') then 0 else 1 end as truth from cl),
-cells as (select model, k, truth, cluster, count(*) as n from g group by all), al as (select model, k, sum(n * (n - 1) / 2) as v, sum(n) as t from cells group by all),
-ro as (select model, k, sum(n * (n - 1) / 2) as v from (select model, k, truth, sum(n) as n from cells group by all) group by all),
-co as (select model, k, sum(n * (n - 1) / 2) as v from (select model, k, cluster, sum(n) as n from cells group by all) group by all)
-select model, k::int as k, round((al.v - ro.v * co.v / (t * (t - 1) / 2)) / ((ro.v + co.v) / 2 - ro.v * co.v / (t * (t - 1) / 2)), 6) as ari from al join ro using (model, k) join co using (model, k)""")
+@query(_CUTS + _ari_sql(_partition_sql(_VOWEL_CLASSES)) + " select model, k::int as k, name as partition, round(ari, 6) as ari from ar")
 def ari(spark, d):
-    c = _fixed_clusters(spark).withColumn("truth", I.class_code("phoneme", schema.label_of(schema.PARTITIONS["rounding"])))
-    return rounded(K.adjusted_rand(c, ["model", "k"], "truth"))
+    """Agreement of the vowels' Ward clusters with each partition of vowels."""
+    _, clusters = _vowel_cuts(spark, d)
+    clusters = materialise(clusters, "vowel-clusters")
+    out = None
+    for name in _VOWEL_CLASSES:
+        c = clusters.withColumn("truth", I.class_code("phoneme", schema.label_of(schema.PARTITIONS[name])))
+        one = K.adjusted_rand(c, ["model", "k"], "truth").withColumn("partition", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 def _clustering(matrix, key, by, ks, partitions):
@@ -808,32 +892,12 @@ def _clustering(matrix, key, by, ks, partitions):
     return out
 
 
-#: Ward merges as a recursion over the table of pair distances: each step replaces the closest pair by its union.
-_WARD = f"""with recursive {_VECTORS.strip()}, {_CENTROID_DIST.strip()},
-item as (select model, phoneme, row_number() over (partition by model order by phoneme) - 1 as id, count(*) over (partition by model) as n from (select distinct model, phoneme from vx)),
-pairs as (select far.model, 0 as step, a.n as n, a.id as i, b.id as j, d * d as v, [a.phoneme] as mi, [b.phoneme] as mj
-  from far join item a on a.model = far.model and a.phoneme = phoneme_i join item b on b.model = far.model and b.phoneme = phoneme_j where a.id < b.id),
-t as (select * from pairs union all
-  select model, step + 1, n, gi, gj, case when touched then (sum((own + other) * v) - max(other) * max(v0)) / max(merged + other) else max(v) end, max(gmi), max(gmj)
-  from (select model, step, n, touched, v, m.v as v0, len(m.mi) + len(m.mj) as merged, case when i in (m.i, m.j) then len(mi) else len(mj) end as own,
-          case when i in (m.i, m.j) then len(mj) else len(mi) end as other, case when not touched then i when i in (m.i, m.j) then j else i end as gi,
-          case when touched then n + step else j end as gj, case when not touched then mi when i in (m.i, m.j) then mj else mi end as gmi,
-          case when touched then list_sort(list_concat(m.mi, m.mj)) else mj end as gmj
-        from (select *, i in (m.i, m.j) or j in (m.i, m.j) as touched
-              from (select *, first_value({{'i': i, 'j': j, 'v': v, 'mi': mi, 'mj': mj}}) over (partition by model order by v, i, j) as m from t)
-              where not (i = m.i and j = m.j)))
-  group by model, step, n, touched, gi, gj)
-"""
-
-
-@query(_WARD + """, parts as (select distinct model, k, unnest([mi, mj]) as m from t join (select unnest([2, 3, 4, 5, 6]) as k) on step = greatest(n - k, 0)),
-numbered as (select model, k, m, row_number() over (partition by model, k order by m[1]) as cluster from parts)
-select model, k::int as k, unnest(m) as phoneme, cluster::int as cluster from numbered""")
+@query(_CUTS + " select model, k::int as k, key as phoneme, cluster::int as cluster from cl")
 def ward_cut(spark, d):
-    return K.ward_clusters(_neural_matrix(spark, d), ["model"], "phoneme", (2, 3, 4, 5, 6))
+    return K.ward_clusters(_neural_matrix(spark, d), ["model"], "phoneme", _VOWEL_KS)
 
 
-@query(_WARD + """, b as (select *, row_number() over (partition by model, step order by v, i, j) as place from t),
+@query(_WARD + """, b as (select *, row_number() over (partition by model, step order by v, i, j) as place from merges),
 z as (select model, step::int as step, i::int as "left", j::int as "right", sqrt(v) as h, (len(mi) + len(mj))::int as size from b where place = 1)
 select model, step, "left", "right", round(h, 6) as height, size, h < 0.7 * max(h) over (partition by model) as coloured from z""")
 def dendrogram(spark, d):
@@ -841,38 +905,59 @@ def dendrogram(spark, d):
     return rounded(K.below_threshold(z, ["model"]))
 
 
-@query()
+@query(_cuts_sql(_renamed("phoneme", _VOWEL_FAR), _VOWEL_KS) + _ari_sql(_partition_sql(_VOWEL_CLASSES)) + _scores_sql(_VOWEL_CLASSES))
 def vowel_clustering(spark, d):
     m = _neural_matrix(spark, d).unionByName(_acoustic_matrix(spark, d).withColumn("model", F.lit("acoustic")))
-    return rounded(_clustering(m, "phoneme", ["model"], (2, 3, 4, 5, 6), ("front_back", "height", "rounding")), 4)
+    return rounded(_clustering(materialise(m, "vowel-distances"), "phoneme", ["model"], _VOWEL_KS, _VOWEL_CLASSES), 4)
 
 
-@query()
+_CV_CLASSES = ("C_vs_V", "manner", "voicing")
+_CV_FAR = f"""{_VECTORS.strip()}, t as ({S.TOKENS_SQL}),
+cvx as (select model, phoneme, dim, avg(x) as x from mx where phoneme in {(*schema.CV_VOWELS, *schema.CONSONANTS)} group by all),
+fm as (select phoneme, avg(F1) filter (phoneme in {schema.CV_VOWELS}) as a, avg(F2) filter (phoneme in {schema.CV_VOWELS}) as b, avg(dur) * 1000 as c
+       from t where phoneme in {(*schema.CV_VOWELS, *schema.CONSONANTS)} group by phoneme),
+fi as (select phoneme, coalesce(a, avg(a) over (), 0) as a, coalesce(b, avg(b) over (), 0) as b, coalesce(c, avg(c) over (), 0) as c from fm),
+fz as (select phoneme, (a - avg(a) over ()) / coalesce(nullif(stddev_pop(a) over (), 0), 1) as a, (b - avg(b) over ()) / coalesce(nullif(stddev_pop(b) over (), 0), 1) as b,
+              (c - avg(c) over ()) / coalesce(nullif(stddev_pop(c) over (), 0), 1) as c from fi),
+far as (select x.model, x.phoneme as phoneme_i, y.phoneme as phoneme_j, 1 - greatest(least(sum(x.x * y.x) / (sqrt(sum(x.x * x.x)) * sqrt(sum(y.x * y.x))), 1), -1) as d
+        from cvx x join cvx y on x.model = y.model and x.dim = y.dim group by all
+        union all select 'acoustic', x.phoneme, y.phoneme, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) from fz x, fz y)"""
+
+
+@query(_cuts_sql(_renamed("phoneme", _CV_FAR), Config().k_cv)
+       + _ari_sql(_partition_sql(_CV_CLASSES)) + _scores_sql(_CV_CLASSES))
 def cv_clustering(spark, d):
     r = S.models(S.reps(spark, d).where(F.col("phoneme").isin(*schema.CV_VOWELS, *schema.CONSONANTS)))
     m = X.long_matrix(X.centroids(r, ["model", "phoneme"], nan_policy="propagate"), metric="cosine", within=["model"])
     f = D.feature_table(S.tokens(spark, d).where(F.col("phoneme").isin(*schema.CV_VOWELS, *schema.CONSONANTS)))
     f = f.select(F.lit("acoustic").alias("model"), "phoneme", F.array("F1_z", "F2_z", "dur_ms_z").alias("centroid"))
     m = materialise(m.unionByName(X.long_matrix(f, metric="euclidean", within=["model"])), "cv-distances")
-    return rounded(_clustering(m, "phoneme", ["model"], Config().k_cv, ("C_vs_V", "manner", "voicing")), 4)
+    return rounded(_clustering(m, "phoneme", ["model"], Config().k_cv, _CV_CLASSES), 4)
 
 
-@query()
+_SPEAKER_FAR = f"""{_VECTORS.strip()}, {_NORMED_PAIR.strip()},
+every_cell as (select model, spk, phoneme, dim, avg(x) as x from (select model, spk, phoneme, dim, x from vx union all select model, spk, phoneme, dim, x from ax) group by all),
+every_grid as (select model, spk, phoneme, dim from (select distinct model, spk from every_cell) join (select distinct model, phoneme, dim from every_cell) using (model)),
+filled as (select model, spk, phoneme, dim, case when model = 'acoustic' then coalesce(x, avg(x) over (partition by model, phoneme, dim)) else coalesce(x, 0) end as x
+           from every_grid left join every_cell using (model, spk, phoneme, dim)),
+scaled as (select model, spk, phoneme, dim, case when model = 'acoustic' then (x - avg(x) over w) / coalesce(nullif(stddev_pop(x) over w, 0), 1) else x end as x
+           from filled window w as (partition by model, phoneme, dim)),
+far as (select a.model, a.spk as spk_i, b.spk as spk_j, case when max(a.model) = 'acoustic' then sqrt(sum((a.x - b.x) ** 2)) else
+          1 - greatest(least(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 1), -1) end as d
+        from scaled a join scaled b on a.model = b.model and a.phoneme = b.phoneme and a.dim = b.dim group by all)"""
+
+
+@query(_cuts_sql(_renamed("spk", _SPEAKER_FAR), Config().k_speaker)
+       + _ari_sql("select 'L1' as name, spk as key, min(L1) as class from r group by spk union all select 'Gender', spk, min(Gender) from r group by spk") + _scores_sql(("L1", "Gender")))
 def speaker_clustering(spark, d):
     """Acoustic speaker vectors are filled in, scaled and compared by distance; neural ones have zeros for a vowel that a
     speaker lacks and are compared by cosine."""
-    column = ["phoneme", "dim"]
-    normal = D.lobanov(S.reps(spark, d)).where(I.is_vowel("phoneme"))
-    pair = F.when(F.col("F1_normed").isNotNull() & F.col("F2_normed").isNotNull(), F.array("F1_normed", "F2_normed"))
-    neural = vowel_reps(spark, d)
+    acoustic = K.z_scores(K.impute_mean(K.unit_vectors(_normed_pair(spark, d), "spk", "phoneme", within=["model"]), _COLUMN), _COLUMN)
+    acoustic = acoustic.drop("x").withColumnRenamed("z", "x")
     out = None
-    for name, r in (("acoustic", normal.withColumn("v", pair)), *((m, neural.where(F.col("model") == m)) for m in ("whisper", "xlsr"))):
-        if name == "acoustic":
-            x = K.z_scores(K.impute_mean(K.unit_vectors(r, "spk", "phoneme"), column), column).drop("x").withColumnRenamed("z", "x")
-        else:
-            x = K.unit_vectors(r, "spk", "phoneme", missing=0.0)
-        x = x.groupBy("spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("phoneme", "dim", "x"))), lambda s: s["x"]).alias("centroid"))
-        m = X.long_matrix(x.withColumn("model", F.lit(name)), "spk", metric="euclidean" if name == "acoustic" else "cosine", within=["model"])
+    for x, metric in ((acoustic, "euclidean"), (_units(spark, d, 0.0), "cosine")):
+        x = x.groupBy("model", "spk").agg(F.transform(F.array_sort(F.collect_list(F.struct("phoneme", "dim", "x"))), lambda s: s["x"]).alias("centroid"))
+        m = X.long_matrix(x, "spk", metric=metric, within=["model"])
         out = m if out is None else out.unionByName(m)
     out = materialise(out, "speaker-distances")
     clusters = materialise(K.ward_clusters(out, ["model"], "spk", Config().k_speaker), "speaker-clusters")
@@ -1059,21 +1144,21 @@ def rope_lmm_summary(spark, d):
     return P.summary(_lmm_rope(spark, d))
 
 
-_R2 = f"""with {_NORMED}, g as (select phoneme, rep_id, count(*) as w, corr(F1_normed, F2_normed) ** 2 as r2 from v where rep_id <= 3 group by all)"""
+_R2 = f"""with {_NORMED}, g as (select phoneme, rep_id, count(*) as w, corr(F1_normed, F2_normed) ** 2 as r2 from v where F1_normed is not null and F2_normed is not null group by all)"""
 
 
 def _r2(spark, d):
-    v = D.vowels(normed(spark, d)).where("rep_id <= 3 and F1_normed is not null and F2_normed is not null")
+    v = D.vowels(normed(spark, d)).where("F1_normed is not null and F2_normed is not null")
     return v.groupBy("phoneme", "rep_id").agg(F.count(F.lit(1)).alias("w"), (F.corr("F1_normed", "F2_normed") ** 2).alias("r2"))
 
 
-@query(_R2.replace("where rep_id <= 3", "where rep_id <= 3 and F1_normed is not null and F2_normed is not null") + " select phoneme, round(sum(w * coalesce(r2, 0)) / sum(w), 6) as weighted_r2 from g group by phoneme")
+@query(_R2 + " select phoneme, round(sum(w * coalesce(r2, 0)) / sum(w), 6) as weighted_r2 from g group by phoneme")
 def weighted_r2(spark, d):
     g = _r2(spark, d).groupBy("phoneme")
     return rounded(g.agg((F.sum(F.col("w") * F.coalesce("r2", F.lit(0.0))) / F.sum("w")).alias("weighted_r2")))
 
 
-@query(_R2.replace("where rep_id <= 3", "where rep_id <= 3 and F1_normed is not null and F2_normed is not null") + " select rep_id, round(avg(r2), 6) as mean_r2 from g group by rep_id")
+@query(_R2 + " select rep_id, round(avg(r2), 6) as mean_r2 from g group by rep_id")
 def mean_r2(spark, d):
     return rounded(_r2(spark, d).groupBy("rep_id").agg(F.avg("r2").alias("mean_r2")))
 

@@ -69,6 +69,44 @@ def test_ward():
     assert K.cut(z, 3, 2) == [1, 1, 2] and K.cut(z, 3, 3) == [1, 2, 3] and K.cut(z, 3, 1) == [1, 1, 1]
 
 
+def closest_pairs(d):
+    """Ward's linkage by joining the closest of all pairs, again and again."""
+    n = len(d)
+    d2, size, out = {(i, j): float(d[i, j]) ** 2 for i in range(n) for j in range(i + 1, n)}, dict.fromkeys(range(n), 1), []
+    for new in range(n, 2 * n - 1):
+        (i, j), v = min(d2.items(), key=lambda kv: (kv[1], kv[0]))
+        del d2[i, j]
+        a, b = size.pop(i), size.pop(j)
+        for k, c in size.items():
+            x, y = (d2.pop((min(k, o), max(k, o))) for o in (i, j))
+            d2[k, new] = ((a + c) * x + (b + c) * y - c * v) / (a + b + c)
+        size[new] = a + b
+        out.append((i, j, math.sqrt(v), a + b))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 40])
+@pytest.mark.parametrize("metric", [True, False])
+def test_ward_joins_the_closest_pairs(n, metric):
+    """Euclidean distances, and numbers that are no metric."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 3))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1)) if metric else rng.random((n, n))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    assert np.allclose(K.ward(d), closest_pairs(d))
+
+
+def test_ward_of_ties_and_of_many():
+    z = K.ward(1.0 - np.eye(6))
+    assert z[0].tolist() == [0, 1, 1.0, 2] and (np.diff(z[:, 2]) >= 0).all() and z[-1, 3] == 6
+    assert (K.ward(np.zeros((5, 5)))[:, 2] == 0).all()
+    x = np.random.default_rng(0).normal(size=(3000, 2)) + 40 * (np.arange(3000) % 3)[:, None]
+    square = (x**2).sum(1)
+    z = K.ward(np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0)))
+    parts = np.array(K.cut(z, 3000, 3))
+    assert all(len(set(parts[i::3])) == 1 for i in range(3)) and len(set(parts)) == 3
+
+
 def test_textgrid():
     text = '''File type = "ooTextFile"
 item []:

@@ -304,6 +304,23 @@ def test_rope_bounds(spark):
     assert df.select(P.classify(F.col("lo"), F.col("hi"), F.lit(0.0), F.lit(None).cast("double")).alias("g")).first().g == "rope_undefined"
 
 
+def test_ward_of_long_matrices_with_gaps(spark):
+    """A matrix with a null, a missing pair or one item gives no rows and leaves the others alone."""
+    full = [("ok", i, j, float(abs(i - j))) for i in (1, 2, 9) for j in (1, 2, 9)]
+    null = [("null", i, j, None if i != j else 0.0) for i in (1, 2) for j in (1, 2)]
+    m = spark.createDataFrame([*full, *null, *[("gap", i, j, d) for _, i, j, d in full[:-1]], ("one", 1, 1, 0.0)], "m string, x_i int, x_j int, d double")
+    got = {(r.m, r.k, r.x): r.cluster for r in K.ward_clusters(m, ["m"], "x", (2,)).collect()}
+    assert got == {("ok", 2, 1): 1, ("ok", 2, 2): 1, ("ok", 2, 9): 2}
+    assert [(r.left, r.right, r.size) for r in K.linkage(m, ["m"], "x").orderBy("step").collect()] == [(0, 1, 2), (2, 3, 3)]
+
+
+def test_unit_vectors_within_groups(spark):
+    """Groups may differ in width; a label that one unit lacks is filled in that unit's group only."""
+    d = spark.createDataFrame([("a", "s", "x", [1.0]), ("a", "t", "y", [3.0]), ("b", "s", "x", [1.0, 2.0])], "m string, u string, l string, v array<double>")
+    got = sorted(tuple(r) for r in K.unit_vectors(d, "u", "l", missing=0.0, within=["m"]).collect())
+    assert got == [("a", "s", "x", 0, 1.0), ("a", "s", "y", 0, 0.0), ("a", "t", "x", 0, 0.0), ("a", "t", "y", 0, 3.0), ("b", "s", "x", 0, 1.0), ("b", "s", "x", 1, 2.0)]
+
+
 def test_rand_index_and_silhouette(spark):
     c = spark.createDataFrame([(1, i, i // 2, 1 - i // 2, 0) for i in range(4)], "k int, item int, truth int, cluster int, one int")
     assert K.adjusted_rand(c, ["k"], "truth").first().ari == 1.0
