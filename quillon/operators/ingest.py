@@ -192,3 +192,34 @@ def embed_audio(audio: DataFrame, predict, width: int) -> DataFrame:
             yield pd.DataFrame({"wav_path": pdf["path"], "frames": [[list(map(float, r)) for r in predict(np.asarray(x), int(r_))] for x, r_ in zip(pdf["samples"], pdf["rate"])]})
 
     return audio.mapInPandas(run, "wav_path string, frames array<array<double>>")
+
+
+def encode_windows(audio: DataFrame, make_encoder, width: int, rate: int = SAMPLE_RATE, seconds: int = ENCODER_SECONDS, batch: int = 8) -> DataFrame:
+    """(wav_path, n_frames, frames): an encoder of fixed windows over audio (path, rate, samples) at ``rate``.
+
+    ``make_encoder`` loads the model once a worker and returns a function from a (batch x samples) array to a (batch x
+    frames x ``width``) array of ENCODER_FRAMES_PER_SECOND; files go through it ``batch`` at a time, cut or filled with
+    zeros to ``seconds``.  ``n_frames`` counts the frames that hold sound; those of the filling are dropped.  Null or empty
+    samples have no frames; samples at another rate raise, as they must be resampled first."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    size = rate * seconds
+
+    def make():
+        encode = make_encoder()
+        return lambda x: np.asarray(encode(x), dtype=np.float64).reshape(len(x), -1)
+
+    predict = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[size]])
+    right = F.when(F.col("rate") == rate, F.coalesce("samples", F.array().cast("array<double>"))).otherwise(F.raise_error(F.concat(F.lit("resample first: "), F.col("path"))))
+    d = audio.select(F.col("path").alias("wav_path"), F.slice(right.cast("array<double>"), 1, size).alias("x"))
+    d = d.withColumn("n_frames", F.ceil(F.size("x") * ENCODER_FRAMES_PER_SECOND / F.lit(rate)).cast("int"))
+    d = d.withColumn("y", predict(F.concat("x", F.array_repeat(F.lit(0.0), size - F.size("x")))))
+    frame = lambda i: F.slice("y", i * width + 1, F.lit(width))
+    frames = F.when(F.col("n_frames") > 0, F.transform(F.sequence(F.lit(0), F.col("n_frames") - 1), frame)).otherwise(F.array().cast("array<array<double>>"))
+    return d.select("wav_path", "n_frames", frames.alias("frames"))
+
+
+def energy_encoder(width: int, step: int):
+    """A stand-in encoder without weights: each frame of ``step`` samples as means over ``width`` equal parts of it."""
+    return lambda: lambda x: x.reshape(len(x), -1, width, step // width).mean(axis=3)

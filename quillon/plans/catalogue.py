@@ -1186,6 +1186,42 @@ def hourly_events(spark, d):
     return out.withColumn("total", F.round("total", 4))
 
 
+@query(f"""with {_NORMED}, m as (select spk, count(F1) as n1, avg(F1) as m1, stddev_samp(F1) as s1, count(F2) as n2, avg(F2) as m2, stddev_samp(F2) as s2
+  from t where lower(trim(phoneme)) in {schema.LOBANOV_VOWELS} group by spk)
+select spk, n1::bigint as "n_F1", round(m1, 6) as "mean_F1", round(s1, 6) as "sd_F1", n2::bigint as "n_F2", round(m2, 6) as "mean_F2", round(s2, 6) as "sd_F2" from m""")
+def stream_lobanov_moments(spark, d):
+    """Lobanov's means and deviations from a stream that brings the tokens in four files, one a batch."""
+    from quillon.streaming import moments as SM
+    from quillon.sources.durable import folder
+
+    path = folder(spark, "token-stream")
+    t = S.tokens(spark, d).select("spk", "phoneme", "F1", "F2")
+    t.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rounded(SM.merged(SM.consume(stream)))
+
+
+#: A stand-in encoder's numbers: two values a frame of four samples, windows of a second.
+_STEP, _WIDTH = 4, 2
+
+
+@query(f"""with r as ({S.REPS_SQL}),
+s as (select token_id, phoneme, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from r),
+f as (select token_id, phoneme, (i // {_STEP})::int as frame, ((i % {_STEP}) // {_STEP // _WIDTH})::int as dim, avg(x) as x from s group by all)
+select token_id, dim, round(avg(x), 6) + 0.0 as x from f where frame >= token_id % 5 and frame < token_id % 5 + 6 group by all
+""")
+def encoder_pooling(spark, d):
+    """Frames of an encoder in batches of eight windows, pooled over each token's stretch of frames.
+
+    A vector's components stand for the samples of its audio."""
+    rate = schema.ENCODER_FRAMES_PER_SECOND * _STEP
+    audio = S.reps(spark, d).select(F.col("token_id").cast("string").alias("path"), F.lit(rate).alias("rate"), F.col("v").alias("samples"))
+    f = I.encode_windows(audio, I.energy_encoder(_WIDTH, _STEP), _WIDTH, rate, seconds=1)
+    f = f.withColumn("token_id", F.col("wav_path").cast("bigint")).withColumn("a", (F.col("token_id") % 5).cast("int"))
+    out = I.mean_pool(f.withColumn("b", F.least(F.col("a") + 6, F.col("n_frames"))), ["token_id"], "frames", "a", "b")
+    return rounded(out.select("token_id", F.posexplode("v").alias("dim", "x")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
