@@ -16,8 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillon.llm import text as T
 from quillon.llm.durable import materialise
@@ -30,7 +31,9 @@ SMOOTHING = 0.05
 PART = 192
 CACHE_WORDS = 400_000
 BLOCK_WORDS = 40_000
-CHUNK = 4 << 20
+#: Bytes of the words that forward-backward holds at once; each needs about 50 bytes of tables.
+BLOCK_BYTES = 1 << 20
+CHUNK = 2 << 20
 #: The fit uses about this many documents per language, chosen by a hash of their id; see ``fit``.
 DOCS_PER_LANGUAGE = 2_000
 UNKNOWN = "und"
@@ -151,9 +154,10 @@ def expected_counts(pieces: Pieces, prob: np.ndarray, prefix: np.ndarray, start:
     order = np.argsort(length, kind="stable")
     for size in np.unique(length):
         group = order[np.searchsorted(length[order], size) : np.searchsorted(length[order], size, side="right")]
-        for lo in range(0, len(group), BLOCK_WORDS):
-            s, w = start[group[lo : lo + BLOCK_WORDS]], times[group[lo : lo + BLOCK_WORDS]]
-            size = int(size)
+        size = int(size)
+        block = max(1, min(BLOCK_WORDS, BLOCK_BYTES // max(size, 1)))
+        for lo in range(0, len(group), block):
+            s, w = start[group[lo : lo + block]], times[group[lo : lo + block]]
             cuts = [None] + [_cuts(pieces, prefix, s, i) for i in range(1, size + 1)]
             alpha = np.zeros((size + 1, len(s)))
             alpha[0] = prob[pieces.bare]
@@ -324,6 +328,12 @@ def _predict(path: str, languages: list[str], prob: np.ndarray):
     return run
 
 
+def _seen(text_col: str) -> list[Column]:
+    """What the model sees of a row: the lower-cased text, and whether it has a letter of any script."""
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return [F.lower(F.col(text_col)).alias("text"), letter.alias("letter")]
+
+
 def identify(docs: DataFrame, path: str, languages: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, lang_pred, score``; only the text is looked at.
 
@@ -331,11 +341,7 @@ def identify(docs: DataFrame, path: str, languages: list[str], prob: np.ndarray,
     script) are "und" with score 0; so is everything if no language was learned.  A text whose letters are all outside
     the learned pieces still gets the language that gives its bytes the most.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_seen(text_col))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_predict(path, languages, prob), f"doc_id {kind}, lang_pred string, score double")
 
@@ -363,7 +369,8 @@ def keep_identified(docs: DataFrame, path: str, min_score: float = 0.4, id_col:
     The model is fitted on the rows with a language.  Rows are judged by their text alone, so equal texts share a fate,
     and null and repeated ids do no harm."""
     languages, prob = fit(docs, path, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    found = identify(docs.select(key.alias("_key"), text_col), path, languages, prob, "_key", text_col)
-    bad = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(bad.distinct(), key == F.col("_rejected"), "left_anti")
+    # Whole rows go past the model and come back, so nothing is shuffled or joined.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_seen(text_col))
+    kinds = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    judged = rows.mapInArrow(_predict(path, languages, prob), kinds)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

@@ -411,3 +411,26 @@ def test_languages_with_unlike_long_words_stay_finite(spark):
     began = time.time()
     r = langid.identify(spark.createDataFrame([(1, text), (2, text[:5] + "é" * 5000)], "doc_id long, text string"), path, languages, prob).collect()
     assert all(0 <= x.score <= 1 for x in r) and time.time() - began < 60
+
+
+def test_language_filter_returns_whole_rows(spark):
+    """Columns named like the model's own come back as they were; blocks of one word give the same counts."""
+    from quillon.llm import langid as L
+
+    en, fr = "the house and the garden are near the river", "la maison et le jardin sont au bord de la riviere"
+    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr", f"r{i}", -1.0, None) for i in range(30)] + [(None, "12 34", None, "x", 2.0, [1]), (40, None, None, "y", None, [])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, score double, letter array<int>")
+    kept = L.keep_identified(d, L.default_vocabulary())
+    assert kept.schema == d.schema and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[2])
+    pieces = L.load_pieces(L.default_vocabulary())
+    data = np.frombuffer("maisonhousegarden".encode(), np.uint8)
+    start, length = np.array([0, 6, 11]), np.array([6, 5, 6])
+    prob = np.append(np.full(len(pieces), 1 / len(pieces)), 0.0)
+    with np.errstate(over="ignore"):
+        run = lambda: L.expected_counts(pieces, prob, L.T.prefix_hash(data), start, length, np.array([1.0, 2.0, 3.0]))
+        whole = run()
+        old, L.BLOCK_BYTES = L.BLOCK_BYTES, 1
+        try:
+            assert np.allclose(whole, run())
+        finally:
+            L.BLOCK_BYTES = old
