@@ -65,7 +65,10 @@ class Pieces:
 
     def __init__(self, pieces: list[tuple[bytes, bool]]) -> None:
         with np.errstate(over="ignore"):
-            h = np.array([self._hash(raw, opens) for raw, opens in pieces], dtype=np.uint64)
+            size = np.array([len(raw) for raw, _ in pieces], dtype=np.int64)
+            end = np.cumsum(size)
+            h = T.span_hash(T.prefix_hash(np.frombuffer(b"".join(raw for raw, _ in pieces), np.uint8)), end - size, end)
+            h[[opens for _, opens in pieces]] ^= _OPENING
         self.n, bits = len(pieces), 18
         while True:  # at most two pieces in a slot
             slot = h >> np.uint64(64 - bits)
@@ -87,12 +90,6 @@ class Pieces:
     def __len__(self) -> int:
         return self.n
 
-    @staticmethod
-    def _hash(raw: bytes, opens: bool) -> np.uint64:
-        data = np.frombuffer(raw, np.uint8)
-        h = T.span_hash(T.prefix_hash(data), np.array([0]), np.array([len(raw)]))[0]
-        return h ^ _OPENING if opens else h
-
     def find(self, h: np.ndarray) -> np.ndarray:
         at = self.first[h >> self.shift]
         miss = np.flatnonzero(self.key[at] != h)
@@ -305,7 +302,10 @@ def _predict(path: str, languages: list[str], prob: np.ndarray):
                     new = np.flatnonzero(~old)
                     if len(new):
                         start = w.start[first[new]]
-                        table[new] = word_scores(pieces, prob, T.prefix_hash(low), start, w.end[first[new]] - start)
+                        size = w.end[first[new]] - start
+                        at = np.cumsum(size) - size  # the new words, end to end
+                        together = low[np.repeat(start - at, size) + np.arange(size.sum())]
+                        table[new] = word_scores(pieces, prob, T.prefix_hash(together), at, size)
                     if len(known_hash) < CACHE_WORDS and len(new):
                         new = new[: CACHE_WORDS - len(known_hash)]
                         both = np.concatenate((known_hash, uniq[new]))
