@@ -25,6 +25,7 @@ from quillon.operators import moments as MM
 from quillon.operators import reduce as R
 from quillon.operators import resampling as B
 from quillon.operators import rope as P
+from quillon.operators import umap as U
 from quillon.sources import canonical as S
 from quillon.sources.durable import materialise
 
@@ -1176,6 +1177,15 @@ def pca_points(spark, d):
     return rounded(p.select("token_id", "phoneme", "L1", "Gender", "keep", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y")))
 
 
+@query()
+def umap_points(spark, d):
+    """Two UMAP coordinates of every token under both models; tokens without a valid vector keep their rows."""
+    r = S.models(S.reps(spark, d)).select("token_id", "phoneme", "L1", "Gender", "model", "v")
+    parts = [U.embed(r.where(F.col("model") == m), 2) for m in ("whisper", "xlsr")]
+    p = parts[0].union(parts[1])
+    return p.select("token_id", "phoneme", "L1", "Gender", "model", "keep", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
+
+
 @query("""
 select event_type, date_trunc('hour', ts) as hour, count(*)::bigint as n, round(sum(value), 4) as total from events group by all
 """)
