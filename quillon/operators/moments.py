@@ -2,9 +2,11 @@
 
 One aggregation over the tokens leaves n, y'y, X'y and X'X for each unit; the random part Z is some of X's columns, so Z'Z,
 Z'X and Z'y are parts of these.  With V = s2 (I + Z D Z') every unit adds to X'V^-1 X, X'V^-1 y, y'V^-1 y and log |V| terms
-that need its moments only, so a likelihood is a sum over units.  Each pass over the table of units sums them for a whole
-grid of covariances D at once, for all groups and models; grids close in on the best point.  The driver sees sums by grid
-point, never units, so neither tokens nor units of a group meet in one task.
+that need its moments only, so a likelihood is a sum over units.  V^-1 depends on a unit by its Z'Z alone, and the rest of a
+term is a product of two of its moments; so units of the same Z'Z are put together once, by sums of these products, without
+loss.  Z'Z holds numbers of tokens, so of N tokens there are at most about sqrt(2 N) kinds where Z is constant inside units,
+however many units there are.  Each pass over the table of kinds sums the terms for a whole grid of covariances D at once,
+for all groups and models; grids close in on the best point.  The driver sees sums by grid point, never units.
 """
 
 from __future__ import annotations
@@ -72,21 +74,72 @@ def covariance(theta: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def partial_sums(yy, xy, xx, z: list[int], factors: np.ndarray) -> np.ndarray:
-    """Rows, one for each L: X'V^-1 X, X'V^-1 y, y'V^-1 y (all for s2 = 1) and log |V| - n log s2, summed over units."""
-    p = xx.shape[1]
-    zz, zx, zy = xx[:, z][:, :, z], xx[:, z, :], xy[:, z]
+def cells(df: DataFrame, y: str, by: list[str], unit: str, factors: tuple[str, ...]) -> DataFrame:
+    """by, unit, factors, ``n, sy, syy``: the one aggregation over tokens."""
+    v = F.col(y).cast("double")
+    return df.groupBy(*dict.fromkeys([*by, unit, *factors])).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"), F.sum(v * v).alias("syy"))
+
+
+def cell_moments(df: DataFrame, x: list[Column], by: list[str], unit: str) -> DataFrame:
+    """The result of ``unit_moments``, from cells in which the columns x are constant."""
+    p = len(x)
+    d = df.select(*by, unit, "n", "sy", "syy", *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+    xs = [F.col(f"_x{i}") for i in range(p)]
+    return d.groupBy(*by, unit).agg(
+        F.sum("n").alias("n"), F.sum("syy").alias("yy"), F.array(*[F.sum(c * F.col("sy")) for c in xs]).alias("xy"),
+        F.array(*[F.sum(xs[i] * xs[j] * F.col("n")) for i in range(p) for j in range(i, p)]).alias("xx"),
+    )
+
+
+def unit_kinds(units: DataFrame, by: list[str], p: int, z: list[int]) -> DataFrame:
+    """Units of one Z'Z put together: by, its upper triangle ``zz``, ``u, n, yy, xy, xx`` (number of units and sums),
+    ``ww``, the upper triangle of the summed products of [Z'X, Z'y] with itself (rows of Z after one another), and
+    ``inside``, for each column of X in how many units it varies, for 0/1 columns."""
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    xx = {k: f"_xx{at}" for at, k in enumerate(upper)}
+    d = units.select(
+        *by, "n", "yy", *[F.element_at("xy", i + 1).alias(f"_xy{i}") for i in range(p)],
+        *[F.element_at("xx", at + 1).alias(name) for at, name in enumerate(xx.values())],
+    )
+    zz = [xx[min(a, b), max(a, b)] for at, a in enumerate(z) for b in z[at:]]
+    w = [F.col(c) for a in z for c in [*[xx[min(a, j), max(a, j)] for j in range(p)], f"_xy{a}"]]
+    square = [F.col(xx[i, i]) for i in range(p)]
+    return d.groupBy(*by, *[F.col(c).alias(f"_zz{i}") for i, c in enumerate(zz)]).agg(
+        F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.array(*[F.sum(f"_xy{i}") for i in range(p)]).alias("xy"),
+        F.array(*[F.sum(c) for c in xx.values()]).alias("xx"),
+        F.array(*[F.sum(w[i] * w[j]) for i in range(len(w)) for j in range(i, len(w))]).alias("ww"),
+        F.array(*[F.sum(((s != 0) & (s != F.col("n"))).cast("double")) for s in square]).alias("inside"),
+    ).select(*by, F.array(*[f"_zz{i}" for i in range(len(zz))]).alias("zz"), "u", "n", "yy", "xy", "xx", "ww", "inside")
+
+
+def full(upper: np.ndarray, p: int) -> np.ndarray:
+    """Symmetric matrices from rows of upper triangles."""
+    at = np.triu_indices(p)
+    out = np.zeros((len(upper), p, p))
+    out[:, at[0], at[1]] = upper
+    out[:, at[1], at[0]] = upper
+    return out
+
+
+def partial_sums(u, yy, xy, xx, zz, ww, factors: np.ndarray, block: int = 32) -> np.ndarray:
+    """Rows, one for each L: X'V^-1 X, X'V^-1 y, y'V^-1 y (all for s2 = 1) and log |V| - n log s2, summed over kinds of units.
+
+    ``ww`` has the shape (kinds, q, p + 1, q, p + 1)."""
+    p, q = xx.shape[1], zz.shape[1]
     out = np.empty((len(factors), p * p + p + 2))
-    eye = np.eye(len(z))
-    for t, low in enumerate(factors):
-        inner = eye + low.T @ zz @ low
+    products = ww.transpose(0, 1, 3, 2, 4).reshape(-1, (p + 1) ** 2)
+    for lo in range(0, len(factors), block):
+        low = factors[lo : lo + block, None]
+        turned = np.swapaxes(low, 2, 3)
+        inner = np.eye(q) + turned @ zz @ low
         # V^-1 = I - Z L (I + L'Z'ZL)^-1 L'Z'
-        a = low @ np.linalg.solve(inner, np.broadcast_to(low.T, inner.shape))
-        azx, azy = a @ zx, np.einsum("uij,uj->ui", a, zy)
-        out[t, : p * p] = (xx.sum(0) - np.einsum("uki,ukj->ij", zx, azx)).ravel()
-        out[t, p * p : -2] = xy.sum(0) - np.einsum("uki,uk->i", zx, azy)
-        out[t, -2] = yy.sum() - (zy * azy).sum()
-        out[t, -1] = np.linalg.slogdet(inner)[1].sum()
+        a = low @ np.linalg.solve(inner, np.broadcast_to(turned, inner.shape))
+        less = (a.reshape(len(a), -1) @ products).reshape(-1, p + 1, p + 1)
+        to = out[lo : lo + block]
+        to[:, : p * p] = (xx.sum(0) - less[:, :p, :p]).reshape(len(a), -1)
+        to[:, p * p : -2] = xy.sum(0) - less[:, :p, p]
+        to[:, -2] = yy.sum() - less[:, p, p]
+        to[:, -1] = np.linalg.slogdet(inner)[1] @ u
     return out
 
 
@@ -148,24 +201,25 @@ def independent(gram: np.ndarray, columns: list[int]) -> list[int]:
     return keep
 
 
-def _evaluate(units: DataFrame, by: list[str], p: int, jobs: dict[tuple, list[tuple[int, list[int], np.ndarray]]]) -> dict:
-    """Sums over units for every (group, job, grid point): one pass over the units."""
-    upper = np.triu_indices(p)
+def _evaluate(kinds: DataFrame, by: list[str], p: int, z: list[int], jobs: dict[tuple, list[tuple[int, list[int], np.ndarray]]]) -> dict:
+    """Sums over units for every (group, job, grid point): one pass over the kinds of units."""
+    q = len(z)
 
     def run(batches):
         for pdf in batches:
             for key, g in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
                 key = key if isinstance(key, tuple) else (key,)
-                xx = np.zeros((len(g), p, p))
-                xx[:, upper[0], upper[1]] = np.stack(g["xx"].to_numpy())
-                xx[:, upper[1], upper[0]] = xx[:, upper[0], upper[1]]
-                yy, xy = g["yy"].to_numpy(float), np.stack(g["xy"].to_numpy())
-                for job, z, grid in jobs.get(key, ()):
-                    sums = partial_sums(yy, xy, xx, z, covariance(grid, len(z)))
+                if key not in jobs or not len(g):
+                    continue
+                u, yy, xy = g["u"].to_numpy(float), g["yy"].to_numpy(float), np.stack(g["xy"].to_numpy())
+                xx, zz = full(np.stack(g["xx"].to_numpy()), p), full(np.stack(g["zz"].to_numpy()), q)
+                ww = full(np.stack(g["ww"].to_numpy()), q * (p + 1)).reshape(-1, q, p + 1, q, p + 1)
+                for job, some, grid in jobs[key]:
+                    at = [z.index(i) for i in some]
+                    sums = partial_sums(u, yy, xy, xx, zz[:, at][:, :, at], ww[:, at][:, :, :, at], covariance(grid, len(at)))
                     yield pd.DataFrame({"job": job, "point": range(len(grid)), "sums": list(sums)})
 
-    kinds = "job int, point int, sums array<double>"
-    rows = units.select(*by, "yy", "xy", "xx").mapInPandas(run, kinds)
+    rows = kinds.select(*by, "u", "yy", "xy", "xx", "zz", "ww").mapInPandas(run, "job int, point int, sums array<double>")
     out: dict = {}
     for r in rows.groupBy("job", "point").agg(V.vector_sum("sums").alias("sums")).collect():
         out.setdefault(r.job, {})[r.point] = np.array(r.sums)
@@ -192,19 +246,20 @@ def mixed_models(
     spark = df.sparkSession
     d = df.dropna(subset=[y, unit, *factors])
     terms = list(dict.fromkeys(t for fixed, _ in models.values() for t in fixed))
-    columns = treatment(d, factors, tuple(terms))
+    parts = materialise(cells(d, y, by, unit, factors), "mixed-cells")
+    columns = treatment(parts, factors, tuple(terms))
     names = [n for t in columns.values() for n, _ in t]
     place = {t: [names.index(n) for n, _ in columns[t]] for t in columns}
     p = len(names)
-    units = materialise(unit_moments(d, y, [c for t in columns.values() for _, c in t], by, unit), "unit-moments")
-    kinds = [f"`{b}` {dict(d.dtypes)[b]}" for b in by]
-    schema = ", ".join([*kinds, _OUT])
-    if units.isEmpty():
+    random = sorted({i for _, z in models.values() for t in z for i in place[t]})
+    units = cell_moments(parts, [c for t in columns.values() for _, c in t], by, unit)
+    kinds = materialise(unit_kinds(units, by, p, random), "unit-kinds")
+    schema = ", ".join([*[f"`{b}` {dict(d.dtypes)[b]}" for b in by], _OUT])
+    if kinds.isEmpty():
         return spark.createDataFrame([], schema)
-    # Whether columns vary inside units shows in how a unit's sum of squares compares with its n.
-    square = [F.element_at("xx", 1 + i * p - i * (i - 1) // 2) for i in range(p)]
-    flat = F.array(*[F.sum(((s != 0) & (s != F.col("n"))).cast("double")) for s in square])
-    sums = units.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), V.vector_sum("xx").alias("xx"), flat.alias("inside"))
+    sums = kinds.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("u").alias("u"), V.vector_sum("xx").alias("xx"), V.vector_sum("inside").alias("inside")
+    )
     totals, fits = {}, []
     for r in sums.where((F.col("u") >= min_units) & (F.col("n") >= min_tokens)).collect():
         key = tuple(r[b] for b in by)
@@ -212,16 +267,16 @@ def mixed_models(
         gram[np.triu_indices(p)] = r.xx
         gram = np.maximum(gram, gram.T)
         totals[key] = (r.n, r.u, gram, r.inside)
-        for name, (fixed, random) in models.items():
+        for name, (fixed, slopes) in models.items():
             keep = independent(gram, [0, *[i for t in fixed for i in place[t]]])
-            z = [i for t in random for i in place[t] if gram[i, i] > 0][:2]
+            z = [i for t in slopes for i in place[t] if gram[i, i] > 0][:2]
             fits += [Fit(key, name, m, keep, z) for m in ((True, False) if name in reml else (False,))]
     for step in range(passes):
         todo = [(i, f, f.grid()) for i, f in enumerate(fits) if step == 0 or len(f.z) > 1 or step < 7]
         jobs: dict = {}
         for i, f, grid in todo:
             jobs.setdefault(f.key, []).append((i, f.z, grid))
-        got = _evaluate(units, by, p, jobs) if jobs else {}
+        got = _evaluate(kinds, by, p, random, jobs) if jobs else {}
         for i, f, grid in todo:
             f.take(grid, got[i], p, float(totals[f.key][0]))
     rows = []

@@ -118,3 +118,28 @@ def test_wald_intervals_are_of_maximum_likelihood(spark):
     b = by_model(MM.mixed_models(d, "y", ["p"], {"M1": MM.POOLED["M1"]}))["M1"]
     for r in a:
         assert r.coef == pytest.approx(b[r.effect].coef, abs=1e-5) and r.se == pytest.approx(b[r.effect].se, rel=1e-4)
+
+
+def test_units_of_one_kind_are_put_together(spark):
+    """Units with equal Z'Z make one row whatever their number, and the sums over kinds are those over units."""
+    rows = [(f"{u}-{s}", x, "m" if u % 2 else "f", h, y + u) for u in range(30) for s, x, _, h, y in simulated(5, 4, balanced=True)]
+    p, z = 3, [0, 1]
+    d = frame(spark, rows)
+    ru, m = (F.col("L1") == "ru").cast("double"), (F.col("Gender") == "m").cast("double")
+    units = MM.unit_moments(d, "y", [F.lit(1.0), ru, m], [], "spk")
+    again = MM.cell_moments(MM.cells(d, "y", [], "spk", ("L1", "Gender")), [F.lit(1.0), ru, m], [], "spk")
+    one, two = ({r.spk: [r.n, r.yy, *r.xy, *r.xx] for r in t.collect()} for t in (units, again))
+    assert len(one) == 120 and all(one[k] == pytest.approx(two[k]) for k in one)
+    kinds = MM.unit_kinds(units, [], p, z).toPandas()
+    assert len(kinds) == 1 and kinds["u"][0] == 120 and list(kinds["inside"][0]) == [0, 120, 0]
+    low = MM.covariance(np.array([[0.3, -0.4, 0.5]]), 2)
+    ww = MM.full(np.stack(kinds["ww"]), 2 * (p + 1)).reshape(-1, 2, p + 1, 2, p + 1)
+    got = MM.partial_sums(kinds["u"].to_numpy(float), kinds["yy"].to_numpy(), np.stack(kinds["xy"]), MM.full(np.stack(kinds["xx"]), p), MM.full(np.stack(kinds["zz"]), 2), ww, low)[0]
+    want = np.zeros(p * p + p + 2)
+    for u in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == u]
+        x, y = np.array([[1.0, RU(r), M(r)] for r in own]), np.array([r[4] for r in own])
+        v = np.eye(len(own)) + x[:, z] @ low[0] @ low[0].T @ x[:, z].T
+        w = np.linalg.inv(v)
+        want += np.array([*(x.T @ w @ x).ravel(), *(x.T @ w @ y), y @ w @ y, np.linalg.slogdet(v)[1]])
+    assert got == pytest.approx(want, rel=1e-9)
