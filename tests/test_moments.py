@@ -143,3 +143,18 @@ def test_units_of_one_kind_are_put_together(spark):
         w = np.linalg.inv(v)
         want += np.array([*(x.T @ w @ x).ravel(), *(x.T @ w @ y), y @ w @ y, np.linalg.slogdet(v)[1]])
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_kinds_of_pooled_models_do_not_grow_with_speakers(spark):
+    """Heights vary inside speakers and differ between them; kinds are told apart by the random part only."""
+    heights = ["high", "low", "mid"]
+    of = lambda n: [(f"S{u}", "ru" if u % 2 else "fr", "m" if u % 3 else "f", heights[(u * k) % 3], float(u % 7 + k)) for u in range(n) for k in range(4 + u % 3)]
+    sizes = []
+    for n in (60, 240):
+        columns = MM.treatment(frame(spark, of(n)), ("L1", "Gender", "vowel_height"), ("L1", "Gender", "vowel_height"))
+        x = [c for t in columns.values() for _, c in t]
+        units = MM.cell_moments(MM.cells(frame(spark, of(n)), "y", [], "spk", ("L1", "Gender", "vowel_height")), x, [], "spk")
+        got = MM.unit_kinds(units, [], len(x), [0, 1]).toPandas()
+        assert got["u"].sum() == n and got["n"].sum() == len(of(n))
+        sizes.append(len(got))
+    assert sizes == [6, 6]
