@@ -1,7 +1,9 @@
 """Linear mixed models with a random intercept by unit, from sufficient statistics of each unit.
 
 Covariates are constant within a unit, so a unit is known by n, sum(y) and sum(y^2): one aggregation over the tokens,
-after which a model sees one row per unit.  With V = s2 (I + r J) the likelihood is profiled over r, r = 0 included.
+after which units of equal n and covariates are put together, by the sums of sum(y), sum(y^2) and sum(y)^2, which is all
+that the likelihood needs of them.  Of N tokens there are at most about sqrt(2 N) such kinds for each cell of the covariates,
+however many units there are.  With V = s2 (I + r J) the likelihood is profiled over r, r = 0 included.
 """
 
 from __future__ import annotations
@@ -19,23 +21,48 @@ from statistics import NormalDist
 
 
 def unit_stats(df: DataFrame, value: str, by: list[str], unit: str = "spk", carry: tuple[str, ...] = ("L1", "Gender")) -> DataFrame:
-    d = df.where(F.col(value).isNotNull() & F.col(unit).isNotNull())
-    return d.groupBy(*by, unit).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("sy"), F.sum(F.col(value) ** 2).alias("syy"), *[F.min(c).alias(c) for c in carry]
+    """by, unit, ``n, sy, syy`` and the smallest value of each column in ``carry``.
+
+    Smallest labels are found among the cells of a unit: an aggregate of strings would sort all tokens of a task, while
+    numbers alone are added up by hash."""
+    return unit_stats_by_column(df, {"": value}, by, "_column", unit, carry).drop("_column")
+
+
+def unit_stats_by_column(
+    df: DataFrame, values: dict[str, str], by: list[str], name: str, unit: str = "spk", carry: tuple[str, ...] = ("L1", "Gender")
+) -> DataFrame:
+    """``unit_stats`` of several columns, told apart by ``name``: tokens are aggregated as they are, one row becomes several
+    after that only."""
+    x = {k: F.col(c) for k, c in values.items()}
+    sums = [F.struct(F.lit(k).alias(name), F.count(c).alias("n"), F.sum(c).alias("sy"), F.sum(c**2).alias("syy")) for k, c in x.items()]
+    cells = df.where(F.col(unit).isNotNull()).groupBy(*by, unit, *carry).agg(F.array(*sums).alias("_each"))
+    cells = cells.select(*by, unit, *carry, F.inline("_each")).where("n > 0")
+    return cells.groupBy(*by, name, unit).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), *[F.min(c).alias(c) for c in carry])
+
+
+def unit_kinds(stats: DataFrame, by: list[str], carry: tuple[str, ...] = ("L1", "Gender")) -> DataFrame:
+    """Units of equal n and covariates put together: by, carry, n, ``u`` (their number), ``sy, syy`` (sums) and ``sy2``, the
+    sum of the squares of the units' sums."""
+    return stats.groupBy(*by, *carry, "n").agg(
+        F.count(F.lit(1)).alias("u"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum(F.col("sy") * F.col("sy")).alias("sy2")
     )
 
 
-def profile(r, n: np.ndarray, sy: np.ndarray, syy: np.ndarray, x: np.ndarray, reml: bool):
-    """(log likelihood, beta, s2, inverse of X'V^-1 X / s2) at variance ratio r, a number or one per unit."""
+def profile(r, n: np.ndarray, sy: np.ndarray, syy: np.ndarray, x: np.ndarray, reml: bool, u=1.0, sy2=None):
+    """(log likelihood, beta, s2, inverse of X'V^-1 X / s2) at variance ratio r, a number or one per row.
+
+    A row stands for ``u`` units of n tokens each, with the sum ``sy2`` of their squared sums; by default for one unit."""
+    sy2 = sy**2 if sy2 is None else sy2
+    u = np.broadcast_to(u, n.shape)
     d = 1 + n * r
-    xtx = (x * (n / d)[:, None]).T @ x
+    xtx = (x * (u * n / d)[:, None]).T @ x
     xty = x.T @ (sy / d)
     beta = np.linalg.solve(xtx, xty)
-    rss = float((syy - r / d * sy**2).sum() - beta @ xty)
-    total, p = float(n.sum()), x.shape[1]
+    rss = float((syy - r / d * sy2).sum() - beta @ xty)
+    total, p = float((u * n).sum()), x.shape[1]
     free = total - p if reml else total
     s2 = max(rss / free, 1e-300)
-    out = -0.5 * (free * math.log(2 * math.pi * s2) + float(np.log(d).sum()) + free)
+    out = -0.5 * (free * math.log(2 * math.pi * s2) + float((u * np.log(d)).sum()) + free)
     if reml:
         out -= 0.5 * np.linalg.slogdet(xtx)[1]
     return out, beta, s2, np.linalg.inv(xtx)
@@ -57,14 +84,18 @@ def _golden(f, lo: float, hi: float, steps: int = 80) -> float:
     return (lo + hi) / 2
 
 
-def fit(n, sy, syy, x, reml: bool = True, slope: np.ndarray | None = None) -> dict:
-    """Fit one model; ``slope`` (0/1 by unit) lets the intercept variance differ between its two groups, which is all a
+def fit(n, sy, syy, x, reml: bool = True, slope: np.ndarray | None = None, u=None, sy2=None) -> dict:
+    """Fit one model to units, or to kinds of ``u`` units each (see ``profile``); ``slope`` (0/1 by row) lets the intercept variance differ between its two groups, which is all a
     random slope of a covariate that is constant within units can say."""
     n, sy, syy, x = (np.asarray(v, float) for v in (n, sy, syy, x))
+    u = np.ones(len(n)) if u is None else np.asarray(u, float)
+    sy2 = sy**2 if sy2 is None else np.asarray(sy2, float)
     # Centre the response: sums of squares lose less.
-    mid = sy.sum() / n.sum()
-    syy, sy = syy - 2 * mid * sy + n * mid**2, sy - n * mid
-    one = lambda r: profile(r, n, sy, syy, x, reml)[0]
+    total = float((u * n).sum())
+    mid = sy.sum() / total
+    sy2 = np.maximum(sy2 - 2 * mid * n * sy + u * (n * mid) ** 2, 0)
+    syy, sy = syy - 2 * mid * sy + u * n * mid**2, sy - u * n * mid
+    one = lambda r: profile(r, n, sy, syy, x, reml, u, sy2)[0]
     if slope is None:
         t = _golden(lambda t: one(math.exp(t)), -16, 12)
         r = math.exp(t) if one(math.exp(t)) > one(0.0) + 1e-12 else 0.0
@@ -76,14 +107,14 @@ def fit(n, sy, syy, x, reml: bool = True, slope: np.ndarray | None = None) -> di
             a = math.exp(_golden(lambda t: one(each(math.exp(t), b)), -16, 12, 50))
             b = math.exp(_golden(lambda t: one(each(a, math.exp(t))), -16, 12, 50))
         parts = each(a, b)
-        r = float(parts.mean())
-    ll, beta, s2, inv = profile(parts, n, sy, syy, x, reml)
+        r = float((u * parts).sum() / u.sum())
+    ll, beta, s2, inv = profile(parts, n, sy, syy, x, reml, u, sy2)
     beta = beta.copy()
     beta[0] += mid
     se = np.sqrt(np.diag(inv) * s2)
     fixed = x @ beta
-    total = n.sum()
-    var_fixed = float((n * (fixed - (n * fixed).sum() / total) ** 2).sum() / max(total - 1, 1))
+    all_n = u * n
+    var_fixed = float((all_n * (fixed - (all_n * fixed).sum() / total) ** 2).sum() / max(total - 1, 1))
     var_u = r * s2
     params = x.shape[1] + k + 1
     return {
@@ -123,19 +154,19 @@ _OUT = (
 def ladder(stats: DataFrame, by: list[str], min_units: int = 3, min_tokens: int = 10, models: tuple[str, ...] = ("M0", "M1", "M2", "M4")) -> DataFrame:
     """All models by group in long form, one row per term, REML and ML; groups that are too small are left out.
 
-    A group is the table of its units, one row each."""
+    A group is the table of its kinds of units (see ``unit_kinds``), few whatever the number of units is."""
     kinds = dict(stats.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, key = [], list(pdf[by].iloc[0])
-        if len(pdf) >= min_units and pdf["n"].sum() >= min_tokens:
-            pdf = pdf.sort_values("spk")
+        if pdf["u"].sum() >= min_units and (pdf["u"] * pdf["n"]).sum() >= min_tokens:
+            pdf = pdf.sort_values(["L1", "Gender", "n"])
             for name in models:
                 x, names = design(pdf, MODELS[name])
                 slope = (pdf["L1"] != pdf["L1"].min()).to_numpy(float) if name == "M4" else None
                 for reml in (True, False):
                     try:
-                        m = fit(pdf["n"], pdf["sy"], pdf["syy"], x, reml, slope)
+                        m = fit(pdf["n"], pdf["sy"], pdf["syy"], x, reml, slope, pdf["u"], pdf["sy2"])
                     except np.linalg.LinAlgError:
                         rows.append([*key, name, reml, None, *[None] * 11, 0, "singular"])
                         continue
@@ -144,7 +175,7 @@ def ladder(stats: DataFrame, by: list[str], min_units: int = 3, min_tokens: int
                         rows.append([*key, name, reml, t, b, s, p, *(m[c] for c in ("aic", "bic", "loglik", "icc", "r2_marginal", "r2_conditional", "var_u", "var_e")), m["params"], m["status"]])
         return pd.DataFrame(rows, columns=[*by, *[c.split()[0] for c in _OUT.split(", ")]])
 
-    return stats.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", " + _OUT)
+    return unit_kinds(stats, by).groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", " + _OUT)
 
 
 def likelihood_ratios(models: DataFrame, by: list[str], pairs: tuple = (("M0", "M1"), ("M1", "M2"), ("M1", "M4"))) -> DataFrame:

@@ -1009,8 +1009,7 @@ def positional_alignment(spark, d):
 
 def _stats(spark, d):
     t = D.vowels(normed(spark, d))
-    long = t.select("phoneme", "spk", "L1", "Gender", F.explode(F.array(*[F.struct(F.lit(f).alias("formant"), F.col(f"{f}_normed").alias("y")) for f in ("F1", "F2")])).alias("f"))
-    return M.unit_stats(long.select("phoneme", "spk", "L1", "Gender", "f.formant", "f.y"), "y", ["phoneme", "formant"])
+    return M.unit_stats_by_column(t, {f: f"{f}_normed" for f in ("F1", "F2")}, ["phoneme"], "formant")
 
 
 @query()
