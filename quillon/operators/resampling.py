@@ -16,6 +16,8 @@ from quillon.sources.durable import materialise
 
 #: Replicates whose sums travel as one row.
 BLOCK = 250
+#: Hashes of one task of a permutation test, and rows of its groups and replicates that may be broadcast.
+HASHES, BROADCAST = 4_000_000, 200_000
 
 
 def hash_key(seed: int, b: Column, item: Column) -> Column:
@@ -111,8 +113,9 @@ def bootstrap_centroid_distance(
 
 
 def _cell_digits(n: int) -> int:
-    """Leading hex digits of a hash that cut n items into cells of a few thousand."""
-    digits = 0
+    """Leading hex digits of a hash that cut n items into cells of a few thousand, one at least: hashes of
+    one cell are moved, those of the others only counted."""
+    digits = 1
     while n > 4096 << (4 * digits):
         digits += 1
     return digits
@@ -136,24 +139,31 @@ def permutation_centroid_distance(
         V.vector_sum(F.when(F.col(side) == first, F.col("x")).otherwise(V.zero(F.col("x")))).alias("s1"), V.vector_sum("x").alias("s"),
     ).where((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
     far = lambda one: V.cosine_distance(V.scaled(one, F.col("n1")), V.scaled(V.minus(F.col("s"), one), F.col("n2")), "null")
-    whole = whole.withColumn("obs", far(F.col("s1")))
-    largest = whole.agg(F.max(F.col("n1") + F.col("n2"))).first()[0] or 0
+    whole = materialise(whole.withColumn("obs", far(F.col("s1"))), "permuted-groups")
+    both = F.col("n1") + F.col("n2")
+    most = whole.agg(F.max(both).alias("largest"), F.sum(both).alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    # Each row becomes n_perm hashes: tasks are counted by those, and by number, so that they aren't joined up again.
+    tasks = max(spark.sparkContext.defaultParallelism, min(-(-(most.rows or 0) * n_perm // HASHES), 4096))
     reps = spark.range(n_perm).withColumnRenamed("id", "b")
-    # Ids alone are dealt anew: each row becomes n_perm hashes, which a few large input splits should not do alone.
-    hashes = ok.select(*within, id_col).repartition(id_col).crossJoin(F.broadcast(reps)).withColumn("h", hash_key(seed, F.col("b"), F.col(id_col)))
-    hashes = hashes.withColumn("cell", F.substring("h", 1, _cell_digits(largest)))
+    hashes = ok.select(*within, id_col).repartition(tasks, id_col).crossJoin(F.broadcast(reps)).withColumn("h", hash_key(seed, F.col("b"), F.col(id_col)))
+    hashes = hashes.withColumn("cell", F.substring("h", 1, _cell_digits(most.largest or 0)))
     count = hashes.groupBy(*within, "b", "cell").agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy(*within, "b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     count = count.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
     sizes = whole.select(*within, "n1")
     last = count.join(sizes, within) if within else count.crossJoin(sizes)
     last = last.where("before < n1 and before + n >= n1").select(*within, "b", "cell", (F.col("n1") - F.col("before")).cast("int").alias("place"))
+    # One row for each group and replicate: sent to the rows while these are few, so that hashes of other cells stay.
+    send = F.broadcast if most.groups * n_perm <= BROADCAST else (lambda t: t)
+    last = send(last)
     inside = hashes.join(last, [*within, "b", "cell"]).groupBy(*within, "b").agg(
         F.element_at(F.array_sort(F.collect_list(F.struct("h", F.col(id_col).alias("id")))), F.first("place")).alias("limit")
     )
     limits = inside.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("b", "limit"))).alias("limits"))
+    limits = send(limits)
     member = lambda m: F.struct(hash_key(seed, m["b"], F.col(id_col)).alias("h"), F.col(id_col).alias("id")) <= m["limit"]
-    told = ok.join(limits, within) if within else ok.crossJoin(limits)
+    told = ok.repartition(tasks, id_col)
+    told = told.join(limits, within) if within else told.crossJoin(limits)
     told = told.select(*within, "x", F.transform("limits", lambda m: member(m).cast("float")).alias("first"))
     sums = _block_sums(told, within, lambda g: np.stack(g["first"].to_numpy()).astype(float))
     kinds = dict(ok.dtypes)

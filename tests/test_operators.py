@@ -382,3 +382,9 @@ def test_registered_replicates_are_the_reference_s_and_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "token_id long, L1 string, v array<double>")
     got = B.permutation_centroid_distance(df.selectExpr("*", "1 as g"), "L1", "fr", "ru", within=["g"], n_perm=catalogue.N_PERM).first()
     assert got.p_raw == pytest.approx(p, abs=1e-12)
+
+
+def test_permutation_moves_the_hashes_of_one_cell_only():
+    from quillon.operators import resampling as B
+
+    assert B._cell_digits(10) == B._cell_digits(1000) == B._cell_digits(65_536) == 1 and B._cell_digits(65_537) == 2
