@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.special import p_f, p_mann_whitney, p_t, shapiro
-from quillon.operators.order import average_ranks, quantiles
+from quillon.operators.order import average_ranks, positions, quantiles  # noqa: F401 (ranks are named here too)
 
 SHAPIRO_LIMIT = 5000
 
@@ -58,11 +58,13 @@ def levene(df: DataFrame, value: str, by: list[str], group: str, first: str, sec
 def mann_whitney(df: DataFrame, value: str, by: list[str], group: str, first: str, second: str) -> DataFrame:
     """U of the first group, two-sided p (exact for small samples without ties), group sizes and the tie term."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second))
-    r = average_ranks(d.select(*by, group, value), value, by)
-    g = r.groupBy(*by).agg(
-        F.sum(F.when(F.col(group) == first, F.col("rank"))).alias("r1"), F.count_if(F.col(group) == first).alias("n1"),
-        F.count_if(F.col(group) == second).alias("n2"),
-        F.sum(F.col("tied") * F.col("tied") - 1).cast("double").alias("ties"),  # sum over rows of t^2 - 1 = sum over values of t^3 - t
+    # Rows of one value share a rank, so the first group's are counted by value: no row is joined with its rank.
+    p = positions(d, value, by, {"_first": F.count_if(F.col(group) == first)})
+    n = F.col("_n").cast("double")
+    g = p.groupBy(*by).agg(
+        F.sum(F.when(F.col("_first") > 0, (F.col("_before") + (F.col("_n") + 1) / 2) * F.col("_first"))).alias("r1"),
+        F.sum("_first").alias("n1"), F.sum(F.col("_n") - F.col("_first")).alias("n2"),
+        F.sum(n * (n * n - 1)).alias("ties"),  # sum over values of t^3 - t
     )
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     g = g.where("n1 > 0 and n2 > 0").withColumn("u", u)

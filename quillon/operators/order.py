@@ -5,7 +5,7 @@ Values are put in order by ranges that sampling finds, as a sort would, so outli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.durable import materialise
@@ -31,14 +31,14 @@ def placed(df: DataFrame, value: str, by: list[str], weight: str | None = None)
     return d.join(size, on).select(d["*"], size["_start"])
 
 
-def positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, _n, _before: each distinct value of a group, how often it occurs, and how many smaller ones there are.
-
-    Null values are left out."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def positions(df: DataFrame, value: str, by: list[str], also: dict[str, Column] | None = None) -> DataFrame:
+    """by, value, _n, _before: each distinct value of a group, how often it occurs, and how many smaller ones there are;
+    ``also`` names further aggregates of a value's rows.  Null values are left out."""
+    also = also or {}
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in also.items()])
     inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return placed(n, value, by, "_n").select(*by, value, "_n", before.alias("_before"))
+    return placed(n, value, by, "_n").select(*by, value, "_n", before.alias("_before"), *also)
 
 
 def row_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:

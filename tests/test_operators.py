@@ -388,3 +388,16 @@ def test_permutation_moves_the_hashes_of_one_cell_only():
     from quillon.operators import resampling as B
 
     assert B._cell_digits(10) == B._cell_digits(1000) == B._cell_digits(65_536) == 1 and B._cell_digits(65_537) == 2
+
+
+def test_mann_whitney_joins_no_row_with_its_rank(spark):
+    """One table of distinct values is written and aggregated; heavy ties give the ranks' mean."""
+    from quillon.operators import hypothesis as H
+
+    rows = [("a", "x" if i % 3 else "y", float(i % 4)) for i in range(120)] + [("a", "z", 0.0), ("a", "x", None)]
+    out = H.mann_whitney(spark.createDataFrame(rows, "p string, g string, v double"), "v", ["p"], "g", "x", "y")
+    assert "_first" in out._jdf.queryExecution().analyzed().toString()
+    got = out.first()
+    x, y = ([v for _, g, v in rows if g == k and v is not None] for k in "xy")
+    assert (got.n1, got.n2) == (len(x), len(y)) and got.u == sum((a > b) + 0.5 * (a == b) for a in x for b in y)
+    assert got.ties == 4 * (30**3 - 30)
