@@ -2,14 +2,16 @@
 
 Nothing but samples of a fixed size reaches the driver.  The graph starts from blocks of rows that lie together under the
 signs of random projections and is refined by neighbour descent: the neighbours of a row, and a bounded sample of the
-rows that have it as neighbour, are compared with each other.  Forces along edges are sums, combined before they are
-shuffled, so a row with many edges is no hot key; repulsion comes from a fresh sample of ``negatives`` points a round.
+rows that have it as neighbour, are compared with each other; only pairs that may enter a row's list leave the task.  In a
+round of the layout each row sends its place to its neighbours, one message an edge, and forces are summed where the
+messages arrive; repulsion comes from a fresh sample of ``negatives`` points a round.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,19 +54,47 @@ def _best_within(node: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return out[np.isfinite(out["d"])]
 
 
+def _compared(centre: np.ndarray, node: np.ndarray, x: np.ndarray, reach: np.ndarray, k: int, block: int = 256):
+    """For whole centres in order: pairs of members, with each row's k nearest of the centre and ties, none beyond its reach."""
+    first = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+    size = np.diff(np.r_[first, len(centre)])
+    for lo in range(0, len(first), block):
+        start, many = first[lo : lo + block, None], size[lo : lo + block, None]
+        place = np.arange(many.max())
+        live = place < many
+        at = np.where(live, start + place, start)
+        v = x[at]
+        far = 1 - np.clip(v @ v.transpose(0, 2, 1), -1, 1)
+        far[~(live[:, :, None] & live[:, None, :])] = np.inf
+        far[:, place, place] = np.inf
+        kth = np.partition(far, min(k, len(place)) - 1, axis=2)[:, :, min(k, len(place)) - 1]
+        c, i, j = np.nonzero(np.isfinite(far) & (far <= np.minimum(kth, reach[at])[:, :, None]))
+        yield node[at[c, i]], node[at[c, j]], far[c, i, j]
+
+
 def _local_join(k: int):
-    """For rows sorted by centre: the members of a centre compared with each other, each one's best k kept."""
+    """For rows sorted by centre: the members of a centre compared with each other, many centres at once."""
+
+    def pairs(rows: pa.Table):
+        centre, node, reach = (rows.column(c).to_numpy() for c in ("centre", "node", "reach"))
+        x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        for found in _compared(centre, node, x, reach, k):
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["node", "nbr", "d"])
 
     def run(batches):
         held = None
-        for pdf in batches:
-            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = rows["centre"].to_numpy() == rows["centre"].iloc[-1] if len(rows) else np.zeros(0, bool)
-            held = rows[last]
-            for _, g in rows[~last].groupby("centre", sort=False):
-                yield _best_within(g["node"].to_numpy(), np.stack(g["v"].to_numpy()), k)
-        if held is not None and len(held) > 1:
-            yield _best_within(held["node"].to_numpy(), np.stack(held["v"].to_numpy()), k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = pa.Table.from_batches([batch])
+            rows = (more if held is None else pa.concat_tables([held, more])).combine_chunks()
+            centre = rows.column("centre").to_numpy()
+            whole = int(np.flatnonzero(centre == centre[-1])[0])
+            held = rows.slice(whole)
+            if whole:
+                yield from pairs(rows.slice(0, whole))
+        if held is not None:
+            yield from pairs(held)
 
     return run
 
@@ -99,8 +129,11 @@ def neighbours(points: DataFrame, k: int = 15, trees: int = 4, rounds: int = 4,
         back = graph.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k)
         lists = graph.select(F.col("node").alias("centre"), F.col("nbr").alias("node"))
         lists = lists.union(back.select(F.col("nbr").alias("centre"), "node")).union(points.select(F.col("node").alias("centre"), "node")).distinct()
-        members = lists.join(points.select("node", "v"), "node").repartition("centre").sortWithinPartitions("centre")
-        found = members.select("centre", "node", "v").mapInPandas(_local_join(k), kinds)
+        # A pair farther than the last of a full list can't enter it, so it isn't sent.
+        reach = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("reach"))
+        known = points.select("node", "v").join(reach, "node", "left").fillna(float("inf"), ["reach"])
+        members = lists.join(known, "node").repartition("centre").sortWithinPartitions("centre")
+        found = members.select("centre", "node", "reach", "v").mapInArrow(_local_join(k), kinds)
         graph = materialise(_nearest(graph.union(found), k), "umap-graph")
     return graph
 
@@ -156,8 +189,11 @@ def layout(start: DataFrame, edges: DataFrame, k: int, rounds: int = 30, negativ
     """``node, y0, y1, ...`` after ``rounds`` steps from ``start`` under the forces of ``edges`` (node, nbr, w; both directions)."""
     a, b = curve(min_dist)
     ys = [f"y{i}" for i in range(k)]
-    edges = materialise(edges, "umap-edges")
-    pulls = edges.groupBy("node").agg(F.sum("w").alias("total"))
+    # A row tells all its neighbours where it is, so a round shuffles one message an edge.
+    sends = edges.groupBy("nbr").agg(F.collect_list(F.struct("node", "w")).alias("to"), F.sum("w").alias("total"))
+    sends = materialise(sends, "umap-edges")
+    pulls = sends.select(F.col("nbr").alias("node"), "total")
+    sends = sends.drop("total")
     at = materialise(start.join(pulls, "node", "left").select("node", F.coalesce("total", F.lit(0.0)).alias("total"), *ys), "umap-layout")
     n = at.count()
     kinds = at.schema
@@ -167,7 +203,8 @@ def layout(start: DataFrame, edges: DataFrame, k: int, rounds: int = 30, negativ
         sample = at.where(drawn).select("node", *ys).toPandas()  # about ``negatives`` rows
         others, ids, lr = sample[ys].to_numpy(), sample["node"].to_numpy(), 1.0 - step / rounds
         tail = at.select(F.col("node").alias("nbr"), *[F.col(y).alias(f"t{i}") for i, y in enumerate(ys)])
-        ends = edges.join(at.drop("total"), "node").join(tail, "nbr")
+        told = sends.join(tail.hint("shuffle_hash"), "nbr").select(*[f"t{i}" for i in range(k)], F.inline("to"))
+        ends = told.join(at.drop("total").hint("shuffle_hash"), "node")
         gaps = [F.col(y) - F.col(f"t{i}") for i, y in enumerate(ys)]
         d2 = sum((g * g for g in gaps), F.lit(0.0))
         pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, b))).otherwise(0.0)

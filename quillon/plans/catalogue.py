@@ -7,7 +7,9 @@ engine.  Doubles are rounded on both sides, as sums differ in their last digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1180,7 +1182,10 @@ def pca_points(spark, d):
 def umap_points(spark, d):
     """Two UMAP coordinates of every token under both models; tokens without a valid vector keep their rows."""
     r = S.models(S.reps(spark, d)).select("token_id", "phoneme", "L1", "Gender", "model", "v")
-    parts = [U.embed(r.where(F.col("model") == m), 2) for m in ("whisper", "xlsr")]
+    # The rounds are many short jobs, so the models run side by side.
+    with ThreadPoolExecutor(2) as pool:
+        one = inheritable_thread_target(spark)(lambda m: U.embed(r.where(F.col("model") == m), 2))
+        parts = list(pool.map(one, ("whisper", "xlsr")))
     p = parts[0].union(parts[1])
     return p.select("token_id", "phoneme", "L1", "Gender", "model", "keep", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
 

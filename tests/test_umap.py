@@ -43,6 +43,42 @@ def test_neighbours_against_brute_force(spark):
     assert hit / want.size >= 0.9
 
 
+def test_compared_sends_only_pairs_that_may_enter_a_list():
+    """Centres of unequal size at once give what each gives alone; nothing beyond a row's reach is sent."""
+    rng = np.random.default_rng(4)
+    sizes = [7, 1, 12, 3]
+    centre, node = np.repeat(np.arange(4), sizes), rng.permutation(sum(sizes))
+    x, _ = cosine(rng.standard_normal((sum(sizes), 6)))
+    reach = np.where(np.arange(sum(sizes)) % 2, 0.8, np.inf)
+    got = [p for found in U._compared(centre, node, x, reach, 4, block=3) for p in zip(*found)]
+    want = set()
+    for c in range(4):
+        at = np.flatnonzero(centre == c)
+        for i in at:
+            near = sorted((1 - x[i] @ x[j], node[j], j) for j in at if j != i)[:4]
+            want |= {(node[i], b) for d, b, _ in near if d <= reach[i]}
+    assert {(a, b) for a, b, _ in got} == want and len(got) == len(want)
+
+
+def test_layout_does_not_shuffle_edges_twice(spark, monkeypatch):
+    """Each round sends one message an edge: nothing but places is joined to it, and the sums need no further exchange."""
+    plans = []
+    keep = U.materialise
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(U, "materialise", seen)
+    edges = [(a, b, 0.5) for a in range(30) for b in range(30) if a != b]
+    start = spark.createDataFrame([(i, float(i % 5), float(i // 5)) for i in range(30)], "node long, y0 double, y1 double")
+    got = U.layout(start, spark.createDataFrame(edges, "node long, nbr long, w double"), 2, rounds=1).toPandas()
+    assert len(got) == 30 and np.isfinite(got[["y0", "y1"]].to_numpy()).all()
+    last = [p for name, p in plans if name == "umap-layout"][-1]
+    assert "SortMergeJoin" not in last.split("ShuffledHashJoin")[-1] and last.count("ShuffledHashJoin") == 2
+    assert last.count("Exchange hashpartitioning(node") <= 3 and "inline(to" in last
+
+
 def test_fuzzy_weights(spark):
     graph = [(0, 1, 0.1), (0, 2, 0.3), (0, 3, 0.6), (1, 0, 0.1), (1, 2, 0.2), (1, 3, 0.9), (2, 1, 0.2), (2, 0, 0.3), (2, 3, 0.4), (3, 2, 0.4), (3, 0, 0.6), (3, 1, 0.9)]
     w = U.fuzzy_weights(spark.createDataFrame(graph, "node long, nbr long, d double"), 3).toPandas().set_index(["node", "nbr"])["w"]
