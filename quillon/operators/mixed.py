@@ -36,8 +36,12 @@ def unit_stats_by_column(
     x = {k: F.col(c) for k, c in values.items()}
     sums = [F.struct(F.lit(k).alias(name), F.count(c).alias("n"), F.sum(c).alias("sy"), F.sum(c**2).alias("syy")) for k, c in x.items()]
     cells = df.where(F.col(unit).isNotNull()).groupBy(*by, unit, *carry).agg(F.array(*sums).alias("_each"))
-    cells = cells.select(*by, unit, *carry, F.inline("_each")).where("n > 0")
-    return cells.groupBy(*by, name, unit).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), *[F.min(c).alias(c) for c in carry])
+    return unit_totals(cells.select(*by, unit, *carry, F.inline("_each")).where("n > 0"), [*by, name], unit, carry)
+
+
+def unit_totals(cells: DataFrame, by: list[str], unit: str = "spk", carry: tuple[str, ...] = ("L1", "Gender")) -> DataFrame:
+    """``unit_stats`` from cells (by, unit, carry, ``n, sy, syy``) whose values are counted already."""
+    return cells.groupBy(*by, unit).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), *[F.min(c).alias(c) for c in carry])
 
 
 def unit_kinds(stats: DataFrame, by: list[str], carry: tuple[str, ...] = ("L1", "Gender")) -> DataFrame:

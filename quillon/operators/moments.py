@@ -243,10 +243,20 @@ def mixed_models(
     labels: each has a few sums on the driver.  ``status`` is "boundary" where no variance between units is left, and
     "slope_not_separate" where the slope's column is constant within units, so that only a combination of the three
     covariances is determined; "ok" otherwise."""
+    parts = cells(df.dropna(subset=[y, unit, *factors]), y, by, unit, factors)
+    return mixed_models_of_cells(parts, by, models, factors, unit, reml, min_units, min_tokens, passes)
+
+
+def mixed_models_of_cells(
+    df: DataFrame, by: list[str], models: dict = POOLED, factors: tuple[str, ...] = ("L1", "Gender", "vowel_height"), unit: str = "spk",
+    reml: tuple[str, ...] = ("M0",), min_units: int = 3, min_tokens: int = 10, passes: int = 12,
+) -> DataFrame:
+    """``mixed_models`` of tokens that are added up already: by, unit, factors, ``n, sy, syy``, any number of rows a cell."""
     spark = df.sparkSession
-    d = df.dropna(subset=[y, unit, *factors])
+    keys = [*dict.fromkeys([*by, unit, *factors])]
+    d = df.dropna(subset=["sy", unit, *factors]).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy")])
     terms = list(dict.fromkeys(t for fixed, _ in models.values() for t in fixed))
-    parts = materialise(cells(d, y, by, unit, factors), "mixed-cells")
+    parts = materialise(d, "mixed-cells")
     columns = treatment(parts, factors, tuple(terms))
     names = [n for t in columns.values() for n, _ in t]
     place = {t: [names.index(n) for n, _ in columns[t]] for t in columns}

@@ -1010,8 +1010,16 @@ def positional_alignment(spark, d):
 
 
 def _stats(spark, d):
-    t = D.vowels(normed(spark, d))
-    return M.unit_stats_by_column(t, {f: f"{f}_normed" for f in ("F1", "F2")}, ["phoneme"], "formant")
+    return M.unit_totals(_cells(spark, d), ["phoneme", "formant"])
+
+
+def _cells(spark, d) -> DataFrame:
+    """Sums of the normed formants by speaker, labels and vowel."""
+    return D.lobanov_cells(S.tokens(spark, d), ["L1", "Gender", "phoneme"])
+
+
+def _pooled_cells(spark, d) -> DataFrame:
+    return _cells(spark, d).withColumn("vowel_height", I.map_label("phoneme", schema.label_of(schema.VOWEL_HEIGHT), "unknown"))
 
 
 @query()
@@ -1046,13 +1054,13 @@ def _pooled(spark, d):
 @query()
 def lmm_pooled(spark, d):
     """The ladder over all vowels at once, up to vowel height and a random slope of L1."""
-    return rounded(MM.mixed_models(_pooled(spark, d), "y", ["formant"]), 5)
+    return rounded(MM.mixed_models_of_cells(_pooled_cells(spark, d), ["formant"]), 5)
 
 
 @query()
 def lmm_pooled_lrt(spark, d):
     pairs = (("M0", "M1"), ("M1", "M2"), ("M2", "M3"), ("M3", "M4"))
-    return rounded(M.likelihood_ratios(MM.mixed_models(_pooled(spark, d), "y", ["formant"]), ["formant"], pairs), 5)
+    return rounded(M.likelihood_ratios(MM.mixed_models_of_cells(_pooled_cells(spark, d), ["formant"]), ["formant"], pairs), 5)
 
 
 @query()
@@ -1060,7 +1068,7 @@ def lmm_random_slope(spark, d):
     """M2 and M4 (random slope of L1 by speaker) for each vowel and formant, and their likelihood ratio."""
     by = ["phoneme", "formant"]
     models = {k: MM.POOLED[k] for k in ("M2", "M4")}
-    m = MM.mixed_models(_pooled(spark, d), "y", by, models, ("L1", "Gender"), reml=())
+    m = MM.mixed_models_of_cells(_pooled_cells(spark, d), by, models, ("L1", "Gender"), reml=())
     ratio = M.likelihood_ratios(m, by, (("M2", "M4"),)).drop("comparison")
     slope = m.where("model = 'M4' and term = 'Intercept'").select(*by, "var_u", "var_slope", "cov_slope", "var_e", "aic", "status")
     return rounded(slope.join(ratio, by), 4)
