@@ -19,7 +19,8 @@ def lobanov(tokens: DataFrame, cols: tuple[str, ...] = ("F1", "F2"), by: str = "
     stats = tokens.where(v).groupBy(F.col(by).alias("_by")).agg(
         *[f(F.col(c)).alias(f"_{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
     )
-    out = tokens.join(stats, tokens[by] == stats["_by"], "left")
+    # One row a speaker: a task keeps its share of them in a hash table rather than sort its tokens by speaker.
+    out = tokens.join(stats.hint("shuffle_hash"), tokens[by] == stats["_by"], "left")
     out = out.withColumns({f"{c}_normed": F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_sd_{c}")) for c in cols})
     return out.select(*tokens.columns, *[f"{c}_normed" for c in cols])
 
