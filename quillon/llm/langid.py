@@ -33,7 +33,8 @@ CACHE_WORDS = 400_000
 BLOCK_WORDS = 40_000
 #: Bytes of the words that forward-backward holds at once; each needs about 50 bytes of tables.
 BLOCK_BYTES = 1 << 20
-CHUNK = 2 << 20
+#: Bytes of text whose words are scored at once; a worker keeps the memory that this takes for the stages after it.
+CHUNK = 1 << 19
 #: The fit uses about this many documents per language, chosen by a hash of their id; see ``fit``.
 DOCS_PER_LANGUAGE = 2_000
 UNKNOWN = "und"

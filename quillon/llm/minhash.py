@@ -37,6 +37,8 @@ BANDS = 32
 ROWS = BINS // BANDS
 SMALL_BUCKET = 16
 BLOCK = 256
+#: Bytes of text shingled at once; each takes about 130 bytes of a worker's memory, which it keeps for the stages after it.
+CHUNK = 1 << 18
 #: Up to so many candidate nodes, their ids are broadcast to pick their texts; beyond that the texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -56,7 +58,7 @@ _ROW_MIX = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1 for i in range(
 def shingle_sets(texts: pa.Array, k: int):
     """For each text its sorted distinct shingle hashes: k consecutive words, or all words if there are fewer."""
     data, offsets = T.utf8(texts)
-    for lo, hi in T.chunks(offsets):
+    for lo, hi in T.chunks(offsets, CHUNK):
         with np.errstate(over="ignore"):
             w = T.words(T.LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], T.NOT_SPACE)
             g = T.grams(w.hash, k)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -171,6 +172,18 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_shingling_holds_a_small_part_of_a_batch():
+    """The memory is that of one chunk, not of the batch, beside which a worker of the pipeline has that of earlier stages."""
+    rng = np.random.default_rng(2)
+    text = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 5_000, 600)) for _ in range(1_500)])
+    list(minhash.shingle_sets(text[:100], 5))
+    tracemalloc.start()
+    n = sum(len(s) for s in minhash.shingle_sets(text, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 500_000 and peak < 64e6
+
+
 # --- repeated strings -------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,22 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert langid.identify(empty(spark), path, languages, prob).count() == 0
 
 
+def test_language_scoring_holds_a_small_part_of_a_batch():
+    """As in ``near``: a worker keeps the largest memory that a task of it took, so it is that of one chunk of words."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnop"))
+    text = [" ".join("".join(letters[rng.integers(0, 16, 7)]) for _ in range(400)) for _ in range(1_500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1_500)), "text": text, "letter": [True] * 1_500})
+    pieces = langid.load_pieces(langid.default_vocabulary())
+    prob = rng.random((len(pieces) + 1, 4))
+    prob[-1] = 0
+    tracemalloc.start()
+    (got,) = langid._predict(langid.default_vocabulary(), list("abcd"), prob)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1_500 and peak < 120e6
+
+
 # --- personal data ----------------------------------------------------------------------------------------------------
 
 
