@@ -17,6 +17,16 @@ def _when(c, cases: dict, other):
     return out
 
 
+#: Up to so many rows of a table that others look up by key are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def looked_up(small: DataFrame) -> DataFrame:
+    """``small`` for a join with a larger table by its key, which is then not sorted: few rows are broadcast, of more each
+    task has its share in a hash table."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("shuffle_hash")
+
+
 PHONE_OF_TYPE = {"ECONOMY": "a", "LARGE": "e", "MEDIUM": "ɛ", "PROMO": "i", "SMALL": "u"}
 PHONE_OF_LABEL = {0: "a", 1: "e", 2: "ɛ", 3: "i", 4: "o", 5: "ø", 6: "u", 7: "y", 8: "t"}
 
@@ -26,8 +36,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     item, part, supplier = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))
     missing = F.col("l_quantity") == 1
     return (
-        item.join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        item.join(looked_up(part.select("p_partkey", "p_type")), F.col("l_partkey") == F.col("p_partkey"))
+        .join(looked_up(supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("spk"),
             F.when(F.col("s_nationkey") % 2 == 0, "fr").otherwise("ru").alias("L1"),
