@@ -32,6 +32,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins that shuffle both sides, whatever Spark takes their sizes to be.
+
+    Spark sizes a written table by its compressed files, and takes an explode or inline of it, or a join, to be hardly
+    larger; what it then broadcasts as small may hold many times the limit and fill the driver."""
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that ``materialise`` returned, or one derived from it alone; the caller has read it
     for the last time."""

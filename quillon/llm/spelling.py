@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.durable import materialise
+from quillon.llm.durable import materialise, shuffled
 
 Q = 5
 #: Words of one gram and length that one block of the index holds, about.
@@ -69,7 +69,7 @@ def signatures(words: DataFrame, q: int = Q) -> DataFrame:
     grams = words.select("word", "n", padded.alias("padded"), F.explode(places).alias("place"))
     grams = grams.select("word", "n", F.substring("padded", F.col("place"), F.lit(q)).alias("gram"), (F.col("place") - 1).alias("place"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(df, "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "place"))).alias("grams"))
+    ranked = shuffled(grams).join(df, "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "place"))).alias("grams"))
     return ranked.select("word", "n", F.slice("grams", 1, q + 1).alias("grams"))
 
 
@@ -207,7 +207,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         step += 1
         over = up.select(F.col("word").alias("root"), F.col("root").alias("top"))
-        up = materialise(up.join(over, "root", "left").select("word", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), f"spelling-up-{step}")
+        up = materialise(shuffled(up).join(over, "root", "left").select("word", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), f"spelling-up-{step}")
         if up.where("moved").isEmpty():
             break
         up = up.select("word", "root")
@@ -242,12 +242,12 @@ def spelling_variants(
     both = pairs.select(F.inline(ends))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     enough = -F.col("best.less") >= factor * F.col("n")
-    d = words.join(best, "word", "left").select(
+    d = shuffled(words).join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"),
     )
     d = materialise(d, "spelling-forms")
-    return d.join(roots(d), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return shuffled(d).join(roots(d), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:

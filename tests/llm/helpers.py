@@ -1,6 +1,7 @@
 """Fixtures shared by the tests of the training-data operators."""
 
 import random
+from contextlib import contextmanager
 
 #: Texts that stress edges: null, empty, blank, ties, repeats, one word, non-ASCII, control characters, one long text.
 EDGES = [
@@ -43,3 +44,16 @@ def frame(spark, rows, extra=True):
 
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+
+
+@contextmanager
+def no_broadcast(spark):
+    """Spark would broadcast every table here, and fails when one is broadcast."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1g", "spark.sql.maxBroadcastTableSize": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

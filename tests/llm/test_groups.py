@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import EDGES, corpus, empty, frame
+from helpers import EDGES, corpus, empty, frame, no_broadcast
 from quillon.llm import packing, queries, spelling, yinyang
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +134,13 @@ def test_spelling_on_nothing(spark):
     assert spelling.spelling_variants(frame(spark, [(1, None), (2, "short words only")])).count() == 0
 
 
+def test_spelling_broadcasts_nothing(spark):
+    rows = misspelt(3)
+    with no_broadcast(spark):
+        got = spelling.spelling_variants(frame(spark, rows), min_length=6, min_count=3, factor=2, damage=7).collect()
+    assert {tuple(r) for r in got} == variants(rows, 6, 3, 2, 7)
+
+
 def test_merge_skip_counts():
     rng = random.Random(1)
     for _ in range(200):
