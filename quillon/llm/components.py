@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.durable import materialise
+from quillon.llm.durable import materialise, shuffled
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,26 +26,26 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     step = 0
     while True:
         step += 1
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(
+        near = shuffled(both).join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("component").alias("near")
         )
         hooks = (
-            labels.join(near, "node")
+            shuffled(labels).join(near, "node")
             .groupBy(F.col("component").alias("root"))
             .agg(F.min(F.least("component", "near")).alias("up"))
         )
         own = labels.select(F.col("node").alias("root"), F.col("component").alias("over"))
         # A root's new parent: the smallest root seen from its tree, or what it was hooked under before.
         hooks = materialise(
-            hooks.join(own, "root", "left").select("root", F.least("up", F.coalesce("over", "up")).alias("up")), f"{name}-hooks-{step}"
+            shuffled(hooks).join(own, "root", "left").select("root", F.least("up", F.coalesce("over", "up")).alias("up")), f"{name}-hooks-{step}"
         )
         if hooks.where("up < root").isEmpty():
             return labels
-        twice = hooks.join(hooks.select(F.col("root").alias("up"), F.col("up").alias("top")), "up", "left").select(
+        twice = shuffled(hooks).join(hooks.select(F.col("root").alias("up"), F.col("up").alias("top")), "up", "left").select(
             "root", F.least("up", F.coalesce("top", "up")).alias("top")
         )
         labels = materialise(
-            labels.join(twice, labels["component"] == twice["root"], "left").select(
+            shuffled(labels).join(twice, F.col("component") == F.col("root"), "left").select(
                 "node", F.coalesce("top", "component").alias("component")
             ),
             f"{name}-{step}",

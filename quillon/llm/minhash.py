@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import text as T
 from quillon.llm.components import connected_components
-from quillon.llm.durable import materialise
+from quillon.llm.durable import materialise, shuffled
 
 BINS = 128
 BANDS = 32
@@ -39,7 +39,8 @@ SMALL_BUCKET = 16
 BLOCK = 256
 #: Bytes of text shingled at once; each takes about 130 bytes of a worker's memory, which it keeps for the stages after it.
 CHUNK = 1 << 18
-#: Up to so many candidate nodes, their ids are broadcast to pick their texts; beyond that the texts are shuffled.
+#: Up to so many candidate nodes, their ids (and no more of them) are broadcast to pick their texts; beyond that all texts are
+#: shuffled.  Nothing else that grows with the input is broadcast.
 BROADCAST_NODES = 500_000
 
 
@@ -201,15 +202,15 @@ def _compare_blocks(k: int, percent: int):
 def _block_rows(big: DataFrame, labels: DataFrame, block: int, broadcast_nodes: int) -> DataFrame:
     """(family, i, j, side, node, component): stragglers on side 0, all members of the family on side 1."""
     family = connected_components(big.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), "minhash-families")
-    m = family.withColumnRenamed("component", "family").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    m = shuffled(family.withColumnRenamed("component", "family")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = m.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where(F.col("top.n") < F.col("n"))
     parts = parts.select(
         "family", F.col("top.component").alias("main"), F.ceil(F.col("n") / block).alias("right"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("left")
     )
     parts = materialise(parts, "minhash-families-split")
-    if parts.limit(broadcast_nodes + 1).count() <= broadcast_nodes:  # one row for each family, so a large one is not gathered
-        parts = F.broadcast(parts)
+    # One row for each family, so a large one is not gathered.
+    parts = F.broadcast(parts) if parts.limit(broadcast_nodes + 1).count() <= broadcast_nodes else shuffled(parts)
     m = materialise(m.join(parts, "family"), "minhash-family-members")
     of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -246,67 +247,66 @@ def near_duplicates(
     # The node of a set is the row of its smallest id; only that row's text and keys are used.
     sets = some.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     sets = materialise(sets.select("set_id", F.col("first.doc_id").alias("set_doc"), F.col("first.row").alias("node")), "minhash-sets")
-    keyed = some.join(sets, (some["row"] == sets["node"]), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    keyed = shuffled(some).join(sets, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(keyed.join(buckets, "key"), "minhash-members")
+    members = materialise(shuffled(keyed).join(buckets, "key"), "minhash-members")
 
     nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    nodes = materialise(nodes.join(some.select(F.col("row").alias("node"), "doc_id", "set_id"), "node"), "minhash-nodes")
+    nodes = materialise(shuffled(nodes).join(some.select(F.col("row").alias("node"), "doc_id", "set_id"), "node"), "minhash-nodes")
     wanted = nodes.select("node", "doc_id", "set_id")
-    if nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes:
-        wanted = F.broadcast(wanted)
+    some_texts = rows.select(F.col("doc_id").alias("id"), "text")
+    if nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes:  # one long each; the number for null may let other rows by
+        mark = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("mark")
+        some_texts = some_texts.withColumn("mark", mark("id")).join(F.broadcast(wanted.select(mark("doc_id"))), "mark", "left_semi")
     texts = materialise(
-        rows.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "set_id", "text"),
-        "minhash-texts",
+        shuffled(some_texts).join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "set_id", "text"), "minhash-texts"
     )
     if not texts.groupBy("node").count().where("count > 1").isEmpty():  # ids repeat: keep the text that made the set
         texts = materialise(texts.mapInArrow(_same_set(shingle), "node long, text string").dropDuplicates(["node"]), "minhash-texts-own")
     texts = texts.select("node", "text")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        told = (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_compare(shingle), "a long, b long, both long, either long")
-        )
+        told = shuffled(pairs).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        told = shuffled(told).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        told = told.mapInArrow(_compare(shingle), "a long, b long, both long, either long")
         return materialise(told.withColumn("far", 1 - F.col("both") / F.col("either")), name)
 
     def linked(tested: DataFrame) -> DataFrame:
         return tested.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
-    weight = members.join(nodes.select("node", "weight"), "node")
+    weight = shuffled(members).join(nodes.select("node", "weight"), "node")
     hubs = weight.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("hub"))
-    stars = materialise(members.join(hubs, "key"), "minhash-stars")
+    stars = materialise(shuffled(members).join(hubs, "key"), "minhash-stars")
     ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
     tested = measured(stars.where("node <> hub").select(*ends).distinct(), "minhash-measured")
     labels = connected_components(linked(tested), "minhash-components-1")
 
-    live = stars.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    live = shuffled(stars).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     state = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    live = materialise(live.join(state, "key"), "minhash-live")
-    small = live.where(F.col("n") <= small_bucket).select("*", *ends).join(tested.select("a", "b", "far"), ["a", "b"], "left").drop("a", "b")
+    live = materialise(shuffled(live).join(state, "key"), "minhash-live")
+    small = shuffled(live.where(F.col("n") <= small_bucket).select("*", *ends)).join(tested.select("a", "b", "far"), ["a", "b"], "left").drop("a", "b")
     small = small.withColumn("far", F.coalesce("far", F.lit(0.0)))  # the hub itself
     home = small.where("node = hub").select("key", F.col("component").alias("home"))
     other = small.select("key", F.col("node").alias("other"), F.col("component").alias("there"), F.col("far").alias("far_there"))
-    crossing = small.join(home, "key").where("component <> home").join(other, "key").where(
+    crossing = shuffled(shuffled(small).join(home, "key").where("component <> home")).join(other, "key").where(
         (F.col("node") != F.col("other")) & (F.col("component") != F.col("there")) & (F.abs(F.col("far") - F.col("far_there")) <= 1 - percent / 100 + 1e-9)
     )
     crossing = crossing.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    extra = linked(measured(crossing.join(tested, ["a", "b"], "left_anti"), "minhash-crossing"))
+    extra = linked(measured(shuffled(crossing).join(tested, ["a", "b"], "left_anti"), "minhash-crossing"))
 
     big = live.where(F.col("n") > small_bucket)
     if not big.isEmpty():
-        blocks = _block_rows(big, labels, block, broadcast_nodes).join(texts, "node")
+        blocks = shuffled(_block_rows(big, labels, block, broadcast_nodes)).join(texts, "node")
         blocks = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
         blocks = blocks.select("family", "i", "j", "side", "node", "component", "text")
         extra = extra.union(materialise(blocks.mapInArrow(_compare_blocks(shingle, percent), "a long, b long"), "minhash-blocks"))
     if not extra.isEmpty():
         labels = connected_components(linked(tested).union(extra), "minhash-components-2")
-    names = labels.join(sets.select("node", "set_doc"), "node").groupBy("component").agg(F.min("set_doc").alias("component_id"))
-    named = labels.join(names, "component").select("node", "component_id")
-    sets = sets.join(named, "node", "left").select("set_id", F.coalesce("component_id", "set_doc").alias("component_id"))
+    names = shuffled(labels).join(sets.select("node", "set_doc"), "node").groupBy("component").agg(F.min("set_doc").alias("component_id"))
+    named = shuffled(labels).join(names, "component").select("node", "component_id")
+    sets = shuffled(sets).join(named, "node", "left").select("set_id", F.coalesce("component_id", "set_doc").alias("component_id"))
     out = scan.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
-    return out.join(sets, "set_id", "left").select(
+    return shuffled(out).join(sets, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -340,7 +340,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 61)))
     found = near_duplicates(docs.select(own.alias("_own"), text_col), "_own", text_col, **options)
     rest = found.where("component_id < doc_id").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(rest, own == F.col("_copy_id"), "left_anti")
+    return shuffled(docs).join(rest, own == F.col("_copy_id"), "left_anti")
 
 
 SQL = r"""

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helpers import corpus, empty, frame
+from helpers import corpus, empty, frame, no_broadcast
 from quillon.llm import components, exact, minhash, suffix
 
 
@@ -87,6 +87,15 @@ def test_near_equals_all_pairs(spark, options):
     assert got == components_of(rows, 4)
 
 
+def test_near_broadcasts_nothing_beyond_its_limit(spark):
+    rows = corpus(5)
+    with no_broadcast(spark):
+        out = minhash.near_duplicates(frame(spark, rows), shingle=4, small_bucket=0, block=3, broadcast_nodes=0)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
+        kept = {r.doc_id for r in minhash.drop_near_copies(frame(spark, rows), shingle=4, broadcast_nodes=0).collect()}
+    assert got == components_of(rows, 4) and kept == {i for i, (_, low) in got.items() if i == low}
+
+
 def test_near_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     assert minhash.near_duplicates(frame(spark, [(1, None), (2, ""), (3, " ")])).where("component_id <> doc_id").count() == 0
