@@ -40,8 +40,12 @@ BROADCAST_IDS = 500_000
 STRING_GROUPS = 64
 #: Low bits of a hash that give way to the place; a longer text is cut into overlapping pieces.
 PLACE_BITS = 24
-#: Bytes of text that one group of documents should hold.
-GROUP_BYTES = 32 << 20
+#: Bytes of text that one group of documents should hold, however few partitions a shuffle has.
+GROUP_BYTES = 8 << 20
+#: Bytes of a batch's text whose contexts are held at once.
+SLICE_BYTES = 4 << 20
+#: Strings packed at once.
+STRINGS_AT_ONCE = 1 << 16
 #: Marks a context's size if it may share strings with another context.
 _SEARCHED = 1 << 16
 
@@ -134,6 +138,33 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges (of at least one each), one after another; the indices of a part of them are held at once."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    lo = 0
+    while lo < len(size):
+        base = int(ends[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + T.CHUNK_BYTES, side="right")))
+        out[base : int(ends[hi - 1])] = data[_ranges(start[lo:hi], size[lo:hi])]
+        lo = hi
+    return out
+
+
+def _hash_pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``span_hash`` of ranges in the order of their starts, by pieces of the data."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        a = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(start, a + T.CHUNK_BYTES // 2)))
+        at, end = start[lo:hi] - a, start[lo:hi] - a + size[lo:hi]
+        with np.errstate(over="ignore"):
+            out[lo:hi] = T.span_hash(T.prefix_hash(data[a : a + int(end.max())]), at, end)
+        lo = hi
+    return out
+
+
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` (at least one) bytes at ``a`` equal those at ``b``, for arrays of places."""
     out = np.zeros(len(a), bool)
@@ -174,37 +205,42 @@ _SIDE = np.dtype([("size", "<u4"), ("left", "<u2"), ("right", "<u2")])
 
 
 def _emit_contexts(parts: int, length: int, gram: int):
+    def emit(data, offsets, key):
+        found = []
+        for lo, hi, a, b in _pieces(offsets, length):
+            with np.errstate(over="ignore"):
+                row, start, end, *hashes = contexts(data[a:b], np.clip(offsets[lo : hi + 1], a, b) - a, length, gram)
+            found.append((key[lo:hi][row], start + a - offsets[lo:hi][row], start + a, end - start, *hashes))
+        if not found:
+            return
+        keys, start, place, size, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*found))
+        del found
+        # Combine here first: of equal contexts in this slice only the first one travels on.
+        with np.errstate(over="ignore"):
+            both = T.mix(anchor + ctx * np.uint64(0x9E3779B97F4A7C15))
+        again = np.zeros(len(both), bool)
+        again[_repeats(data, both, place, size, np.arange(len(both)))[0]] = True
+        out = _covered(keys[again], start[again], size[again], parts)
+        if out is not None:
+            yield out
+        once = ~again
+        side = np.zeros(int(once.sum()), _SIDE)
+        side["size"], side["left"], side["right"] = size[once], left[once] & np.uint64(0xFFFF), right[once] & np.uint64(0xFFFF)
+        out = _pack(
+            _ANCHORS, (anchor[once] % np.uint64(parts)).astype(np.int64),
+            [anchor[once], ctx[once], keys[once], start[once].astype(np.uint32 if len(start) == 0 or start.max() < 1 << 32 else np.int64), side],
+        )
+        if out is not None:
+            yield out
+
     def run(batches):
         for batch in batches:
             key = batch.column("key").to_numpy()
             batch = batch.take(pa.array(np.argsort(key, kind="stable")))
             key = batch.column("key").to_numpy()
             data, offsets = T.utf8(batch.column("text"))
-            found = []
-            for lo, hi, a, b in _pieces(offsets, length):
-                with np.errstate(over="ignore"):
-                    row, start, end, *hashes = contexts(data[a:b], np.clip(offsets[lo : hi + 1], a, b) - a, length, gram)
-                found.append((key[lo:hi][row], start + a - offsets[lo:hi][row], start + a, end - start, *hashes))
-            if not found:
-                continue
-            keys, start, place, size, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*found))
-            # Combine here first: of equal contexts in this batch only the first one travels on.
-            with np.errstate(over="ignore"):
-                both = T.mix(anchor + ctx * np.uint64(0x9E3779B97F4A7C15))
-            again = np.zeros(len(both), bool)
-            again[_repeats(data, both, place, size, np.arange(len(both)))[0]] = True
-            out = _covered(keys[again], start[again], size[again], parts)
-            if out is not None:
-                yield out
-            once = ~again
-            side = np.zeros(int(once.sum()), _SIDE)
-            side["size"], side["left"], side["right"] = size[once], left[once] & np.uint64(0xFFFF), right[once] & np.uint64(0xFFFF)
-            out = _pack(
-                _ANCHORS, (anchor[once] % np.uint64(parts)).astype(np.int64),
-                [anchor[once], ctx[once], keys[once], start[once].astype(np.uint32 if len(start) == 0 or start.max() < 1 << 32 else np.int64), side],
-            )
-            if out is not None:
-                yield out
+            for lo, hi in T.chunks(offsets, SLICE_BYTES):
+                yield from emit(data, offsets[lo : hi + 1], key[lo:hi])
 
     return run
 
@@ -297,7 +333,7 @@ def _cut_contexts():
             order = np.argsort(dest, kind="stable")
             key, start, mark, anchor, row, dest = key[order], start[order], size[order], anchor[order], row[order], dest[order]
             size = mark.astype(np.int64) % _SEARCHED
-            raw = data[_ranges(offsets[row] + start, size)].tobytes()
+            raw = _gather(data, offsets[row] + start, size).tobytes()
             out = _pack(0, dest, [anchor, key, start, mark])
             ends = np.concatenate(([0], np.cumsum(size)))
             cut = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1], [True])))
@@ -319,10 +355,12 @@ def suffix_array(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     compared prefix and sorts only inside groups that are still tied, by the group of the suffix that many bytes on.
     """
     n = len(data)
-    ends = np.cumsum(sizes)
-    number = np.repeat(np.arange(len(sizes)), sizes)
+    if n >= 1 << 30:
+        raise ValueError("places are 32-bit numbers here")
+    ends = np.cumsum(sizes).astype(np.int32)
+    number = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     end = ends[number]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         byte = np.zeros(n, np.uint64)
@@ -330,11 +368,12 @@ def suffix_array(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
         if j:
             byte[at + j >= end] = 0
         key = (key << np.uint64(8)) | byte
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])) if n else np.zeros(0, bool)
-    group = np.maximum.accumulate(np.where(head, at, 0))
-    rank = np.empty(n, np.int64)
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    byte = key[sa]
+    head = np.concatenate(([True], byte[1:] != byte[:-1])) if n else np.zeros(0, bool)
+    del byte
+    group = np.maximum.accumulate(np.where(head, at, np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[sa] = group
     ended = len(sizes) * (int(sizes.max(initial=0)) + 1)
     h = 8
@@ -345,15 +384,16 @@ def suffix_array(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
         if not len(spots):
             return sa, key
         who = sa[spots]
-        beyond = who + h
-        nxt = rank[np.minimum(beyond, n - 1)] + ended
+        beyond = who + np.int32(min(h, n))
+        nxt = rank[np.minimum(beyond, n - 1)].astype(np.int64) + ended
         over = np.flatnonzero(beyond >= end[who])  # ended: shorter first, then by text
-        nxt[over] = (end[who[over]] - who[over]) * len(sizes) + number[who[over]]
+        nxt[over] = (end[who[over]] - who[over]).astype(np.int64) * len(sizes) + number[who[over]]
+        del beyond, over
         order = np.lexsort((nxt, group[spots]))
         who, nxt, owner = who[order], nxt[order], group[spots]
         sa[spots] = who
         head[spots] = np.concatenate(([True], (owner[1:] != owner[:-1]) | (nxt[1:] != nxt[:-1])))
-        group = np.maximum.accumulate(np.where(head, at, 0))
+        group = np.maximum.accumulate(np.where(head, at, np.int32(0)))
         rank[sa[spots]] = group[spots]
         h *= 2
 
@@ -365,9 +405,9 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, key: np.ndarray, end: np.n
     at ``begin`` are visited side by side.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    found = np.zeros(n, np.int64)
+    found = np.zeros(n, np.int32)
     at, h = begin.copy(), np.zeros(len(begin), np.int64)
     stop = end[begin]
     while len(at):
@@ -399,10 +439,10 @@ def repeated_strings(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[
     """Group number and position of every string of ``length`` bytes inside the texts, in sorted order."""
     ends = np.cumsum(sizes)
     begin = ends - sizes
-    end = np.repeat(ends, sizes)
+    end = np.repeat(ends.astype(np.int32), sizes)
     sa, key = suffix_array(data, sizes)
     lcp = common_prefixes(data, sa, key, end, begin, length)
-    number = np.cumsum(lcp < length)
+    number = np.cumsum(lcp < length, dtype=np.int32)
     whole = end[sa] - sa >= length
     return number[whole], sa[whole]
 
@@ -422,7 +462,7 @@ def cover_shards(anchor: np.ndarray, key: np.ndarray, start: np.ndarray, sizes:
         anchor, key, start, sizes = anchor[some], key[some], start[some], sizes[some]
     order = np.argsort(anchor, kind="stable")
     ends = np.cumsum(sizes)
-    data = data[_ranges((ends - sizes)[order], sizes[order])]
+    data = _gather(data, (ends - sizes)[order], sizes[order])
     anchor, key, start, sizes = anchor[order], key[order], start[order], sizes[order]
     ends = np.cumsum(sizes)
     out_key, out_start = [], []
@@ -494,12 +534,17 @@ def _search_part(key, start, sizes, data, length: int, parts: int) -> list[pa.Re
     owner = np.searchsorted(ends, at, side="right")
     k, s = key[owner], start[owner] + at - (ends - sizes)[owner]
     again, lead = _distinct(number, k, s)
+    out = [_cover_strings(k[again], s[again], length, parts)]
+    at, k, s, n = at[lead].astype(np.int64), k[lead], s[lead], len(lead)
+    by = np.argsort(at)
+    dest = np.empty(n, np.int64)
+    dest[by] = (_hash_pieces(data, at[by], np.full(n, length)) % np.uint64(STRING_GROUPS * parts)).astype(np.int64)
     text = np.lib.stride_tricks.sliding_window_view(data, length)
-    with np.errstate(over="ignore"):
-        h = T.span_hash(T.prefix_hash(data), at[lead], at[lead] + length)
-    dest = (h % np.uint64(STRING_GROUPS * parts)).astype(np.int64)
-    strings = np.ascontiguousarray(text[at[lead]]).view(f"S{length}")[:, 0]
-    return [_cover_strings(k[again], s[again], length, parts), _pack(_STRINGS, dest, [k[lead], s[lead], strings])]
+    order = np.argsort(dest, kind="stable")
+    for lo in range(0, n, STRINGS_AT_ONCE):
+        o = order[lo : lo + STRINGS_AT_ONCE]
+        out.append(_pack(_STRINGS, dest[o], [k[o], s[o], np.ascontiguousarray(text[at[o]]).view(f"S{length}")[:, 0]]))
+    return out
 
 
 def _search_shard(parts: int, length: int, shard_bytes: int):
@@ -509,8 +554,7 @@ def _search_shard(parts: int, length: int, shard_bytes: int):
         )
         searched, sizes = sizes >= _SEARCHED, sizes.astype(np.int64) % _SEARCHED
         place = np.cumsum(sizes) - sizes
-        with np.errstate(over="ignore"):
-            label = T.span_hash(T.prefix_hash(data), place, place + sizes)
+        label = _hash_pieces(data, place, sizes)
         again, odd = _repeats(data, label, place, sizes, start, key)
         out = [_covered(key[again], start[again], sizes[again], parts)]
         divided = table.column("dest")[0].as_py() >= parts
@@ -520,7 +564,7 @@ def _search_shard(parts: int, length: int, shard_bytes: int):
         if not divided:  # a context alone with its anchor has no strings in common with others
             _, group, count = np.unique(anchor[stay], return_inverse=True, return_counts=True)
             stay[stay] = count[group] > 1
-        anchor, key, start, data, sizes = anchor[stay], key[stay], start[stay], data[_ranges(place[stay], sizes[stay])], sizes[stay]
+        anchor, key, start, data, sizes = anchor[stay], key[stay], start[stay], _gather(data, place[stay], sizes[stay]), sizes[stay]
         if not len(sizes):
             pass
         elif divided:
@@ -551,26 +595,33 @@ def _remove(keep_text: bool):
     def run(covers: pa.Table, docs: pa.Table) -> pa.Table:
         key, start, size = (_unpack(covers, c, t) for c, t in (("a", np.int64), ("b", np.int64), ("c", np.int32)))
         data, offsets, row = _rows_of(docs, key)
-        base, total = offsets[0], int(offsets[-1] - offsets[0])
-        data, offsets = data[base : base + total], offsets - base
-        edge = np.zeros(total + 1, np.int64)
-        np.add.at(edge, offsets[row] + start, 1)
-        np.add.at(edge, offsets[row] + start + size, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        inner = offsets[:-1][(offsets[:-1] < total) & (np.diff(offsets) > 0)]
-        begins[inner] = gone[inner]
-        count = lambda x: (s := np.concatenate(([0], np.cumsum(x))))[offsets[1:]] - s[offsets[:-1]]
-        removed, spans = count(gone), count(begins)
-        left = data[~gone].tobytes()
-        at = np.concatenate(([0], np.cumsum(np.diff(offsets) - removed))).tolist()
-        rest = [left[x:y] for x, y in zip(at[:-1], at[1:])]
+        order = np.argsort(row, kind="stable")
+        row, start, size = row[order], start[order], size[order]
+        count = lambda x, at: (s := np.concatenate(([0], np.cumsum(x))))[at[1:]] - s[at[:-1]]
+        removed, spans = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.int64)
+        sums, rest = [], []
+        for lo, hi in T.chunks(offsets):
+            at = offsets[lo : hi + 1] - offsets[lo]
+            total = int(at[-1])
+            some = slice(*np.searchsorted(row, [lo, hi]).tolist())
+            edge = np.zeros(total + 1, np.int32)
+            np.add.at(edge, at[row[some] - lo] + start[some], 1)
+            np.add.at(edge, at[row[some] - lo] + start[some] + size[some], -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = at[:-1][(at[:-1] < total) & (np.diff(at) > 0)]
+            begins[inner] = gone[inner]
+            removed[lo:hi], spans[lo:hi] = count(gone, at), count(begins, at)
+            left = data[offsets[lo] : offsets[hi]][~gone].tobytes()
+            cut = np.concatenate(([0], np.cumsum(np.diff(at) - removed[lo:hi]))).tolist()
+            kept = [left[x:y] for x, y in zip(cut[:-1], cut[1:])]
+            sums += [hashlib.sha256(x).hexdigest() for x in kept]
+            rest += kept if keep_text else [None] * len(kept)
         return pa.table({
             "key": docs.column("key"), "doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)),
-            "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)),
-            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in rest]),
-            "kept": pa.array(rest if keep_text else [None] * len(rest), pa.binary()),
+            "n_removed": pa.array(removed), "n_spans": pa.array(spans),
+            "kept_sha256": pa.array(sums, pa.string()), "kept": pa.array(rest, pa.binary()),
         })
 
     return run

@@ -236,6 +236,27 @@ def test_suffix_hot_anchor_is_dealt_to_bounded_groups(spark):
     assert len(set().union(*(anchor[d] for d in own))) < len(own)
 
 
+def test_suffix_tasks_hold_little_beside_their_texts():
+    rng, n, size = np.random.default_rng(0), 6000, 160
+    texts = [rng.integers(97, 123, 1000).astype(np.uint8).tobytes().decode() for _ in range(n)]
+    docs = pa.table({"key": range(n), "doc_id": range(n), "text": texts})
+    i, zero = np.arange(n), np.zeros(n, np.int64)
+    asked = suffix._pack(suffix._ASKED, zero, [i, zero, np.full(n, 900, np.int32), i.astype(np.uint64), i % 9])
+    contexts = suffix._pack(suffix._ASKED, zero, [(i // 4).astype(np.uint64), i, zero, np.full(n, size, np.int32) + suffix._SEARCHED])
+    contexts = contexts.set_column(6, "e", pa.array(["".join(texts)[: n * size].encode()], pa.binary()))
+    covers = suffix._covered(i, zero, np.full(n, 150), 1)
+    table = lambda x: pa.Table.from_batches([x])
+    for work, held in [
+        (lambda: suffix._remove(False)(table(covers), docs), 6), (lambda: suffix._cut_contexts()(table(asked), docs), 8),
+        (lambda: suffix._search_shard(12, 100, 1 << 17)(table(contexts)), 30),
+    ]:
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < held * 1000 * n, (held, peak)
+
+
 def test_suffix_edges(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
     rows = [(1, "q" * 250), (1, "q" * 250), (None, "q" * 250), (0, None)]
