@@ -303,6 +303,7 @@ def near_duplicates(
     if not extra.isEmpty():
         labels = connected_components(linked(tested).union(extra), "minhash-components-2")
     names = shuffled(labels).join(sets.select("node", "set_doc"), "node").groupBy("component").agg(F.min("set_doc").alias("component_id"))
+    names = materialise(names, "minhash-names")  # so that both sides are only shuffled, and Spark may split a large component
     named = shuffled(labels).join(names, "component").select("node", "component_id")
     sets = shuffled(sets).join(named, "node", "left").select("set_id", F.coalesce("component_id", "set_doc").alias("component_id"))
     out = scan.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
